@@ -243,11 +243,28 @@ def update(model: Model, g: dict[str, np.ndarray], rate: float = 0.5, damp: floa
     return Model(model.words, model.counts, model.total, model.types, model.first, model.bias, (model.features + step).astype(np.float32), (model.pairs + pair_step).astype(np.float32))
 
 
+def frequent(counts: DataFrame, most: int) -> list[tuple[str, int]]:
+    """At most ``most`` tokens, the most frequent first: whole sixteenths of powers of two of the count, from the top.
+
+    A handful of bin sizes tells the least count, so no task sends a top list of its own to the driver.
+    """
+    bins = counts.groupBy(F.floor(F.log2("n") * 16).alias("bin")).agg(F.count("*").alias("k"), F.min("n").alias("least")).collect()
+    least, taken = None, 0
+    for r in sorted(bins, key=lambda r: -r["bin"]):
+        taken += r["k"]
+        if taken > most:
+            break
+        least = r["least"]
+    if least is None:
+        return []
+    return sorted(((r["token"], r["n"]) for r in counts.where(F.col("n") >= least).collect()), key=lambda r: (-r[1], r[0]))
+
+
 def fit(docs: DataFrame, counts: DataFrame, doc_id: str, text: str, vocabulary: int, steps: int) -> Model:
     """``counts`` is the written table of all training tokens."""
     n, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "token").limit(vocabulary).toPandas()
-    model = start(top["token"].tolist(), top["n"].tolist(), int(n), int(types))
+    top = frequent(counts, vocabulary)
+    model = start([w for w, _ in top], [c for _, c in top], int(n), int(types))
     if not n:
         return model
     for k in range(steps):
