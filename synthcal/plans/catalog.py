@@ -136,7 +136,7 @@ def _rounded_summary(df: DataFrame) -> DataFrame:
 
 @query(summary_sql(q.method(q.TEMPORAL, "alg1", clip=UNIT)))
 def temporal_alg1_summary(spark, sf):
-    return _rounded_summary(summaries.summary(methods.run(inputs.temporal_tasks(spark, sf), "alg1", ALPHA, clip=UNIT)))
+    return _rounded_summary(summaries.summary(shown(methods.run(inputs.temporal_tasks(spark, sf), "alg1", ALPHA, clip=UNIT))))
 
 
 METHOD_UNION = " UNION ALL ".join(f"SELECT * FROM ({q.method((q.z_table(ALLOCATIONS['prop_127'](0, a)[1]) + ', ' if m == 'alg2' else '') + q.TEMPORAL, m, a, clip=UNIT)})" for m in methods.METHODS for a in ALPHAS)
@@ -146,12 +146,12 @@ LOO_UNION = " UNION ALL ".join(f"SELECT * FROM ({q.method(q.TASKS, m, a, mode='l
 @query(summary_sql(METHOD_UNION))
 def temporal_method_table(spark, sf):
     """All methods at several levels stacked and summarised."""
-    return _rounded_summary(summaries.summary(methods.run_all(inputs.temporal_tasks(spark, sf), ALPHAS, clip=UNIT)))
+    return _rounded_summary(summaries.summary(shown(methods.run_all(inputs.temporal_tasks(spark, sf), ALPHAS, clip=UNIT))))
 
 
 @query(summary_sql(LOO_UNION))
 def loo_method_table(spark, sf):
-    return _rounded_summary(summaries.summary(methods.run_all(inputs.paired_tasks(spark, sf), ALPHAS, ("alg1", "alg3", "synth_only"), mode="loo", clip=UNIT)))
+    return _rounded_summary(summaries.summary(shown(methods.run_all(inputs.paired_tasks(spark, sf), ALPHAS, ("alg1", "alg3", "synth_only"), mode="loo", clip=UNIT))))
 
 
 def _fixed_split_sql(alloc: str) -> str:
@@ -180,7 +180,7 @@ L1, L3, LS = (q.method(q.TASKS, a, mode="loo", clip=UNIT) for a in ("alg1", "alg
   {q.r("quantile_cont(p.width_clip, 0.5) FILTER (WHERE isfinite(p.width_clip))", 5)} AS median_width_clip, {q.r('avg(b.covered::INT::DOUBLE) * 100')} AS baseline_coverage_pct
   FROM ({L1}) p JOIN ({LS}) b USING (task_id) GROUP BY p.alpha""")
 def loo_panel_summary(spark, sf):
-    out = summaries.panel_summary(_loo(spark, sf), _loo(spark, sf, "synth_only"))
+    out = summaries.panel_summary(shown(_loo(spark, sf)), shown(_loo(spark, sf, "synth_only")))
     return out.select(*(ex.rounded(F.col(c), 5 if "width" in c else 6).alias(c) if t == "double" and c != "alpha" else F.col(c) for c, t in out.dtypes))
 
 
@@ -256,7 +256,7 @@ def replicated_coverage(spark, sf):
     """Every order year is a replication: all of them in one job, with the replication among the partition keys."""
     orders = inputs.table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.year("o_orderdate").alias("rep"))
     stats = moments.paired_stats(inputs.pairs(spark, sf).join(orders, "l_orderkey"), ["rep", "p_brand"], "x", "y").withColumnRenamed("p_brand", "task_id")
-    out = summaries.pooled(methods.run(stats, "alg1", ALPHA, mode="loo", by=["rep"], clip=UNIT, infinite_covers=True))
+    out = summaries.pooled(shown(methods.run(stats, "alg1", ALPHA, mode="loo", by=["rep"], clip=UNIT, infinite_covers=True)))
     digits = {"coverage": 6, "mean_width_clip": 4}
     return out.select(*(ex.rounded(F.col(c), digits.get(c, 2)).alias(c) if t == "double" and c != "alpha" else F.col(c) for c, t in out.dtypes))
 
@@ -319,7 +319,7 @@ def rectangle_temporal(spark, sf):
 @query(" UNION ALL ".join(f"SELECT alpha, count(DISTINCT task_id) AS t, {q.r('avg(task_feasible::INT::DOUBLE)')} AS feasible, {q.r('avg(joint_covered::INT::DOUBLE)')} AS joint_coverage, {q.r('''avg(covered::INT::DOUBLE) FILTER (WHERE coord = 'co')''')} AS coverage_co, {q.r('''avg(covered::INT::DOUBLE) FILTER (WHERE coord = 'opp')''')} AS coverage_opp, {q.r('avg(width) FILTER (WHERE task_feasible)', 4)} AS mean_width, {q.r('avg(naive_joint::INT::DOUBLE)')} AS naive_joint_coverage FROM ({two_sql(a, 'loo')}) GROUP BY alpha" for a in (0.15, 0.2)))
 def rectangle_table(spark, sf):
     tasks = _pairs2d(spark, sf)
-    out = multidim.rectangle_summary(multidim.rectangles(tasks, 0.15).unionByName(multidim.rectangles(tasks, 0.2)))
+    out = multidim.rectangle_summary(shown(multidim.rectangles(tasks, 0.15).unionByName(multidim.rectangles(tasks, 0.2))))
     return out.select(*(ex.rounded(F.col(c), 4 if c == "mean_width" else 6).alias(c) if t == "double" and c != "alpha" else F.col(c) for c, t in out.dtypes))
 
 
@@ -393,15 +393,15 @@ def mm_sql(keys: str, pairs: str, rounds_: int = 60) -> str:
     return ", ".join(out)
 
 
-@query(f"WITH {q.BATTLES}, t AS MATERIALIZED (SELECT 0 AS f, player, opponent, sum(n * y) AS w, sum(n)::DOUBLE AS n FROM sides GROUP BY player, opponent), {mm_sql('f', 't')}, s AS (SELECT player, ln(g) AS score FROM g60) SELECT player, {q.r('score', 5)} AS score, {q.r(f'{q.d(ELO_SCALE)} * score', 3)} AS elo, rank() OVER (ORDER BY round(score, 8) DESC)::INT AS rank FROM s")
+@query(f"WITH {q.BATTLES}, t AS MATERIALIZED (SELECT 0 AS f, player, opponent, sum(n * y) AS w, sum(n)::DOUBLE AS n FROM sides GROUP BY player, opponent), {mm_sql('f', 't', 80)}, s AS (SELECT player, ln(g) AS score FROM g80) SELECT player, {q.r('score', 5)} AS score, {q.r(f'{q.d(ELO_SCALE)} * score', 2)} AS elo, rank() OVER (ORDER BY round(score, 8) DESC)::INT AS rank FROM s")
 def bt_leaderboard(spark, sf):
     """Joint Bradley-Terry scores, Elo and rank."""
     s = bt.leaderboard(bt.joint_scores(inputs.battle_pairs(spark, sf), REF))
-    return s.select("player", ex.rounded(F.col("score"), 5).alias("score"), ex.rounded(ELO_SCALE * F.col("score"), 3).alias("elo"), "rank")
+    return s.select("player", ex.rounded(F.col("score"), 5).alias("score"), ex.rounded(ELO_SCALE * F.col("score"), 2).alias("elo"), "rank")
 
 
-#: Background: the reference and the next players by key up to 15; the others are task players.
-M_BACKGROUND = 15
+#: Background: the reference and the next players by key up to 5; the others are task players.
+M_BACKGROUND = 5
 
 
 def _bt_tasks(spark, sf, pairs):
@@ -532,7 +532,7 @@ def result_differences(spark, sf):
     return found.select("algo", "alpha", "alloc", F.col("old.n").alias("old_n"), F.col("new.n").alias("new_n"))
 
 
-@query("SELECT algo, printf('%.2f', alpha) AS alpha, n_tasks::VARCHAR AS n, printf('%.0f', round(coverage_pct)) || '%' AS coverage, " + ", ".join(f"CASE WHEN isfinite({c}) THEN printf('%.3f', {c}) ELSE '—' END AS {c}" for c in ("mean_width", "mean_width_clip", "w1", "w2", "w3")) + f" FROM ({summary_sql(LOO_UNION)})")
+@query("SELECT algo, printf('%.2f', alpha) AS alpha, n_tasks::VARCHAR AS n, printf('%.0f', round(coverage_pct)) || '%' AS coverage, " + ", ".join(f"CASE WHEN isfinite({c}) THEN printf('%.3f', round({c}, 3)) ELSE '—' END AS {c}" for c in ("mean_width", "mean_width_clip", "w1", "w2", "w3")) + f" FROM ({summary_sql(LOO_UNION)})")
 def readable_report(spark, sf):
     return summaries.report(loo_method_table(spark, sf))
 

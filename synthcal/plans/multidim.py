@@ -20,8 +20,9 @@ def pair_cells(cells: DataFrame, task_keys: list[str], role: Column, min_n: int
     """
     rows = cells.withColumn("coord", role).where("coord is not null")
     whole = rows.groupBy(*task_keys).agg(F.count(F.when(F.col("coord") == "co", 1)).alias("_co"), F.count(F.when(F.col("coord") == "opp", 1)).alias("_opp"), F.min("n").alias("_least"))
-    twice = F.when((F.col("_co") > 1) | (F.col("_opp") > 1), F.raise_error(F.lit("a cell occurs twice"))).otherwise(F.lit(True))
-    kept = whole.where(twice & (F.col("_co") == 1) & (F.col("_opp") == 1) & (F.col("_least") >= min_n)).select(*task_keys)
+    twice = (F.col("_co") > 1) | (F.col("_opp") > 1)
+    fits = (F.col("_co") == 1) & (F.col("_opp") == 1) & (F.col("_least") >= min_n)
+    kept = whole.where(F.when(twice, F.raise_error(F.lit("a cell occurs twice")).cast("boolean")).otherwise(fits)).select(*task_keys)
     rows = rows.join(kept, task_keys)
     return rows.select(F.concat_ws("|", *task_keys).alias("task_id"), *task_keys, "coord", *STATS)
 

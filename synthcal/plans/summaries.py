@@ -96,5 +96,5 @@ def differences(a: DataFrame, b: DataFrame, by: tuple[str, ...] = ("algo", "alph
 
 def report(table: DataFrame) -> DataFrame:
     """The summary as readable text: whole percents, three decimals, a dash for what is missing."""
-    shown = lambda c, d: F.when(finite(F.col(c)), F.format_string(f"%.{d}f", F.col(c))).otherwise(F.lit("—"))
+    shown = lambda c, d: F.when(finite(F.col(c)), F.format_string(f"%.{d}f", F.round(c, d))).otherwise(F.lit("—"))
     return table.select("algo", F.format_string("%.2f", F.col("alpha")).alias("alpha"), F.col("n_tasks").cast("string").alias("n"), F.concat(F.format_string("%.0f", F.round("coverage_pct")), F.lit("%")).alias("coverage"), *(shown(c, 3).alias(c) for c in ("mean_width", "mean_width_clip", "w1", "w2", "w3")))

@@ -102,6 +102,6 @@ def ingest(paired: DataFrame, naive: DataFrame, one_piece: DataFrame, alpha: flo
 def parity(raw: DataFrame, reduced: DataFrame, keys: list[str], statistics: list[str], most: float = 1e-9) -> DataFrame:
     """largest: the greatest difference over all cells and statistics, and whether it is within bounds; a cell that one side lacks is infinite."""
     a, b = raw.select(*keys, F.struct(*statistics).alias("a")), reduced.select(*keys, F.struct(*statistics).alias("b"))
-    gap = F.greatest(*[F.abs(F.col(f"a.{s}") - F.col(f"b.{s}")) for s in statistics])
+    gap = F.greatest(F.lit(0.0), *[F.abs(F.col(f"a.{s}") - F.col(f"b.{s}")) for s in statistics])
     both = a.join(b, keys, "full_outer").select(F.when(F.col("a").isNull() | F.col("b").isNull(), F.lit(float("inf"))).otherwise(gap).alias("d"))
     return both.agg(F.coalesce(F.max("d"), F.lit(0.0)).alias("largest")).withColumn("within", F.col("largest") <= most)
