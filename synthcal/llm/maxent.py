@@ -85,7 +85,8 @@ def start(words: list[str], counts: list[int], total: int, types: int) -> Model:
     share = np.cumsum(np.sqrt(n)) / max(np.sqrt(n).sum(), 1e-9)
     first = np.unique(np.concatenate([[0], np.searchsorted(share, np.arange(1, CLASSES) / CLASSES) + 1, [len(n)]])).clip(max=len(n)) if len(n) else np.array([0])
     first = np.unique(first)
-    mass = np.array([total - n.sum(), *(n[a:b].sum() for a, b in zip(first, first[1:], strict=False))])
+    # half a token more for each rare type: new texts bring more rare tokens than those counted
+    mass = np.array([total - n.sum() + (types - len(n)) / 2, *(n[a:b].sum() for a, b in zip(first, first[1:], strict=False))])
     return Model(words, np.array(counts, dtype=np.int64), total, types, first, np.log(mass + 1).astype(np.float32), np.zeros((ROWS, len(mass)), np.float32), np.zeros(PAIRS, np.float32))
 
 
@@ -244,7 +245,8 @@ def update(model: Model, g: dict[str, np.ndarray], rate: float = 0.5, damp: floa
 
 
 def frequent(counts: DataFrame, most: int) -> list[tuple[str, int]]:
-    """At most ``most`` tokens, the most frequent first: whole sixteenths of powers of two of the count, from the top.
+    """At most ``most`` tokens seen twice or more, the most frequent first: whole sixteenths of powers of two of the count,
+    from the top. Tokens seen once stay outside, where unseen ones are: their share tells how often such ones come.
 
     A handful of bin sizes tells the least count, so no task sends a top list of its own to the driver.
     """
@@ -252,7 +254,7 @@ def frequent(counts: DataFrame, most: int) -> list[tuple[str, int]]:
     least, taken = None, 0
     for r in sorted(bins, key=lambda r: -r["bin"]):
         taken += r["k"]
-        if taken > most:
+        if taken > most or r["least"] < 2:
             break
         least = r["least"]
     if least is None:
