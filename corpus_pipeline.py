@@ -21,8 +21,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what the compression classifier, fitted on the labelled documents that are left, takes for label 0."""
-    model = compress.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Drops what the compression classifier takes for label 0.
+
+    It is fitted on labelled documents of the whole table: the rules before it leave hardly any of label 0.
+    """
+    model = compress.fit_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return compress.keep_good(docs, model)
 
 

@@ -3,12 +3,12 @@
 A text is compressed with either dictionary. The difference of the sizes over their sum, with the text's own
 compressibility, goes through a logistic curve fitted on training rows and becomes a probability of label 1.
 
-Fitting reads a bounded sample of labelled rows (``per_label`` rows of each label, ``fit_chars`` code points of each),
-taken by hash of the id; scoring reads every whole text.
+Fitting reads a bounded sample of labelled rows (about ``per_label`` rows of each label, ``fit_chars`` code points of
+each), taken by hash of the id; scoring reads every whole text.
 
 Defined results: null and empty texts get the score of the empty text (the share of label 1 in the sample); rows whose
 label is null or that the labels lack don't take part in fitting; an id labelled twice counts with its smallest label;
-without labels of both kinds every score is the share of label 1 (0.5 with no labels at all); an empty table gives an
+with fewer than LEAST rows of either label every score is the share of label 1 (0.5 with no labels at all); an empty table gives an
 empty table; other columns are ignored by :func:`quality_scores` and passed through by :func:`keep_good`.
 """
 
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from synthcal.llm.shared import fold, utf8
@@ -30,6 +30,8 @@ LEVEL = 3
 #: Texts are compressed in chunks of so many bytes, one after the other to the end: else a long text's own words take the
 #: dictionary's place and long texts of either kind look alike.
 CHUNK = 1024
+#: Fewer rows of a label than this can't fill a dictionary and a curve.
+LEAST = 16
 
 
 @dataclass(frozen=True)
@@ -78,14 +80,17 @@ def features(raw: bytes, sizes) -> tuple[float, float, float]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, per_label: int, fit_chars: int) -> list:
-    """A bounded sample by hash of the id. Ranked in salted parts first, so that no task sorts all rows of a label."""
+    """A sample of about ``per_label`` rows of each label: those whose id's hash lies below the label's share."""
     mark = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y")).where("i is not null and y in (0, 1)")
-    mark = mark.groupBy("i").agg(F.min("y").alias("y")).where(fold("i", 3) != 1).withColumn("h", F.xxhash64("i"))
-    for part in ([F.col("y"), F.pmod("h", F.lit(64))], [F.col("y")]):
-        mark = mark.withColumn("r", F.row_number().over(Window.partitionBy(*part).orderBy("h", "i"))).where(F.col("r") <= per_label)
-    mark = mark.select("i", "y", "h")
+    mark = mark.groupBy("i").agg(F.min("y").alias("y")).where(fold("i", 3) != 1)
+    total = {r["y"]: r["n"] for r in mark.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if not total:
+        return []
+    place = F.shiftrightunsigned(F.xxhash64("i"), 11) / float(1 << 53)
+    share = F.when(F.col("y") == 0, F.lit(per_label / total.get(0, 1))).otherwise(F.lit(per_label / total.get(1, 1)))
+    mark = mark.withColumn("h", place).where(F.col("h") < share)
     rows = docs.select(F.col(doc_id).alias("i"), F.substring(F.col(text).cast("string"), 1, fit_chars).alias("t"))
-    found = rows.join(F.broadcast(mark), "i").groupBy("i", "y", "h").agg(F.min("t").alias("t"))  # 2 * per_label rows are broadcast
+    found = rows.join(F.broadcast(mark), "i").groupBy("i", "y", "h").agg(F.min("t").alias("t"))  # about 2 * per_label ids are broadcast
     return sorted(found.collect(), key=lambda r: (r["h"], r["i"]))
 
 
@@ -94,7 +99,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
     rows = [(r["y"], (r["t"] or "").encode()) for r in training_rows(docs, labels, doc_id, text, label, per_label, fit_chars)]
     share = (sum(y for y, _ in rows) + 0.5) / (len(rows) + 1) if rows else 0.5
     by = {y: [t for v, t in rows if v == y and t] for y in (0, 1)}
-    if min(map(len, by.values())) < 4:
+    if min(map(len, by.values())) < LEAST:
         return QualityModel(b"", b"", (0.0, 0.0, 0.0, 0.0), share)
     built = {y: dictionary(by[y][0::2], dict_bytes) for y in (0, 1)}
     sizes = sizer(built[1], built[0])

@@ -24,7 +24,7 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in rules.collect()} == {i for i, k in table.items() if k}
     good = corpus_pipeline.quality_classifier(spark, rules, SF)
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    scores = compress.quality_scores(rules, compress.fit_quality(rules, labels))
+    scores = compress.quality_scores(rules, compress.fit_quality(docs, labels))
     assert {r["doc_id"] for r in good.collect()} == {r["doc_id"] for r in scores.where("score >= 0.5").collect()}
     one = corpus_pipeline.near_duplicates(spark, good, SF)
     groups = {r["component_id"] for r in simhash.near_duplicates(good).collect()}
