@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from synthcal.functions.expressions import covers
 from synthcal.functions.levels import z
+from synthcal.sources.scratch import written
 
 
 def linspace(a: float, b: float, n: int) -> list[float]:
@@ -46,6 +47,7 @@ def grid_intervals(tasks: DataFrame, alpha: float, n_grid: int = 30, eps: float
     from synthcal.operators.conformal import loo_bands
 
     spark = tasks.sparkSession
+    tasks = written(tasks, "grid-tasks")
     t = tasks.count() - 1
     points = grid_points(alpha, t, n_grid, eps)
     grid = spark.createDataFrame(points, "i3 int, i1 int, alpha1 double, alpha2 double, alpha3 double, z1 double, z2 double, k_low int, k_high int").drop("k_low", "k_high")

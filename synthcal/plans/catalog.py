@@ -416,7 +416,7 @@ def _bt_parts(spark, sf, draws=0):
     pairs = written(inputs.battle_pairs(spark, sf), "battle-pairs")
     tasks = _bt_tasks(spark, sf, pairs)
     frame = written(bt.frames(pairs, tasks, REF), "frames")
-    return bt.placements(bt.oriented(pairs), frame, tasks, draws), frame
+    return written(bt.placements(bt.oriented(pairs), frame, tasks, draws), "placements"), frame
 
 
 TASKS_BT = f"tp AS MATERIALIZED (SELECT player FROM (SELECT player, row_number() OVER (ORDER BY player) AS k FROM (SELECT DISTINCT player FROM sides)) WHERE k > {M_BACKGROUND})"

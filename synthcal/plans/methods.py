@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from synthcal.functions.expressions import clipped_width, covers, finite, width
 from synthcal.functions.levels import ALLOCATIONS, checked, z
 from synthcal.operators.conformal import loo_bands, split_bands
+from synthcal.sources.scratch import written
 
 RECORD = ["task_id", "label", "theta", "algo", "alpha", "alpha1", "alpha2", "alpha3", "alloc", "n_real", "n_synth", "ci_lo", "ci_hi", "covered", "width", "width_clip", "synth_lo", "synth_hi", "delta_lo", "delta_hi", "w1", "w2", "w3"]
 METHODS = ("alg1", "alg2", "alg3", "synth_only")
@@ -107,7 +108,8 @@ def scored(rows: DataFrame, algo: str, alpha: float, levels: tuple[Column, Colum
 
 
 def run_all(tasks: DataFrame, alphas: list[float], algos: tuple[str, ...] = METHODS, **kw) -> DataFrame:
-    """All methods at all levels in one table."""
+    """All methods at all levels in one table. The task statistics are written once: rows are read a single time."""
+    tasks = written(tasks, "tasks")
     out = None
     for algo in algos:
         for alpha in alphas:

@@ -19,11 +19,12 @@ def pair_cells(cells: DataFrame, task_keys: list[str], role: Column, min_n: int
     ``role`` gives co, opp or null. Two cells of one task and role are an input error.
     """
     rows = cells.withColumn("coord", role).where("coord is not null")
-    whole = rows.groupBy(*task_keys).agg(F.count(F.when(F.col("coord") == "co", 1)).alias("_co"), F.count(F.when(F.col("coord") == "opp", 1)).alias("_opp"), F.min("n").alias("_least"))
+    task = Window.partitionBy(*task_keys)
+    seats = {f"_{c}": F.count(F.when(F.col("coord") == c, 1)).over(task) for c in ("co", "opp")}
+    rows = rows.withColumns({**seats, "_least": F.min("n").over(task)})
     twice = (F.col("_co") > 1) | (F.col("_opp") > 1)
     fits = (F.col("_co") == 1) & (F.col("_opp") == 1) & (F.col("_least") >= min_n)
-    kept = whole.where(F.when(twice, F.raise_error(F.lit("a cell occurs twice")).cast("boolean")).otherwise(fits)).select(*task_keys)
-    rows = rows.join(kept, task_keys)
+    rows = rows.where(F.when(twice, F.raise_error(F.lit("a cell occurs twice")).cast("boolean")).otherwise(fits))
     return rows.select(F.concat_ws("|", *task_keys).alias("task_id"), *task_keys, "coord", *STATS)
 
 
