@@ -29,62 +29,67 @@ def history_sizes(tasks: DataFrame, mode: str, by: list[str]) -> dict[tuple, int
     return {k: n - (mode == "loo") for k, n in found.items()}
 
 
-def by_set(by: list[str], values: dict[tuple, float]) -> Column:
-    """A column with each set's number."""
-    if not by:
-        return F.lit(float(next(iter(values.values()), float("nan"))))
+def chosen(keys: list[str], values: dict[tuple, float]) -> Column:
+    """A column with the number that belongs to the row's keys (sets and levels: a few configurations)."""
+    if len(set(values.values())) == 1:
+        return F.lit(float(next(iter(values.values()))))
     out = F.lit(None).cast("double")
     for key, v in values.items():
         same = F.lit(True)
-        for b, k in zip(by, key, strict=True):
+        for b, k in zip(keys, key, strict=True):
             same = same & F.col(b).eqNullSafe(F.lit(k))
         out = F.when(same, F.lit(float(v))).otherwise(out)
     return out
 
 
-def run(tasks: DataFrame, algo: str, alpha: float, alloc: str = "prop_127", mode: str = "split", by: list[str] = (), clip: tuple[float, float] | None = None, infinite_covers: bool = False) -> DataFrame:
-    """Interval records of all predict tasks (split) or of all tasks (loo), one band or one shift per set in ``by``."""
-    by = list(by)
+def run(tasks: DataFrame, algo: str, alpha: float | list[float], alloc: str = "prop_127", mode: str = "split", by: list[str] = (), clip: tuple[float, float] | None = None, infinite_covers: bool = False) -> DataFrame:
+    """Interval records of all predict tasks (split) or of all tasks (loo), one band or one shift per set in ``by``.
+
+    Several levels run in one plan: each task occurs once per level, and the level is a key like any other.
+    """
+    by, alphas = list(by), list(alpha) if isinstance(alpha, (list, tuple)) else [alpha]
+    keys = [*by, "alpha"]
     if algo not in METHODS:
         raise ValueError(f"unknown method {algo!r}")
-    if not 0 < alpha < 1:
-        raise ValueError(f"level must lie in (0, 1): {alpha}")
+    for a in alphas:
+        if not 0 < a < 1:
+            raise ValueError(f"level must lie in (0, 1): {a}")
     if "label" not in tasks.columns:
         tasks = tasks.withColumn("label", F.col("task_id"))
-    sizes = history_sizes(tasks, mode, by) if algo == "alg2" or alloc == "floored_127" else {}
+    by_size = algo == "alg2" or alloc == "floored_127"
+    sizes = history_sizes(tasks, mode, by) if by_size else {}
     if sizes and min(sizes.values()) < 1:
         raise ValueError("a set has no historical task")
-    each = {k: checked(ALLOCATIONS[alloc](n, alpha)) for k, n in sizes.items()} if alloc == "floored_127" else {}
-    a1, a2, a3 = (by_set(by, {k: v[i] for k, v in each.items()}) for i in range(3)) if each else (F.lit(x) for x in checked(ALLOCATIONS[alloc](0, alpha)))
-    plain = None if each else ALLOCATIONS[alloc](0, alpha)
-    z1 = by_set(by, {k: z(v[0]) for k, v in each.items()}) if each else F.lit(z(plain[0]))
-    if algo == "alg2":
-        z2 = by_set(by, {k: z((each[k][1] if each else plain[1]) / n) for k, n in sizes.items()})
-    else:
-        z2 = by_set(by, {k: z(v[1]) for k, v in each.items()}) if each else F.lit(z(plain[1]))
-    synth, se, gap = F.col("synth"), F.col("synth_se"), F.col("gap")
+    # only with sizes do the numbers depend on the set
+    points = {(*k, a): (checked(ALLOCATIONS[alloc](n, a)), n) for a in alphas for k, n in (sizes or {(): 0}).items()}
+    own = keys if by_size else ["alpha"]
+    of = lambda f: chosen(own, {k: f(levels, n, k[-1]) for k, (levels, n) in points.items()})
+    a1, a2, a3 = (of(lambda levels, n, a, i=i: levels[i]) for i in range(3))
+    z1, full = of(lambda levels, n, a: z(levels[0])), of(lambda levels, n, a: z(a))
+    z2 = of(lambda levels, n, a: z(levels[1] / n if algo == "alg2" else levels[1]))
+    tasks = tasks.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
+    synth, se, gap, level = F.col("synth"), F.col("synth_se"), F.col("gap"), F.col("alpha")
     current = tasks.where("role = 'predict'") if mode == "split" else tasks
     if algo == "synth_only":
-        a1, a2, a3 = F.lit(alpha), F.lit(0.0), F.lit(0.0)
-        rows = current.withColumns({"synth_lo": synth - z(alpha) * se, "synth_hi": synth + z(alpha) * se, "delta_lo": F.lit(0.0), "delta_hi": F.lit(0.0), "mid_lo": F.lit(0.0), "mid_hi": F.lit(0.0)})
+        a1, a2, a3 = level, F.lit(0.0), F.lit(0.0)
+        rows = current.withColumns({"synth_lo": synth - full * se, "synth_hi": synth + full * se, "delta_lo": F.lit(0.0), "delta_hi": F.lit(0.0), "mid_lo": F.lit(0.0), "mid_hi": F.lit(0.0)})
     else:
         if algo == "alg3":
-            a1, a2, a3 = F.lit(0.0), F.lit(0.0), F.lit(alpha)
+            a1, a2, a3 = F.lit(0.0), F.lit(0.0), level
             lo = hi = gap
             ends = {"synth_lo": synth, "synth_hi": synth}
         else:
             lo, hi = gap - z2 * F.col("gap_se"), gap + z2 * F.col("gap_se")
             ends = {"synth_lo": synth - z1 * se, "synth_hi": synth + z1 * se}
         if mode == "split":
-            bands = split_bands(tasks.where("role = 'calib'"), lo, hi, gap, a3, by)
-            rows = current.join(bands, by) if by else current.crossJoin(bands)  # one band without sets
+            rows = current.join(split_bands(tasks.where("role = 'calib'"), lo, hi, gap, a3, keys), keys)
         else:
-            rows = loo_bands(tasks, lo, hi, gap, a3, by)
+            rows = loo_bands(tasks, lo, hi, gap, a3, keys)
         rows = rows.withColumns(ends)
-    return scored(rows, algo, alpha, (a1, a2, a3), alloc, by, clip, infinite_covers)
+    return scored(rows, algo, (a1, a2, a3), alloc, by, clip, infinite_covers)
 
 
-def scored(rows: DataFrame, algo: str, alpha: float, levels: tuple[Column, Column, Column], alloc: str, by: list[str], clip: tuple[float, float] | None, infinite_covers: bool = False) -> DataFrame:
+def scored(rows: DataFrame, algo: str, levels: tuple[Column, Column, Column], alloc: str, by: list[str], clip: tuple[float, float] | None, infinite_covers: bool = False) -> DataFrame:
     """Interval, coverage, widths and the three parts of the width."""
     rows = rows.withColumns({"ci_lo": F.col("synth_lo") + F.col("delta_lo"), "ci_hi": F.col("synth_hi") + F.col("delta_hi")})
     lo, hi = F.col("ci_lo"), F.col("ci_hi")
@@ -99,7 +104,6 @@ def scored(rows: DataFrame, algo: str, alpha: float, levels: tuple[Column, Colum
             "w3": F.when(bounded, spread),
             "w2": F.when(bounded, F.lit(0.0) if algo in ("alg3", "synth_only") else F.col("delta_hi") - F.col("delta_lo") - spread),
             "algo": F.lit(algo),
-            "alpha": F.lit(alpha),
             "alloc": F.lit(alloc),
             **dict(zip(("alpha1", "alpha2", "alpha3"), levels, strict=True)),
         }
@@ -112,7 +116,6 @@ def run_all(tasks: DataFrame, alphas: list[float], algos: tuple[str, ...] = METH
     tasks = written(tasks, "tasks")
     out = None
     for algo in algos:
-        for alpha in alphas:
-            part = run(tasks, algo, alpha, **kw)
-            out = part if out is None else out.unionByName(part)
+        part = run(tasks, algo, alphas, **kw)
+        out = part if out is None else out.unionByName(part)
     return out
