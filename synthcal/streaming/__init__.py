@@ -1 +1 @@
-"""Package."""
+"""Running task statistics over a stream of pairs. The library's other work is batch work on these statistics."""

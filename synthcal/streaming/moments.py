@@ -1,0 +1,19 @@
+"""Task statistics that follow a stream: the batch aggregation, kept as state per task and given out after each trigger."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
+
+from synthcal.operators.moments import paired_stats
+
+
+def running_stats(pairs: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """Paired statistics of all rows so far. The state is one row of sums per task, however many rows arrive."""
+    return paired_stats(pairs, by, x, y)
+
+
+def keep_table(stats: DataFrame, name: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Keeps a named in-memory table of the latest statistics, for the interval methods to read."""
+    writer = stats.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
