@@ -3,10 +3,9 @@
 Writing: one record per row, the payload being the row's text in UTF-8. Of rows with equal payloads of at least
 ``least_bytes`` bytes the one with the smallest id is a ``response`` record and the others are ``revisit`` records that
 refer to it. A record ends with two line ends, so Spark's text writer (with these as its line separator) writes genuine
-archives to any file system; the number of files follows the bytes.
+gzipped archives to any file system. Offsets are those of the unpacked archive.
 
-Reading: every archive is read whole (``archive_mb`` bounds its size unless one record is larger) and parsed by content
-length. It yields a capture run sorted by URL key and time.
+Reading: every archive is read whole (``per_archive`` bounds its records) and parsed by content length. It yields a capture run sorted by URL key and time.
 
 Index: the runs are dealt by ranges of (URL key, time, id); a range gets of each run a sorted stretch, and a loser tree
 merges the stretches. The parts in order are the globally ordered capture histories. Ranges divide one URL's captures
@@ -19,6 +18,7 @@ empty table gives no archives and an empty index; other columns are ignored.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -77,12 +77,10 @@ def records(pages: DataFrame, page_id: str, url: str, html: str, captured: Colum
     return rows.select(F.concat(head, block).alias("record"))
 
 
-def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", captured: Column | None = None, least_bytes: int = LEAST_BYTES, archive_mb: int = 32) -> None:
-    """One archive per ``archive_mb`` or less of records under ``path``."""
-    found = materialize(records(pages, page_id, url, html, captured, least_bytes), "warc-records")
-    total = found.agg(F.sum(F.octet_length("record").cast("long"))).first()[0] or 0
-    parts = max(-(-total // (archive_mb << 20)), pages.sparkSession.sparkContext.defaultParallelism)
-    found.repartition(int(parts), F.xxhash64("record")).write.option("lineSep", CRLF * 2).text(path)
+def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", captured: Column | None = None, least_bytes: int = LEAST_BYTES, per_archive: int = 5_000) -> None:
+    """Gzipped archives of at most ``per_archive`` records under ``path``, written where the records are."""
+    found = records(pages, page_id, url, html, captured, least_bytes)
+    found.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", per_archive).text(path)
 
 
 _FIELD = re.compile(rb"([A-Za-z-]+): ?([^\r\n]*)\r\n")
@@ -116,7 +114,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows = []
-                for f, block, at, length in parse_archive(data.as_py()):
+                for f, block, at, length in parse_archive(gzip.decompress(data.as_py())):
                     digest = f["WARC-Payload-Digest"].removeprefix("sha256:")
                     if f["WARC-Type"] == "response" and (hashlib.sha256(block).hexdigest() != digest or len(block) != int(f["X-Payload-Length"])):
                         raise ValueError(f"{name}: the payload at byte {at} doesn't match its digest")
@@ -207,9 +205,9 @@ def merged_index(runs: DataFrame, rows_per_part: int = 200_000) -> DataFrame:
     return runs.repartitionByRange(int(parts), "url_key", "captured", "page_id", "archive", "offset").mapInArrow(merge, f"{INDEX}, part long, place long")
 
 
-def capture_index(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", captured: Column | None = None, least_bytes: int = LEAST_BYTES, archive_mb: int = 32) -> DataFrame:
+def capture_index(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", captured: Column | None = None, least_bytes: int = LEAST_BYTES, per_archive: int = 5_000) -> DataFrame:
     """Write the pages as archives into the shared folder, read them back and merge their runs."""
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
-    write_archives(pages, path, page_id, url, html, captured, least_bytes, archive_mb)
+    write_archives(pages, path, page_id, url, html, captured, least_bytes, per_archive)
     return merged_index(materialize(read_records(spark, path), "capture-runs"))
