@@ -35,8 +35,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the source weights ask for."""
-    return mixing.mixed_documents(docs)
+    """Documents as often as the source weights ask for; n_chars follows a text that is cut."""
+    return mixing.mixed_documents(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
