@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 PROFILE = 400
 PAD = 0x5F
+#: So many n-grams wait in a task before they are counted and sent on.
+AT_ONCE = 2_000_000
 _letters: list[np.ndarray] = []
 
 
@@ -57,13 +59,22 @@ def fit_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", profil
     """language -> its n-grams, most frequent first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[str, list[np.ndarray]] = {}
+        waiting = 0
         for batch in batches:
-            by: dict[str, list[np.ndarray]] = {}
-            for tag, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by.setdefault(tag, []).append(grams(t))
-            for tag, parts in by.items():
-                found, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([tag] * len(found), pa.string()), pa.array(found), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+            for tag, t in zip(batch.column(0), batch.column(1), strict=True):
+                found = grams(t.as_py())
+                by.setdefault(tag.as_py(), []).append(found)
+                waiting += len(found)
+                if waiting > AT_ONCE:
+                    yield from counted(by)
+                    by, waiting = {}, 0
+        yield from counted(by)
+
+    def counted(by: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for tag, parts in by.items():
+            found, n = np.unique(np.concatenate(parts), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([tag] * len(found), pa.string()), pa.array(found), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
     source = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("t")).where("lang is not null and t is not null")
     ranked = source.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -110,7 +121,7 @@ def predict_language(docs: DataFrame, profiles: dict[str, list[int]], doc_id: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranker = Ranker(profiles, profile)
         for batch in batches:
-            found = [ranker.predict(t) for t in batch.column(1).to_pylist()]
+            found = [ranker.predict(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
