@@ -8,6 +8,7 @@ from statistics import NormalDist
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed value: the customary Elo scale.
 ELO_SCALE = 400.0 / math.log(10.0)
 
 
@@ -18,6 +19,9 @@ def z(alpha: float) -> float:
     return NormalDist().inv_cdf(1 - alpha / 2)
 
 
+# The shares of the budget splits (absolute 0.005 and 0.005; 0.1, 0.2, 0.7; 0.05, 0.10, 0.85; floor 1e-6).
+
+
 def split_absolute(t: int, alpha: float) -> tuple[float, float, float]:
     return 0.005, 0.005, alpha - 0.01
 

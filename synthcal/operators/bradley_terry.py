@@ -18,7 +18,9 @@ from synthcal.functions.expressions import covers
 from synthcal.functions.levels import ALLOCATIONS, ELO_SCALE, z
 from synthcal.operators.conformal import split_bands
 
+#: Ridge towards 0, longest Newton step, its tolerance and the rounds of a placement and of a replicate's.
 RIDGE = 1e-6
+LONGEST, TOLERANCE, ROUNDS, REPLICATE_ROUNDS = 4.0, 1e-10, 60, 40
 
 
 def pair_stats(battles: DataFrame) -> DataFrame:
@@ -104,14 +106,14 @@ def fit_scores(players: np.ndarray, a: np.ndarray, b: np.ndarray, wins: np.ndarr
     return score
 
 
-def place(wins: np.ndarray, n: np.ndarray, c: np.ndarray, start: np.ndarray | float = 0.0, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+def place(wins: np.ndarray, n: np.ndarray, c: np.ndarray, start: np.ndarray | float = 0.0, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """One-parameter placements against fixed opponents, vectorised over leading rows: (score, standard error)."""
     b = np.zeros(wins.shape[0]) + start
     for _ in range(rounds):
         s = 1 / (1 + np.exp(-(b[:, None] - c)))
-        step = np.clip((RIDGE * b - (wins - n * s).sum(axis=1)) / ((n * s * (1 - s)).sum(axis=1) + RIDGE), -4, 4)
+        step = np.clip((RIDGE * b - (wins - n * s).sum(axis=1)) / ((n * s * (1 - s)).sum(axis=1) + RIDGE), -LONGEST, LONGEST)
         b = b - step
-        if np.abs(step).max(initial=0) < 1e-10:
+        if np.abs(step).max(initial=0) < TOLERANCE:
             break
     s = 1 / (1 + np.exp(-(b[:, None] - c)))
     return b, 1 / np.sqrt((n * s * (1 - s)).sum(axis=1) + RIDGE)
@@ -164,7 +166,7 @@ def placements(sides: DataFrame, frame: DataFrame, tasks: DataFrame, draws: int
         if draws and held != player:
             rng = np.random.default_rng(zlib.crc32(f"{held}\x1f{player}".encode()))
             m = rng.multinomial(int(n.sum()), n / n.sum(), size=draws).astype(float)
-            gap_se = float(np.std(place(m * y, m, c, truth, 40)[0] - place(m * ya, m, c, synth, 40)[0], ddof=1))
+            gap_se = float(np.std(place(m * y, m, c, truth, REPLICATE_ROUNDS)[0] - place(m * ya, m, c, synth, REPLICATE_ROUNDS)[0], ddof=1))
         return pd.DataFrame({"held_out": [held], "player": [player], "n": [int(n.sum())], "truth": [truth], "truth_se": [truth_se], "synth": [synth], "synth_se": [synth_se], "gap_se": pd.Series([gap_se], dtype=float)})
 
     return rows.groupBy("held_out", "player").applyInPandas(run, f"held_out {kind}, player {kind}, n long, truth double, truth_se double, synth double, synth_se double, gap_se double")
