@@ -68,7 +68,7 @@ def keyed(docs: DataFrame, doc_id: str, text: str, source: str, seed: str, weigh
     )
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, repeat: int = REPEAT, seed: str = "mix", weight: Column | None = None, rows_per_bucket: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, repeat: int = REPEAT, seed: str = "mix", weight: Column | None = None, rows_per_bucket: int = 2_000) -> DataFrame:
     """doc_id, source, size, source_size, target, epochs, taken and content (a hash of the text) of every row."""
     rows = materialize(keyed(docs, doc_id, text, source, seed, weight), "mix-rows")
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
