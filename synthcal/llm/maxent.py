@@ -34,7 +34,7 @@ from synthcal.llm.shared import fold, materialize
 
 #: Not a word: words hold no white space.
 END = "\n"
-FREQUENT, CLASSES, ROWS, PAIRS = 64, 40, 1 << 13, 1 << 18
+FREQUENT, CLASSES, ROWS, PAIRS = 64, 24, 1 << 13, 1 << 18
 CHUNK, BLOCK = 32_768, 8_192
 
 
@@ -139,12 +139,13 @@ class Scorer:
         rows = np.stack([hashed(one, ROWS, 1), hashed(two, ROWS, 2), hashed(two * (1 << 24) + one, ROWS, 3), hashed(far, ROWS, 4)])
         return ids, bounds, np.concatenate([rows, far[None, :]]), words, codes
 
-    def class_logs(self, rows: np.ndarray) -> np.ndarray:
-        z = self.m.bias + self.m.features[rows[0]]
+    def class_scores(self, rows: np.ndarray) -> np.ndarray:
+        """Class logits, shifted so that the largest is 0."""
+        z = self.m.features[rows[0]]
         for r in rows[1:4]:
             z += self.m.features[r]
+        z += self.m.bias
         z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
         return z
 
     def token_logs(self, ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -154,7 +155,9 @@ class Scorer:
         for i in range(0, len(ids), CHUNK):
             part = slice(i, i + CHUNK)
             own = self.class_of[ids[part]]
-            out[part] = self.class_logs(rows[:, part])[np.arange(len(own)), own]
+            z = self.class_scores(rows[:, part])
+            out[part] = z[np.arange(len(own)), own]
+            out[part] -= np.log(np.exp(z, out=z).sum(axis=1))
         w, s = ids[inside], rows[4][inside]
         if len(w):
             out[inside] += self.logs[w] + self.m.pairs[self.pair(s, w)] - self.norm[s, self.class_of[w]]
@@ -165,14 +168,17 @@ class Scorer:
         for i in range(0, len(ids), CHUNK):
             r = rows[:, i : i + CHUNK]
             own = self.class_of[ids[i : i + CHUNK]]
-            miss = -np.exp(self.class_logs(r))
+            miss = self.class_scores(r)
+            np.exp(miss, out=miss)
+            miss /= -miss.sum(axis=1, keepdims=True)
             miss[np.arange(len(own)), own] += 1
             into["bias"] += miss.sum(axis=0)
             for row in r[:4]:
-                order = np.argsort(row, kind="stable")
-                active, at = np.unique(row[order], return_index=True)
-                into["features"][active] += np.add.reduceat(miss[order], at, axis=0)
-                into["active"] += np.bincount(row, minlength=ROWS)
+                n = np.bincount(row, minlength=ROWS)
+                active = np.flatnonzero(n)
+                order = np.argsort(row.astype(np.int16), kind="stable")  # 16-bit numbers are sorted by radix
+                into["features"][active] += np.add.reduceat(miss[order], np.cumsum(n[active]) - n[active], axis=0)
+                into["active"] += n
         inside = ids < len(self.m.words)
         w, s = ids[inside], rows[4][inside]
         into["pairs"] += np.bincount(self.pair(s, w), minlength=PAIRS)
