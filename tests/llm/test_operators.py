@@ -462,3 +462,11 @@ def test_maxent_gradient_is_that_of_the_likelihood():
         minus.features[at, k] -= 1e-2
         slope = (maxent.Scorer(plus).token_logs(ids, rows).sum() - maxent.Scorer(minus).token_logs(ids, rows).sum()) / 2e-2
         assert g["features"][at, k] == pytest.approx(slope, abs=1e-3)
+
+
+def test_maxent_classes_stay_fine():
+    words = [f"w{i}" for i in range(20_000)]
+    counts = [20_000 // (i + 1) + 2 for i in range(20_000)]
+    model = maxent.start(words, counts, sum(counts), len(words))
+    mass = np.add.reduceat(np.sqrt(np.array(counts, dtype=float)), model.first[:-1])
+    assert len(model.bias) == 41 and mass.max() < mass.sum() / 39
