@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from synthcal.llm import cascade, compress, mixing, packing, simhash
+from synthcal.llm import cascade, compress, mixing, packing, similar
 from synthcal.llm.queries import tokenizer_path
 from synthcal.llm.shared import materialize
 
@@ -30,8 +30,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies (similarity of five-word shingles 0.8 or more) stays."""
+    return similar.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -206,7 +206,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, hot: int = 4096) -> DataFrame:
     """One row of each component with all its columns: that of the smallest id, nulls last, then of the smallest row key."""
     prints = materialize(fingerprints(docs, doc_id, text, width), "fingerprints")
-    named = component_of(prints, hot).select("fp", "root")
+    return one_of_each(docs, prints, component_of(prints, hot).select("fp", "root"), doc_id, text)
+
+
+def one_of_each(docs: DataFrame, prints: DataFrame, named: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The chosen row of each root; ``named`` has the root of every fp."""
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "rk1", "rk2")
     best = prints.groupBy("fp").agg(F.min(rank).alias("m"))  # a hot fingerprint shrinks to a row before anything is joined
     chosen = best.join(named, "fp").groupBy("root").agg(F.min("m").alias("m")).select("m.rk1", "m.rk2")

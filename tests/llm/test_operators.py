@@ -12,7 +12,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from synthcal.llm import cascade, chat, compress, langid, maxent, mixing, packing, simhash, topk, warc
+import corpus_pipeline
+from synthcal.llm import cascade, chat, compress, langid, maxent, mixing, packing, similar, simhash, topk, warc
 from synthcal.llm.queries import tokenizer_path
 from synthcal.llm.shared import fold
 
@@ -191,6 +192,38 @@ def test_simhash_components(spark, hot):
     assert kept.schema == df.schema and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(plain_components(prints).values()))
 
 
+@pytest.mark.parametrize("block", [1_000_000, 400])
+def test_pipeline_drops_near_copies(spark, block):
+    rng = random.Random(11)
+    texts = [*ODD, *(" ".join(f"w{rng.randrange(500)}" for _ in range(200)) for _ in range(12))]
+    for b in texts[len(ODD) :]:
+        for changes in (1, 2, 3, 4, 5, 8, 20):
+            w = b.split()
+            for at in rng.sample(range(200), changes):
+                w[at] = f"new{rng.randrange(500)}"
+            texts.append(" ".join(w))
+    texts += texts[-9:]
+
+    def grams(t):
+        w = words("".join(c.lower() if c.isascii() else c for c in t or ""))
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+    sets = [grams(t) for t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    expected = sorted({min(i for i, g in enumerate(group) if g == k) for k in set(group)})
+    df = docs_of(spark, texts)
+    kept = similar.keep_one(df.union(df), block=block)
+    assert kept.schema == df.schema and sorted(r["doc_id"] for r in kept.collect()) == expected
+    assert 12 < len(expected) < len(texts) - 40
+    if block > 400:
+        assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == expected
+        assert similar.keep_one(df.limit(0)).count() == 0
+
+
 def test_bit_sliced_comparison():
     rng = np.random.default_rng(0)
     values = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
