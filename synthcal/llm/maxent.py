@@ -5,8 +5,9 @@ sums of hashed feature weights: the word before, the word two before (a skip fea
 frequent word however far back (a long skip). In a class a token's logit is its log count plus the hashed weight of
 (last frequent word, token), so the normalisers are one small table.
 
-Classes part the ``vocabulary`` most frequent tokens by mass; all other tokens are one further class, in which a token
-has probability (c + 1) / (rest tokens + rest types + 1), so unseen ones have a share and everything adds up to one.
+Classes part the ``vocabulary`` most frequent tokens, the end token among them, by mass; all other tokens are one further
+class, in which a token has probability (c + 1) / (rest tokens + rest types + 1), so unseen ones have a share and everything
+adds up to one.
 
 Training: the corpus' counts give the start; then each of ``steps`` disjoint parts of the training texts gives one
 update. Tasks add up gradients over their texts, blocks of them are summed by Spark, and the driver applies the sum (a
@@ -35,18 +36,29 @@ from synthcal.llm.shared import fold, materialize
 #: Not a word: words hold no white space.
 END = "\n"
 FREQUENT, CLASSES, ROWS, PAIRS = 64, 40, 1 << 13, 1 << 18
-CHUNK, BLOCK = 32_768, 8_192
+#: Tokens whose class weights are held at once, numbers in a block of a gradient, bytes of text that are cut into words at once.
+CHUNK, BLOCK, AT_ONCE = 16_384, 8_192, 2 << 20
 
 
-def tokens_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+def tokens_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Codes of all words in order, the distinct words, and the number of words of each text."""
-    whole = pa.array([t or "" for t in texts.to_pylist()], pa.large_string())  # a copy: string kernels misread slices
+    whole = pc.fill_null(pa.concat_arrays([texts]).take(pa.array(np.arange(len(texts)))).cast(pa.large_string()), "")  # a copy: string kernels misread slices
     parts = pc.ascii_split_whitespace(pc.ascii_lower(whole))
     flat = parts.flatten()
     solid = pc.greater(pc.binary_length(flat), 0)
     owner = np.repeat(np.arange(len(texts)), np.diff(np.asarray(parts.offsets)))[solid.to_numpy(zero_copy_only=False)]
     coded = flat.filter(solid).dictionary_encode()
-    return coded.indices.to_numpy(), coded.dictionary.to_pylist(), np.bincount(owner, minlength=len(texts))
+    return coded.indices.to_numpy(), coded.dictionary, np.bincount(owner, minlength=len(texts))
+
+
+def portions(texts: pa.Array) -> Iterator[slice]:
+    """Consecutive texts of about ``AT_ONCE`` bytes together, a longer one alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + AT_ONCE, side="right")))
+        yield slice(first, last)
+        first = last
 
 
 def count_tokens(docs: DataFrame, text: str) -> DataFrame:
@@ -54,9 +66,10 @@ def count_tokens(docs: DataFrame, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            code, words, _ = tokens_of(batch.column(0))
-            n = np.bincount(code, minlength=len(words))
-            yield pa.RecordBatch.from_arrays([pa.array([*words, END], pa.string()), pa.array([*n.tolist(), batch.num_rows], pa.int64())], names=["token", "n"])
+            for part in portions(batch.column(0)):
+                code, words, sizes = tokens_of(batch.column(0)[part])
+                n = np.append(np.bincount(code, minlength=len(words)), len(sizes))
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.array([END], words.type)]).cast(pa.string()), pa.array(n.astype(np.int64))], names=["token", "n"])
 
     return docs.select(F.col(text).cast("string").alias("t")).mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
@@ -92,10 +105,56 @@ def start(words: list[str], counts: list[int], total: int, types: int) -> Model:
 
 def hashed(a: np.ndarray, size: int, salt: int) -> np.ndarray:
     """Multiplicative hashing of non-negative numbers into ``size`` (a power of two) rows."""
-    mixed = (a.astype(np.uint64) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = a.astype(np.uint64)
+    mixed += np.uint64(salt)
+    mixed *= np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    return (mixed >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64)
+    mixed >>= np.uint64(64 - size.bit_length() + 1)
+    return mixed.astype(np.int64)
+
+
+def add_rows(values: np.ndarray, row: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Adds every row of ``values`` to the row of ``out`` that ``row`` names; returns how often each was named.
+
+    Equal names are put side by side and added up in groups of at most eight, whole columns of groups at a time, then the
+    groups likewise, until every name is left once: no row of ``out`` is then met twice in one assignment.
+    """
+    count = np.bincount(row, minlength=len(out))
+    at = np.flatnonzero(count)
+    order, n = np.argsort(row, kind="stable"), count[at]
+    while True:
+        groups, end = -(-n // 8), np.cumsum(n)
+        whole = np.cumsum(groups)
+        first = np.repeat(end - n, groups) + 8 * (np.arange(whole[-1] if len(whole) else 0) - np.repeat(whole - groups, groups))
+        size = np.minimum(8, np.repeat(end, groups) - first).astype(np.uint8)
+        large = np.argsort(8 - size, kind="stable")
+        first, size = first[large], size[large]
+        total = np.take(values, order[first], axis=0)
+        for j in range(1, 8):
+            k = int(np.searchsorted(8 - size, 8 - j))  # the groups of more than j come first
+            if not k:
+                break
+            total[:k] += np.take(values, order[first[:k] + j], axis=0)
+        owner = np.repeat(np.arange(len(at)), groups)[large]
+        if len(owner) == len(at):
+            total += np.take(out, at[owner], axis=0)
+            out[at[owner]] = total
+            return count
+        values, order, n = total, np.argsort(owner, kind="stable"), groups
+
+
+@dataclass
+class Layout:
+    """Texts as positions in the vocabulary (its size: outside), with the words before each and the last frequent one."""
+
+    ids: np.ndarray
+    bounds: np.ndarray  # where each text starts; one more for the end
+    one: np.ndarray
+    two: np.ndarray
+    far: np.ndarray
+    words: pa.Array
+    codes: np.ndarray  # position in words, -1 for an end
 
 
 class Scorer:
@@ -103,8 +162,9 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.m = model
-        self.at = {w: i for i, w in enumerate(model.words)}
         v = len(model.words)
+        self.vocabulary = pa.array(model.words, pa.large_string())
+        self.end = model.words.index(END) if v else v
         self.class_of = np.zeros(v + 1, dtype=np.int64)  # the last one: outside the vocabulary
         self.class_of[:v] = np.repeat(np.arange(1, len(model.first)), np.diff(model.first))
         self.logs = np.log(model.counts.astype(np.float64)) if v else np.empty(0)
@@ -113,74 +173,81 @@ class Scorer:
             x = np.exp(self.logs + model.pairs[self.pair(np.full(v, s), np.arange(v))])
             if v:
                 self.norm[s, 1:] = np.log(np.add.reduceat(x, model.first[:-1]))
+        # hashed once for every word; the sums of a token's weights start from the row of the word before, bias included
+        self.row_of = [hashed(np.arange(max(v, FREQUENT) + 2), ROWS, salt).astype(np.int16) for salt in (1, 2, 4)]
+        self.lead = model.features + model.bias
+        #: Beyond this the largest logit is taken off before the exponential.
+        self.wild = 4 * float(np.abs(model.features).max()) + float(np.abs(model.bias).max()) > 60
+        self.room = np.empty((2, CHUNK, len(model.bias)), np.float32)
 
     @staticmethod
     def pair(s: np.ndarray, token: np.ndarray) -> np.ndarray:
         return hashed(s * (1 << 24) + token, PAIRS, 5)
 
-    def lay_out(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
-        """Token positions in the vocabulary (its size: outside), the texts' bounds, feature rows, distinct words, word codes (-1: end)."""
+    def lay_out(self, texts: pa.Array) -> Layout:
         code, words, sizes = tokens_of(texts)
-        get, v = self.at.get, len(self.m.words)
-        known = np.fromiter((get(w, v) for w in words), np.int64, len(words))
+        v = len(self.m.words)
+        known = pc.fill_null(pc.index_in(words, value_set=self.vocabulary), v).to_numpy(zero_copy_only=False).astype(np.int32)
         bounds = np.concatenate([[0], np.cumsum(sizes + 1)])
-        ends = bounds[1:] - 1
-        codes = np.full(bounds[-1], -1, dtype=np.int64)
-        codes[np.delete(np.arange(bounds[-1]), ends)] = code
-        ids = np.full(bounds[-1], get(END, v), dtype=np.int64)
-        ids[codes >= 0] = known[code]
-        place = np.arange(len(ids))
-        begin = np.repeat(bounds[:-1], sizes + 1)
-        one = np.where(place > begin, np.concatenate([[v], ids[:-1]]), v + 1)
-        two = np.where(place > begin + 1, np.concatenate([[v, v], ids[:-2]])[: len(ids)], v + 1)
-        last = np.maximum.accumulate(np.where(ids < FREQUENT, place, -1)) if len(ids) else place
-        last = np.concatenate([[-1], last[:-1]])
-        far = np.where(last >= begin, ids[np.maximum(last, 0)], FREQUENT)
-        rows = np.stack([hashed(one, ROWS, 1), hashed(two, ROWS, 2), hashed(two * (1 << 24) + one, ROWS, 3), hashed(far, ROWS, 4)])
-        return ids, bounds, np.concatenate([rows, far[None, :]]), words, codes
-
-    def class_scores(self, rows: np.ndarray) -> np.ndarray:
-        """Class logits, shifted so that the largest is 0."""
-        z = self.m.features[rows[0]]
-        for r in rows[1:4]:
-            z += self.m.features[r]
-        z += self.m.bias
-        z -= z.max(axis=1, keepdims=True)
-        return z
-
-    def token_logs(self, ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Natural log probabilities; for tokens outside the vocabulary that of their class only."""
-        out = np.empty(len(ids))
-        inside = ids < len(self.m.words)
-        for i in range(0, len(ids), CHUNK):
+        n = int(bounds[-1])
+        word = np.ones(n, dtype=bool)
+        word[bounds[1:] - 1] = False
+        codes, ids = np.full(n, -1, dtype=np.int32), np.full(n, self.end, dtype=np.int32)
+        codes[word], ids[word] = code, known[code]
+        place, begin = np.arange(n, dtype=np.int32), np.repeat(bounds[:-1], sizes + 1).astype(np.int32)
+        one, two = np.full(n, v + 1, dtype=np.int32), np.full(n, v + 1, dtype=np.int32)
+        one[1:], two[2:] = ids[:-1], ids[:-2]
+        one[place == begin] = v + 1
+        two[place <= begin + 1] = v + 1
+        last = np.full(n, -1, dtype=np.int32)
+        last[1:] = np.maximum.accumulate(np.where(ids < FREQUENT, place, np.int32(-1)))[:-1]
+        far = np.where(last >= begin, ids[np.maximum(last, 0)], np.int32(FREQUENT))
+        return Layout(ids, bounds, one, two, far, words, codes)
+
+    def chunks(self, t: Layout) -> Iterator[tuple[slice, list[np.ndarray]]]:
+        """Stretches of tokens with their four feature rows."""
+        for i in range(0, len(t.ids), CHUNK):
             part = slice(i, i + CHUNK)
-            own = self.class_of[ids[part]]
-            z = self.class_scores(rows[:, part])
-            out[part] = z[np.arange(len(own)), own]
-            out[part] -= np.log(np.exp(z, out=z).sum(axis=1))
-        w, s = ids[inside], rows[4][inside]
+            one, two = t.one[part], t.two[part]
+            both = hashed(two.astype(np.int64) * (1 << 24) + one, ROWS, 3).astype(np.int16)
+            yield part, [self.row_of[0][one], self.row_of[1][two], both, self.row_of[2][t.far[part]]]
+
+    def class_weights(self, rows: list[np.ndarray]) -> np.ndarray:
+        """Exponentials of the class logits (of their distance to the largest if they could overflow)."""
+        z, more = self.room[0, : len(rows[0])], self.room[1, : len(rows[0])]
+        np.take(self.lead, rows[0], axis=0, out=z, mode="clip")
+        for r in rows[1:]:
+            np.take(self.m.features, r, axis=0, out=more, mode="clip")
+            z += more
+        if self.wild:
+            z -= z.max(axis=1, keepdims=True)
+        return np.exp(z, out=z)
+
+    def token_logs(self, t: Layout) -> np.ndarray:
+        """Natural log probabilities; for tokens outside the vocabulary that of their class only."""
+        out = np.empty(len(t.ids))
+        for part, rows in self.chunks(t):
+            own = self.class_of[t.ids[part]]
+            w = self.class_weights(rows)
+            out[part] = np.log(np.maximum(w[np.arange(len(own)), own], 1e-38)) - np.log(w.sum(axis=1))
+        inside = t.ids < len(self.m.words)
+        w, s = t.ids[inside], t.far[inside].astype(np.int64)
         if len(w):
             out[inside] += self.logs[w] + self.m.pairs[self.pair(s, w)] - self.norm[s, self.class_of[w]]
         return out
 
-    def gradient(self, ids: np.ndarray, rows: np.ndarray, into: dict[str, np.ndarray]) -> None:
+    def gradient(self, t: Layout, into: dict[str, np.ndarray]) -> None:
         """Adds observed minus expected feature counts, and how often each row was active."""
-        for i in range(0, len(ids), CHUNK):
-            r = rows[:, i : i + CHUNK]
-            own = self.class_of[ids[i : i + CHUNK]]
-            miss = self.class_scores(r)
-            np.exp(miss, out=miss)
-            miss /= -miss.sum(axis=1, keepdims=True)
+        for part, rows in self.chunks(t):
+            own = self.class_of[t.ids[part]]
+            miss = self.class_weights(rows)
+            miss *= -1 / miss.sum(axis=1, keepdims=True)
             miss[np.arange(len(own)), own] += 1
             into["bias"] += miss.sum(axis=0)
-            for row in r[:4]:
-                n = np.bincount(row, minlength=ROWS)
-                active = np.flatnonzero(n)
-                order = np.argsort(row.astype(np.int16), kind="stable")  # 16-bit numbers are sorted by radix
-                into["features"][active] += np.add.reduceat(miss[order], np.cumsum(n[active]) - n[active], axis=0)
-                into["active"] += n
-        inside = ids < len(self.m.words)
-        w, s = ids[inside], rows[4][inside]
+            for row in rows:
+                into["active"] += add_rows(miss, row, into["features"])
+        inside = t.ids < len(self.m.words)
+        w, s = t.ids[inside], t.far[inside].astype(np.int64)
         into["pairs"] += np.bincount(self.pair(s, w), minlength=PAIRS)
         into["groups"] += np.bincount(s * len(self.m.bias) + self.class_of[w], minlength=into["groups"].size).reshape(into["groups"].shape)
 
@@ -212,9 +279,8 @@ def summed_gradient(docs: DataFrame, text: str, model: Model) -> dict[str, np.nd
         scorer, total = None, zeros(sent.value)
         for batch in batches:
             scorer = scorer or Scorer(sent.value)
-            for i in range(0, batch.num_rows, 1000):
-                ids, _, rows, _, _ = scorer.lay_out(batch.column(0).slice(i, 1000))
-                scorer.gradient(ids, rows, total)
+            for part in portions(batch.column(0)):
+                scorer.gradient(scorer.lay_out(batch.column(0)[part]), total)
         if scorer:
             g = flat(total)
             used = [i for i in range(0, len(g), BLOCK) if g[i : i + BLOCK].any()]
@@ -245,14 +311,16 @@ def update(model: Model, g: dict[str, np.ndarray], rate: float = 0.5, damp: floa
     share /= share.sum()
     scale = g["active"][:, None] * share[None, :] + damp
     step = np.clip(rate * g["features"] / scale, -1.5, 1.5)
+    bias = model.bias + np.clip(rate * g["bias"] / (g["active"].sum() / 4 * share + damp), -1.5, 1.5)
     expected = Scorer(model).expected_pairs(g["groups"])
     pair_step = np.clip((g["pairs"] - expected) / (expected + damp), -1.5, 1.5)
-    return Model(model.words, model.counts, model.total, model.types, model.first, model.bias, (model.features + step).astype(np.float32), (model.pairs + pair_step).astype(np.float32))
+    return Model(model.words, model.counts, model.total, model.types, model.first, bias.astype(np.float32), (model.features + step).astype(np.float32), (model.pairs + pair_step).astype(np.float32))
 
 
 def frequent(counts: DataFrame, most: int) -> list[tuple[str, int]]:
-    """At most ``most`` tokens seen twice or more, the most frequent first: whole sixteenths of powers of two of the count,
-    from the top. Tokens seen once stay outside, where unseen ones are: their share tells how often such ones come.
+    """The end token and at most ``most`` tokens seen twice or more, the most frequent first: whole sixteenths of powers of
+    two of the count, from the top. Tokens seen once stay outside, where unseen ones are: their share tells how often such
+    ones come.
 
     A handful of bin sizes tells the least count, so no task sends a top list of its own to the driver.
     """
@@ -263,9 +331,8 @@ def frequent(counts: DataFrame, most: int) -> list[tuple[str, int]]:
         if taken > most or r["least"] < 2:
             break
         least = r["least"]
-    if least is None:
-        return []
-    return sorted(((r["token"], r["n"]) for r in counts.where(F.col("n") >= least).collect()), key=lambda r: (-r[1], r[0]))
+    wanted = F.col("token") == END if least is None else (F.col("token") == END) | (F.col("n") >= least)
+    return sorted(((r["token"], r["n"]) for r in counts.where(wanted).collect()), key=lambda r: (-r[1], r[0]))
 
 
 def fit(docs: DataFrame, counts: DataFrame, doc_id: str, text: str, vocabulary: int, steps: int) -> Model:
@@ -297,19 +364,19 @@ def scores(docs: DataFrame, held_out: Column | None = None, doc_id: str = "doc_i
         m, v = scorer.m, len(scorer.m.words)
         gain = np.concatenate([np.log10(m.counts + 1.0), [0.0]])
         for whole in batches:
-            for i in range(0, whole.num_rows, 1000):
-                batch = whole.slice(i, 1000)
-                ids, bounds, rows, words, codes = scorer.lay_out(batch.column(3))
-                logs = scorer.token_logs(ids, rows) / math.log(10)
-                add = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: B023, E731  no text is without a token
-                owner = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
-                outside = (ids == v) & (codes >= 0)
-                pairs, n = np.unique(owner[outside] * (len(words) + 1) + codes[outside], return_counts=True)
-                rest_words = pa.array(words, pa.string()).take(pa.array(pairs % (len(words) + 1)))
+            for part in portions(whole.column(3)):
+                batch = whole.slice(part.start, part.stop - part.start)
+                t = scorer.lay_out(batch.column(3))
+                logs = scorer.token_logs(t) / math.log(10)
+                add = lambda x: np.add.reduceat(x, t.bounds[:-1])  # noqa: B023, E731  no text is without a token
+                owner = np.repeat(np.arange(batch.num_rows), np.diff(t.bounds))
+                outside = (t.ids == v) & (t.codes >= 0)
+                pairs, n = np.unique(owner[outside] * (len(t.words) + 1) + t.codes[outside], return_counts=True)
+                rest_words = t.words.take(pa.array(pairs % (len(t.words) + 1))).cast(pa.string())
                 rest = pa.StructArray.from_arrays([rest_words, pa.array(n.astype(np.int64))], names=["token", "n"])
-                offsets = np.searchsorted(pairs // (len(words) + 1), np.arange(batch.num_rows + 1)).astype(np.int32)
+                offsets = np.searchsorted(pairs // (len(t.words) + 1), np.arange(batch.num_rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:3], pa.array(np.diff(bounds)), pa.array(add((ids < v).astype(np.int64))), pa.array(add(gain[ids])), pa.array(add(logs)), pa.ListArray.from_arrays(pa.array(offsets), rest)],
+                    [*batch.columns[:3], pa.array(np.diff(t.bounds)), pa.array(add((t.ids < v).astype(np.int64))), pa.array(add(gain[t.ids])), pa.array(add(logs)), pa.ListArray.from_arrays(pa.array(offsets), rest)],
                     names=["doc_id", "held_out", "row", "n_tokens", "n_top", "base", "score", "rest"],
                 )
 

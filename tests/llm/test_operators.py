@@ -1,6 +1,7 @@
 """Every operator against a plain version on small tables, with nulls, empty and long texts, ties and clashing columns."""
 
 import collections
+import dataclasses
 import hashlib
 import math
 import random
@@ -474,9 +475,9 @@ def test_maxent_probabilities_add_up_to_one():
     model.features += rng.normal(size=model.features.shape).astype(np.float32)
     model.pairs += rng.normal(size=model.pairs.shape).astype(np.float32)
     scorer = maxent.Scorer(model)
-    ids, _, rows, _, _ = scorer.lay_out(texts)
-    total = sum(np.exp(scorer.token_logs(np.full(len(ids), w), rows)) for w in range(6))
-    assert total == pytest.approx(np.ones(len(ids)))
+    t = scorer.lay_out(texts)
+    total = sum(np.exp(scorer.token_logs(dataclasses.replace(t, ids=np.full(len(t.ids), w)))) for w in range(6))
+    assert total == pytest.approx(np.ones(len(t.ids)))
 
 
 def test_maxent_gradient_is_that_of_the_likelihood():
@@ -485,16 +486,40 @@ def test_maxent_gradient_is_that_of_the_likelihood():
     texts = pa.array(["the cat the dog of the cat", "of dog unknown the"])
     model = maxent.start(["the", "of", "\n", "cat", "dog"], [30, 20, 9, 4, 3], 80, 9)
     scorer = maxent.Scorer(model)
-    ids, _, rows, _, _ = scorer.lay_out(texts)
+    t = scorer.lay_out(texts)
     g = maxent.zeros(model)
-    scorer.gradient(ids, rows, g)
-    at = int(rows[0][2])
+    scorer.gradient(t, g)
+    at = int(scorer.row_of[0][t.one[2]])
     for k in range(len(model.bias)):
-        plus, minus = (maxent.start(model.words, model.counts.tolist(), 80, 9) for _ in range(2))
-        plus.features[at, k] += 1e-2
-        minus.features[at, k] -= 1e-2
-        slope = (maxent.Scorer(plus).token_logs(ids, rows).sum() - maxent.Scorer(minus).token_logs(ids, rows).sum()) / 2e-2
-        assert g["features"][at, k] == pytest.approx(slope, abs=1e-3)
+        for name, index in (("features", (at, k)), ("bias", (k,))):
+            plus, minus = (maxent.start(model.words, model.counts.tolist(), 80, 9) for _ in range(2))
+            getattr(plus, name)[index] += 1e-2
+            getattr(minus, name)[index] -= 1e-2
+            slope = (maxent.Scorer(plus).token_logs(t).sum() - maxent.Scorer(minus).token_logs(t).sum()) / 2e-2
+            assert g[name][index] == pytest.approx(slope, abs=2e-3)
+
+
+def test_rows_are_added_up_by_name():
+    rng = np.random.default_rng(3)
+    for n, names in ((0, 5), (1, 5), (5000, 7), (5000, 900)):
+        row, values = (rng.integers(0, names, n) ** 2 % names).astype(np.int16), rng.normal(size=(n, 3)).astype(np.float32)
+        out, expected = np.ones((names, 3), np.float32), np.ones((names, 3))
+        count = maxent.add_rows(values, row, out)
+        np.add.at(expected, row, values)
+        assert out == pytest.approx(expected, abs=1e-3) and count.tolist() == np.bincount(row, minlength=names).tolist()
+
+
+def test_maxent_with_one_training_row(spark):
+    rows = [(i, "a b b") for i in range(40)]
+    one = next(i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2)
+    held = next(i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 == 2)
+    df = spark.createDataFrame([(one, "a b b"), (held, "a c")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in maxent.scores(df).collect()}
+    assert (got[one]["n_known"], got[held]["n_known"], got[one]["train_tokens"]) == (4, 2, 4)
+    assert got[one]["base_score"] == pytest.approx(2 * math.log10(2 / 8) + 2 * math.log10(3 / 8))
+    assert got[held]["base_score"] == pytest.approx(2 * math.log10(2 / 8) + math.log10(1 / 8))
+    long = spark.createDataFrame([(one, "a b " * 300_000), (held, "a")], "doc_id long, text string")
+    assert {r["n_known"] for r in maxent.scores(long).collect()} == {600_001, 2}
 
 
 def test_maxent_classes_stay_fine():
