@@ -9,9 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def fresh(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; the folder is our own only where the session names none."""
+    """A new path in the folder that the session names as ``spark.checkpoint.dir``.
+
+    Where it names none, a local session (one machine, as in tests) gets a temporary folder; on a cluster that is an error,
+    since executors elsewhere couldn't read it.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="synthcal-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -21,3 +28,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for table in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
