@@ -82,12 +82,13 @@ W = r"[^\x20\x09-\x0D]+"
 OP2_SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{W}')), 0)::BIGINT AS size, coalesce(text, '') AS text,
-         regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS solid
+         length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS solid, length(regexp_replace(text, '[^\p{{L}}\p{{M}}]+', '', 'g')) AS letters,
+         string_split(text, chr(10)) AS lines
   FROM documents),
 k AS (
   SELECT doc_id, source, size,
     -ln((('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496::DOUBLE)
-    / (0.25::DOUBLE + 0.75::DOUBLE * CASE WHEN length(solid) > 0 THEN length(regexp_replace(solid, '[^A-Za-z]+', '', 'g'))::DOUBLE / length(solid) ELSE 0 END) AS key
+    / (0.25::DOUBLE + 0.75::DOUBLE * CASE WHEN solid > 0 THEN letters::DOUBLE / solid * (len(list_distinct(lines))::DOUBLE / len(lines)) ELSE 0 END) AS key
   FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
 w AS (SELECT source, source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM s),

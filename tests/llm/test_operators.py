@@ -293,7 +293,32 @@ def test_mixing(spark):
         count[r["source"]] += len(words(r["text"]))
         assert texts[r["doc_id"]] == r["text"] or words(texts[r["doc_id"]])[: len(words(r["text"]))] == words(r["text"])
     assert count == +taken
-    assert mixing.mix(df.limit(0)).count() == 0 and mixing.mixed_documents(df.union(df)).count() > 0
+    assert mixing.mix(df.limit(0)).count() == 0 and mixing.mixed_documents(df.limit(0)).count() == 0
+    odd = df.withColumns({c: F.lit(1) for c in ("row", "size", "_c", "_id", "_size", "key", "part", "doc", "taken", "words", "a.b")})
+    twice = mixing.mixed_documents(odd.union(odd))
+    assert twice.columns == odd.columns
+    count = collections.Counter()
+    for r in twice.collect():
+        count[r["source"]] += len(words(r["text"]))
+        assert texts[r["doc_id"]].startswith(r["text"])
+    both = mixing.mix(odd.union(odd)).groupBy("source").agg(F.sum("taken")).collect()
+    assert count == +collections.Counter({r[0]: r[1] for r in both})
+
+
+def test_parts_of_unequal_weights_are_even(spark):
+    df = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("w").alias("text"), F.lit("a").alias("source"))
+    rows = mixing.keyed(df, "doc_id", "text", "source", "s", F.when(F.col("doc_id") % 3 == 0, 0.25).when(F.col("doc_id") % 3 == 1, 1.0).otherwise(7.5))
+    rows = df.select(*rows)
+    plan = mixing.shares(rows, (1,), 3)
+    part = F.floor(mixing.place_in(F.col("levels"), F.col("n"), F.col("drawn") / F.col("weight")) * 40)
+    sizes = [r["count"] for r in rows.join(plan, F.col("source") == F.col("p_source")).groupBy(part.alias("p")).count().collect()]
+    assert len(sizes) == 40 and max(sizes) < 1300
+
+
+def test_quality_weight_of_any_script(spark):
+    texts = ["plain english words", "русский текст без цифр", "日本語の文章", "हिन्दी में लेख", "12 34 ++ --", "a b\na b\na b\na b", "", None]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(mixing.quality_weight(F.col("t"))).collect()]
+    assert got[:4] == [1.0] * 4 and got[4] == got[6] == 0.25 and got[5] == pytest.approx(0.25 + 0.75 / 4)
 
 
 def test_heavier_documents_come_earlier(spark):
