@@ -4,7 +4,7 @@ Steps: (1) one fingerprint per text; (2) texts of equal fingerprint fall togethe
 fingerprints meet where two of their four 16-bit quarters agree (any pair within 2 bits shares two quarters, so none is
 missed); (4) inside such a bucket the fingerprints are stored as bit planes and 64 distances at a time are counted with
 carry-save counters, a block being left as soon as all its counters exceed the radius; (5) the links are closed to
-components by min-label contraction, with every round written to the shared folder.
+components by min-label contraction, with every round written to the shared folder, until a round changes nothing.
 
 A bucket of more than ``hot`` fingerprints isn't compared within one task. Its members go to all fingerprints one bit
 away from them instead: two fingerprints within 2 bits meet at one of those, and at most 65 distinct ones can. This is
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from synthcal.llm.shared import materialize, utf8
+from synthcal.llm.shared import discard, materialize, utf8
 
 RADIUS = 2
 QUARTERS = list(combinations(range(4), 2))
@@ -76,58 +76,75 @@ def planes(values: np.ndarray) -> np.ndarray:
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
 
 
+def beyond(counters: np.ndarray, radius: int) -> np.ndarray:
+    """Marks where the numbers that ``counters`` holds as bit planes, the lowest first, exceed the radius."""
+    above, equal = np.zeros_like(counters[0]), ~np.zeros_like(counters[0])
+    for j in range(len(counters) - 1, -1, -1):
+        if radius >> j & 1:
+            equal &= counters[j]
+        else:
+            above |= equal & counters[j]
+            equal &= ~counters[j]
+    return above
+
+
 def within(value: int, slices: np.ndarray, wanted: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Positions marked in ``wanted`` (64 to a word) whose values differ from ``value`` in at most ``radius`` (below 4) bits.
+    """Positions marked in ``wanted`` (64 to a word) whose values differ from ``value`` in at most ``radius`` bits.
 
-    ``ones`` and ``twos`` are the low bits of 64 counters a word; ``over`` marks those beyond 3. Every eight planes, words
-    in which no wanted counter is within the radius any more are abandoned.
+    The counters of 64 values are bit planes of a word each, and ``over`` marks those that ran over. Every eight planes,
+    words in which no wanted counter is within the radius any more are abandoned.
     """
     alive = np.flatnonzero(wanted)
-    ones = np.zeros(len(alive), dtype=np.uint64)
-    twos, over = ones.copy(), ones.copy()
-    near = wanted[alive]
+    counters = np.zeros((max(1, radius.bit_length()), len(alive)), dtype=np.uint64)
+    over, near = np.zeros(len(alive), dtype=np.uint64), wanted[alive]
     for b in range(64):
-        d = ~slices[b, alive] if value >> b & 1 else slices[b, alive]
-        carry = ones & d
-        ones = ones ^ d
-        over = over | (twos & carry)
-        twos = twos ^ carry
+        carry = ~slices[b, alive] if value >> b & 1 else slices[b, alive]
+        for c in counters:
+            c ^= carry
+            carry = carry & ~c
+        over |= carry
         if b % 8 == 7:
-            beyond = over | (ones | twos, twos, twos & ones, np.uint64(0))[radius]
-            near = wanted[alive] & ~beyond
+            near = wanted[alive] & ~(over | beyond(counters, radius))
             live = near != 0
             if not live.all():
-                alive, ones, twos, over, near = alive[live], ones[live], twos[live], over[live], near[live]
+                alive, counters, over, near = alive[live], counters[:, live], over[live], near[live]
                 if not len(alive):
                     return alive
     bits = np.unpackbits(near.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
     return (alive[:, None] * 64 + np.arange(64)[None, :])[bits]
 
 
+class Waiting:
+    """Values not yet reached, as marks for :func:`within`."""
+
+    def __init__(self, n: int):
+        self.marks = np.full(-(-n // 64), 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+        if n % 64:
+            self.marks[-1] = np.uint64((1 << n % 64) - 1)
+
+    def __contains__(self, k: int) -> bool:
+        return bool(int(self.marks[k // 64]) >> k % 64 & 1)
+
+    def drop(self, k: int) -> None:
+        self.marks[k // 64] &= ~(np.uint64(1) << np.uint64(k % 64))
+
+
 def links_in(values: np.ndarray) -> list[tuple[int, int]]:
     """A spanning set of the links within one bucket: breadth first, each value asked once, against those not yet reached."""
     if len(values) == 2:
         a, b = int(values[0]), int(values[1])
         return [(0, 1)] if (a ^ b).bit_count() <= RADIUS else []
-    slices = planes(values)
-    waiting = np.zeros(slices.shape[1], dtype=np.uint64)
+    slices, waiting = planes(values), Waiting(len(values))
     out: list[tuple[int, int]] = []
-
-    def mark(k: int, on: bool) -> None:
-        bit = np.uint64(1) << np.uint64(k % 64)
-        waiting[k // 64] = waiting[k // 64] | bit if on else waiting[k // 64] & ~bit
-
-    for k in range(len(values)):
-        mark(k, True)
     for first in range(len(values)):
-        if not int(waiting[first // 64]) >> first % 64 & 1:
+        if first not in waiting:
             continue
-        mark(first, False)
+        waiting.drop(first)
         queue = [first]
         while queue:
             row = queue.pop()
-            for k in map(int, within(int(values[row]), slices, waiting)):
-                mark(k, False)
+            for k in map(int, within(int(values[row]), slices, waiting.marks)):
+                waiting.drop(k)
                 out.append((row, k))
                 queue.append(k)
     return out
@@ -162,28 +179,28 @@ def fingerprint_links(distinct: DataFrame, hot: int = 4096) -> DataFrame:
     return small.unionByName(met).distinct()
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, root: the smallest node reachable, for every node that has a link.
 
     Alternates large and small stars (each a grouped minimum and an equi-join), writing the links of every round, until
     a round changes nothing. The links then form stars around the roots.
     """
+    spark = links.sparkSession
     edges = materialize(links.select("a", "b").where("a <> b"), "links")
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "lowest")  # written: then Spark can split a hub's rows in the join
-        large = materialize(both.join(low, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct(), "large-star")
+        lowest = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "lowest")  # written: then Spark can split a hub's rows in the join
+        large = materialize(both.join(lowest, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct(), "large-star")
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = materialize(down.groupBy("a").agg(F.min("b").alias("m")), "lowest")
         small = down.join(low, "a").select(F.col("m").alias("a"), "b").union(low.select(F.col("m").alias("a"), F.col("a").alias("b")))
-        edges = materialize(small.where("a <> b").distinct(), "small-star")
+        old, edges = edges, materialize(small.where("a <> b").distinct(), "small-star")
+        discard(spark, old, lowest, large, low)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
@@ -214,8 +231,9 @@ def one_of_each(docs: DataFrame, prints: DataFrame, named: DataFrame, doc_id: st
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "rk1", "rk2")
     best = prints.groupBy("fp").agg(F.min(rank).alias("m"))  # a hot fingerprint shrinks to a row before anything is joined
     chosen = best.join(named, "fp").groupBy("root").agg(F.min("m").alias("m")).select("m.rk1", "m.rk2")
-    kept = docs.select("*", *(k.alias(f"_{n}") for n, k in zip(("rk1", "rk2"), row_keys(doc_id, text), strict=True)))
-    chosen = chosen.select(F.col("rk1").alias("_rk1"), F.col("rk2").alias("_rk2"))
-    kept = kept.join(materialize(chosen, "kept-rows"), ["_rk1", "_rk2"], "left_semi")
-    one = Window.partitionBy("_rk1", "_rk2").orderBy("_rk1")  # rows alike in id and text
-    return kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    keys = [k.alias(n) for n, k in zip(("rk1", "rk2"), row_keys(doc_id, text), strict=True)]
+    kept = docs.select(F.struct("*").alias("doc"), *keys)  # in a struct no column of the documents clashes with ours
+    kept = kept.join(materialize(chosen, "kept-rows"), ["rk1", "rk2"], "left_semi")
+    one = Window.partitionBy("rk1", "rk2").orderBy("rk1")  # rows alike in id and text
+    kept = kept.withColumn("n", F.row_number().over(one)).where("n = 1")
+    return kept.select(*(F.col("doc").getField(c).alias(c) for c in docs.columns))

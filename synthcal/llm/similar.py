@@ -1,10 +1,13 @@
-"""Near-duplicates by the similarity (Jaccard) of the texts' sets of word shingles.
+"""Near-duplicates by SimHash at the similarity (Jaccard) of 0.8 of the texts' sets of five-word shingles.
 
-Steps: (1) each text's set gets a 64-bit name and ``BANDS`` keys of ``DEEP`` minima under multiplicative hashes; texts of
-equal sets fall together by aggregation; (2) sets that share a key are closed to candidate components: a pair of
-similarity 0.8 shares no key with probability (1 - 0.8^5)^50, about 2e-9, and a more similar one even less;
-(3) a candidate component's sets meet, in blocks of bounded size, and every pair is compared exactly; (4) the verified
-links are closed to components.
+At 0.8 two 64-bit fingerprints differ in about ten bits, so no choice of equal quarters brings such a pair together. The
+steps of :mod:`simhash` stay, with other buckets and an exact check: (1) each text's set of shingles gets a 64-bit name, and
+texts of equal sets fall together by aggregation; (2) instead of fingerprint quarters, ``BANDS`` keys of ``DEEP`` minima of
+the set bring sets together (a pair of similarity 0.8 shares no key with probability (1 - 0.8^5)^50, about 2e-9, and a more
+similar one even less); sets that share a key are closed to candidate components; (3) a candidate component's sets meet, in
+blocks of bounded size, their fingerprints are stored as bit planes and compared bit-sliced, blocks beyond ``REACH`` bits
+being abandoned (a pair of similarity 0.8 differs in more with probability below 1e-5 for sets of five shingles, 1e-8 for
+large ones), and what is within is checked by exact counts; (4) the verified links are closed to components.
 
 Defined results: as in :mod:`simhash`; null and empty texts have the empty set and are alike.
 """
@@ -20,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from synthcal.llm.shared import materialize, utf8
-from synthcal.llm.simhash import components, one_of_each, row_keys
+from synthcal.llm.simhash import Waiting, components, majority, one_of_each, planes, row_keys, within
 
 WIDTH, LEAST = 5, 0.8
-BANDS, DEEP = 50, 5
+BANDS, DEEP, REACH = 50, 5, 26
 #: Expected shingles of a block of a candidate component.
 BLOCK = 1_000_000
 _ODD = np.random.default_rng(5).integers(0, 1 << 63, BANDS * DEEP, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -67,27 +70,28 @@ def prints_of(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, rk1 long, rk2 long, fp long, shingles long, keys array<long>")
 
 
-def spanning(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """Links that connect what pairs of similarity ``least`` or more connect: breadth first, exact counts."""
-    sizes = np.array([len(s) for s in sets])
-    ends = np.cumsum(sizes)
-    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
-    marked, waiting, out = np.zeros(len(values), dtype=np.int32), np.ones(len(sets), dtype=bool), []
+def spanning(sets: list[np.ndarray], least: float, reach: int = REACH) -> list[tuple[int, int]]:
+    """Links that connect what pairs of similarity ``least`` or more connect: breadth first, sets whose fingerprints are
+    within ``reach`` bits being counted exactly."""
+    prints = np.array([majority(s) for s in sets], dtype=np.int64).view(np.uint64)
+    slices, waiting, out = planes(prints), Waiting(len(sets)), []
     for first in range(len(sets)):
-        if not waiting[first]:
+        if first not in waiting:
             continue
-        waiting[first] = False
+        waiting.drop(first)
         queue = [first]
         while queue:
             row = queue.pop()
-            own = codes[ends[row] - sizes[row] : ends[row]]
-            marked[own] = 1
-            common = np.add.reduceat(marked[codes], ends - sizes)
-            marked[own] = 0
-            for k in np.flatnonzero(waiting & (common / (sizes + sizes[row] - common) >= least)).tolist():
-                waiting[k] = False
-                out.append((row, k))
-                queue.append(k)
+            for k in map(int, within(int(prints[row]), slices, waiting.marks, reach)):
+                small, large = sorted((sets[row], sets[k]), key=len)
+                if len(small) < least * len(large):
+                    continue
+                at = np.searchsorted(large, small)
+                common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+                if common >= least * (len(small) + len(large) - common):
+                    waiting.drop(k)
+                    out.append((row, k))
+                    queue.append(k)
     return out
 
 
