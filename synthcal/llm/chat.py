@@ -4,14 +4,17 @@ A turn is written ``<turn role>`` newline, escaped text, ``</turn>`` newline, th
 doubled and one is put behind the ``<`` of ``<turn`` and ``</turn``, so neither marker occurs inside a text and
 :func:`unescaped` gives back every text exactly.
 
-Windows: prefix sums of the turns' tokens cut a conversation into spans of whole turns (a turn belongs to the span in
-which it starts, spans being ``stride`` tokens wide). A span after the first also shows the system turn again (the first
-turn, if its role is ``system``) and the last turns before it, as far as they fit into ``history`` tokens. Only what a
-window shows for the first time and an assistant says is under the loss mask; repeated targets are masked.
+Windows: prefix sums of the turns' tokens cut a conversation into spans of whole turns. A turn of at most ``long`` tokens
+belongs to the span in which it starts, spans being ``stride`` tokens wide; a longer one is a span of its own. So a span
+holds at most ``stride + long`` tokens, half the budget, or one turn. Every window after the first also shows the system
+turn again (the first turn, if its role is ``system`` and it takes at most a quarter of the budget) and the last turns of
+the span before, as far as they fit into a quarter of the budget and into what the window's own turns leave of it. A window
+never exceeds ``budget`` tokens unless a single turn and the system turn alone do. Only what a window shows for the first
+time and an assistant says is under the loss mask; repeated targets are masked.
 
 A conversation of any length is never ordered in one task: prefix sums are taken within blocks of turns and of block
-sums, and a window gathers at most ``stride`` tokens and the repeats. :func:`read_back` joins a conversation's text
-again, in one row, because its digest is that of the whole text.
+sums, the span that follows is found by a join, and a window gathers at most the budget's tokens or one turn.
+:func:`read_back` joins a conversation's text again, in one row, because its digest is that of the whole text.
 
 Defined results: a null text or role is an empty one; a null conversation id is an id of its own; turns with equal
 numbers are ordered by role and text, null turn numbers first; repeated rows are turns of their own; an empty table gives
@@ -26,7 +29,8 @@ from pyspark.sql import functions as F
 from synthcal.llm.shared import WORD, materialize
 
 END = "</turn>\n"
-STRIDE, HISTORY, OVERHEAD, BLOCK = 1024, 256, 4, 256
+#: Tokens of a window, of a turn's markers, and turns that are ordered together.
+BUDGET, OVERHEAD, BLOCK = 1024, 4, 256
 
 
 def escaped(text: Column) -> Column:
@@ -43,45 +47,59 @@ def head(role: Column) -> Column:
     return F.concat(F.lit("<turn "), F.url_encode(role), F.lit(">\n"))
 
 
-def placed_turns(conversations: DataFrame, conv_id: str, turn: str, role: str, text: str, stride: int, history: int) -> DataFrame:
-    """Every turn with the tokens before it, its span, the span that follows and what that one repeats of it."""
+def limits(budget: int) -> tuple[int, int, int]:
+    """Tokens of a span's width, of a turn that is a span of its own, and of a repeated system turn or history."""
+    return max(1, budget * 3 // 8), budget // 8, budget // 4
+
+
+def placed_turns(conversations: DataFrame, conv_id: str, turn: str, role: str, text: str, budget: int) -> DataFrame:
+    """Every turn with the tokens before it, the start of its span and the end, and whether it is the system turn."""
+    stride, long, _ = limits(budget)
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     turns = conversations.select(
         F.col(conv_id).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), t.alias("text"), (F.regexp_count(t, F.lit(WORD)) + OVERHEAD).cast("long").alias("cost")
-    ).withColumn("block", F.floor(F.col("turn") / BLOCK))
-    blocks = turns.groupBy("conv_id", "block").agg(F.sum("cost").alias("cost"))
+    ).withColumns({"block": F.floor(F.col("turn") / BLOCK), "long": (F.col("cost") > long).cast("long")})
+    blocks = turns.groupBy("conv_id", "block").agg(F.sum("cost").alias("cost"), F.sum("long").alias("long"))
     ahead = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = materialize(blocks.select(F.col("conv_id").alias("b_conv"), F.col("block").alias("b_block"), F.coalesce(F.sum("cost").over(ahead), F.lit(0)).alias("ahead")), "chat-blocks")
-    order = ("turn", "role", "text")
-    before = Window.partitionBy("conv_id", "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    turns = turns.withColumn("within", F.coalesce(F.sum("cost").over(before), F.lit(0)))
+    sums = {f"{c}_ahead": F.coalesce(F.sum(c).over(ahead), F.lit(0)) for c in ("cost", "long")}
+    blocks = materialize(blocks.select(F.col("conv_id").alias("b_conv"), F.col("block").alias("b_block"), *(v.alias(k) for k, v in sums.items())), "chat-blocks")
+    before = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    turns = turns.withColumns({f"{c}_within": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("cost", "long")})
     turns = turns.join(blocks, F.col("conv_id").eqNullSafe(F.col("b_conv")) & F.col("block").eqNullSafe(F.col("b_block")))
-    turns = turns.withColumn("start", F.col("ahead") + F.col("within")).drop("b_conv", "b_block", "ahead", "within", "block")
-    turns = turns.withColumn("span", F.floor(F.col("start") / stride)).withColumn("system", (F.col("start") == 0) & (F.col("role") == "system"))
-    reach = F.max(F.col("start") + F.col("cost")).over(Window.partitionBy("conv_id", "span"))
-    turns = turns.withColumn("reach", reach).withColumn("next", F.floor(F.col("reach") / stride))
-    return turns.withColumn("again", ~F.col("system") & (F.col("next") > F.col("span")) & (F.col("reach") - F.col("start") <= history))
-
-
-def chat_windows(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", stride: int = STRIDE, history: int = HISTORY) -> DataFrame:
-    """conv_id, window, formatted, repeated (turns shown again, at the front) and loss (start, length in code points)."""
-    turns = materialize(placed_turns(conversations, conv_id, turn, role, text, stride, history), "chat-turns")
-    shown = turns.select("conv_id", "start", "role", "text", F.explode(F.when(F.col("again"), F.array(F.struct(F.col("span").alias("w"), F.lit(True).alias("new")), F.struct(F.col("next").alias("w"), F.lit(False).alias("new")))).otherwise(F.array(F.struct(F.col("span").alias("w"), F.lit(True).alias("new"))))).alias("x"))
-    shown = shown.select("conv_id", F.col("x.w").alias("window"), F.col("x.new").alias("new"), "start", "role", "text")
-    # a conversation's first window already starts with the system turn
-    later = turns.where("span > 0").select("conv_id", "span").distinct()
-    system = materialize(turns.where("system").select(F.col("conv_id").alias("s_conv"), "role", "text"), "chat-system")
-    repeated = later.join(system, F.col("conv_id").eqNullSafe(F.col("s_conv"))).select("conv_id", F.col("span").alias("window"), F.lit(False).alias("new"), F.lit(0).cast("long").alias("start"), "role", "text")
+    turns = turns.withColumn("start", F.col("cost_ahead") + F.col("cost_within"))
+    # long turns part the others: those between two of them share the even number, a long one has the odd one after it
+    turns = turns.withColumn("group", 2 * (F.col("long_ahead") + F.col("long_within")) + F.col("long"))
+    turns = turns.withColumn("cell", F.when(F.col("long") == 1, F.lit(0).cast("long")).otherwise(F.floor(F.col("start") / stride)))
+    span = Window.partitionBy("conv_id", "group", "cell")
+    turns = turns.withColumns({"first": F.min("start").over(span), "reach": F.max(F.col("start") + F.col("cost")).over(span)})
+    return turns.select("conv_id", "start", "role", "text", "cost", "first", "reach", ((F.col("start") == 0) & (F.col("role") == "system")).alias("system"))
+
+
+def chat_windows(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", budget: int = BUDGET) -> DataFrame:
+    """conv_id, window (tokens before its own turns), tokens, formatted, repeated (turns shown again, at the front) and loss
+    (start, length in code points)."""
+    _, _, most = limits(budget)
+    turns = materialize(placed_turns(conversations, conv_id, turn, role, text, budget), "chat-turns")
+    system = materialize(turns.where(F.col("system") & (F.col("cost") <= most)).select(F.col("conv_id").alias("s_conv"), F.col("role").alias("s_role"), F.col("text").alias("s_text"), F.col("cost").alias("s_cost")), "chat-system")
+    # the spans after the first, each with what is left for history, found by the place where the one before ends
+    later = turns.where("first > 0").groupBy("conv_id", "first").agg((F.max("reach") - F.col("first")).alias("own"))
+    later = later.join(system, F.col("conv_id").eqNullSafe(F.col("s_conv")), "left")
+    room = F.least(F.lit(most), budget - F.col("own") - F.coalesce("s_cost", F.lit(0)))
+    later = materialize(later.select(F.col("conv_id").alias("l_conv"), F.col("first").alias("l_first"), room.alias("room"), "s_role", "s_text", "s_cost"), "chat-spans")
+    own = turns.select("conv_id", F.col("first").alias("window"), F.lit(True).alias("new"), "start", "role", "text", "cost")
+    last = turns.where(~F.col("system") & (F.col("reach") - F.col("start") <= most))
+    again = last.join(later.select("l_conv", "l_first", "room"), F.col("conv_id").eqNullSafe(F.col("l_conv")) & (F.col("reach") == F.col("l_first")))
+    again = again.where(F.col("reach") - F.col("start") <= F.col("room")).select("conv_id", F.col("reach").alias("window"), F.lit(False).alias("new"), "start", "role", "text", "cost")
+    first = later.where("s_cost is not null").select(F.col("l_conv").alias("conv_id"), F.col("l_first").alias("window"), F.lit(False).alias("new"), F.lit(0).cast("long").alias("start"), F.col("s_role").alias("role"), F.col("s_text").alias("text"), F.col("s_cost").alias("cost"))
     item = F.struct("new", "start", F.concat(head(F.col("role")), escaped(F.col("text")), F.lit(END)).alias("s"), F.length(head(F.col("role"))).alias("h"), (F.col("role") == "assistant").alias("loss"))
-    windows = shown.unionByName(repeated).groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(item)).alias("t"))
-    windows = windows.where(F.exists("t", lambda x: x["new"]))  # no turn may follow those of the last span
+    windows = own.unionByName(again).unionByName(first).groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(item)).alias("t"), F.sum("cost").alias("tokens"))
     sizes = F.transform("t", lambda x: F.length(x["s"]))
     at = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
     spans = F.filter(
         F.zip_with("t", F.slice(at, F.lit(1), F.size("t")), lambda x, s: F.when(x["new"] & x["loss"], F.struct((s + x["h"]).alias("start"), (F.length(x["s"]) - x["h"] - len(END)).alias("length")))),
         lambda x: x.isNotNull(),
     )
-    return windows.select("conv_id", "window", F.array_join(F.transform("t", lambda x: x["s"]), "").alias("formatted"), F.size(F.filter("t", lambda x: ~x["new"])).alias("repeated"), spans.alias("loss"))
+    return windows.select("conv_id", "window", "tokens", F.array_join(F.transform("t", lambda x: x["s"]), "").alias("formatted"), F.size(F.filter("t", lambda x: ~x["new"])).alias("repeated"), spans.alias("loss"))
 
 
 def read_back(windows: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from synthcal.llm.shared import fold
 
 #: Tokenizer file of the packing query; a parameter of the operator.
 TOKENIZER = "word_bpe_49k.json"
+#: Tokens of a window of the chat query: few enough for most conversations to have several.
+CHAT_BUDGET = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,7 +68,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
-    return chat.digests(chat.read_back(chat.chat_windows(conversations)))
+    return chat.digests(chat.read_back(chat.chat_windows(conversations, budget=CHAT_BUDGET)))
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,14 +137,19 @@ WITH c AS (
 t AS (
   SELECT *, row_number() OVER o AS k, len(regexp_extract_all(text, '{W}')) + 4 AS cost,
     length('<turn ' || role || '>' || chr(10)) + length(regexp_replace(replace(text, '\', '\\'), '<(/?turn)', '<\\\1', 'g')) + 8 AS chars
-  FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)),
-s AS (SELECT *, sum(cost) OVER (PARTITION BY conv_id ORDER BY k) - cost AS start FROM t),
-p AS (SELECT *, start // 1024 AS span, start = 0 AND role = 'system' AS sys FROM s),
-n AS (SELECT *, max(start + cost) OVER (PARTITION BY conv_id, span) AS reach, max(k) OVER (PARTITION BY conv_id) = max(k) OVER (PARTITION BY conv_id, span) AS final FROM p),
-y AS (SELECT conv_id, count(DISTINCT span) FILTER (WHERE span > 0) AS later FROM p GROUP BY conv_id),
+  FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+s AS (SELECT *, sum(cost) OVER o - cost AS start, (cost > {CHAT_BUDGET // 8})::INT AS long, 2 * (sum((cost > {CHAT_BUDGET // 8})::INT) OVER o) - (cost > {CHAT_BUDGET // 8})::INT AS grp
+  FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY k)),
+p AS (SELECT *, CASE WHEN long = 1 THEN 0 ELSE start // {CHAT_BUDGET * 3 // 8} END AS cell, start = 0 AND role = 'system' AS sys FROM s),
+n AS (SELECT *, min(start) OVER w AS first, max(start + cost) OVER w AS reach FROM p WINDOW w AS (PARTITION BY conv_id, grp, cell)),
+sy AS (SELECT conv_id, cost AS s_cost, chars AS s_chars FROM n WHERE sys AND cost <= {CHAT_BUDGET // 4}),
+l AS (SELECT n.conv_id, first, least({CHAT_BUDGET // 4}, {CHAT_BUDGET} - (any_value(reach) - first) - coalesce(any_value(s_cost), 0)) AS room, any_value(s_chars) AS s_chars
+  FROM n LEFT JOIN sy ON n.conv_id IS NOT DISTINCT FROM sy.conv_id WHERE first > 0 GROUP BY n.conv_id, first),
 z AS (
-  SELECT n.conv_id, sum(chars * (1 + CASE WHEN sys THEN later WHEN NOT final AND reach - start <= 256 THEN 1 ELSE 0 END))::BIGINT AS formatted_chars
-  FROM n JOIN y ON n.conv_id IS NOT DISTINCT FROM y.conv_id GROUP BY n.conv_id)
+  SELECT conv_id, sum(chars)::BIGINT AS formatted_chars FROM (
+    SELECT conv_id, chars FROM n
+    UNION ALL SELECT n.conv_id, n.chars FROM n JOIN l ON n.conv_id IS NOT DISTINCT FROM l.conv_id AND n.reach = l.first WHERE NOT n.sys AND n.reach - n.start <= l.room
+    UNION ALL SELECT conv_id, s_chars FROM l WHERE s_chars IS NOT NULL) GROUP BY conv_id)
 SELECT t.conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
   length(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), ''))::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, any_value(formatted_chars) AS formatted_chars

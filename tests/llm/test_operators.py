@@ -14,7 +14,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from synthcal.llm import cascade, chat, compress, langid, maxent, mixing, packing, similar, simhash, topk, warc
+from conftest import DATA
+from synthcal.llm import cascade, chat, compress, langid, maxent, mixing, packing, queries, similar, simhash, topk, warc
 from synthcal.llm.queries import tokenizer_path
 from synthcal.llm.shared import fold
 
@@ -401,6 +402,56 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.chat_windows(df.limit(0))).count() == 0
 
 
+def plain_windows(turns, budget):
+    """(tokens, repeated, start of the window's own turns) of one conversation's windows; turns are (role, cost)."""
+    spans, start, longs = {}, 0, 0
+    for role, cost in turns:
+        big = cost > budget // 8
+        key = (2 * longs + big, 0 if big else start // (budget * 3 // 8))
+        spans.setdefault(key, []).append((start, cost))
+        start, longs = start + cost, longs + big
+    system = turns[0][1] if turns[0][0] == "system" and turns[0][1] <= budget // 4 else None
+    out, before = [], []
+    for members in spans.values():
+        own, first = sum(c for _, c in members), members[0][0]
+        again = [] if system is None or first == 0 else [system]
+        left = min(budget // 4, budget - own - sum(again))
+        for at, c in reversed(before):
+            if at == 0 and turns[0][0] == "system" or c > left:
+                break
+            again.append(c)
+            left -= c
+        out.append((own + sum(again), len(again), first))
+        before = members
+    return out
+
+
+@pytest.mark.parametrize("budget", [64, 200, 1024])
+def test_chat_windows_stay_within_the_budget(spark, budget):
+    rng = random.Random(17)
+    rows = [(c, t, "system" if t == 0 and c % 3 else ["user", "assistant"][t % 2], " ".join(["w"] * rng.choice([1, 5, 12, 30, 30, 90, 400]))) for c in range(30) for t in range(rng.randint(1, 60))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    by = collections.defaultdict(list)
+    for c, _, role, text in rows:
+        by[c].append((role, len(text.split()) + chat.OVERHEAD))
+    got = collections.defaultdict(list)
+    for r in chat.chat_windows(df, budget=budget).collect():
+        got[r["conv_id"]].append((r["tokens"], r["repeated"], r["window"]))
+        assert len(words(r["formatted"].replace("<turn", "").replace("</turn>", ""))) <= r["tokens"]
+    for c, turns in by.items():
+        windows = sorted(got[c], key=lambda w: w[2])
+        assert windows == plain_windows(turns, budget)
+        most = max(cost for _, cost in turns)
+        assert all(w[0] <= max(budget, budget // 4 + most) for w in windows)
+    assert any(w[1] > 1 for c in got for w in got[c])
+
+
+def test_chat_query_has_windows_and_repeats(spark):
+    windows = chat.chat_windows(spark.read.parquet(f"{DATA}/sf0.01/conversations.parquet"), budget=queries.CHAT_BUDGET)
+    seen = windows.agg(F.count_if(F.col("window") > 0), F.count_if(F.col("repeated") > 1), F.count_if(F.col("formatted").startswith("<turn system>") & (F.col("window") > 0))).first()
+    assert min(seen) > 5
+
+
 # --- search
 
 
