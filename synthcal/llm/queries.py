@@ -28,7 +28,7 @@ def tokenizer_path() -> str:
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.capture_index(table(spark, sf_dir, "pages"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "part", "place")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +81,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 W = r"[^\x20\x09-\x0D]+"
 
+OP1_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, lower(trim(coalesce(url, ''))) AS u FROM pages),
+f AS (SELECT sha256(html) AS digest, min(page_id) AS first_id FROM p WHERE strlen(html) >= 100 GROUP BY sha256(html)),
+x AS (SELECT page_id, html, sha256(html) AS digest, u, regexp_extract(u, '^[a-z]+://([^/?#]*)', 1) AS net, regexp_extract(u, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(u, '^[^?#]*\?([^#]*)', 1) AS query FROM p),
+y AS (SELECT x.*, regexp_replace(regexp_replace(net, ':[0-9]*$', ''), '^www\.', '') AS host, regexp_extract(net, ':([0-9]+)$', 1) AS port, first_id FROM x LEFT JOIN f ON f.digest = x.digest AND strlen(x.html) >= 100)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first_id <> page_id THEN first_id END AS refers_to,
+  CASE WHEN u = '' THEN '' ELSE array_to_string(list_reverse(string_split(host, '.')), ',') || CASE WHEN port = '' OR (port = '80' AND u LIKE 'http:%') OR (port = '443' AND u LIKE 'https:%') THEN '' ELSE ':' || port END || ')' ||
+    CASE WHEN rtrim(path, '/') = '' THEN '/' ELSE rtrim(path, '/') END || CASE WHEN query = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(query, '&')), '&') END END AS url_key,
+  strftime(TIMESTAMP '2023-11-14 22:13:20' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS captured
+FROM y
+"""
+
 OP2_SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{W}')), 0)::BIGINT AS size, coalesce(text, '') AS text,
@@ -159,12 +171,12 @@ FROM t JOIN z ON t.conv_id IS NOT DISTINCT FROM z.conv_id GROUP BY t.conv_id
 OP10_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.v, d.v)::BIGINT AS score FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.v, d.v)::BIGINT AS score FROM v q JOIN v d ON q.vec_id IS DISTINCT FROM d.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL, "op6_quality_rules": OP6_SQL, "op9_chat": OP9_SQL, "op10_topk": OP10_SQL}
+    return {"op1_warc": OP1_SQL, "op2_mixing": OP2_SQL, "op6_quality_rules": OP6_SQL, "op9_chat": OP9_SQL, "op10_topk": OP10_SQL}

@@ -10,10 +10,13 @@ reach the query's threshold.
 Scores are exact integers: the components are floor(scale * x), and products are taken in float64 while every partial
 sum stays below 2^53, else in 64-bit integers, else in Python integers that are cut to the range of long.
 
+Queries are dealt in parts too, so a group holds at most ``block`` vectors and about ``query_rows`` queries.
+
 Defined results: vectors that are null, empty or hold a null or non-finite component take no part; shorter vectors count
-as filled up with zeros; a query never meets rows of its own id; repeated rows are candidates of their own (equal scores
-and ids in any order); fewer than k candidates give fewer rows; empty tables give an empty result; other columns are
-ignored.
+as filled up with zeros; a query never meets rows of its own id; rows with a null id are candidates, after all others where
+scores are equal; repeated rows are candidates of their own (equal scores and ids in any order); repeated rows of a query's
+id ask once for each of their different vectors; fewer than k candidates give fewer rows; empty tables give an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,8 +24,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,15 +38,19 @@ def integer_vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "
     """vec_id and v, the floored components as doubles, of the vectors that take part."""
     e = F.col(embedding)
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
-    rows = table.where(F.col(vec_id).isNotNull() & (F.size(e) > 0) & finite)
+    rows = table.where((F.size(e) > 0) & finite)
     return rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(e, lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"))
 
 
-def matrix(column: pa.Array | list, width: int) -> np.ndarray:
-    rows = column.to_pylist() if isinstance(column, pa.Array) else column
-    if all(len(r) == width for r in rows):
-        return np.array(rows, dtype=np.float64).reshape(len(rows), width)
-    return np.array([list(r) + [0.0] * (width - len(r)) for r in rows], dtype=np.float64).reshape(len(rows), width)
+def matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    """The vectors as rows, filled up with zeros."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes, flat = pc.list_value_length(column).to_numpy(), column.flatten().to_numpy()
+    if (sizes == width).all():
+        return flat.reshape(len(sizes), width)
+    out = np.zeros((len(sizes), width))
+    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    return out
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -60,10 +67,10 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def choose_pivots(vectors: DataFrame, pivots: int, width: int) -> np.ndarray:
     """The vectors whose ids hash lowest; a bounded sample, without copies."""
     rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).select("v").collect()
-    return np.unique(matrix([r["v"] for r in rows], width), axis=0)
+    return np.unique(matrix(pa.array([r["v"] for r in rows], pa.list_(pa.float64())), width), axis=0)
 
 
-def top_k(table: DataFrame, is_query: Column, vec_id: str = "vec_id", embedding: str = "embedding", k: int = K, scale: int = SCALE, pivots: int = 64, block: int = 4096, query_block: int = 1024) -> DataFrame:
+def top_k(table: DataFrame, is_query: Column, vec_id: str = "vec_id", embedding: str = "embedding", k: int = K, scale: int = SCALE, pivots: int = 64, block: int = 4096, query_rows: int = 4096, query_block: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score. ``is_query`` is a condition on the column vec_id."""
     spark = table.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -84,7 +91,7 @@ def top_k(table: DataFrame, is_query: Column, vec_id: str = "vec_id", embedding:
     placed = materialize(vectors.mapInArrow(assign, "vec_id long, cell int, away double, v array<double>"), "voronoi")
     # summaries: a row per cell and its k + 1 smallest distances, ranked in salted parts first; all bounded by the pivots
     sizes = {r["cell"]: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()}
-    close = placed.select("cell", "away", F.pmod(F.xxhash64("vec_id"), F.lit(32)).alias("salt"))
+    close = placed.select("cell", "away", F.pmod(F.xxhash64("vec_id", "v"), F.lit(32)).alias("salt"))
     for part in (["cell", "salt"], ["cell"]):
         close = close.withColumn("r", F.row_number().over(Window.partitionBy(*part).orderBy("away"))).where(F.col("r") <= k + 1)
     near: dict[int, list[float]] = {}
@@ -98,45 +105,59 @@ def top_k(table: DataFrame, is_query: Column, vec_id: str = "vec_id", embedding:
     centres = centres[cells]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            q = matrix(batch.column(1), width)
-            at_pivot, size = q @ centres.T, np.sqrt((q**2).sum(axis=1))
-            slack = 1e-9 * (np.abs(at_pivot).max(initial=0) + size.max(initial=0) * radius.max(initial=0)) + 1e-6
-            lower = np.sort(at_pivot[:, owner] - size[:, None] * reach[None, :], axis=1)
-            # the query itself may be among the k + 1 best lower bounds
-            least = lower[:, -(k + 1)] - slack if lower.shape[1] > k else np.full(len(q), -np.inf)
-            wanted = at_pivot + size[:, None] * radius[None, :] + slack >= least[:, None]
-            row, cell = np.nonzero(wanted)
-            copies = blocks[cell]
-            row, cell = np.repeat(row, copies), np.repeat(cell, copies)
-            number = np.concatenate([np.arange(n) for n in copies]) if len(copies) else np.empty(0, dtype=int)
-            for i in range(0, len(row), 20_000):
-                part = slice(i, i + 20_000)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row[part])), pa.array(cells[cell[part]].astype(np.int32)), pa.array(number[part].astype(np.int32)), pa.array(np.maximum(np.ceil(least[row[part]]), -(2.0**62)).astype(np.int64)), batch.column(1).take(pa.array(row[part]))],
-                    names=["query_id", "cell", "part", "least", "v"],
-                )
-
-    asked = placed.where(is_query).select("vec_id", "v").mapInArrow(route, "query_id long, cell int, part int, least long, v array<double>")
+        for whole in batches:
+            for first in range(0, whole.num_rows, 64):  # few queries at once: each may meet every block
+                batch = whole.slice(first, 64)
+                q, own = matrix(batch.column(2), width), batch.column(3).to_numpy()
+                at_pivot, size = q @ centres.T, np.sqrt((q**2).sum(axis=1))
+                slack = 1e-9 * (np.abs(at_pivot).max(initial=0) + size.max(initial=0) * radius.max(initial=0)) + 1e-6
+                lower = np.sort(at_pivot[:, owner] - size[:, None] * reach[None, :], axis=1)
+                # the query itself may be among the k + 1 best lower bounds; with several rows of its id there is no threshold
+                least = lower[:, -(k + 1)] - slack if lower.shape[1] > k else np.full(len(q), -np.inf)
+                least = np.where(own > 1, -np.inf, least)
+                row, cell = np.nonzero(at_pivot + size[:, None] * radius[None, :] + slack >= least[:, None])
+                bound = np.maximum(np.ceil(least), -(2.0**62)).astype(np.int64)
+                for i in range(0, len(row), 256):
+                    copies = blocks[cell[i : i + 256]]
+                    r, c = np.repeat(row[i : i + 256], copies), np.repeat(cell[i : i + 256], copies)
+                    number = np.arange(len(r)) - np.repeat(np.cumsum(copies) - copies, copies)
+                    for j in range(0, len(r), 20_000):
+                        at = slice(j, j + 20_000)
+                        take = pa.array(r[at])
+                        yield pa.RecordBatch.from_arrays(
+                            [batch.column(0).take(take), batch.column(1).take(take), pa.array(cells[c[at]].astype(np.int32)), pa.array(number[at].astype(np.int32)), pa.array(bound[r[at]]), batch.column(2).take(take)],
+                            names=["query_id", "asked", "cell", "part", "least", "v"],
+                        )
+
+    wanted = placed.where(is_query).groupBy("vec_id", "v").agg(F.count("*").alias("n"))
+    several = wanted.groupBy("vec_id").agg(F.sum("n").alias("own"))
+    wanted = materialize(wanted.join(several, "vec_id").select("vec_id", F.xxhash64("v").alias("asked"), "v", "own"), "voronoi-queries")
+    query_parts = max(1, -(-wanted.count() // query_rows))
+    asked = wanted.mapInArrow(route, "query_id long, asked long, cell int, part int, least long, v array<double>")
+    asked = asked.withColumn("q", F.pmod(F.xxhash64("query_id", "asked"), F.lit(query_parts)).cast("int"))
     count_of = F.create_map(*[F.lit(x) for c, b in zip(cells.tolist(), blocks.tolist(), strict=True) for x in (int(c), int(b))])
-    data = placed.select("cell", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.element_at(count_of, F.col("cell"))).cast("int").alias("part"), "vec_id", "v")
-
-    def solve(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(queries) and len(rows):
-            ids = rows["vec_id"].to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids, x = ids[order], matrix(rows["v"].tolist(), width)[order]
-            for i in range(0, len(queries), query_block):
-                q = queries.iloc[i : i + query_block]
-                s = products(matrix(q["v"].tolist(), width), x)
-                good = (s >= q["least"].to_numpy()[:, None]) & (ids[None, :] != q["query_id"].to_numpy()[:, None])
-                for row, name in enumerate(q["query_id"].to_numpy()):
+    data = placed.select("cell", F.pmod(F.xxhash64("vec_id", "v"), F.element_at(count_of, F.col("cell"))).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))).alias("q"), "vec_id", "v")
+
+    def solve(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        kept: list[list] = [[], [], [], []]
+        if queries.num_rows and rows.num_rows:
+            last = np.iinfo(np.int64).max  # stands for a null id, after all others
+            given = rows.column("vec_id").combine_chunks()
+            ids, void = pc.fill_null(given, last).to_numpy(), given.is_null().to_numpy(zero_copy_only=False)
+            order = np.lexsort((void, ids))
+            ids, void, x = ids[order], void[order], matrix(rows.column("v"), width)[order]
+            for i in range(0, queries.num_rows, query_block):
+                q = queries.slice(i, query_block)
+                names, asked_as, least = (q.column(c).to_numpy() for c in ("query_id", "asked", "least"))
+                s = products(matrix(q.column("v"), width), x)
+                good = (s >= least[:, None]) & ((ids[None, :] != names[:, None]) | void[None, :])
+                for row in range(len(names)):
                     at = np.flatnonzero(good[row])
                     best = at[np.argsort(-s[row, at], kind="stable")[:k]]
-                    out.append(pd.DataFrame({"query_id": name, "vec_id": ids[best], "score": s[row, best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
+                    for column, values in zip(kept, (np.full(len(best), names[row]), np.full(len(best), asked_as[row]), pa.array(ids[best], mask=void[best]), s[row, best]), strict=True):
+                        column.append(pa.array(values, pa.int64()))
+        return pa.table({n: pa.chunked_array(c, pa.int64()) for n, c in zip(("query_id", "asked", "vec_id", "score"), kept, strict=True)})
 
-    found = asked.groupBy("cell", "part").cogroup(data.groupBy("cell", "part")).applyInPandas(solve, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = asked.groupBy("cell", "part", "q").cogroup(data.groupBy("cell", "part", "q")).applyInArrow(solve, "query_id long, asked long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "asked").orderBy(F.desc("score"), F.asc_nulls_last("vec_id")))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

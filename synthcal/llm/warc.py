@@ -5,30 +5,34 @@ Writing: one record per row, the payload being the row's text in UTF-8. Of rows
 refer to it. A record ends with two line ends, so Spark's text writer (with these as its line separator) writes genuine
 gzipped archives to any file system. Offsets are those of the unpacked archive.
 
-Reading: every archive is read whole (``per_archive`` bounds its records) and parsed by content length. It yields a capture run sorted by URL key and time.
+Reading: archives come as a stream of pieces between carriage returns, by Spark's text reader, and are parsed by content
+length, so that neither an archive nor its unpacked text is ever whole in memory. Each archive yields a capture run (the
+records' descriptions without their blocks, ``per_archive`` rows at most) sorted by URL key and time.
 
 Index: the runs are dealt by ranges of (URL key, time, id); a range gets of each run a sorted stretch, and a loser tree
-merges the stretches. The parts in order are the globally ordered capture histories. Ranges divide one URL's captures
-too, so a URL with very many captures is several tasks' work.
-
-Defined results: a null text is an empty payload; a null URL has the empty URL key; a null id compares below none and
-its record has no id field; repeated rows are records of their own (of equal payload and id, each is the response); an
-empty table gives no archives and an empty index; other columns are ignored.
+merges the stretches. A range's rows, about ``rows_per_part``, wait in Arrow buffers, of which each stretch's cursor decodes
+a few at a time. The parts in order are the globally ordered capture histories. Ranges divide one URL's captures too, so a
+URL with very many captures is several tasks' work.
+
+Defined results: a null text is an empty payload; a null URL has the empty URL key; carriage returns and line feeds are
+left out of a URL, for they would end its header line; a null id compares below none and its record has no id field;
+repeated rows are records of their own (of equal payload and id, each is the response); an empty table gives no archives
+and an empty index; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import re
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from synthcal.llm.shared import fresh_path, materialize
+from synthcal.llm.shared import fresh_path, materialize, utf8
 
 LEAST_BYTES = 100
 CRLF = "\r\n"
@@ -78,54 +82,104 @@ def records(pages: DataFrame, page_id: str, url: str, html: str, captured: Colum
 
 
 def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", captured: Column | None = None, least_bytes: int = LEAST_BYTES, per_archive: int = 5_000) -> None:
-    """Gzipped archives of at most ``per_archive`` records under ``path``, written where the records are."""
+    """Gzipped archives of at most ``per_archive`` records under ``path``, written where the records are.
+
+    The table of repeated digests is broadcast while Spark's size check allows it; beyond that the records go once through
+    the shuffle of that join.
+    """
     found = records(pages, page_id, url, html, captured, least_bytes)
     found.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", per_archive).text(path)
 
 
+NAMES = [x.split()[0] for x in INDEX.split(", ")]
+SEPARATOR = b"\r\n\r\n"
 _FIELD = re.compile(rb"([A-Za-z-]+): ?([^\r\n]*)\r\n")
 
 
+class Parser:
+    """Takes an archive's bytes piece by piece and gives out header fields, block, offset and length of each record; it holds
+    one record at most. ValueError where the bytes aren't a record."""
+
+    def __init__(self, name: str = ""):
+        self.name, self.held, self.at, self.need, self.fields = name, bytearray(), 0, 1, None
+
+    def feed(self, piece: bytes) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
+        self.held += piece
+        while len(self.held) >= self.need:
+            if self.fields is None:
+                end = self.held.find(SEPARATOR)
+                if end < 0:
+                    return
+                if not self.held.startswith(b"WARC/1."):
+                    raise ValueError(f"{self.name}: no record at byte {self.at}")
+                self.fields = {k.decode(): v.decode() for k, v in _FIELD.findall(self.held, self.held.index(b"\r\n") + 2, end + 2)}
+                self.start = end + 4
+                self.need = self.start + int(self.fields["Content-Length"]) + 4
+            else:
+                if self.held[self.need - 4 : self.need] != SEPARATOR:
+                    raise ValueError(f"{self.name}: record at byte {self.at} doesn't end at its length")
+                yield self.fields, bytes(self.held[self.start : self.need - 4]), self.at, self.need
+                del self.held[: self.need]
+                self.at, self.need, self.fields = self.at + self.need, 1, None
+
+    def close(self) -> None:
+        """The text reader doesn't tell whether the last piece was followed by a carriage return, so one may be left."""
+        if self.held not in (b"", b"\r"):
+            raise ValueError(f"{self.name}: no record at byte {self.at}")
+
+
 def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
-    """Header fields, block, offset and length of each record; ValueError where the bytes aren't a record."""
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if not data.startswith(b"WARC/1.", at) or end < 0:
-            raise ValueError(f"no record at byte {at}")
-        fields = {k.decode(): v.decode() for k, v in _FIELD.findall(data, data.index(b"\r\n", at) + 2, end + 2)}
-        start = end + 4
-        stop = start + int(fields["Content-Length"])
-        if data[stop : stop + 4] != b"\r\n\r\n":
-            raise ValueError(f"record at byte {at} doesn't end at its length")
-        yield fields, data[start:stop], at, stop + 4 - at
-        at = stop + 4
+    parser = Parser()
+    yield from parser.feed(data)
+    parser.close()
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives as capture runs: a run per archive, sorted by URL key, time and id."""
-    names = [x.split()[0] for x in INDEX.split(", ")]
+def described(name: str, fields: dict[str, str], block: bytes, at: int, length: int) -> tuple:
+    """A record's row of the index; ValueError if its payload doesn't match its digest."""
 
     def number(text: str | None) -> int | None:
         digits = (text or "").strip("<>").rpartition(":")[2]
         return int(digits) if digits else None
 
+    digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
+    if fields["WARC-Type"] == "response" and (hashlib.sha256(block).hexdigest() != digest or len(block) != int(fields["X-Payload-Length"])):
+        raise ValueError(f"{name}: the payload at byte {at} doesn't match its digest")
+    uri = fields["WARC-Target-URI"]
+    return (number(fields["WARC-Record-ID"]), uri, url_key(uri), fields["WARC-Date"], fields["WARC-Type"], digest, int(fields["X-Payload-Length"]), len(block), number(fields.get("WARC-Refers-To")), name, at, length)
+
+
+def index_batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[] for _ in names]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n in TEXT else pa.int64()) for n, c in zip(names, columns, strict=True)], names=names)
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """The records of all gzipped archives as capture runs: a run per archive, sorted by URL key, time and id, and each
+    row's place in its run."""
+    names = [*NAMES, "place"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser, rows = None, []
+
+        def ended() -> pa.RecordBatch:
+            parser.close()
+            rows.sort(key=capture_key)
+            return index_batch([(*r, k) for k, r in enumerate(rows)], names)
+
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = []
-                for f, block, at, length in parse_archive(gzip.decompress(data.as_py())):
-                    digest = f["WARC-Payload-Digest"].removeprefix("sha256:")
-                    if f["WARC-Type"] == "response" and (hashlib.sha256(block).hexdigest() != digest or len(block) != int(f["X-Payload-Length"])):
-                        raise ValueError(f"{name}: the payload at byte {at} doesn't match its digest")
-                    uri = f["WARC-Target-URI"]
-                    rows.append((number(f["WARC-Record-ID"]), uri, url_key(uri), f["WARC-Date"], f["WARC-Type"], digest, int(f["X-Payload-Length"]), len(block), number(f.get("WARC-Refers-To")), name, at, length))
-                rows.sort(key=capture_key)
-                columns = list(zip(*rows, strict=True)) or [[] for _ in names]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n in TEXT else pa.int64()) for n, c in zip(names, columns, strict=True)], names=names)
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
-    return files.select("path", "content").mapInArrow(run, INDEX)
+            for name, piece in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+                if parser is None or parser.name != name:
+                    if parser is not None:
+                        yield ended()
+                    parser, rows = Parser(name), []
+                rows += [described(name, *record) for record in parser.feed(piece + b"\r")]
+        if parser is not None:
+            yield ended()
+
+    # gzipped files aren't split, and the pieces of a file come in order; one character can't be found in part, as two line
+    # ends can
+    pieces = spark.read.option("lineSep", "\r").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").text(path)
+    return pieces.select("_metadata.file_path", "value").mapInArrow(run, f"{INDEX}, place long")
 
 
 TEXT = {"url", "url_key", "captured", "record_type", "payload_digest", "archive"}
@@ -137,12 +191,14 @@ def capture_key(row: tuple) -> tuple:
 
 
 class LoserTree:
-    """Merges sorted sequences: inner nodes keep the loser of their match, the root's winner comes out next."""
-
-    def __init__(self, runs: list[list[tuple]], key):
-        self.runs, self.key, self.k = runs, key, max(1, len(runs))
-        self.at = [0] * len(runs)
-        self.heads = [key(r[0]) if r else None for r in runs]
+    """Merges sorted iterators: inner nodes keep the loser of their match, the root's winner comes out next."""
+
+    def __init__(self, runs: list[Iterator[tuple]], key):
+        self.runs, self.key, self.k = [iter(r) for r in runs], key, max(1, len(runs))
+        self.rows: list[tuple | None] = [None] * len(runs)
+        self.heads: list = [None] * len(runs)
+        for run in range(len(runs)):
+            self.draw(run)
         self.tree = [-1] * self.k
         winners = [*[-1] * self.k, *range(len(runs))] if runs else []
         for node in range(self.k - 1, 0, -1):
@@ -150,6 +206,10 @@ class LoserTree:
             winners[node], self.tree[node] = (a, b) if self.wins(a, b) else (b, a)
         self.top = winners[1] if self.k > 1 else 0
 
+    def draw(self, run: int) -> None:
+        self.rows[run] = next(self.runs[run], None)
+        self.heads[run] = None if self.rows[run] is None else self.key(self.rows[run])
+
     def wins(self, a: int, b: int) -> bool:
         """An exhausted run loses; of equal heads the earlier run wins."""
         x, y = self.heads[a], self.heads[b]
@@ -162,9 +222,8 @@ class LoserTree:
             return
         while self.heads[self.top] is not None:
             run = self.top
-            yield self.runs[run][self.at[run]]
-            self.at[run] += 1
-            self.heads[run] = self.key(self.runs[run][self.at[run]]) if self.at[run] < len(self.runs[run]) else None
+            yield self.rows[run]
+            self.draw(run)
             node, winner = (run + self.k) // 2, run
             while node:
                 if self.wins(self.tree[node], winner):
@@ -173,34 +232,38 @@ class LoserTree:
             self.top = winner
 
 
-def merged_index(runs: DataFrame, rows_per_part: int = 200_000) -> DataFrame:
+def stretches(table: pa.Table) -> list[Iterator[tuple]]:
+    """A cursor over the rows of each archive in the order of its run."""
+    code = table.column("archive").combine_chunks().dictionary_encode()
+    order = np.lexsort((table.column("place").to_numpy(), code.indices.to_numpy()))
+    ends = np.cumsum(np.bincount(code.indices.to_numpy(), minlength=len(code.dictionary)))
+
+    def cursor(first: int, last: int) -> Iterator[tuple]:
+        for i in range(first, last, 500):
+            part = table.take(pa.array(order[i : min(i + 500, last)]))
+            yield from zip(*(part.column(n).to_pylist() for n in NAMES), strict=True)
+
+    return [cursor(int(a), int(b)) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def merged_index(runs: DataFrame, rows_per_part: int = 50_000) -> DataFrame:
     """The index in global order: its columns, the part (ascending in key) and the place within the part."""
-    total = runs.count()
-    parts = max(1, -(-total // rows_per_part), int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    names = [x.split()[0] for x in INDEX.split(", ")]
+    parts = max(1, -(-runs.count() // rows_per_part), int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        stretches: dict[str, list[tuple]] = {}
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                stretches.setdefault(row[9], []).append(row)
-        for rows in stretches.values():  # a run's stretch may come in pieces from several readers
-            if any(capture_key(a) > capture_key(b) for a, b in zip(rows, rows[1:], strict=False)):
-                rows.sort(key=capture_key)
-        part, place, out = TaskContext.get().partitionId(), 0, []
-        for row in LoserTree([stretches[name] for name in sorted(stretches)], capture_key):
+        held = list(batches)
+        if not held:
+            return
+        part, out = TaskContext.get().partitionId(), []
+        for place, row in enumerate(LoserTree(stretches(pa.Table.from_batches(held)), capture_key)):
             out.append((*row, part, place))
-            place += 1
             if len(out) == 10_000:
-                yield table(out)
+                yield index_batch(out, [*NAMES, "part", "place"])
                 out = []
         if out:
-            yield table(out)
-
-    def table(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n in TEXT else pa.int64()) for n, c in zip([*names, "part", "place"], zip(*rows, strict=True), strict=True)], names=[*names, "part", "place"])
+            yield index_batch(out, [*NAMES, "part", "place"])
 
     return runs.repartitionByRange(int(parts), "url_key", "captured", "page_id", "archive", "offset").mapInArrow(merge, f"{INDEX}, part long, place long")
 

@@ -455,19 +455,25 @@ def test_chat_query_has_windows_and_repeats(spark):
 # --- search
 
 
-@pytest.mark.parametrize("kw", [{}, {"pivots": 3, "block": 7, "query_block": 4}])
+@pytest.mark.parametrize("kw", [{}, {"pivots": 3, "block": 7, "query_rows": 5, "query_block": 4}])
 def test_top_k_equals_brute_force(spark, kw):
     rng = np.random.default_rng(8)
     rows = [(i, [float(x) for x in np.float32(rng.normal(size=6))], "x") for i in range(300)] + [(300 + i, [0.5] * 6, "x") for i in range(60)]
     rows += [(400, None, "x"), (401, [], "x"), (402, [1.0, None, 0.0, 0.0, 0.0, 0.0], "x"), (403, [float("nan")] * 6, "x"), (404, [float("inf")] * 6, "x"), (500, [1.0, 2.0], "x")]
+    rows += [(None, [0.9] * 6, "x"), (None, [0.25] * 6, "x"), (600, [0.5] * 6, "y")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
-    good = {i: [math.floor(1024 * x) for x in v] + [0] * (6 - len(v)) for i, v, _ in rows if v and all(x is not None and math.isfinite(x) for x in v)}
+    void = [tuple(math.floor(1024 * x) for x in v) for i, v, _ in rows if i is None]
+    good = {i: [math.floor(1024 * x) for x in v] + [0] * (6 - len(v)) for i, v, _ in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
     expected = []
     for q in (i for i in good if i % 20 == 0):
-        best = sorted(((-sum(a * b for a, b in zip(good[q], v, strict=True)), i) for i, v in good.items() if i != q))[:10]
+        all_ = [(i, v) for i, v in good.items() if i != q] + [(math.inf, v) for v in void]
+        best = sorted((-sum(a * b for a, b in zip(good[q], v, strict=True)), i) for i, v in all_)[:10]
         expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, **kw).collect()]
-    assert sorted(got) == sorted(expected)
+    got = [(q, r, math.inf if i is None else i, s) for q, r, i, s in topk.top_k(df, F.col("vec_id") % 20 == 0, **kw).collect()]
+    assert sorted(got) == sorted(expected) and any(i == math.inf for _, _, i, _ in got)
+    # a query's row repeated: it asks once, and none of its rows is an answer
+    few = df.where("vec_id < 12").union(df.where("vec_id = 0")).union(df.where("vec_id = 0"))
+    assert sorted(r["vec_id"] for r in topk.top_k(few, F.col("vec_id") == 0, **kw).collect()) == sorted(i for s, i in sorted((-sum(a * b for a, b in zip(good[0], good[i], strict=True)), i) for i in range(1, 12))[:10])
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert topk.top_k(df.where("vec_id in (0, 1, 2)"), F.col("vec_id") % 20 == 0).count() == 2
 
@@ -490,7 +496,7 @@ def test_loser_tree_merges():
 def test_archives_round_trip(spark):
     tricky = "WARC/1.1\r\n\r\n\r\n\r\nContent-Length: 3\r\nü" * 9
     rows = [(i, f"http://www.h{i % 5}.com:80/p?b=2&a={i % 3}", f"<p>{'x' * 200}{i % 40}</p>") for i in range(300)]
-    rows += [(900, None, None), (901, "http://a\r\nX: y/", tricky), (899, "http://b", tricky), (902, "c", "short"), (903, "d", "short"), (904, "http://[bad", "\r\n\r\n"), (905, "u", "long" * 9000)]
+    rows += [(900, None, None), (901, "http://a\r\nX: y/", tricky), (899, "http://b", tricky), (902, "c", "short"), (903, "d", "short"), (904, "http://[bad", "\r\n\r\n"), (906, "e", "ends\r\n"), (907, "e", "\r\n\r\r\n\n\r\n"), (905, "u", "long" * 9000)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, part string")
     got = warc.capture_index(df).collect()
     assert len(got) == len(rows)
@@ -508,6 +514,8 @@ def test_archives_round_trip(spark):
     order = [(r["url_key"].encode(), r["captured"], r["page_id"]) for r in sorted(got, key=lambda r: (r["part"], r["place"]))]
     assert order == sorted(order)
     assert warc.capture_index(df.limit(0)).count() == 0
+    small = warc.capture_index(df, per_archive=7).collect()
+    assert len({r["archive"] for r in small}) > 40 and sorted((r["page_id"], r["record_type"]) for r in small) == sorted((r["page_id"], r["record_type"]) for r in got)
     assert warc.url_key("https://WWW.Ex.org:443/A/?b=1&a=2") == "org,ex)/a?a=2&b=1"
 
 
@@ -517,6 +525,17 @@ def test_broken_archives_are_errors():
             list(warc.parse_archive(bad))
 
 
+def test_archives_are_parsed_from_pieces():
+    records = [b"WARC/1.1\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(b), b) for b in (b"", b"\r\n\r\n", b"x\r\n", b"abc" * 50)]
+    data = b"".join(records)
+    whole = list(warc.parse_archive(data))
+    assert [(r[2], r[3]) for r in whole] == [(sum(map(len, records[:i])), len(r)) for i, r in enumerate(records)]
+    for step in (1, 3, 64):
+        parser = warc.Parser()
+        assert [x for i in range(0, len(data), step) for x in parser.feed(data[i : i + step])] == whole
+        parser.close()
+
+
 # --- language model
 
 
