@@ -1,8 +1,9 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule's cost and rejection rate are measured on a sample; rules then run in the order of rejection per cost and a
-document leaves at the first rule that rejects it. A verdict is the conjunction of all rules, so the order changes the
-time that a run takes and never its result.
+Each rule's cost and rejection rate are measured on a sample, the first ``SAMPLE`` documents of each task, so that no table
+is read a second time for it; rules then run in the order of rejection per cost and a document leaves at the first rule that
+rejects it. A verdict is the conjunction of all rules, so the order changes the time that a run takes and never its result
+(only ``rejected_by`` names the first rule of the task's own order).
 
 Defined results: a null text is an empty one (no words: rejected by ``few_words``); a null id stays null; repeated rows
 are judged one by one; an empty table gives an empty table; other columns are ignored by :func:`quality_table` and
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from synthcal.llm.shared import utf8
 
+SAMPLE = 200
 _SPACE = bytes([0x20, *range(0x09, 0x0E)])
 _SYMBOLS = b"#*$%&|<>"
 _UPPER = bytes(range(0x41, 0x5B))
@@ -93,55 +95,45 @@ RULES: dict[str, Callable[[Page], bool]] = {
 BASE_RULES = ("few_words", "repeated_words")
 
 
-def rule_order(docs: DataFrame, text: str = "text", fraction: float = 0.01, seed: int = 7) -> list[str]:
-    """Rule names by measured rejections per second on a sample of about ``fraction`` of the rows.
+class Cascade:
+    """Judges pages by rules in the given order, or in one that it finds on the first ``sample`` pages."""
 
-    Timed where the rows are; one row per rule and task comes back. Rules that the sample says nothing about keep their
-    written order at the end.
-    """
+    def __init__(self, order: list[str] | None = None, sample: int = SAMPLE):
+        self.order, self.waiting = list(order or RULES), 0 if order else sample
+        self.spent, self.hits = dict.fromkeys(RULES, 0), dict.fromkeys(RULES, 0)
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spent, hits = dict.fromkeys(RULES, 0), dict.fromkeys(RULES, 0)
-        for batch in batches:
-            for raw in utf8(batch.column(0)):
-                for name, rule in RULES.items():
-                    page = Page(raw)  # each rule pays for its own statistics here
-                    began = time.perf_counter_ns()
-                    hits[name] += rule(page)
-                    spent[name] += time.perf_counter_ns() - began
-        yield pa.RecordBatch.from_pydict({"rule": list(RULES), "spent": list(spent.values()), "hits": list(hits.values())})
-
-    seen = (
-        docs.select(F.col(text).cast("string").alias("t"))
-        .sample(fraction=fraction, seed=seed)
-        .mapInArrow(probe, "rule string, spent long, hits long")
-        .groupBy("rule")
-        .agg(F.sum("spent").alias("spent"), F.sum("hits").alias("hits"))
-        .collect()
-    )
-    rate = {r["rule"]: r["hits"] / max(r["spent"], 1) for r in seen}
-    return sorted(RULES, key=lambda name: -rate.get(name, 0.0))
-
-
-def first_rejection(page: Page, order: list[str]) -> str | None:
-    for name in order:
-        if RULES[name](page):
-            return name
-    return None
+    def rejected_by(self, page: Page) -> str | None:
+        """The first rule that rejects the page."""
+        if self.waiting:
+            self.measure(page.raw)
+        for name in self.order:
+            if RULES[name](page):
+                return name
+        return None
+
+    def measure(self, raw: bytes) -> None:
+        for name, rule in RULES.items():
+            page = Page(raw)  # each rule pays for its own statistics here
+            began = time.perf_counter_ns()
+            self.hits[name] += rule(page)
+            self.spent[name] += time.perf_counter_ns() - began
+        self.waiting -= 1
+        if not self.waiting:  # rules without a rejection keep their written order at the end
+            self.order = sorted(RULES, key=lambda name: -self.hits[name] / max(self.spent[name], 1))
 
 
 def quality_table(docs: DataFrame, order: list[str] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Base statistics of every whole text, the base verdict, the cascade's verdict and the rule that rejected first."""
-    order = order or rule_order(docs, text)
     kind = docs.schema[doc_id].dataType
     schema = f"doc_id {kind.simpleString()}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string"
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cascade = Cascade(order)
         for batch in batches:
             out: list[list] = [[] for _ in range(8)]
             for raw in utf8(batch.column(1)):
                 p = Page(raw)
-                by = first_rejection(p, order)
+                by = cascade.rejected_by(p)
                 failed = by in BASE_RULES or any(RULES[r](p) for r in BASE_RULES)
                 for column, value in zip(out, (p.n_words, p.word_chars, p.n_symbols, p.n_dup_lines, p.n_repeat_words, failed, by is None, by), strict=True):
                     column.append(value)
@@ -156,11 +148,11 @@ def quality_table(docs: DataFrame, order: list[str] | None = None, doc_id: str =
 
 def quality_filter(docs: DataFrame, order: list[str] | None = None, text: str = "text") -> DataFrame:
     """The rows that no rule rejects, with all their columns."""
-    order = order or rule_order(docs, text)
     at = docs.columns.index(text)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cascade = Cascade(order)
         for batch in batches:
-            yield batch.filter(pa.array([first_rejection(Page(raw), order) is None for raw in utf8(batch.column(at))], pa.bool_()))
+            yield batch.filter(pa.array([cascade.rejected_by(Page(raw)) is None for raw in utf8(batch.column(at))], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -1,15 +1,18 @@
 """Quality by compression: zstandard dictionaries of good and of bad text.
 
 A text is compressed with either dictionary. The difference of the sizes over their sum, with the text's own
-compressibility, goes through a logistic curve fitted on training rows and becomes a probability of label 1.
-
-Fitting reads a bounded sample of labelled rows (about ``per_label`` rows of each label, ``fit_chars`` code points of
-each), taken by hash of the id; scoring reads every whole text.
-
-Defined results: null and empty texts get the score of the empty text (the share of label 1 in the sample); rows whose
-label is null or that the labels lack don't take part in fitting; an id labelled twice counts with its smallest label;
-with fewer than LEAST rows of either label every score is the share of label 1 (0.5 with no labels at all); an empty table gives an
-empty table; other columns are ignored by :func:`quality_scores` and passed through by :func:`keep_good`.
+compressibility, goes through a logistic curve fitted on training rows and becomes a probability of label 1 among texts
+whose labels come in the training rows' shares.
+
+Fitting reads a bounded sample of labelled rows, about ``per_label`` of each label, taken by hash of the id: half of them
+give evenly spread pieces (``pieces`` of each text at most) for the dictionaries, the other half, as whole texts compressed
+where they are, gives the curve. Few rows give weak dictionaries and a curve drawn towards the labels' shares; there is no
+least number. Scoring reads every whole text.
+
+Defined results: null and empty texts get the score of the empty text (the share of label 1 among all training labels); rows
+whose label is null or that the labels lack don't take part in fitting; an id labelled twice counts with its smallest label;
+without text of either label every score is the share of label 1 (0.5 with no labels at all); an empty table gives an empty
+table; other columns are ignored by :func:`quality_scores` and passed through by :func:`keep_good`.
 """
 
 from __future__ import annotations
@@ -21,17 +24,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from synthcal.llm.shared import fold, utf8
+from synthcal.llm.shared import fold, materialize, utf8
 
 LEVEL = 3
 #: Texts are compressed in chunks of so many bytes, one after the other to the end: else a long text's own words take the
 #: dictionary's place and long texts of either kind look alike.
 CHUNK = 1024
-#: Fewer rows of a label than this can't fill a dictionary and a curve.
-LEAST = 16
+#: Bytes of a piece of dictionary material; rows that the curve's prior counts for.
+PIECE, SHRINK = 2048, 4.0
 
 
 @dataclass(frozen=True)
@@ -79,54 +82,82 @@ def features(raw: bytes, sizes) -> tuple[float, float, float]:
     return (100 * (b - g) / (b + g), own / (len(raw) + 20), min(g, b) / (own + 20))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, per_label: int, fit_chars: int) -> list:
-    """A sample of about ``per_label`` rows of each label: those whose id's hash lies below the label's share."""
+def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, per_label: int) -> tuple[dict[int, int], DataFrame | None]:
+    """How many training rows each label has, and a sample of about ``per_label`` of each with whole texts (y, place, raw):
+    those whose id's hash lies below the label's share, placed in its order."""
     mark = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y")).where("i is not null and y in (0, 1)")
     mark = mark.groupBy("i").agg(F.min("y").alias("y")).where(fold("i", 3) != 1)
     total = {r["y"]: r["n"] for r in mark.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not total:
-        return []
+        return total, None
     place = F.shiftrightunsigned(F.xxhash64("i"), 11) / float(1 << 53)
     share = F.when(F.col("y") == 0, F.lit(per_label / total.get(0, 1))).otherwise(F.lit(per_label / total.get(1, 1)))
     mark = mark.withColumn("h", place).where(F.col("h") < share)
-    rows = docs.select(F.col(doc_id).alias("i"), F.substring(F.col(text).cast("string"), 1, fit_chars).alias("t"))
+    rows = docs.select(F.col(doc_id).alias("i"), F.col(text).cast("string").alias("t")).where(F.length("t") > 0)
     found = rows.join(F.broadcast(mark), "i").groupBy("i", "y", "h").agg(F.min("t").alias("t"))  # about 2 * per_label ids are broadcast
-    return sorted(found.collect(), key=lambda r: (r["h"], r["i"]))
+    found = found.withColumn("place", F.row_number().over(Window.partitionBy("y").orderBy("h", "i")))  # of the sample's rows
+    return total, materialize(found.select("y", "place", F.col("t").cast("binary").alias("raw")), "quality-sample")
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", per_label: int = 800, fit_chars: int = 20_000, dict_bytes: int = 48 * 1024) -> QualityModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", per_label: int = 800, pieces: int = 12, dict_bytes: int = 48 * 1024) -> QualityModel:
     """Dictionaries from one half of the sample, the calibration curve from the other half."""
-    rows = [(r["y"], (r["t"] or "").encode()) for r in training_rows(docs, labels, doc_id, text, label, per_label, fit_chars)]
-    share = (sum(y for y, _ in rows) + 0.5) / (len(rows) + 1) if rows else 0.5
-    by = {y: [t for v, t in rows if v == y and t] for y in (0, 1)}
-    if min(map(len, by.values())) < LEAST:
+    total, sample = training_rows(docs, labels, doc_id, text, label, per_label)
+    share = (total.get(1, 0) + 0.5) / (sum(total.values()) + 1)
+    if sample is None:
+        return QualityModel(b"", b"", (0.0, 0.0, 0.0, 0.0), share)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for y, place, raw in zip(*(batch.column(i) for i in range(3)), strict=True):
+                spread = evenly(raw.as_py(), pieces)
+                yield pa.RecordBatch.from_arrays([pa.array([y.as_py()] * len(spread), pa.int32()), pa.array([place.as_py()] * len(spread), pa.int32()), pa.array(spread, pa.binary())], names=["y", "place", "raw"])
+
+    material = sample.where("place % 2 = 1").mapInArrow(cut, sample.schema).collect()  # at most per_label * pieces pieces
+    by = {y: [bytes(r["raw"]) for r in sorted(material, key=lambda r: r["place"]) if r["y"] == y] for y in (0, 1)}
+    if not by[0] or not by[1]:
         return QualityModel(b"", b"", (0.0, 0.0, 0.0, 0.0), share)
-    built = {y: dictionary(by[y][0::2], dict_bytes) for y in (0, 1)}
-    sizes = sizer(built[1], built[0])
-    held = [(y, features(t, sizes)) for y in (0, 1) for t in by[y][1::2]]
-    coef = logistic(np.array([f for _, f in held]), np.array([y for y, _ in held], dtype=float))
-    return QualityModel(built[1], built[0], coef, share)
+    good, bad = dictionary(by[1], dict_bytes), dictionary(by[0], dict_bytes)
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = sizer(good, bad)
+        for batch in batches:
+            found = [features(raw.as_py(), sizes) for raw in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[k] for f in found], pa.float64()) for k in range(3))], names=["y", "a", "b", "c"])
+
+    held = sample.where("place % 2 = 0").mapInArrow(measured, "y int, a double, b double, c double").collect()
+    held.sort()
+    return QualityModel(good, bad, logistic(np.array([r[1:] for r in held]).reshape(-1, 3), np.array([float(r[0]) for r in held]), share), share)
+
+
+def evenly(raw: bytes, most: int) -> list[bytes]:
+    """At most ``most`` pieces of the text, spread evenly from its start to its end."""
+    count = -(-len(raw) // PIECE)
+    chosen = range(count) if count <= most else [k * (count - 1) // (most - 1) for k in range(most)]
+    return [raw[k * PIECE : (k + 1) * PIECE] for k in chosen]
 
 
-def dictionary(texts: list[bytes], size: int) -> bytes:
+def dictionary(pieces: list[bytes], size: int) -> bytes:
     """A trained zstandard dictionary; with too little text for training, the text itself is the dictionary."""
-    pieces = [t[i : i + 2048] for t in texts for i in range(0, len(t), 2048)]
     try:
         return zstandard.train_dictionary(size, pieces).as_bytes()
     except zstandard.ZstdError:
         return b"".join(pieces)[:size].ljust(8, b" ")
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40) -> tuple[float, ...]:
-    """Ridge logistic regression by Newton steps on standardised columns, with both labels weighing alike."""
+def logistic(x: np.ndarray, y: np.ndarray, share: float, ridge: float = 1e-2, steps: int = 40) -> tuple[float, ...]:
+    """Logistic regression by Newton steps on standardised columns, the labels weighing by their true share. The ridge draws
+    slopes to 0 and the middle to the share; ``SHRINK`` of it doesn't grow with the rows."""
+    prior = np.array([math.log(share / (1 - share)), *[0.0] * x.shape[1]])
+    if not len(x):
+        return tuple(map(float, prior))
     mean, sd = x.mean(0), x.std(0) + 1e-9
     a = np.column_stack([np.ones(len(x)), (x - mean) / sd])
-    weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
-    b, penalty = np.zeros(a.shape[1]), np.diag([1e-9] + [ridge * len(y)] * x.shape[1])
+    weight = np.where(y == 1, share / max(y.sum(), 1), (1 - share) / max((1 - y).sum(), 1)) * len(y)
+    b, penalty = prior.copy(), np.diag([0.1 * SHRINK] + [ridge * len(y) + SHRINK] * x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
         h = (a * (weight * p * (1 - p))[:, None]).T @ a + penalty
-        step = np.linalg.solve(h + 1e-9 * np.eye(len(b)), a.T @ (weight * (y - p)) - penalty @ b)
+        step = np.linalg.solve(h, a.T @ (weight * (y - p)) - penalty @ (b - prior))
         b = b + step
         if np.abs(step).max() < 1e-9:
             break

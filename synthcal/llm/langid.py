@@ -4,9 +4,9 @@ A profile is a language's most frequent n-grams (1 to 3 letters of words padded
 document's own profile is compared to each by the out-of-place distance: the sum of the rank differences, with the
 profile's length for an n-gram that a language lacks. The nearest language wins.
 
-An n-gram is a 63-bit number, 21 bits a character, so a text's profile is a few vector operations. Training counts cover
-all training rows; n-grams are ranked per language in salted parts first. Only the profiles, at most ``profile`` rows for
-each of at most ``max_languages`` languages, come to the driver and go to the tasks.
+An n-gram is a 63-bit number, 21 bits a character, so a text's profile is a few vector operations on stretches of bounded
+length. Training counts cover all training rows; n-grams are ranked per language in salted parts first. Only the profiles,
+at most ``profile`` rows for each language that the labels name, come to the driver and go to the tasks.
 
 Defined results: ``und`` with score 0 for a null text, a text without a letter and where nothing could be learned; equal
 counts rank by the n-gram's number and equal distances go to the language that sorts first; a row with a null language
@@ -28,6 +28,8 @@ PROFILE = 400
 PAD = 0x5F
 #: So many n-grams wait in a task before they are counted and sent on.
 AT_ONCE = 2_000_000
+#: Characters of a text that are turned into n-grams together.
+STRETCH = 1 << 20
 _letters: list[np.ndarray] = []
 
 
@@ -41,21 +43,47 @@ def letter_table() -> np.ndarray:
     return _letters[0]
 
 
-def grams(text: str | None) -> np.ndarray:
-    """The n-grams of a text with repeats; empty if it has no letter."""
+def gram_parts(text: str | None) -> Iterator[np.ndarray]:
+    """The n-grams of a text with repeats, stretch by stretch; nothing if it has no letter."""
     if not text:
-        return np.empty(0, dtype=np.int64)
-    c = letter_table()[np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), dtype="<u4")]
-    pad = c == PAD
-    c = c[~(pad & np.concatenate([[False], pad[:-1]]))]  # a run of other characters is one pad
-    if len(c) < 3:
-        return np.empty(0, dtype=np.int64)
-    two = c[:-1] << 21 | c[1:]
-    three = two[:-1] << 21 | c[2:]
-    return np.concatenate([c[c != PAD], two, three[c[1:-1] != PAD]])
-
-
-def fit_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", profile: int = PROFILE, max_languages: int = 400) -> dict[str, list[int]]:
+        return
+    text = f" {text.lower()} "
+    tail = np.empty(0, dtype=np.int64)  # the last two characters before the stretch
+    for first in range(0, len(text), STRETCH):
+        c = letter_table()[np.frombuffer(text[first : first + STRETCH].encode("utf-32-le", "replace"), dtype="<u4")]
+        pad = c == PAD
+        c = c[~(pad & np.concatenate([tail[-1:] == PAD if len(tail) else [False], pad[:-1]]))]  # a run of other characters is one pad
+        whole, old = np.concatenate([tail, c]), len(tail)
+        if len(c):
+            two = whole[:-1] << 21 | whole[1:]
+            three = two[:-1] << 21 | whole[2:]
+            middle = whole[1:-1] != PAD
+            new = np.arange(2, len(whole)) >= old  # those that end in this stretch
+            found = [c[c != PAD], two[max(old - 1, 0) :], three[middle & new]]
+            if first or len(whole) > 2 or (whole != PAD).any():
+                yield np.concatenate(found)
+        tail = whole[-2:]
+
+
+def grams(text: str | None) -> np.ndarray:
+    """All n-grams of a text with repeats; empty if it has no letter."""
+    parts = list(gram_parts(text))
+    return np.concatenate(parts) if parts else np.empty(0, dtype=np.int64)
+
+
+def profile_of(text: str | None, most: int) -> np.ndarray:
+    """The text's most frequent n-grams in order."""
+    own, n = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    for part in gram_parts(text):
+        found, count = np.unique(part, return_counts=True)
+        if len(own):
+            found, back = np.unique(np.concatenate([own, found]), return_inverse=True)
+            count = np.bincount(back, weights=np.concatenate([n, count])).astype(np.int64)
+        own, n = found, count
+    return own[np.argsort(-n, kind="stable")[:most]]
+
+
+def fit_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", profile: int = PROFILE) -> dict[str, list[int]]:
     """language -> its n-grams, most frequent first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,12 +91,12 @@ def fit_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", profil
         waiting = 0
         for batch in batches:
             for tag, t in zip(batch.column(0), batch.column(1), strict=True):
-                found = grams(t.as_py())
-                by.setdefault(tag.as_py(), []).append(found)
-                waiting += len(found)
-                if waiting > AT_ONCE:
-                    yield from counted(by)
-                    by, waiting = {}, 0
+                for found in gram_parts(t.as_py()):
+                    by.setdefault(tag.as_py(), []).append(found)
+                    waiting += len(found)
+                    if waiting > AT_ONCE:
+                        yield from counted(by)
+                        by, waiting = {}, 0
         yield from counted(by)
 
     def counted(by: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -80,9 +108,7 @@ def fit_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", profil
     ranked = source.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     for part in ([F.col("lang"), F.pmod(F.xxhash64("gram"), F.lit(128))], [F.col("lang")]):
         ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy(*part).orderBy(F.desc("n"), "gram"))).where(F.col("r") <= profile)
-    found = ranked.limit(profile * max_languages + 1).collect()
-    if len(found) > profile * max_languages:
-        raise ValueError(f"more than {max_languages} languages: raise max_languages")
+    found = ranked.collect()
     out: dict[str, list[int]] = {}
     for r in sorted(found, key=lambda r: (r["lang"], r["r"])):
         out.setdefault(r["lang"], []).append(r["gram"])
@@ -90,25 +116,31 @@ def fit_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", profil
 
 
 class Ranker:
-    """Predicts with the profiles' ranks laid out by n-gram."""
+    """Predicts with the profiles laid out by n-gram: entries start[i] to start[i + 1] are the languages that have known[i]
+    and its rank there. The size is that of the profiles, and a text meets only entries of its own n-grams."""
 
     def __init__(self, profiles: dict[str, list[int]], profile: int = PROFILE):
         self.langs, self.profile = sorted(profiles), profile
-        self.known = np.array(sorted({g for p in profiles.values() for g in p}), dtype=np.int64)
-        self.ranks = np.full((len(self.langs), len(self.known)), -1, dtype=np.int64)
-        for k, tag in enumerate(self.langs):
-            self.ranks[k, np.searchsorted(self.known, profiles[tag])] = np.arange(len(profiles[tag]))
+        gram = np.array([g for tag in self.langs for g in profiles[tag]], dtype=np.int64)
+        sizes = [len(profiles[tag]) for tag in self.langs]
+        order = np.argsort(gram, kind="stable")
+        self.lang = np.repeat(np.arange(len(sizes)), sizes)[order]
+        self.rank = (np.concatenate([np.arange(n) for n in sizes]) if sizes else np.empty(0, dtype=np.int64))[order]
+        self.known, first = np.unique(gram[order], return_index=True)
+        self.start = np.append(first, len(gram))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        found = grams(text)
-        if not len(found) or not self.langs or not len(self.known):
+        own = profile_of(text, self.profile)
+        if not len(own) or not len(self.known):
             return "und", 0.0
-        own, n = np.unique(found, return_counts=True)
-        own = own[np.argsort(-n, kind="stable")[: self.profile]]
         at = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
-        ranks = self.ranks[:, at]
-        gap = np.where((self.known[at] == own) & (ranks >= 0), np.abs(ranks - np.arange(len(own))), self.profile)
-        mean = gap.sum(axis=1) / (len(own) * self.profile)  # 0: the same profile, 1: nothing in common
+        place = np.flatnonzero(self.known[at] == own)
+        at = at[place]
+        many = self.start[at + 1] - self.start[at]
+        entry = np.repeat(self.start[at] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        saved = self.profile - np.abs(self.rank[entry] - np.repeat(place, many))
+        gap = len(own) * self.profile - np.bincount(self.lang[entry], weights=saved, minlength=len(self.langs))
+        mean = gap / (len(own) * self.profile)  # 0: the same profile, 1: nothing in common
         best = int(np.argmin(mean))
         near = np.exp((mean[best] - mean) * 20)
         return self.langs[best], float(near[best] / near.sum())

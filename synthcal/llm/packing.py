@@ -4,7 +4,8 @@ Every text becomes its token ids and one end id. Full windows are cut off as the
 cut into equal pieces of at most ``piece`` tokens. A task buffers pieces until they fill about ``windows`` windows and then parts them into that many windows of
 near-equal length: the two partial partitions with the largest imbalance are merged, the fullest window of one with the
 emptiest of the other, until one partition is left. If its fullest window exceeds the capacity, the number of windows
-rises by one and the differencing starts anew. No row leaves its task, so nothing is shuffled.
+rises by one and the differencing starts anew. No row leaves its task, so nothing is shuffled; small partitions of the table
+are taken together until a task has about ``rows_per_task`` documents, for only a task's last windows are filled in part.
 
 Defined results: a null or empty text is its end id alone; repeated rows and ids are packed row by row; an empty table
 gives no pieces; other columns are ignored. The ids come out as little-endian unsigned 32-bit bytes.
@@ -30,6 +31,8 @@ END = 2
 #: Latin or Cyrillic letters that NFC leaves alone and whose lower case is one letter, and ASCII punctuation behind them
 #: (without the apostrophe, which the tokenizer's pattern joins with letters).
 _SIMPLE = r"^(?P<base>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{17f}\x{400}-\x{45f}]{1,100})(?P<tail>[!-&(-/:-@\[-`{-~]*)$"
+#: Texts on which the way by words must give the tokenizer's own ids.
+PROBES = ["", " a", "a b", "Ab, c.D  e", "It's 12,5 x-y\n\tz!!", "Über ÉCOLE Москва ß", "(a) [b] <c> #d_e", "日本 a1b2 \u00a0x", "don'T 'twas re've"]
 _CONTROL = re.compile("[\x1c-\x1f]").search
 
 
@@ -89,7 +92,8 @@ class Words:
     The tokenizer never joins across white space, and parts a word's letters from the punctuation after it. So a text's
     ids are those of its words' letters and tails in a row. Arrow cuts a batch into words and numbers the distinct ones;
     only letters not met before go through the tokenizer's model, all together, and the ids are laid out by numpy.
-    Whatever isn't letters with ASCII punctuation behind goes through the whole tokenizer, word by word.
+    Whatever isn't letters with ASCII punctuation behind goes through the whole tokenizer, word by word. A tokenizer of
+    another kind (no byte-pair model with an end-of-word mark, or other ids for :data:`PROBES`) encodes whole texts.
     """
 
     def __init__(self, path: str, keep: int = 250_000):
@@ -97,13 +101,17 @@ class Words:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
-        #: The same model without normaliser and pattern, for lower-case letters.
-        self.model = Tokenizer(self.tokenizer.model)
-        self.model.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.bytes = byte_letters()
+        self.by_word = type(self.tokenizer.model).__name__ == "BPE" and self.tokenizer.model.end_of_word_suffix == "</w>"
+        if self.by_word:
+            #: The same model without normaliser and pattern, for lower-case letters.
+            self.model = Tokenizer(self.tokenizer.model)
+            self.model.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+            self.bytes = byte_letters()
+            self.forget()
+            self.by_word = self.encode(PROBES) == [ids.tobytes() for ids in self.plain(PROBES)]
         self.forget()
 
     def forget(self) -> None:
@@ -159,6 +167,8 @@ class Words:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian ids of each text, without the end id."""
+        if not self.by_word:
+            return [ids.tobytes() for ids in self.plain([t or "" for t in texts])]
         if len(self.letters) + len(self.others) > self.keep:
             self.forget()
         # Arrow takes four control characters for white space, and the tokenizer's pattern doesn't
@@ -180,7 +190,7 @@ class Words:
         return out
 
 
-def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = WINDOW, end: int = END, windows: int = 64, piece: int = WINDOW // 4) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = WINDOW, end: int = END, windows: int = 64, piece: int = WINDOW // 4, rows_per_task: int = 2_000) -> DataFrame:
     """doc_id, start, length, ids, doc_tokens, sequence_id, offset: a row per piece.
 
     ``tokenizer`` is the path of a tokenizer file that every worker can read.
@@ -232,4 +242,5 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
         if pieces:
             yield flush()
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(run, schema)
+    tasks = max(1, -(-docs.count() // rows_per_task))  # more than the table's partitions leaves them as they are
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("t")).coalesce(tasks).mapInArrow(run, schema)

@@ -61,8 +61,10 @@ def test_order_of_rules_does_not_change_verdicts(spark):
     df = docs_of(spark, [*ODD, *(" ".join(f"w{i * k}" for i in range(80)) for k in range(20))])
     base = {r["doc_id"]: r["kept"] for r in cascade.quality_table(df, list(cascade.RULES)).collect()}
     assert base == {r["doc_id"]: r["kept"] for r in cascade.quality_table(df, list(cascade.RULES)[::-1]).collect()}
-    order = cascade.rule_order(df, fraction=1.0)
-    assert sorted(order) == sorted(cascade.RULES) and cascade.RULES[order[0]](cascade.Page(b""))
+    judge = cascade.Cascade(sample=30)
+    verdicts = [judge.rejected_by(cascade.Page(raw)) is None for raw in [b""] * 20 + [b"word " * 90] * 10 + [b""]]
+    assert verdicts == [False] * 31 and sorted(judge.order) == sorted(cascade.RULES)
+    assert {judge.order[0], judge.order[1]} <= {"few_words", "repeated_words"} and judge.order[2:] == list(cascade.RULES)[2:]
     kept = cascade.quality_filter(df)
     assert kept.schema == df.schema and {r["doc_id"] for r in kept.collect()} == {k for k, v in base.items() if v}
     assert cascade.quality_filter(df.limit(0)).count() == 0
@@ -91,19 +93,75 @@ def test_compression_classifier_on_held_out_rows(spark):
     assert kept.schema == docs.schema and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["predicted"]}
 
 
+def test_classifier_equals_a_plain_version(spark):
+    import zstandard
+
+    docs, labels = labelled(spark)
+    text = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    given = {}
+    for r in labels.where("doc_id is not null and quality is not null").collect():
+        given[r["doc_id"]] = min(r["quality"], given.get(r["doc_id"], 1))
+    train = {i: y for i, y in given.items() if zlib.crc32(str(i).encode()) % 3 != 1}
+    share = (sum(train.values()) + 0.5) / (len(train) + 1)
+    place = {r["id"]: r["h"] for r in spark.range(300).select("id", F.shiftrightunsigned(F.xxhash64("id"), 11).alias("h")).collect()}
+    order = {y: sorted((i for i in train if train[i] == y), key=place.get) for y in (0, 1)}
+    pieces = {y: [text[i][k : k + 2048] for i in order[y][0::2] for k in range(0, len(text[i]), 2048)] for y in (0, 1)}
+    packs = {}
+    for y in (0, 1):
+        d = zstandard.ZstdCompressionDict(compress.dictionary(pieces[y], 48 * 1024))
+        d.precompute_compress(level=3)
+        packs[y] = zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+    packs[None] = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
+    size = lambda y, t: sum(len(packs[y].compress(t[k : k + 1024])) for k in range(0, len(t), 1024))
+
+    def features(t):
+        good, bad, own = size(1, t), size(0, t), size(None, t)
+        return [100 * (bad - good) / (bad + good), own / (len(t) + 20), min(good, bad) / (own + 20)]
+
+    curve = [(features(text[i]), y) for y in (0, 1) for i in order[y][1::2]]
+    x, y = np.array([f for f, _ in curve]), np.array([float(v) for _, v in curve])
+    mean, sd = x.mean(0), x.std(0)
+    w = np.where(y == 1, share / y.sum(), (1 - share) / (1 - y).sum()) * len(y)
+    b, start = np.array([math.log(share / (1 - share)), 0.0, 0.0, 0.0]), math.log(share / (1 - share))
+    a = np.column_stack([np.ones(len(x)), (x - mean) / sd])
+    for _ in range(200_000):  # plain gradient steps on the same penalised likelihood
+        g = a.T @ (w * (y - 1 / (1 + np.exp(-a @ b)))) - np.array([0.4 * (b[0] - start), *((0.01 * len(y) + 4) * b[1:])])
+        b = b + 0.004 * g
+        if np.abs(g).max() < 1e-9:
+            break
+    got = {r["doc_id"]: r["score"] for r in compress.quality_scores(docs, compress.fit_quality(docs, labels)).collect()}
+    for i in range(0, 300, 7):
+        z = b[0] + ((np.array(features(text[i])) - mean) / sd) @ b[1:]
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-4)
+
+
+def test_scores_follow_the_labels_shares(spark):
+    rng = random.Random(4)
+    y = [int(rng.random() < 0.85) for _ in range(600)]
+    texts = [" ".join(rng.choice(["same", "words", "here", "plain", "good" if v else "bad"]) if rng.random() < 0.9 else f"x{rng.randrange(99)}" for _ in range(rng.randint(3, 8))) for v in y]
+    docs, labels = docs_of(spark, texts), spark.createDataFrame(list(enumerate(y)), "doc_id long, quality int")
+    model = compress.fit_quality(docs, labels)
+    scores = {r["doc_id"]: r["score"] for r in compress.quality_scores(docs, model).collect()}
+    held = [i for i in scores if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert model.prior == pytest.approx(0.85, abs=0.04) and np.mean([scores[i] for i in held]) == pytest.approx(np.mean([y[i] for i in held]), abs=0.08)
+
+
 def test_classifier_without_labels_and_odd_texts(spark):
     docs, labels = labelled(spark, 30)
     for few in (labels.limit(0), labels.where("quality = 1")):
         assert len({r["score"] for r in compress.quality_scores(docs, compress.fit_quality(docs, few)).collect()}) == 1
+    few = compress.fit_quality(docs, labels.where("doc_id in (0, 1, 2, 3, 6, 8)"))  # a handful of rows: weak, but no other method
+    assert few.good and few.bad and all(0 < r["score"] < 1 for r in compress.quality_scores(docs, few).collect())
     odd = compress.quality_scores(docs_of(spark, ODD), compress.fit_quality(*labelled(spark)))
     assert odd.count() == len(ODD) and odd.where("score is null").count() == 0
-    assert compress.fit_quality(docs.limit(0), labels).prior == 0.5
+    assert compress.fit_quality(docs.limit(0), labels.limit(0)).prior == 0.5
+    assert compress.evenly(b"x" * 2048 * 100 + b"end", 5)[-1] == b"end" and len(compress.evenly(b"abc", 5)) == 1
 
 
 # --- language
 
 
-def test_grams_equal_plain_ones():
+def test_grams_equal_plain_ones(monkeypatch):
     for t in [*ODD, "Ab-c dé_f"]:
         c = [x if x.isalpha() else "_" for x in f" {(t or '').lower()} "]
         squeezed = [x for i, x in enumerate(c) if x != "_" or i == 0 or c[i - 1] != "_"]
@@ -115,7 +173,11 @@ def test_grams_equal_plain_ones():
                     if g != ["_"] and not (n == 3 and g[1] == "_"):
                         expected["".join(g)] += 1
         code = lambda g: sum(ord(x) << 21 * (len(g) - 1 - i) for i, x in enumerate(g))
-        assert collections.Counter(langid.grams(t).tolist()) == collections.Counter({code(g): n for g, n in expected.items()})
+        for stretch in (1 << 20, 7, 1):
+            monkeypatch.setattr(langid, "STRETCH", stretch)
+            assert collections.Counter(langid.grams(t).tolist()) == collections.Counter({code(g): n for g, n in expected.items()})
+            own = langid.profile_of(t, 50).tolist()
+            assert own == [g for g, _ in sorted(((code(g), n) for g, n in expected.items()), key=lambda x: (-x[1], x[0]))[:50]]
 
 
 def test_language_by_out_of_place_distance(spark):
@@ -360,9 +422,26 @@ def test_packing_is_exact_and_dense(spark):
             at += r["length"]
         assert at <= 4096
     assert sum(r["length"] for r in rows) / (4096 * len(by_sequence)) > 0.8
+    spread = packing.pack(docs_of(spark, texts * 3).repartition(40), tokenizer_path()).groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.avg("n")).first()[0]
+    assert spread > 0.97 * 4096  # however many partitions
     assert packing.pack(docs_of(spark, ODD).limit(0), tokenizer_path()).count() == 0
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_packing_with_either_kind_of_tokenizer(spark, name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    assert packing.Words(public_tokenizers.path(name)).by_word == (name == "word_bpe_49k.json")
+    texts = [*ODD, *packing.PROBES]
+    ids = collections.defaultdict(dict)
+    for r in packing.pack(docs_of(spark, texts), public_tokenizers.path(name), end=0).collect():
+        ids[r["doc_id"]][r["start"]] = r["ids"]
+    for i, t in enumerate(texts):
+        assert np.frombuffer(b"".join(v for _, v in sorted(ids[i].items())), "<u4").tolist() == [*plain.encode(t or "", add_special_tokens=False).ids, 0]
+
+
 def test_differencing_is_near_equal():
     rng = random.Random(6)
     lengths = [rng.randint(1, 1000) for _ in range(400)]
