@@ -74,13 +74,16 @@ def binomial_ranks(n: int, q: float, alpha: float) -> tuple[int, int]:
     with P(B >= high) <= alpha/2, for B binomial(n, q). Low may be 0 and high n + 1 (then that end is infinite)."""
     if not 0 < q < 1:
         raise ValueError(f"q must lie in (0, 1): {q}")
-    mass = [math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(q) + (n - k) * math.log1p(-q)) for k in range(n + 1)]
-    low, below = 0, 0.0
-    while low < n and below + mass[low] <= alpha / 2:
-        below += mass[low]
+    # beyond 40 standard deviations nothing is left that a double could hold
+    far = 40 * math.sqrt(n * q * (1 - q)) + 40
+    first, last = max(0, math.floor(n * q - far)), min(n, math.ceil(n * q + far))
+    mass = lambda k: math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(q) + (n - k) * math.log1p(-q))
+    low, below = first, 0.0
+    while low < n and below + mass(low) <= alpha / 2:
+        below += mass(low)
         low += 1
-    high, above = n + 1, 0.0
-    while high > 0 and above + mass[high - 1] <= alpha / 2:
-        above += mass[high - 1]
+    high, above = last + 1, 0.0
+    while high > 0 and above + mass(high - 1) <= alpha / 2:
+        above += mass(high - 1)
         high -= 1
     return low, high

@@ -1,41 +1,37 @@
 """Grid search for the split of the error budget with the least interval width, per held-out task.
 
-The grid depends on the level and the size of the history only. So all gaps are ranked once per grid point's gap level and
-side, leave-one-out is the usual shift, and a task's own standard error enters through 2 z(alpha1) s.
+The grid depends on the level and the size of the history only. So the gap intervals' ends are ranked once per grid point,
+leave-one-out is the usual shift between two order statistics, and a task's own standard error enters through
+2 z(alpha1) s.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from synthcal.functions.expressions import covers
 from synthcal.functions.levels import z
 from synthcal.sources.scratch import written
 
-
-def linspace(a: float, b: float, n: int) -> list[float]:
-    step = (b - a) / (n - 1) if n > 1 else 0.0
-    return [a + i * step for i in range(n - 1)] + [b] if n > 1 else [a]
+POINT = "i3 int, i1 int, alpha1 double, alpha2 double, alpha3 double, z1 double, z2 double, k_low int, k_high int"
 
 
 def grid_points(alpha: float, t: int, n_grid: int = 30, eps: float = 1e-4) -> list[tuple]:
-    """(i3, i1, alpha1, alpha2, alpha3, z1, z2, k_low, k_high) of the feasible points; none if the level is too small."""
-    least = 2.0 / (t + 1)
-    if alpha <= least + 2 * eps:
+    """The feasible splits of the level, as rows of :data:`POINT`.
+
+    alpha3 runs evenly over its range [2 / (t + 1) + eps, alpha - 2 eps], and for each alpha1 over [eps, rest - eps] of the
+    rest; alpha2 is what is left. A point is feasible if both ranks exist and no share is below eps.
+    """
+    if alpha - 2 * eps <= 2 / (t + 1):
         return []
-    out = []
-    for i3, a3 in enumerate(linspace(max(least + eps, eps), alpha - 2 * eps, n_grid)):
-        low, high = math.floor((t + 1) * a3 / 2.0), math.ceil((t + 1) * (1.0 - a3 / 2.0))
-        rest = alpha - a3
-        if low < 1 or high > t or rest <= 2 * eps:
-            continue
-        for i1, a1 in enumerate(linspace(eps, rest - eps, n_grid)):
-            if rest - a1 >= eps:
-                out.append((i3, i1, a1, rest - a1, a3, z(a1), z(rest - a1), low, high))
-    return out
+    a3 = np.linspace(2 / (t + 1) + eps, alpha - 2 * eps, n_grid)
+    rest = (alpha - a3)[:, None]
+    a1 = np.linspace(eps, rest[:, 0] - eps, n_grid, axis=1)
+    low, high = np.floor((t + 1) * a3 / 2).astype(int), np.ceil((t + 1) * (1 - a3 / 2)).astype(int)
+    feasible = ((low >= 1) & (high <= t))[:, None] & (rest > 2 * eps) & (rest - a1 >= eps)
+    return [(int(i), int(j), float(a1[i, j]), float(rest[i, 0] - a1[i, j]), float(a3[i]), z(float(a1[i, j])), z(float(rest[i, 0] - a1[i, j])), int(low[i]), int(high[i])) for i, j in np.argwhere(feasible)]
 
 
 def grid_intervals(tasks: DataFrame, alpha: float, n_grid: int = 30, eps: float = 1e-4, runs: int = 1, clip: tuple[float, float] = (0.0, 1.0)) -> DataFrame:
@@ -44,19 +40,27 @@ def grid_intervals(tasks: DataFrame, alpha: float, n_grid: int = 30, eps: float
     ``tasks``: task_id, n, theta, synth, synth_se, gap, gap_se. The grid (at most n_grid^2 points) is made from parameters
     and the number of tasks.
     """
-    from synthcal.operators.conformal import loo_bands
-
     spark = tasks.sparkSession
     tasks = written(tasks, "grid-tasks")
     t = tasks.count() - 1
-    points = grid_points(alpha, t, n_grid, eps)
-    grid = spark.createDataFrame(points, "i3 int, i1 int, alpha1 double, alpha2 double, alpha3 double, z1 double, z2 double, k_low int, k_high int").drop("k_low", "k_high")
-    spread = tasks.select("task_id", "gap", "gap_se", "synth_se").crossJoin(F.broadcast(grid))  # at most n_grid^2 points
-    bands = loo_bands(spread, F.col("gap") - F.col("z2") * F.col("gap_se"), F.col("gap") + F.col("z2") * F.col("gap_se"), F.col("gap"), F.col("alpha3"), ["i3", "i1"])
+    grid = F.broadcast(spark.createDataFrame(grid_points(alpha, t, n_grid, eps), POINT))  # at most n_grid^2 points
+    lo, hi = F.col("gap") - F.col("z2") * F.col("gap_se"), F.col("gap") + F.col("z2") * F.col("gap_se")
+    point = Window.partitionBy("i3", "i1")
+    ranked = tasks.select("gap", "gap_se").crossJoin(grid).select("i3", "i1", "k_low", "k_high", lo.alias("lo"), hi.alias("hi"))
+    ranked = ranked.withColumns({f"r_{v}": F.row_number().over(point.orderBy(v)) for v in ("lo", "hi")})
+    at = lambda v, k, more: F.max(F.when(F.col(f"r_{v}") == F.col(k) + more, F.col(v))).alias(f"{v}_{more}")
+    stats = written(ranked.groupBy("i3", "i1").agg(*(at(v, k, more) for v, k in (("lo", "k_low"), ("hi", "k_high")) for more in (0, 1))), "grid-ranks")
+
+    def without(own: Column, v: str) -> Column:
+        """The order statistic of the others: without a value at or below it, the next one takes its rank."""
+        return F.when(own <= F.col(f"{v}_0"), F.col(f"{v}_1")).otherwise(F.col(f"{v}_0"))
+
+    tried = tasks.select("task_id", "gap", "gap_se", "synth_se").crossJoin(F.broadcast(stats.join(grid, ["i3", "i1"])))
+    tried = tried.withColumns({"delta_lo": without(lo, "lo"), "delta_hi": without(hi, "hi")})
     cost = 2 * F.col("z1") * F.col("synth_se") + (F.col("delta_hi") - F.col("delta_lo"))
     pick = F.min_by(F.struct("alpha1", "alpha2", "alpha3", "z1", "delta_lo", "delta_hi"), F.struct(cost.alias("c"), F.col("i3"), F.col("i1")))
-    best = bands.groupBy("task_id").agg(pick.alias("b")).select("task_id", "b.*")
-    rows = tasks.join(best, "task_id").withColumn("t_hist", F.lit(t))
+    best = tried.groupBy("task_id").agg(pick.alias("b")).select("task_id", "b.*")
+    rows = tasks.join(best, "task_id").withColumn("t_hist", F.lit(t).cast("long"))
     raw_lo, raw_hi = F.col("synth") - F.col("z1") * F.col("synth_se") + F.col("delta_lo"), F.col("synth") + F.col("z1") * F.col("synth_se") + F.col("delta_hi")
     naive_lo, naive_hi = F.col("synth") - z(alpha) * F.col("synth_se"), F.col("synth") + z(alpha) * F.col("synth_se")
     rows = rows.withColumns({"ci_lo": F.greatest(F.lit(clip[0]), raw_lo), "ci_hi": F.least(F.lit(clip[1]), raw_hi), "naive_lo": F.greatest(F.lit(clip[0]), naive_lo), "naive_hi": F.least(F.lit(clip[1]), naive_hi)})

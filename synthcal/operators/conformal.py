@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from synthcal.functions.expressions import INF
 from synthcal.functions.levels import rank_high, rank_low
+from synthcal.sources.scratch import written
 
 
 def _placed(tasks: DataFrame, values: dict[str, Column], by: list[str], alpha3: float | Column) -> DataFrame:
@@ -38,6 +39,21 @@ def split_bands(history: DataFrame, lo: Column, hi: Column, mid: Column, alpha3:
     return out.select(*by, F.coalesce("t_hist", F.lit(0)).alias("t_hist"), *(F.coalesce(n, F.lit(e)).alias(n) for n, e in ends.items()))
 
 
+def history_bands(tasks: DataFrame, is_history: Column, lo: Column, hi: Column, mid: Column, alpha3: float | Column, by: list[str] = ()) -> DataFrame:
+    """All tasks with t_hist, delta_lo, delta_hi, mid_lo, mid_hi of the historical tasks of their set.
+
+    Windows over the one table of tasks: a join with the bands would compute the tasks' statistics twice.
+    """
+    whole = Window.partitionBy(*([F.col(b) for b in by] or [F.lit(0)]))
+    level = alpha3 if isinstance(alpha3, Column) else F.lit(float(alpha3))
+    rows = tasks.withColumns({"_h": is_history, "_a3": level, **{f"_{k}": F.when(is_history, v) for k, v in (("lo", lo), ("hi", hi), ("mid", mid))}})
+    rows = rows.withColumns({"t_hist": F.count(F.when(F.col("_h"), 1)).over(whole), **{f"_r{v}": F.row_number().over(whole.orderBy(F.desc("_h"), f"_{v}")) for v in ("lo", "hi", "mid")}})
+    low, high = rank_low(F.col("t_hist"), F.col("_a3")), rank_high(F.col("t_hist"), F.col("_a3"))
+    at = lambda v, k, end: F.coalesce(F.max(F.when(F.col("_h") & (F.col(f"_r{v}") == k), F.col(f"_{v}"))).over(whole), F.lit(end))
+    out = rows.withColumns({"delta_lo": at("lo", low, -INF), "delta_hi": at("hi", high, INF), "mid_lo": at("mid", low, -INF), "mid_hi": at("mid", high, INF)})
+    return out.drop("_h", "_a3", "_lo", "_hi", "_mid", "_rlo", "_rhi", "_rmid")
+
+
 def loo_bands(tasks: DataFrame, lo: Column, hi: Column, mid: Column, alpha3: float | Column, by: list[str] = ()) -> DataFrame:
     """The tasks with t_hist, delta_lo, delta_hi, mid_lo, mid_hi of the history without themselves.
 
@@ -65,22 +81,35 @@ def loo_bands(tasks: DataFrame, lo: Column, hi: Column, mid: Column, alpha3: flo
     return rows.withColumns(out).drop("_lo", "_hi", "_mid", "_a3", "_rlo", "_rhi", "_rmid", "_kl", "_kh")
 
 
-def global_order_stats(rows: DataFrame, value: str, ranks: list[int], by: list[str] = (), bins: int = 4096) -> DataFrame:
-    """by, k, value: exact k-th smallest values of sets too large to be ordered in one task.
+def select_ranks(rows: DataFrame, value: str, wanted: DataFrame, by: list[str], splitters: int = 2_000) -> DataFrame:
+    """by, k, value: the exact k-th smallest values for the ranks that ``wanted`` (by, k: few ranks a set) asks for.
 
-    Counts per equal-width bin (partial sums before the shuffle) tell which bin holds each rank; only rows of those bins
-    are ordered, bin by bin.
+    A sketch of every set (approximate quantiles, one pass) brackets each rank between two values. A second pass counts the
+    rows below each bracket and the rows of each value inside it, with partial sums before the shuffle, so only a few
+    splitters' share of a set's different values is ever put in order, however skewed the values or the sets are.
+    Nulls and NaN are left out; infinities are values like others.
     """
+    v = F.col(value).cast("double")
+    rows = rows.select(*by, v.alias("v")).where(v.isNotNull() & ~F.isnan(v))
+    keys = by or ["_all"]
+    if not by:
+        rows, wanted = rows.withColumn("_all", F.lit(0)), wanted.withColumn("_all", F.lit(0))
+    sketch = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("v", [i / splitters for i in range(splitters + 1)], 5 * splitters).alias("s"), F.min("v").alias("a"), F.max("v").alias("z"))
+    at = (F.col("k") - 1) / F.col("n") * splitters
+    low, high = F.floor(at).cast("int") - 2, F.ceil(at + splitters / F.col("n")).cast("int") + 2
+    marks = sketch.join(wanted.select(*keys, F.col("k").cast("long").alias("k")), keys).where((F.col("k") >= 1) & (F.col("k") <= F.col("n")))
+    marks = marks.select(*keys, F.struct("k", F.when(low < 0, F.col("a")).otherwise(F.col("s")[low]).alias("a"), F.when(high > splitters, F.col("z")).otherwise(F.col("s")[high]).alias("z")).alias("m"))
+    marks = written(marks.groupBy(*keys).agg(F.collect_list("m").alias("m")), "rank-brackets")
+    met = rows.join(marks, keys).select(*keys, "v", F.explode(F.filter("m", lambda m: F.col("v") <= m["z"])).alias("m"))
+    counts = met.groupBy(*keys, F.col("m.k").alias("k"), F.when(F.col("v") >= F.col("m.a"), F.col("v")).alias("v")).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*keys, "k").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0))
+    found = counts.withColumn("_upto", upto).where((F.col("_upto") >= F.col("k")) & (F.col("_upto") - F.col("c") < F.col("k")))
+    return found.select(*by, "k", F.col("v").alias("value"))
+
+
+def global_order_stats(rows: DataFrame, value: str, ranks: list[int], by: list[str] = (), splitters: int = 2_000) -> DataFrame:
+    """by, k, value: the same ranks of every set, sets too large to be ordered in one task included."""
     by = list(by)
-    rows = rows.select(*by, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    span = rows.groupBy(*by).agg(F.min("v").alias("_a"), F.max("v").alias("_b"))
-    attach = lambda left, right: left.join(right, by) if by else left.crossJoin(right)  # noqa: E731  one row without keys
-    step = F.when(F.col("_b") > F.col("_a"), F.floor((F.col("v") - F.col("_a")) / (F.col("_b") - F.col("_a")) * bins)).otherwise(F.lit(0))
-    binned = attach(rows, span).withColumn("_bin", F.least(step, F.lit(bins - 1)).cast("int")).drop("_a", "_b")
-    counts = binned.groupBy(*by, "_bin").agg(F.count("*").alias("_n"))
-    ahead = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
-    wanted = counts.withColumn("k", F.explode(F.array(*[F.lit(int(k)).cast("long") for k in ranks]))).where((F.col("k") > F.col("_before")) & (F.col("k") <= F.col("_before") + F.col("_n")))
-    local = binned.join(wanted.select(*by, "_bin", "_before").distinct(), [*by, "_bin"])
-    local = local.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_bin").orderBy("v")) + F.col("_before"))
-    return local.join(wanted.select(*by, "_bin", "k"), [*by, "_bin"]).where(F.col("_r") == F.col("k")).select(*by, "k", F.col("v").alias("value"))
+    sets = rows.select(*by).distinct() if by else rows.sparkSession.range(1).select()
+    wanted = sets.select("*", F.explode(F.array(*[F.lit(int(k)).cast("long") for k in ranks])).alias("k"))
+    return select_ranks(rows, value, wanted, by, splitters)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from synthcal.functions.levels import binomial_ranks, z
+from synthcal.operators.conformal import select_ranks
+from synthcal.sources.scratch import written
 
 
 def sd(x: Column) -> Column:
@@ -35,10 +37,14 @@ def unpaired_stats(rows: DataFrame, by: list[str], value: str, is_real: Column)
 
 
 def weighted_cells(rows: DataFrame, by: list[str], x: str, y: str, w: str) -> DataFrame:
-    """n, weighted means and design-based standard errors, by two passes: squares are taken around the mean itself."""
+    """n, weighted means and design-based standard errors, by two passes: squares are taken around the mean itself.
+
+    The means are written, so that Spark's size check lets the second pass broadcast them and no raw row is shuffled.
+    """
     rows = rows.na.drop(subset=[*by, x, y, w])
     share = lambda v: F.sum(F.col(w) * v) / F.sum(w)
     means = rows.groupBy(*by).agg(F.count("*").alias("n"), share(F.col(x)).alias("theta"), share(F.col(x) - F.col(y)).alias("gap"), share(F.col(y)).alias("synth"), F.sum(w).alias("sw"), (F.sum(w) * F.sum(w) / F.sum(F.col(w) * F.col(w))).alias("n_eff"))
+    means = written(means, "cell-means")
     square = lambda v: F.sum(F.col(w) ** 2 * v**2)
     spread = rows.join(means.select(*by, "gap", "synth"), by).groupBy(*by).agg(square(F.col(x) - F.col(y) - F.col("gap")).alias("vd"), square(F.col(y) - F.col("synth")).alias("vy"))
     return means.join(spread, by).select(*by, "n", "theta", "gap", (F.sqrt("vd") / F.col("sw")).alias("gap_se"), "synth", (F.sqrt("vy") / F.col("sw")).alias("synth_se"), "n_eff")
@@ -58,20 +64,26 @@ def hoeffding_gap(gap: Column, n: Column, m: Column, alpha: float, bounds: tuple
     return gap - half, gap + half
 
 
-#: Closed-form gap intervals over the columns of the statistics above; more can be registered.
+#: Interval builders over the columns of the statistics above: (level, bounds) -> (lower, upper). More can be registered;
+#: ``columns`` takes intervals that a grouped function (the bootstrap, quantiles) has put into the table.
+MEAN_INTERVALS = {
+    "normal": lambda alpha, bounds: normal_interval(F.col("synth"), F.col("synth_se"), alpha),
+    "hoeffding": lambda alpha, bounds: hoeffding_mean(F.col("synth"), F.col("n_synth"), alpha, bounds),
+    "columns": lambda alpha, bounds: (F.col("mean_ci_lo"), F.col("mean_ci_hi")),
+}
 GAP_INTERVALS = {
     "normal": lambda alpha, bounds: normal_interval(F.col("gap"), F.col("gap_se"), alpha),
     "hoeffding": lambda alpha, bounds: hoeffding_gap(F.col("gap"), F.col("n_real"), F.col("n_synth"), alpha, bounds),
+    "columns": lambda alpha, bounds: (F.col("gap_ci_lo"), F.col("gap_ci_hi")),
 }
 
 
 def quantile_interval(rows: DataFrame, by: list[str], value: str, q: float, alpha: float) -> DataFrame:
     """Exact distribution-free interval for a quantile from two order statistics of each task.
 
-    The ranks depend on the row count only and are computed once per distinct count, where those counts are.
+    The ranks depend on the row count only and are computed once per distinct count, where those counts are; no task's rows
+    are put in order (see :func:`select_ranks`).
     """
-    from pyspark.sql import Window
-
     rows = rows.na.drop(subset=[*by, value])
     sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
 
@@ -81,9 +93,10 @@ def quantile_interval(rows: DataFrame, by: list[str], value: str, q: float, alph
         for pdf in batches:
             yield pd.DataFrame([(n, *binomial_ranks(int(n), q, alpha)) for n in pdf["m"]], columns=["m", "low", "high"])
 
+    sizes = written(sizes, "quantile-sizes")
     table = sizes.select(F.col("n").alias("m")).distinct().mapInPandas(ranks, "m long, low long, high long")
-    wanted = sizes.join(table, F.col("n") == F.col("m")).drop("m")
-    order = Window.partitionBy(*by).orderBy(value)
-    placed = rows.select(*by, value, F.row_number().over(order).alias("r")).join(wanted, by)
-    pick = lambda k: F.max(F.when(F.col("r") == F.col(k), F.col(value)))
-    return placed.groupBy(*by, "n", "low", "high").agg(F.coalesce(pick("low"), F.lit(float("-inf"))).alias("ci_lo"), F.coalesce(pick("high"), F.lit(float("inf"))).alias("ci_hi"))
+    wanted = written(sizes.join(table, F.col("n") == F.col("m")).drop("m"), "quantile-ranks")
+    found = select_ranks(rows, value, wanted.select(*by, F.explode(F.array("low", "high")).alias("k")), by)
+    found = wanted.join(found, by, "left")
+    pick = lambda k: F.max(F.when(F.col("k") == F.col(k), F.col("value")))
+    return found.groupBy(*by, "n", "low", "high").agg(F.coalesce(pick("low"), F.lit(float("-inf"))).alias("ci_lo"), F.coalesce(pick("high"), F.lit(float("inf"))).alias("ci_hi"))

@@ -4,21 +4,28 @@
 size of the history. ``alg3``: synthetic point plus order statistics of the observed gaps at the full level.
 ``synth_only``: the synthetic interval alone.
 
+The intervals that the methods start from are plugged in: ``mean_interval`` and ``gap_interval`` name builders of
+:mod:`synthcal.operators.moments`, or are builders themselves.
+
 Inputs are per-task statistics (theta, synth, synth_se, gap, gap_se, n_real, n_synth, task_id, optional label), with a
 column ``role`` (calib / predict) for a split history.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from synthcal.functions.expressions import clipped_width, covers, finite, width
-from synthcal.functions.levels import ALLOCATIONS, checked, z
-from synthcal.operators.conformal import loo_bands, split_bands
+from synthcal.functions.levels import ALLOCATIONS, checked
+from synthcal.operators.conformal import history_bands, loo_bands
+from synthcal.operators.moments import GAP_INTERVALS, MEAN_INTERVALS
 from synthcal.sources.scratch import written
 
 RECORD = ["task_id", "label", "theta", "algo", "alpha", "alpha1", "alpha2", "alpha3", "alloc", "n_real", "n_synth", "ci_lo", "ci_hi", "covered", "width", "width_clip", "synth_lo", "synth_hi", "delta_lo", "delta_hi", "w1", "w2", "w3"]
+Builder = Callable[[float, tuple[float, float] | None], tuple[Column, Column]]
 METHODS = ("alg1", "alg2", "alg3", "synth_only")
 
 
@@ -30,7 +37,7 @@ def history_sizes(tasks: DataFrame, mode: str, by: list[str]) -> dict[tuple, int
 
 
 def chosen(keys: list[str], values: dict[tuple, float]) -> Column:
-    """A column with the number that belongs to the row's keys (sets and levels: a few configurations)."""
+    """A column with the number that belongs to the row's keys (methods, sets and levels: a few configurations)."""
     if len(set(values.values())) == 1:
         return F.lit(float(next(iter(values.values()))))
     out = F.lit(None).cast("double")
@@ -42,54 +49,78 @@ def chosen(keys: list[str], values: dict[tuple, float]) -> Column:
     return out
 
 
-def run(tasks: DataFrame, algo: str, alpha: float | list[float], alloc: str = "prop_127", mode: str = "split", by: list[str] = (), clip: tuple[float, float] | None = None, infinite_covers: bool = False) -> DataFrame:
+def ends(builder: Builder, level: Column, levels: set[float], bounds: tuple[float, float] | None) -> tuple[Column, Column]:
+    """The builder's interval at the row's level, one of ``levels``."""
+    low = high = F.lit(None).cast("double")
+    for a in sorted(levels):
+        lo, hi = builder(a, bounds)
+        low, high = (lo, hi) if len(levels) == 1 else (F.when(level == a, lo).otherwise(low), F.when(level == a, hi).otherwise(high))
+    return low, high
+
+
+def run(
+    tasks: DataFrame,
+    algo: str | list[str],
+    alpha: float | list[float],
+    alloc: str = "prop_127",
+    mode: str = "split",
+    by: list[str] = (),
+    clip: tuple[float, float] | None = None,
+    infinite_covers: bool = False,
+    mean_interval: str | Builder = "normal",
+    gap_interval: str | Builder = "normal",
+    bounds: tuple[float, float] | None = None,
+) -> DataFrame:
     """Interval records of all predict tasks (split) or of all tasks (loo), one band or one shift per set in ``by``.
 
-    Several levels run in one plan: each task occurs once per level, and the level is a key like any other.
+    Several methods and levels run in one plan: each task occurs once for each, and they are keys like any other, so the
+    rows behind the statistics are read a single time. ``bounds`` is the values' range for builders that need one.
     """
     by, alphas = list(by), list(alpha) if isinstance(alpha, (list, tuple)) else [alpha]
-    keys = [*by, "alpha"]
-    if algo not in METHODS:
-        raise ValueError(f"unknown method {algo!r}")
+    algos = list(algo) if isinstance(algo, (list, tuple)) else [algo]
+    for name in algos:
+        if name not in METHODS:
+            raise ValueError(f"unknown method {name!r}")
     for a in alphas:
         if not 0 < a < 1:
             raise ValueError(f"level must lie in (0, 1): {a}")
+    mean_of = MEAN_INTERVALS[mean_interval] if isinstance(mean_interval, str) else mean_interval
+    gap_of = GAP_INTERVALS[gap_interval] if isinstance(gap_interval, str) else gap_interval
     if "label" not in tasks.columns:
         tasks = tasks.withColumn("label", F.col("task_id"))
-    by_size = algo == "alg2" or alloc == "floored_127"
-    sizes = history_sizes(tasks, mode, by) if by_size else {}
-    if sizes and min(sizes.values()) < 1:
+    by_size = "alg2" in algos or alloc == "floored_127"
+    if by_size:
+        tasks = written(tasks, "tasks")  # counted first, then used
+    sizes = history_sizes(tasks, mode, by) if by_size else {(): 0}
+    if by_size and min(sizes.values(), default=1) < 1:
         raise ValueError("a set has no historical task")
     # only with sizes do the numbers depend on the set
-    points = {(*k, a): (checked(ALLOCATIONS[alloc](n, a)), n) for a in alphas for k, n in (sizes or {(): 0}).items()}
-    own = keys if by_size else ["alpha"]
-    of = lambda f: chosen(own, {k: f(levels, n, k[-1]) for k, (levels, n) in points.items()})
-    a1, a2, a3 = (of(lambda levels, n, a, i=i: levels[i]) for i in range(3))
-    z1, full = of(lambda levels, n, a: z(levels[0])), of(lambda levels, n, a: z(a))
-    z2 = of(lambda levels, n, a: z(levels[1] / n if algo == "alg2" else levels[1]))
-    tasks = tasks.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
-    synth, se, gap, level = F.col("synth"), F.col("synth_se"), F.col("gap"), F.col("alpha")
-    current = tasks.where("role = 'predict'") if mode == "split" else tasks
-    if algo == "synth_only":
-        a1, a2, a3 = level, F.lit(0.0), F.lit(0.0)
-        rows = current.withColumns({"synth_lo": synth - full * se, "synth_hi": synth + full * se, "delta_lo": F.lit(0.0), "delta_hi": F.lit(0.0), "mid_lo": F.lit(0.0), "mid_hi": F.lit(0.0)})
+    keys, own = ["algo", *by, "alpha"], ["algo", *(by if by_size else []), "alpha"]
+    points = {}
+    for m in algos:
+        for a in alphas:
+            for k, n in sizes.items():
+                a1, a2, a3 = checked(ALLOCATIONS[alloc](n, a))
+                # levels of the mean, of the gap and of the band, then those that the record names
+                points[m, *k, a] = {"alg1": (a1, a2, a3, a1, a2, a3), "alg2": (a1, a2 / max(n, 1), a3, a1, a2, a3), "alg3": (a, a, a, 0.0, 0.0, a), "synth_only": (a, a, a, a, 0.0, 0.0)}[m]
+    level = [chosen(own, {k: v[i] for k, v in points.items()}) for i in range(6)] if points else [F.lit(0.5)] * 6
+    of = lambda i: {v[i] for v in points.values()}
+    pairs = F.array(*[F.struct(F.lit(m).alias("algo"), F.lit(float(a)).alias("alpha")) for m in algos for a in alphas])
+    rows = tasks.withColumn("_m", F.explode(pairs)).withColumns({"algo": F.col("_m.algo"), "alpha": F.col("_m.alpha")}).drop("_m")
+    point, naive = F.col("algo") == "alg3", F.col("algo") == "synth_only"
+    (mean_lo, mean_hi), (gap_lo, gap_hi) = ends(mean_of, level[0], of(0), bounds), ends(gap_of, level[1], of(1), bounds)
+    swap = lambda c, interval: F.when(point, F.col(c)).otherwise(interval)
+    lo, hi = swap("gap", gap_lo), swap("gap", gap_hi)
+    if mode == "split":
+        rows = history_bands(rows, F.col("role") == "calib", lo, hi, F.col("gap"), level[2], keys).where("role = 'predict'")
     else:
-        if algo == "alg3":
-            a1, a2, a3 = F.lit(0.0), F.lit(0.0), level
-            lo = hi = gap
-            ends = {"synth_lo": synth, "synth_hi": synth}
-        else:
-            lo, hi = gap - z2 * F.col("gap_se"), gap + z2 * F.col("gap_se")
-            ends = {"synth_lo": synth - z1 * se, "synth_hi": synth + z1 * se}
-        if mode == "split":
-            rows = current.join(split_bands(tasks.where("role = 'calib'"), lo, hi, gap, a3, keys), keys)
-        else:
-            rows = loo_bands(tasks, lo, hi, gap, a3, keys)
-        rows = rows.withColumns(ends)
-    return scored(rows, algo, (a1, a2, a3), alloc, by, clip, infinite_covers)
-
-
-def scored(rows: DataFrame, algo: str, levels: tuple[Column, Column, Column], alloc: str, by: list[str], clip: tuple[float, float] | None, infinite_covers: bool = False) -> DataFrame:
+        rows = loo_bands(rows, lo, hi, F.col("gap"), level[2], keys)
+    rows = rows.withColumns({c: F.when(naive, F.lit(0.0)).otherwise(F.col(c)) for c in ("delta_lo", "delta_hi", "mid_lo", "mid_hi")})
+    rows = rows.withColumns({"synth_lo": swap("synth", mean_lo), "synth_hi": swap("synth", mean_hi), **{f"alpha{i - 2}": level[i] for i in (3, 4, 5)}})
+    return scored(rows, alloc, by, clip, infinite_covers)
+
+
+def scored(rows: DataFrame, alloc: str, by: list[str], clip: tuple[float, float] | None, infinite_covers: bool = False) -> DataFrame:
     """Interval, coverage, widths and the three parts of the width."""
     rows = rows.withColumns({"ci_lo": F.col("synth_lo") + F.col("delta_lo"), "ci_hi": F.col("synth_hi") + F.col("delta_hi")})
     lo, hi = F.col("ci_lo"), F.col("ci_hi")
@@ -102,20 +133,13 @@ def scored(rows: DataFrame, algo: str, levels: tuple[Column, Column, Column], al
             "width_clip": clipped_width(lo, hi, clip),
             "w1": F.col("synth_hi") - F.col("synth_lo"),
             "w3": F.when(bounded, spread),
-            "w2": F.when(bounded, F.lit(0.0) if algo in ("alg3", "synth_only") else F.col("delta_hi") - F.col("delta_lo") - spread),
-            "algo": F.lit(algo),
+            "w2": F.when(bounded, F.when(F.col("algo").isin("alg3", "synth_only"), F.lit(0.0)).otherwise(F.col("delta_hi") - F.col("delta_lo") - spread)),
             "alloc": F.lit(alloc),
-            **dict(zip(("alpha1", "alpha2", "alpha3"), levels, strict=True)),
         }
     )
     return rows.select(*by, *RECORD)
 
 
 def run_all(tasks: DataFrame, alphas: list[float], algos: tuple[str, ...] = METHODS, **kw) -> DataFrame:
-    """All methods at all levels in one table. The task statistics are written once: rows are read a single time."""
-    tasks = written(tasks, "tasks")
-    out = None
-    for algo in algos:
-        part = run(tasks, algo, alphas, **kw)
-        out = part if out is None else out.unionByName(part)
-    return out
+    """All methods at all levels in one table and one plan."""
+    return run(tasks, list(algos), alphas, **kw)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from synthcal.functions.expressions import clip_value, covers, finite
 from synthcal.functions.levels import split_bonferroni, z
-from synthcal.operators.conformal import loo_bands, split_bands
+from synthcal.operators.conformal import history_bands, loo_bands
 
 STATS = ("theta", "gap", "gap_se", "synth", "synth_se", "n")
 DIMENSIONS = 2
@@ -41,7 +41,7 @@ def rectangles(tasks: DataFrame, alpha: float, mode: str = "loo", role: Column |
         rows = loo_bands(tasks, lo, hi, F.col("gap"), a3, keys)
     else:
         rows = tasks.withColumn("role", role)
-        rows = rows.where("role = 'predict'").join(split_bands(rows.where("role = 'calib'"), lo, hi, F.col("gap"), a3, keys), keys)
+        rows = history_bands(rows, F.col("role") == "calib", lo, hi, F.col("gap"), a3, keys).where("role = 'predict'")
     raw_lo = F.col("synth") - z(a1) * F.col("synth_se") + F.col("delta_lo")
     raw_hi = F.col("synth") + z(a1) * F.col("synth_se") + F.col("delta_hi")
     naive_lo, naive_hi = (F.col("synth") + s * z(alpha / DIMENSIONS) * F.col("synth_se") for s in (-1, 1))

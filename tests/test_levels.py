@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from synthcal.functions import levels
-from synthcal.operators.allocation import grid_points, linspace
+from synthcal.operators.allocation import grid_points
 
 
 def test_normal_quantile():
@@ -52,4 +52,11 @@ def test_grid_points_are_feasible():
     assert grid_points(0.05, 10) == []
     for i3, i1, a1, a2, a3, _, _, low, high in grid_points(0.2, 40, 6):
         assert a1 + a2 + a3 == pytest.approx(0.2) and low >= 1 and high <= 40 and min(a1, a2, a3) > 0
-    assert linspace(0.0, 1.0, 5) == [0, 0.25, 0.5, 0.75, 1]
+    assert len(grid_points(0.2, 40, 6)) >= 24
+
+
+def test_binomial_ranks_of_large_samples():
+    for n in (10**6, 10**8):
+        low, high = levels.binomial_ranks(n, 0.5, 0.05)
+        half = levels.z(0.05) * math.sqrt(n / 4)
+        assert abs(n / 2 - half - low) < 3 and abs(n / 2 + half - high) < 3

@@ -66,6 +66,24 @@ def test_methods_equal_brute_force(spark, algo, mode, ties):
             assert r["covered"] == (lo <= r["theta"] <= hi)
 
 
+@pytest.mark.parametrize("mode", ["split", "loo"])
+def test_plugged_intervals(spark, mode):
+    rows = made(60)
+    df = spark.createDataFrame(rows, STATS)
+    a1, a2, a3 = ALLOCATIONS["prop_127"](0, 0.2)
+    half = lambda a, n: math.sqrt(math.log(2 / a) / (2 * n))
+    gap = math.sqrt(2 * (1 / 50 + 1 / 50) / 4 * math.log(2 / a2))
+    got = methods.run(df, ["alg1", "alg3"], [0.1, 0.2], mode=mode, mean_interval="hoeffding", gap_interval="hoeffding", bounds=(0.0, 1.0)).where("algo = 'alg1' and alpha = 0.2").collect()
+    for r in got:
+        hist = [h for h in rows if (h[1] == "calib" if mode == "split" else h[0] != r["task_id"])]
+        own = next(x for x in rows if x[0] == r["task_id"])
+        assert r["ci_lo"] == pytest.approx(own[5] - half(a1, 50) + kth([h[7] - gap for h in hist], len(hist), a3)[0])
+        assert r["ci_hi"] == pytest.approx(own[5] + half(a1, 50) + kth([h[7] + gap for h in hist], len(hist), a3)[1])
+    columns = df.withColumns({"mean_ci_lo": F.col("synth") - 1, "mean_ci_hi": F.col("synth") + 1, "gap_ci_lo": F.col("gap"), "gap_ci_hi": F.col("gap") + 2})
+    wide = methods.run(columns, "alg1", 0.2, mode=mode, mean_interval="columns", gap_interval=lambda level, bounds: (F.col("gap_ci_lo"), F.col("gap_ci_hi"))).first()
+    assert wide["w1"] == pytest.approx(2) and wide["delta_hi"] > 1
+
+
 def test_too_few_tasks_give_infinite_intervals(spark):
     got = methods.run(spark.createDataFrame(made(8), STATS), "alg1", 0.1, mode="loo").collect()
     assert all(math.isinf(r["width"]) and not r["covered"] and r["w3"] is None and r["width_clip"] is None for r in got)
@@ -105,10 +123,13 @@ def test_sets_are_kept_apart(spark):
 def test_global_order_stats(spark):
     rng = random.Random(3)
     rows = [(k, v) for k in "ab" for v in [rng.gauss(0, 1) for _ in range(500)] + [0.5] * 300]
-    got = conformal.global_order_stats(spark.createDataFrame(rows, "g string, v double"), "v", [1, 7, 400, 700, 800, 900], ["g"], bins=16).collect()
+    got = conformal.global_order_stats(spark.createDataFrame(rows, "g string, v double"), "v", [1, 7, 400, 700, 800, 900], ["g"], splitters=16).collect()
     for k in "ab":
         s = sorted(v for a, v in rows if a == k)
         assert sorted((r[1], r["value"]) for r in got if r[0] == k) == [(i, s[i - 1]) for i in (1, 7, 400, 700, 800)]
+    odd = [1e300, -1e300, math.inf, -math.inf, math.inf] + [rng.random() for _ in range(995)]
+    got = conformal.global_order_stats(spark.createDataFrame([(v,) for v in odd] + [(None,), (math.nan,)], "v double"), "v", [1, 2, 500, 998, 1000, 1001]).collect()
+    assert sorted((r["k"], r["value"]) for r in got) == [(i, sorted(odd)[i - 1]) for i in (1, 2, 500, 998, 1000)]
     same = spark.createDataFrame([(5.0,)] * 20, "v double")
     assert conformal.global_order_stats(same, "v", [3]).first()["value"] == 5.0
 
