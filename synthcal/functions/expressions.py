@@ -70,6 +70,7 @@ def group_of(label: Column) -> Column:
 
 def date_in_name(name: Column) -> Column:
     """A date written in a name: 20YYMMDD first, else -AABB before a non-digit or the end."""
+    # fixed values: the two patterns and the years and days they stand for
     long = F.regexp_extract(name, r"(20\d{2})(\d{2})(\d{2})", 0)
     pair = F.regexp_extract(name, r"-(\d{2})(\d{2})(?:\D|$)", 1)
     last = F.regexp_extract(name, r"-(\d{2})(\d{2})(?:\D|$)", 2)

@@ -48,13 +48,19 @@ def rng_of(*names: object) -> np.random.Generator:
     return np.random.default_rng(zlib.crc32("\x1f".join(map(str, names)).encode()))
 
 
+def drawn(counts: np.ndarray, b: int, rng: np.random.Generator, most: int = 4_000_000):
+    """``b`` multinomial draws over the counts, so many at a time that about ``most`` numbers are held."""
+    share, step = counts / counts.sum(), max(1, most // len(counts))
+    for first in range(0, b, step):
+        yield rng.multinomial(int(counts.sum()), share, size=min(step, b - first))
+
+
 def replicates(values: np.ndarray, counts: np.ndarray, b: int, rng: np.random.Generator, estimator: Callable) -> np.ndarray:
-    draws = rng.multinomial(int(counts.sum()), counts / counts.sum(), size=b)
-    return estimator(values, draws)
+    return np.concatenate([estimator(values, draws) for draws in drawn(counts, b, rng)])
 
 
 def bootstrap_intervals(rows: DataFrame, by: list[str], real: str, synth: str, alpha: float, b: int = 1000, estimator: str = "mean") -> DataFrame:
-    """Percentile and basic intervals for the real value, the unpaired gap and the paired gap of each task.
+    """Percentile and basic intervals for the real and the synthetic value, the unpaired gap and the paired gap of each task.
 
     ``rows`` are pairs; the unpaired gap draws the two sides independently.
     """
@@ -71,14 +77,14 @@ def bootstrap_intervals(rows: DataFrame, by: list[str], real: str, synth: str, a
         point = {k: float(f(v, c[None, :])[0]) for k, (v, c) in side.items()}
         draws = {k: replicates(v, c, b, rng_of(*key, k), f) for k, (v, c) in side.items()}
         pairs = pdf.sort_values([real, synth])
-        joint = rng_of(*key, "paired").multinomial(int(pairs["c"].sum()), pairs["c"] / pairs["c"].sum(), size=b)
-
-        def marginal(name: str) -> np.ndarray:
-            values, at = np.unique(pairs[name].to_numpy(float), return_inverse=True)
-            return f(values, np.stack([np.bincount(at, weights=j, minlength=len(values)) for j in joint]).astype(np.int64))
+        marginals = [np.unique(pairs[name].to_numpy(float), return_inverse=True) for name in (real, synth)]
+        paired = []
+        for joint in drawn(pairs["c"].to_numpy(), b, rng_of(*key, "paired")):  # the same draws for both sides
+            x, y = (f(values, np.stack([np.bincount(at, weights=j, minlength=len(values)) for j in joint]).astype(np.int64)) for values, at in marginals)
+            paired.append(x - y)
 
         gap = point[real] - point[synth]
-        targets = {"real": (point[real], draws[real]), "gap": (gap, draws[real] - draws[synth]), "paired_gap": (gap, marginal(real) - marginal(synth))}
+        targets = {"real": (point[real], draws[real]), "synth": (point[synth], draws[synth]), "gap": (gap, draws[real] - draws[synth]), "paired_gap": (gap, np.concatenate(paired))}
         out = [(*key, t, kind, p, *interval(kind, p, d, alpha), float(np.std(d, ddof=1))) for t, (p, d) in targets.items() for kind in ("percentile", "basic")]
         return pd.DataFrame(out, columns=[*by, "target", "kind", "point", "ci_lo", "ci_hi", "se"])
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from synthcal.functions.expressions import covers
 from synthcal.functions.levels import ALLOCATIONS, ELO_SCALE, z
 from synthcal.operators.conformal import split_bands
+from synthcal.sources.scratch import written
 
 #: Ridge towards 0, longest Newton step, its tolerance and the rounds of a placement and of a replicate's.
 RIDGE = 1e-6
@@ -69,14 +70,25 @@ def split_players(ordered: DataFrame, reference, m: int, name: str = "player") -
     return ordered.withColumn("role", F.when((F.col(name) == F.lit(reference)) | (others <= m - 1), "background").otherwise("task"))
 
 
-def fit_scores(players: np.ndarray, a: np.ndarray, b: np.ndarray, wins: np.ndarray, n: np.ndarray, reference, rounds: int = 200, tol: float = 1e-11) -> np.ndarray:
-    """Joint maximum likelihood by Newton steps with the reference at 0; players without battles stay at 0."""
+def reference_of(pairs: DataFrame):
+    """The smallest player: a reference that every table of battles has."""
+    return pairs.agg(F.min(F.least("a", "b"))).first()[0]
+
+
+def fit_scores(players: np.ndarray, a: np.ndarray, b: np.ndarray, wins: np.ndarray, n: np.ndarray, reference, start: np.ndarray | None = None, rounds: int = 200, tol: float = 1e-11) -> np.ndarray:
+    """Joint maximum likelihood by Newton steps with the reference at 0; players without battles keep their start.
+
+    A reference that is none of the players is an error: without it the scores have no level.
+    """
     at = {p: i for i, p in enumerate(players)}
-    ia, ib = np.array([at[x] for x in a]), np.array([at[x] for x in b])
+    if reference not in at:
+        raise ValueError(f"reference {reference!r} is in no battle")
+    ia, ib = np.array([at[x] for x in a], dtype=int), np.array([at[x] for x in b], dtype=int)
     seen = np.zeros(len(players), bool)
     seen[ia] = seen[ib] = True
     free = np.array([i for i, p in enumerate(players) if p != reference and seen[i]])
-    score = np.zeros(len(players))
+    score = np.zeros(len(players)) if start is None else np.array(start, dtype=float)
+    score[at[reference]] = 0.0
     if not len(free):
         return score
 
@@ -120,23 +132,33 @@ def place(wins: np.ndarray, n: np.ndarray, c: np.ndarray, start: np.ndarray | fl
 
 
 def frames(pairs: DataFrame, held_out: DataFrame, reference) -> DataFrame:
-    """held_out, player, score: one fit per held-out player without its battles."""
+    """held_out, player, score: one fit per held-out player without its battles, over all other players.
+
+    Fits start from the scores of all battles, and a player who met only the held-out one keeps that start.
+    """
     kind = dict(pairs.dtypes)["a"]
     totals = pairs.groupBy("a", "b").agg(F.sum(F.col("n") * F.col("y")).alias("w"), F.sum("n").alias("n"))
-    each = totals.join(held_out.select(F.col("player").alias("held_out")), (F.col("a") != F.col("held_out")) & (F.col("b") != F.col("held_out")))
+    held = held_out.select(F.col("player").alias("held_out"))
+    each = totals.join(held, (F.col("a") != F.col("held_out")) & (F.col("b") != F.col("held_out")))
+    start = held_out.select(F.col("player").alias("left_out")).join(joint_scores(pairs, reference), F.col("player") != F.col("left_out"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        players = np.unique(np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()]))
-        score = fit_scores(players, pdf["a"], pdf["b"], pdf["w"].to_numpy(float), pdf["n"].to_numpy(float), reference)
-        return pd.DataFrame({"held_out": pdf["held_out"].iloc[0], "player": players, "score": score})
+    def run(pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        start = start.sort_values("player")
+        players = start["player"].to_numpy()
+        score = fit_scores(players, pdf["a"], pdf["b"], pdf["w"].to_numpy(float), pdf["n"].to_numpy(float), reference, start["score"].to_numpy(float))
+        return pd.DataFrame({"held_out": start["left_out"].to_numpy(), "player": players, "score": score})
 
-    return each.groupBy("held_out").applyInPandas(run, f"held_out {kind}, player {kind}, score double")
+    return each.groupBy("held_out").cogroup(start.groupBy("left_out")).applyInPandas(run, f"held_out {kind}, player {kind}, score double")
 
 
-def joint_scores(pairs: DataFrame, reference) -> DataFrame:
-    """player, score of all battles; the pair table (players squared at most) goes to one worker."""
+def joint_scores(pairs: DataFrame, reference, at_once: int = 500) -> DataFrame:
+    """player, score of all battles: in one worker for up to ``at_once`` players (the pair table has at most that squared
+    rows), else by :func:`iterated_scores`; both find the same optimum."""
     kind = dict(pairs.dtypes)["a"]
     totals = pairs.groupBy("a", "b").agg(F.sum(F.col("n") * F.col("y")).alias("w"), F.sum("n").alias("n"))
+    totals = written(totals, "pair-totals")
+    if participants(totals).count() > at_once:
+        return iterated_scores(totals, reference)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         players = np.unique(np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()]))
@@ -145,6 +167,71 @@ def joint_scores(pairs: DataFrame, reference) -> DataFrame:
     return totals.groupBy(F.lit(0).alias("all")).applyInPandas(run, f"player {kind}, score double")
 
 
+def iterated_scores(totals: DataFrame, reference, rounds: int = 500, tol: float = 1e-8) -> DataFrame:
+    """The scores of many players by Newton steps whose linear systems are solved by conjugate gradients.
+
+    ``totals`` is a written table (a, b, w, n). Every product with the Hessian and every gradient is one pass over it with
+    partial sums per player; the driver holds a few numbers per player and nothing per pair. ``rounds`` bounds the passes;
+    more are an error.
+    """
+    spark = totals.sparkSession
+    players = [r["player"] for r in participants(totals).orderBy("player").collect()]
+    at = {p: i for i, p in enumerate(players)}
+    if reference not in at:
+        raise ValueError(f"reference {reference!r} is in no battle")
+    schema = f"player {dict(totals.dtypes)['a']}, i int"
+    code = spark.createDataFrame(list(at.items()), schema)
+    coded = totals.join(code.select(F.col("player").alias("a"), F.col("i").alias("ia")), "a").join(code.select(F.col("player").alias("b"), F.col("i").alias("ib")), "b")
+    coded = written(coded.select("ia", "ib", F.col("w").cast("double"), F.col("n").cast("double")), "coded-pairs")
+    passes, k, fixed = 0, len(players), at[reference]
+
+    def summed(score: np.ndarray, along: np.ndarray | None) -> np.ndarray:
+        """The gradient at the scores, or the Hessian's product with ``along``, and the diagonal of the Hessian."""
+        nonlocal passes
+        passes += 1
+        if passes > rounds:
+            raise RuntimeError(f"scores did not settle in {rounds} passes")
+        sent = spark.sparkContext.broadcast((score, along))  # numbers per player
+
+        def run(batches):
+            x, d = sent.value
+            out = np.zeros((2, k))
+            for pdf in batches:
+                a, b = pdf["ia"].to_numpy(), pdf["ib"].to_numpy()
+                p = 1 / (1 + np.exp(-(x[a] - x[b])))
+                h = pdf["n"].to_numpy() * p * (1 - p)
+                v = pdf["w"].to_numpy() - pdf["n"].to_numpy() * p if d is None else h * (d[a] - d[b])
+                out[0] += np.bincount(a, v, k) - np.bincount(b, v, k)
+                out[1] += np.bincount(a, h, k) + np.bincount(b, h, k)
+            met = np.flatnonzero(out[1])
+            yield pd.DataFrame({"i": met, "v": out[0, met], "h": out[1, met]})
+
+        found = coded.mapInPandas(run, "i int, v double, h double").groupBy("i").agg(F.sum("v").alias("v"), F.sum("h").alias("h")).toPandas()
+        out = np.zeros((2, k))
+        out[:, found["i"]] = found[["v", "h"]].to_numpy().T
+        out[0, fixed] = 0.0
+        sent.unpersist()
+        return out
+
+    score = np.zeros(k)
+    while True:
+        g, diagonal = summed(score, None)
+        scale = 1 / np.maximum(diagonal, 1e-12)
+        step, left = np.zeros(k), g.copy()
+        along, power = scale * left, float(left @ (scale * left))
+        first = power
+        while power > 1e-6 * first and power > 0:
+            product = summed(score, along)[0]
+            size = power / float(along @ product)
+            step, left = step + size * along, left - size * product
+            old, power = power, float(left @ (scale * left))
+            along = scale * left + power / old * along
+        score = score + np.clip(step, -LONGEST, LONGEST)
+        if np.abs(step).max(initial=0) < tol:
+            break
+    return spark.createDataFrame([(p, float(x)) for p, x in zip(players, score, strict=True)], schema.replace("i int", "score double"))
+
+
 def placements(sides: DataFrame, frame: DataFrame, tasks: DataFrame, draws: int = 0) -> DataFrame:
     """For each held-out M and each task player j: truth, synth (with standard errors), n and the gap's bootstrap error.
 

@@ -81,8 +81,9 @@ def loo_bands(tasks: DataFrame, lo: Column, hi: Column, mid: Column, alpha3: flo
     return rows.withColumns(out).drop("_lo", "_hi", "_mid", "_a3", "_rlo", "_rhi", "_rmid", "_kl", "_kh")
 
 
-def select_ranks(rows: DataFrame, value: str, wanted: DataFrame, by: list[str], splitters: int = 2_000) -> DataFrame:
-    """by, k, value: the exact k-th smallest values for the ranks that ``wanted`` (by, k: few ranks a set) asks for.
+def select_ranks(rows: DataFrame, value: str, wanted: DataFrame | list[int], by: list[str], splitters: int = 2_000) -> DataFrame:
+    """by, k, value: the exact k-th smallest values for the ranks that ``wanted`` (by, k: few ranks a set, or one list for all
+    sets) asks for.
 
     A sketch of every set (approximate quantiles, one pass) brackets each rank between two values. A second pass counts the
     rows below each bracket and the rows of each value inside it, with partial sums before the shuffle, so only a few
@@ -93,11 +94,16 @@ def select_ranks(rows: DataFrame, value: str, wanted: DataFrame, by: list[str],
     rows = rows.select(*by, v.alias("v")).where(v.isNotNull() & ~F.isnan(v))
     keys = by or ["_all"]
     if not by:
-        rows, wanted = rows.withColumn("_all", F.lit(0)), wanted.withColumn("_all", F.lit(0))
+        rows = rows.withColumn("_all", F.lit(0))
     sketch = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("v", [i / splitters for i in range(splitters + 1)], 5 * splitters).alias("s"), F.min("v").alias("a"), F.max("v").alias("z"))
     at = (F.col("k") - 1) / F.col("n") * splitters
     low, high = F.floor(at).cast("int") - 2, F.ceil(at + splitters / F.col("n")).cast("int") + 2
-    marks = sketch.join(wanted.select(*keys, F.col("k").cast("long").alias("k")), keys).where((F.col("k") >= 1) & (F.col("k") <= F.col("n")))
+    if isinstance(wanted, list):
+        asked = sketch.withColumn("k", F.explode(F.array(*[F.lit(int(k)).cast("long") for k in wanted])))
+    else:
+        wanted = wanted.select(*by, F.col("k").cast("long").alias("k"), *([] if by else [F.lit(0).alias("_all")]))
+        asked = sketch.join(wanted, keys)
+    marks = asked.where((F.col("k") >= 1) & (F.col("k") <= F.col("n")))
     marks = marks.select(*keys, F.struct("k", F.when(low < 0, F.col("a")).otherwise(F.col("s")[low]).alias("a"), F.when(high > splitters, F.col("z")).otherwise(F.col("s")[high]).alias("z")).alias("m"))
     marks = written(marks.groupBy(*keys).agg(F.collect_list("m").alias("m")), "rank-brackets")
     met = rows.join(marks, keys).select(*keys, "v", F.explode(F.filter("m", lambda m: F.col("v") <= m["z"])).alias("m"))
@@ -109,7 +115,4 @@ def select_ranks(rows: DataFrame, value: str, wanted: DataFrame, by: list[str],
 
 def global_order_stats(rows: DataFrame, value: str, ranks: list[int], by: list[str] = (), splitters: int = 2_000) -> DataFrame:
     """by, k, value: the same ranks of every set, sets too large to be ordered in one task included."""
-    by = list(by)
-    sets = rows.select(*by).distinct() if by else rows.sparkSession.range(1).select()
-    wanted = sets.select("*", F.explode(F.array(*[F.lit(int(k)).cast("long") for k in ranks])).alias("k"))
-    return select_ranks(rows, value, wanted, by, splitters)
+    return select_ranks(rows, value, list(ranks), list(by), splitters)

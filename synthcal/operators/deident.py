@@ -9,19 +9,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from synthcal.sources.scratch import written
+
 
 def mapping(names: DataFrame, targets: DataFrame, seed: int = 0, prefix: str = "model-") -> DataFrame:
     """name, alias for the targets. Numbers are drawn over all names by a seeded hash, so gaps tell nothing.
 
-    A target that isn't among the names is an error.
+    The names are numbered in 256 parts of the hash with running offsets, never in one task. A target that isn't among the
+    names is an error.
     """
-    every = names.select("name").distinct()
+    every = written(names.select("name").distinct().withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), "name"))).withColumn("part", F.substring("h", 1, 2)), "names")
     lost = targets.select("name").join(every, "name", "left_anti").limit(1).collect()
     if lost:
         raise ValueError(f"unknown name: {lost[0]['name']}")
-    digits = F.length(F.count("*").over(Window.partitionBy(F.lit(0))).cast("string"))
-    slot = F.row_number().over(Window.orderBy(F.xxhash64("name", F.lit(seed)), "name"))
-    numbered = every.select("name", F.concat(F.lit(prefix), F.lpad(slot.cast("string"), digits, "0")).alias("alias"))
+    counts = every.groupBy("part").agg(F.count("*").alias("n"))
+    whole = Window.partitionBy(F.lit(0))  # 256 rows
+    offsets = counts.select("part", (F.sum("n").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"), F.length(F.sum("n").over(whole).cast("string")).alias("digits"))
+    slot = F.row_number().over(Window.partitionBy("part").orderBy("h", "name")) + F.col("before")
+    numbered = every.join(offsets, "part").select("name", F.concat(F.lit(prefix), F.lpad(slot.cast("string"), F.col("digits"), "0")).alias("alias"))
     return numbered.join(targets.select("name").distinct(), "name", "left_semi")
 
 

@@ -14,6 +14,7 @@ from synthcal.operators import bradley_terry as bt
 from synthcal.plans import inputs, methods, multidim, summaries
 from synthcal.plans import sql as q
 from synthcal.sources import io
+from synthcal.sources.scratch import fresh, written
 
 ALPHA, ALPHAS = 0.1, [0.1, 0.15, 0.2]
 UNIT = (0.0, 0.1)
@@ -94,14 +95,20 @@ def weighted_cell_stats(spark, sf):
     return shown(inputs.cells(spark, sf).select("*", lo.alias("gap_lo"), hi.alias("gap_hi")))
 
 
-@query("SELECT 0.0::DOUBLE AS largest, true AS within")
+@query(f"WITH {q.CELLS} SELECT {q.r('max(n) * 1e-4::DOUBLE')} AS largest, max(n) * 1e-4::DOUBLE <= 1e-9::DOUBLE AS within FROM cells")
 def cell_parity(spark, sf):
-    """Cells written and read back against cells computed anew."""
-    from synthcal.sources.scratch import written
-
+    """Cells against cells whose synthetic mean is off by a ten-thousandth of their size, taken from a written table."""
     stats = ["theta", "gap", "gap_se", "synth", "synth_se", "n"]
-    cells = inputs.cells(spark, sf)
-    return shown(io.parity(cells, written(cells, "cells"), ["wave", "party", "region"], stats))
+    cells = written(inputs.cells(spark, sf), "cells")
+    return shown(io.parity(cells, cells.withColumn("synth", F.col("synth") + F.col("n") * 1e-4), inputs.CELL, stats))
+
+
+@query(f"WITH {q.CELLS} SELECT wave, party, region, n, {rounds('theta gap gap_se synth synth_se n_eff')} FROM cells")
+def reduced_cells(spark, sf):
+    """Early waves from respondents' rows, later ones as already reduced cells."""
+    rows = inputs.cell_rows(spark, sf)
+    late = moments.weighted_cells(rows.where("wave >= 1997"), inputs.CELL, "x", "y", "w")
+    return shown(io.reduced_cells(rows.where("wave < 1997"), written(late, "late-cells"), inputs.CELL))
 
 
 # --- methods: split history
@@ -163,16 +170,40 @@ def temporal_absolute_split(spark, sf):
     return shown(methods.run(inputs.temporal_tasks(spark, sf), "alg1", 0.1, "abs_005_005", clip=UNIT))
 
 
-@query()
+@query(_fixed_split_sql("floored_127"))
 def temporal_floored_split(spark, sf):
-    """The third share depends on the size of the history (SQL has no normal quantile for it; see the tests)."""
+    """The third share depends on the size of the history."""
     return shown(methods.run(inputs.temporal_tasks(spark, sf), "alg1", 0.1, "floored_127", clip=UNIT))
 
 
+@query(q.method(q.TASKS, "alg1", 0.2, mode="loo", clip=UNIT, hoeffding=True))
+def loo_alg1_hoeffding(spark, sf):
+    """Both intervals by Hoeffding's bound instead of the normal one."""
+    return shown(methods.run(inputs.paired_tasks(spark, sf), "alg1", 0.2, mode="loo", clip=UNIT, mean_interval="hoeffding", gap_interval="hoeffding", bounds=UNIT))
+
+
+@query()
+def loo_alg1_bootstrap(spark, sf):
+    """Both intervals by the bootstrap, each at its own level (random draws; see the tests)."""
+    a1, a2, _ = ALLOCATIONS["prop_127"](0, 0.2)
+    rows = inputs.pairs(spark, sf)
+    tasks = moments.paired_stats(rows, ["task_id"], "x", "y")
+    for name, target, level in (("mean", "synth", a1), ("gap", "paired_gap", a2)):
+        found = bootstrap.bootstrap_intervals(rows, ["task_id"], "x", "y", level, 400).where((F.col("target") == target) & (F.col("kind") == "percentile"))
+        tasks = tasks.join(found.select("task_id", F.col("ci_lo").alias(f"{name}_ci_lo"), F.col("ci_hi").alias(f"{name}_ci_hi")), "task_id")
+    return methods.run(written(tasks, "bootstrapped"), "alg1", 0.2, mode="loo", clip=UNIT, mean_interval="columns", gap_interval="columns")
+
+
 def _loo(spark, sf, algo="alg1", **kw):
     return methods.run(inputs.paired_tasks(spark, sf), algo, ALPHA, mode="loo", clip=UNIT, **kw)
 
 
+def _loo_each(spark, sf, *algos):
+    """The records of each method, computed together and written once."""
+    rows = written(shown(_loo(spark, sf, list(algos))), "loo-records")
+    return [rows.where(F.col("algo") == a) for a in algos]
+
+
 L1, L3, LS = (q.method(q.TASKS, a, mode="loo", clip=UNIT) for a in ("alg1", "alg3", "synth_only"))
 
 
@@ -180,7 +211,7 @@ L1, L3, LS = (q.method(q.TASKS, a, mode="loo", clip=UNIT) for a in ("alg1", "alg
   {q.r("quantile_cont(p.width_clip, 0.5) FILTER (WHERE isfinite(p.width_clip))", 5)} AS median_width_clip, {q.r('avg(b.covered::INT::DOUBLE) * 100')} AS baseline_coverage_pct
   FROM ({L1}) p JOIN ({LS}) b USING (task_id) GROUP BY p.alpha""")
 def loo_panel_summary(spark, sf):
-    out = summaries.panel_summary(shown(_loo(spark, sf)), shown(_loo(spark, sf, "synth_only")))
+    out = summaries.panel_summary(*_loo_each(spark, sf, "alg1", "synth_only"))
     return out.select(*(ex.rounded(F.col(c), 5 if "width" in c else 6).alias(c) if t == "double" and c != "alpha" else F.col(c) for c, t in out.dtypes))
 
 
@@ -205,24 +236,25 @@ def borderline_tasks(spark, sf):
   p AS (SELECT DISTINCT round_even(k * (t - 1)::DOUBLE / 9, 0) AS i FROM (SELECT any_value(t) AS t FROM o), (SELECT unnest(range(10)) AS k))
   SELECT task_id, theta FROM o JOIN p USING (i)""")
 def spread_tasks(spark, sf):
-    rows = shown(_loo(spark, sf))
+    rows = written(shown(_loo(spark, sf)), "loo-records")
     return summaries.select_spread(rows, 10, rows.count()).select("task_id", "theta")
 
 
-@query()
+@query(f"SELECT task_id, theta FROM ({L1}) ORDER BY md5('0:' || task_id), task_id LIMIT 10")
 def random_tasks(spark, sf):
-    """Ten tasks by hash: the same for every partitioning (SQL's hash differs; see the tests)."""
+    """Ten tasks by hash: the same for every partitioning."""
     return summaries.select_random(shown(_loo(spark, sf)), 10).select("task_id", "theta")
 
 
 @query(f"SELECT p.task_id, p.theta, p.ci_lo, p.ci_hi, p.covered, b.ci_lo AS base_lo, b.ci_hi AS base_hi, b.covered AS base_covered FROM ({L1}) p LEFT JOIN (SELECT * FROM ({LS}) WHERE task_id LIKE '%ECONOMY') b USING (task_id)")
 def intervals_with_baseline(spark, sf):
-    return summaries.with_baseline(shown(_loo(spark, sf)), shown(_loo(spark, sf, "synth_only")).where(F.col("task_id").endswith("ECONOMY")))
+    rows, base = _loo_each(spark, sf, "alg1", "synth_only")
+    return summaries.with_baseline(rows, base.where(F.col("task_id").endswith("ECONOMY")))
 
 
 @query(f"SELECT a.task_id, a.width AS width_a, a.covered AS covered_a, b.width AS width_b, b.covered AS covered_b FROM ({L1}) a JOIN ({L3}) b USING (task_id)")
 def compared_methods(spark, sf):
-    return summaries.compared(shown(_loo(spark, sf)), shown(_loo(spark, sf, "alg3")))
+    return summaries.compared(*_loo_each(spark, sf, "alg1", "alg3"))
 
 
 @query(f"""SELECT 'n_real' AS what, count(*) AS n FROM ({L1}) WHERE lower(label) LIKE 'brand#1%' OR lower(label) LIKE 'brand#2%' UNION ALL
@@ -230,8 +262,8 @@ def compared_methods(spark, sf):
   SELECT 'level', count(*) FROM ({LOO_UNION}) WHERE abs(alpha - 0.15::DOUBLE) <= 1e-8::DOUBLE + 1e-5::DOUBLE * 0.15::DOUBLE""")
 def filtered_records(spark, sf):
     """Family prefixes, in any case and cased, and levels matched within rounding."""
-    rows = _loo(spark, sf)
-    every = methods.run_all(inputs.paired_tasks(spark, sf), ALPHAS, ("alg1", "alg3", "synth_only"), mode="loo", clip=UNIT)
+    every = written(methods.run_all(inputs.paired_tasks(spark, sf), ALPHAS, ("alg1", "alg3", "synth_only"), mode="loo", clip=UNIT), "loo-records")
+    rows = every.where((F.col("algo") == "alg1") & (F.col("alpha") == ALPHA))
     counts = [("n_real", rows.where(ex.has_prefix(F.col("label"), ["brand#1", "brand#2"]))), ("cased", rows.where(ex.has_prefix(F.col("label"), ["brand#1"], False))), ("level", every.where(ex.close_to(F.col("alpha"), 0.15)))]
     out = None
     for name, df in counts:
@@ -325,20 +357,35 @@ def rectangle_table(spark, sf):
 
 # --- grid allocation
 
-GRID = f"""{q.CELLS}, tasks AS (SELECT wave || '|' || party || '|' || region AS task_id, n, theta, synth, synth_se, gap, gap_se FROM cells)"""
+#: The SQL's grid is that of the test tables' 105 cells.
+GRID_T = 104
+GRID_ROWS = ", ".join(f"({', '.join(str(x) if isinstance(x, int) else q.d(x) for x in p)})" for p in allocation.grid_points(ALPHA, GRID_T))
+GRID = f"""{q.CELLS}, tasks AS (SELECT wave || '|' || party || '|' || region AS task_id, n, theta, synth, synth_se, gap, gap_se FROM cells),
+points AS (SELECT * FROM (VALUES {GRID_ROWS}) AS v(i3, i1, alpha1, alpha2, alpha3, z1, z2, k_low, k_high) WHERE (SELECT count(*) FROM tasks) = {GRID_T + 1}),
+ranked AS (SELECT i3, i1, k_low, k_high, task_id, gap - z2 * gap_se AS lo, gap + z2 * gap_se AS hi, row_number() OVER (PARTITION BY i3, i1 ORDER BY gap - z2 * gap_se, task_id) AS r_lo,
+  row_number() OVER (PARTITION BY i3, i1 ORDER BY gap + z2 * gap_se, task_id) AS r_hi FROM tasks, points),
+bands AS (SELECT i3, i1, max(lo) FILTER (WHERE r_lo = k_low) AS lo_0, max(lo) FILTER (WHERE r_lo = k_low + 1) AS lo_1, max(hi) FILTER (WHERE r_hi = k_high) AS hi_0, max(hi) FILTER (WHERE r_hi = k_high + 1) AS hi_1 FROM ranked GROUP BY i3, i1),
+tried AS (SELECT r.task_id, i3, i1, CASE WHEN r_lo <= r.k_low THEN lo_1 ELSE lo_0 END AS delta_lo, CASE WHEN r_hi <= r.k_high THEN hi_1 ELSE hi_0 END AS delta_hi FROM ranked r JOIN bands USING (i3, i1)),
+best AS (SELECT task_id, alpha1, alpha2, alpha3, z1, delta_lo, delta_hi FROM tried JOIN points USING (i3, i1) JOIN tasks USING (task_id)
+  QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY 2 * z1 * synth_se + (delta_hi - delta_lo), i3, i1) = 1),
+grid AS (SELECT t.task_id, {q.d(ALPHA)} AS alpha, n, n * RUNS AS n_calls, {GRID_T}::BIGINT AS t_hist, theta, synth, alpha1, alpha2, alpha3, greatest(0.0::DOUBLE, synth - z1 * synth_se + delta_lo) AS ci_lo, least(1.0::DOUBLE, synth + z1 * synth_se + delta_hi) AS ci_hi,
+  2 * z1 * synth_se AS w_synth, delta_hi - delta_lo AS w_band, greatest(0.0::DOUBLE, synth - {Z10} * synth_se) AS naive_lo, least(1.0::DOUBLE, synth + {Z10} * synth_se) AS naive_hi FROM tasks t JOIN best USING (task_id))"""
 
 
 def _grid_tasks(spark, sf):
     return inputs.cells(spark, sf).select(F.concat_ws("|", "wave", "party", "region").alias("task_id"), "n", "theta", "synth", "synth_se", "gap", "gap_se")
 
 
-@query()
+@query(f"""WITH {GRID.replace('RUNS', '4')} SELECT task_id, alpha, n, n_calls, t_hist, {rounds('theta synth', 5)}, alpha1, alpha2, alpha3, {rounds('ci_lo ci_hi', 5)}, {q.r('ci_hi - ci_lo', 5)} AS width, ci_lo <= theta AND theta <= ci_hi AS covered, {rounds('w_synth w_band naive_lo naive_hi', 5)},
+  naive_lo <= theta AND theta <= naive_hi AS naive_covered FROM grid""")
 def grid_allocation(spark, sf):
-    """Best budget split per task on a 30 x 30 grid (held against brute force in the tests)."""
+    """Best budget split per task on a 30 x 30 grid."""
     return shown(allocation.grid_intervals(_grid_tasks(spark, sf), 0.1, runs=4), 5)
 
 
-@query()
+@query(f"""WITH {GRID.replace('RUNS', '1')}, c AS (SELECT *, ci_lo <= theta AND theta <= ci_hi AS covered, ci_hi - ci_lo AS width FROM grid)
+  SELECT alpha, {q.r('avg(covered::INT::DOUBLE)', 4)} AS coverage, count(*) FILTER (WHERE covered) || '/' || count(*) AS covered_of, {q.r('avg(width)', 4)} AS mean_length, {q.r('quantile_cont(width, 0.5)', 4)} AS median_length, count(*) AS n_tasks,
+  {q.r('corr(theta, synth)', 4)} AS corr_real_synth, {q.r('avg(abs(theta - synth))', 4)} AS mean_abs_gap, min(n) AS n_least, {q.r('quantile_cont(n, 0.5)', 4)} AS n_median, max(n) AS n_largest FROM c GROUP BY alpha""")
 def grid_agreement(spark, sf):
     return shown(allocation.agreement(allocation.grid_intervals(_grid_tasks(spark, sf), 0.1)), 4)
 
@@ -376,19 +423,17 @@ def win_rate_one_piece(spark, sf):
     return shown(methods.run(bt.win_rates(bt.oriented(inputs.battle_pairs(spark, sf))), "alg3", 0.2, mode="loo", clip=(0.0, 1.0)))
 
 
-REF = 0
+REF = "(SELECT min(player) FROM sides)"
 
 
-def mm_sql(keys: str, pairs: str, rounds_: int = 60) -> str:
-    """Unrolled minorisation-maximisation for the joint scores of each value of ``keys``: g0, g1, ... hold exp(score)."""
-    out = [f"w AS MATERIALIZED (SELECT {keys}, player, sum(w) AS w FROM {pairs} GROUP BY {keys}, player)", f"g0 AS MATERIALIZED (SELECT {keys}, player, 1.0::DOUBLE AS g FROM w)"]
-    on = f"{keys}, player"
+def mm_sql(keys: str, pairs: str, rounds_: int = 60, tag: str = "") -> str:
+    """Unrolled minorisation-maximisation for the joint scores of each value of ``keys``: g0, g1, ... (behind the tag) hold exp(score)."""
+    w, g, u = f"{tag}w", f"{tag}g", f"{tag}u"
+    out = [f"{w} AS MATERIALIZED (SELECT {keys}, player, sum(w) AS w FROM {pairs} GROUP BY {keys}, player)", f"{g}0 AS MATERIALIZED (SELECT {keys}, player, 1.0::DOUBLE AS g FROM {w})"]
     for i in range(rounds_):
-        same = " AND ".join(f"p.{k.strip()} = o.{k.strip()}" for k in keys.split(","))
-        own = " AND ".join(f"p.{k.strip()} = s.{k.strip()}" for k in keys.split(","))
         out.append(
-            f"u{i} AS (SELECT p.{keys}, p.player, any_value(w.w) / sum(p.n / (s.g + o.g)) AS g FROM {pairs} p JOIN g{i} s ON p.player = s.player AND {own} JOIN g{i} o ON p.opponent = o.player AND {same} JOIN w ON w.player = p.player AND w.{keys} = p.{keys} GROUP BY p.{keys}, p.player), "
-            f"g{i + 1} AS MATERIALIZED (SELECT {keys}, u{i}.player, u{i}.g / r.g AS g FROM u{i} JOIN (SELECT {keys}, g FROM u{i} WHERE player = {REF}) r USING ({keys}))"
+            f"{u}{i} AS (SELECT p.{keys}, p.player, any_value({w}.w) / sum(p.n / (s.g + o.g)) AS g FROM {pairs} p JOIN {g}{i} s ON p.player = s.player AND p.{keys} = s.{keys} JOIN {g}{i} o ON p.opponent = o.player AND p.{keys} = o.{keys} JOIN {w} ON {w}.player = p.player AND {w}.{keys} = p.{keys} GROUP BY p.{keys}, p.player), "
+            f"{g}{i + 1} AS MATERIALIZED (SELECT {keys}, {u}{i}.player, {u}{i}.g / r.g AS g FROM {u}{i} JOIN (SELECT {keys}, g FROM {u}{i} WHERE player = {REF}) r USING ({keys}))"
         )
     return ", ".join(out)
 
@@ -396,7 +441,8 @@ def mm_sql(keys: str, pairs: str, rounds_: int = 60) -> str:
 @query(f"WITH {q.BATTLES}, t AS MATERIALIZED (SELECT 0 AS f, player, opponent, sum(n * y) AS w, sum(n)::DOUBLE AS n FROM sides GROUP BY player, opponent), {mm_sql('f', 't', 80)}, s AS (SELECT player, ln(g) AS score FROM g80) SELECT player, {q.r('score', 5)} AS score, {q.r(f'{q.d(ELO_SCALE)} * score', 2)} AS elo, rank() OVER (ORDER BY round(score, 8) DESC)::INT AS rank FROM s")
 def bt_leaderboard(spark, sf):
     """Joint Bradley-Terry scores, Elo and rank."""
-    s = bt.leaderboard(bt.joint_scores(inputs.battle_pairs(spark, sf), REF))
+    pairs = written(inputs.battle_pairs(spark, sf), "battle-pairs")
+    s = bt.leaderboard(bt.joint_scores(pairs, bt.reference_of(pairs)))
     return s.select("player", ex.rounded(F.col("score"), 5).alias("score"), ex.rounded(ELO_SCALE * F.col("score"), 2).alias("elo"), "rank")
 
 
@@ -404,23 +450,22 @@ def bt_leaderboard(spark, sf):
 M_BACKGROUND = 5
 
 
-def _bt_tasks(spark, sf, pairs):
+def _bt_tasks(pairs, reference):
     players = bt.participants(pairs)
     ordered = bt.order_players(players, players.select("player", F.col("player").alias("pos")))
-    return bt.split_players(ordered, REF, M_BACKGROUND).where("role = 'task'").select("player")
+    return bt.split_players(ordered, reference, M_BACKGROUND).where("role = 'task'").select("player")
 
 
 def _bt_parts(spark, sf, draws=0):
-    from synthcal.sources.scratch import written
-
     pairs = written(inputs.battle_pairs(spark, sf), "battle-pairs")
-    tasks = _bt_tasks(spark, sf, pairs)
-    frame = written(bt.frames(pairs, tasks, REF), "frames")
+    reference = bt.reference_of(pairs)
+    tasks = _bt_tasks(pairs, reference)
+    frame = written(bt.frames(pairs, tasks, reference), "frames")
     return written(bt.placements(bt.oriented(pairs), frame, tasks, draws), "placements"), frame
 
 
 TASKS_BT = f"tp AS MATERIALIZED (SELECT player FROM (SELECT player, row_number() OVER (ORDER BY player) AS k FROM (SELECT DISTINCT player FROM sides)) WHERE k > {M_BACKGROUND})"
-FRAMES = f"{q.BATTLES}, {TASKS_BT}, t AS MATERIALIZED (SELECT tp.player AS held_out, s.player, opponent, sum(n * y) AS w, sum(n)::DOUBLE AS n FROM sides s JOIN tp ON s.player <> tp.player AND s.opponent <> tp.player GROUP BY ALL), {mm_sql('held_out', 't', 40)}, frame AS MATERIALIZED (SELECT held_out, player, ln(g) AS score FROM g40)"
+FRAMES = f"{q.BATTLES}, {TASKS_BT}, tf AS MATERIALIZED (SELECT 0 AS f, player, opponent, sum(n * y) AS w, sum(n)::DOUBLE AS n FROM sides GROUP BY player, opponent), t AS MATERIALIZED (SELECT tp.player AS held_out, s.player, opponent, sum(n * y) AS w, sum(n)::DOUBLE AS n FROM sides s JOIN tp ON s.player <> tp.player AND s.opponent <> tp.player GROUP BY ALL), {mm_sql('held_out', 't', 40)}, {mm_sql('f', 'tf', 60, 'f')}, frame AS MATERIALIZED (SELECT tp.player AS held_out, fg60.player, coalesce(ln(g40.g), ln(fg60.g)) AS score FROM tp JOIN fg60 ON fg60.player <> tp.player LEFT JOIN g40 ON g40.held_out = tp.player AND g40.player = fg60.player)"
 
 
 def place_sql(out: str, y: str, rounds_: int = 12) -> str:
@@ -454,22 +499,27 @@ def bt_sql(algo: str, alpha: float) -> str:
         rows = f"own AS (SELECT *, synth - {h} * synth_se AS synth_lo, synth + {h} * synth_se AS synth_hi, 0.0::DOUBLE AS delta_lo, 0.0::DOUBLE AS delta_hi FROM placed WHERE player = held_out)"
     ranks = ", ".join(f"(SELECT count(*) + 1 FROM frame f WHERE f.held_out = i.held_out AND f.score > i.{v})::INT AS {n}" for n, v in (("rank", "truth"), ("rank_lo", "ci_hi"), ("rank_hi", "ci_lo")))
     return f"""WITH {PLACED}, {rows}, i AS (SELECT *, synth_lo + delta_lo AS ci_lo, synth_hi + delta_hi AS ci_hi FROM own),
-k AS (SELECT *, {ranks}, (SELECT count(*) + 1 FROM frame f WHERE f.held_out = i.held_out)::INT AS n_models FROM i)
+k AS (SELECT *, truth - {h} * truth_se AS theta_lo, truth + {h} * truth_se AS theta_hi, {ranks}, (SELECT count(*) + 1 FROM frame f WHERE f.held_out = i.held_out)::INT AS n_models FROM i)
 SELECT player, '{algo}' AS algo, {q.d(alpha)} AS alpha, {q.d(a[0])} AS alpha1, {q.d(a[1])} AS alpha2, {q.d(a[2])} AS alpha3, n, {q.r('truth', 4)} AS theta, {rounds('ci_lo ci_hi', 4)},
-  isfinite(ci_lo) AND isfinite(ci_hi) AND ci_lo <= truth AND truth <= ci_hi AS covered, rank, rank_lo, rank_hi, rank_lo <= rank AND rank <= rank_hi AS rank_covered, n_models FROM k"""
+  isfinite(ci_lo) AND isfinite(ci_hi) AND ci_lo <= truth AND truth <= ci_hi AS covered, rank, rank_lo, rank_hi, rank_lo <= rank AND rank <= rank_hi AS rank_covered, n_models, {rounds('theta_lo theta_hi', 4)}, {', '.join(f"{q.r(f'{q.d(ELO_SCALE)} * {c}', 1)} AS elo_{n}" for n, c in (('truth', 'truth'), ('lo', 'ci_lo'), ('hi', 'ci_hi'), ('theta_lo', 'theta_lo'), ('theta_hi', 'theta_hi')))} FROM k"""
+
 
+BT_SHOWN = ["player", "algo", "alpha", "alpha1", "alpha2", "alpha3", "n", "theta", "ci_lo", "ci_hi", "covered", "rank", "rank_lo", "rank_hi", "rank_covered", "n_models", "theta_lo", "theta_hi", "elo_truth", "elo_lo", "elo_hi", "elo_theta_lo", "elo_theta_hi"]
 
-BT_SHOWN = ["player", "algo", "alpha", "alpha1", "alpha2", "alpha3", "n", "theta", "ci_lo", "ci_hi", "covered", "rank", "rank_lo", "rank_hi", "rank_covered", "n_models"]
+
+def _bt_shown(df: DataFrame) -> DataFrame:
+    elo = {c: ex.rounded(F.col(c), 1) for c in df.columns if c.startswith("elo_")}
+    return shown(df.select(*BT_SHOWN).withColumns(elo), 4)
 
 
 @query(bt_sql("alg4", 0.4))
 def bt_one_piece(spark, sf):
-    return shown(bt.intervals(*_bt_parts(spark, sf), "alg4", 0.4).select(*BT_SHOWN), 4)
+    return _bt_shown(bt.intervals(*_bt_parts(spark, sf), "alg4", 0.4))
 
 
 @query(bt_sql("synth_only", 0.1))
 def bt_naive(spark, sf):
-    return shown(bt.intervals(*_bt_parts(spark, sf), "synth_only", 0.1).select(*BT_SHOWN), 4)
+    return _bt_shown(bt.intervals(*_bt_parts(spark, sf), "synth_only", 0.1))
 
 
 @query()
@@ -506,15 +556,19 @@ def poisson_bootstrap(spark, sf):
 @query(f"SELECT task_id, label, theta, ci_lo, ci_hi, covered, width, alpha, '010' AS alpha_tag, 'demo' AS app FROM ({L1})")
 def records_round_trip(spark, sf):
     """Records written as CSV in folders by key and read back with types."""
-    from synthcal.sources.scratch import fresh
-
     path = fresh(spark, "records")
-    rows = shown(_loo(spark, sf))
-    io.write_records(rows, path, "demo", "tasks")
-    back = io.read_records(spark, path, [c for c in rows.columns if c not in ("algo", "alloc")])
+    columns = io.write_records(shown(_loo(spark, sf)).withColumn("coord", F.lit(None).cast("string")), path, "demo", "tasks")
+    back = io.read_records(spark, path, columns)
     return back.select("task_id", "label", "theta", "ci_lo", "ci_hi", "covered", "width", "alpha", "alpha_tag", "app")
 
 
+@query(f"SELECT algo, alpha, n_tasks, mean_width_clip, row_number() OVER (ORDER BY mean_width_clip, algo, alpha) AS place FROM ({summary_sql(LOO_UNION)})")
+def ordered_results(spark, sf):
+    """The summary of all methods in the order of the clipped width."""
+    rows = loo_method_table(spark, sf).select("algo", "alpha", "n_tasks", "mean_width_clip")
+    return summaries.ordered(rows, ["mean_width_clip", "algo", "alpha"]).withColumn("place", F.col("place").cast("long"))
+
+
 def manifest_sql(inner: str) -> str:
     return f"SELECT algo, alpha, alloc, count(*) AS n, round(avg(covered::INT::DOUBLE) * 100, 1) AS coverage_pct, round(avg(width_clip) FILTER (WHERE isfinite(width_clip)), 4) AS mean_width_clip FROM ({inner}) GROUP BY algo, alpha, alloc"
 
@@ -527,7 +581,7 @@ def result_manifest(spark, sf):
 @query(f"""WITH a AS ({manifest_sql(f'SELECT * FROM ({L1}) UNION ALL SELECT * FROM ({L3})')}), b AS ({manifest_sql(f'SELECT * FROM ({L1}) UNION ALL SELECT * FROM ({LS})')})
   SELECT algo, alpha, alloc, a.n AS old_n, b.n AS new_n FROM a FULL JOIN b USING (algo, alpha, alloc) WHERE (a.n, a.coverage_pct, a.mean_width_clip) IS DISTINCT FROM (b.n, b.coverage_pct, b.mean_width_clip)""")
 def result_differences(spark, sf):
-    one, three, naive = (shown(_loo(spark, sf, a)) for a in ("alg1", "alg3", "synth_only"))
+    one, three, naive = _loo_each(spark, sf, "alg1", "alg3", "synth_only")
     found = summaries.differences(summaries.manifest(one.unionByName(three)), summaries.manifest(one.unionByName(naive)))
     return found.select("algo", "alpha", "alloc", F.col("old.n").alias("old_n"), F.col("new.n").alias("new_n"))
 
@@ -557,9 +611,7 @@ def ingested_results(spark, sf):
 @query(f"WITH {q.PAIRS}, n AS (SELECT task_id, count(*) AS n, avg(x) AS mx, avg(y) AS my FROM pairs GROUP BY task_id) SELECT task_id, substr(task_id, 1, 12) AS label, n, {rounds('mx my')} FROM n")
 def packed_task_round_trip(spark, sf):
     """Tasks as arrays, written, read and unpacked again."""
-    from synthcal.sources.scratch import written
-
-    packed = written(io.packed_tasks(inputs.pairs(spark, sf), "task_id", "x", "y"), "packed")
+    packed = written(io.packed_tasks(inputs.pairs(spark, sf), "task_id", "x", "y", F.struct("l_orderkey", "l_linenumber"), 500), "packed")
     rows = io.unpacked_tasks(packed, "task_id", "s_real", "s_synth", 12)
     return shown(rows.groupBy("task_id", "label").agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my")))
 
@@ -567,8 +619,6 @@ def packed_task_round_trip(spark, sf):
 @query("SELECT n_name AS player, (row_number() OVER (ORDER BY n_nationkey) - 1)::INT AS pos, CASE WHEN n_nationkey % 2 = 0 THEN '2026-01-0' || (n_nationkey % 9 + 1) END AS date FROM nation")
 def release_ordering(spark, sf):
     """A release file (made from the nations) read as an ordering with dates."""
-    from synthcal.sources.scratch import fresh
-
     n = inputs.table(spark, sf, "nation")
     dates = F.map_from_entries(F.collect_list(F.struct("n_name", F.struct(F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("2026-01-0"), (F.col("n_nationkey") % 9 + 1).cast("string"))).alias("date"), F.lit("s").alias("source"), F.lit("c").alias("confidence")))))
     path = fresh(spark, "ordering")
@@ -576,6 +626,54 @@ def release_ordering(spark, sf):
     return io.read_ordering(spark, path)
 
 
+@query("SELECT year(o_orderdate)::INT AS year, year(o_orderdate) || ':' || l_linestatus || ' / ' || l_returnflag AS task_id, count(*) AS n, round(avg(l_discount), 6) AS x, round(avg(l_tax), 6) AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE year(o_orderdate) IN (1996, 2000) GROUP BY ALL")
+def respondent_tasks(spark, sf):
+    """Lines as respondents whose id starts with the year, written as CSV and read as tasks of two years."""
+    orders = inputs.table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.year("o_orderdate").alias("y"))
+    rows = inputs.table(spark, sf, "lineitem").join(orders, "l_orderkey")
+    rows = rows.select(F.format_string("%d%08d", "y", "l_orderkey").alias("id"), F.col("l_returnflag").alias("pid"), F.col("l_linestatus").alias("grp"), F.col("l_discount").cast("double").alias("x"), F.col("l_tax").cast("double").alias("y"))
+    path = fresh(spark, "respondents")
+    rows.write.option("header", True).csv(path)
+    tasks = io.respondent_tasks(io.read_paired(spark, path, "csv", "id string, pid string, grp string, x double, y double"), "id", ["pid", "grp"], "x", "y").where("year in (1996, 2000)")
+    return tasks.groupBy("year", "task_id").agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("x"), F.round(F.avg("y"), 6).alias("y"))
+
+
+@query(f"WITH {q.BATTLES} SELECT a::VARCHAR AS a, b::VARCHAR AS b, y, y_auto, n FROM pairs")
+def battle_file(spark, sf):
+    """Battles written as CSV, read with the check of the reference, and counted."""
+    battles = inputs.battles(spark, sf)
+    path = fresh(spark, "battles")
+    battles.write.option("header", True).csv(path)
+    return bt.pair_stats(io.read_battles(spark, path, str(inputs.table(spark, sf, "supplier").agg(F.min("s_nationkey")).first()[0])))
+
+
+@query("""SELECT 'demo' AS app, task_def, count(DISTINCT y) AS t_tasks, 7::BIGINT AS t_hist, count(*) AS n_rows, CASE task_def WHEN 'early' THEN 'temporal' ELSE 'loo' END AS mode,
+  CASE task_def WHEN 'early' THEN array_to_string(list_sort(list(DISTINCT y::VARCHAR)), ',') ELSE '' END AS waves FROM (SELECT year(o_orderdate) AS y, CASE WHEN year(o_orderdate) < 1996 THEN 'early' ELSE 'late' END AS task_def FROM orders) GROUP BY task_def""")
+def task_definitions(spark, sf):
+    """Task definitions (made from the order years) written as JSON and written anew: hand-written fields stay."""
+    years = inputs.table(spark, sf, "orders").select(F.year("o_orderdate").alias("y")).withColumn("task_def", F.when(F.col("y") < 1996, "early").otherwise("late"))
+    found = years.groupBy("task_def").agg(F.count_distinct("y").alias("t_tasks"), F.lit(7).cast("long").alias("t_hist"), F.count("*").alias("n_rows"), F.array_sort(F.collect_set(F.col("y").cast("string"))).alias("waves"))
+    plain = found.select(F.lit("demo").alias("app"), "task_def", "t_tasks", "t_hist", "n_rows", F.struct(F.lit("loo").alias("mode"), F.array().cast("array<string>").alias("predict_waves")).alias("eval"), "waves")
+    plain = written(plain, "definitions")
+    authored = plain.where("task_def = 'early'").withColumn("eval", F.struct(F.lit("temporal").alias("mode"), F.col("waves").alias("predict_waves")))
+    old, new = fresh(spark, "info"), fresh(spark, "info")
+    io.write_task_defs(authored, old)
+    io.write_task_defs(io.keep_authored(plain.drop("waves"), io.read_task_defs(spark, old)), new)
+    return io.read_task_defs(spark, new).select("app", "task_def", "t_tasks", "t_hist", "n_rows", "eval.mode", F.array_join("eval.predict_waves", ",").alias("waves"))
+
+
+@query(f"WITH {q.PAIRS}, r AS (SELECT year(o_orderdate) AS wave, count(*) AS n FROM pairs JOIN orders ON l_orderkey = o_orderkey GROUP BY 1) SELECT wave, n, CASE WHEN wave >= (SELECT max(wave) - 1 FROM r) THEN 'predict' ELSE 'calib' END AS role FROM r")
+def eval_spec(spark, sf):
+    """A specification (the last two waves are predicted) written as JSON and applied to the rows' waves."""
+    orders = inputs.table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.year("o_orderdate").alias("wave"))
+    waves = written(inputs.pairs(spark, sf).join(orders, "l_orderkey").groupBy("wave").agg(F.count("*").alias("n")), "waves")
+    path = fresh(spark, "spec")
+    last = waves.orderBy(F.desc("wave")).limit(2).agg(F.collect_list(F.col("wave").cast("string")).alias("predict_waves"))
+    last.select(F.lit("demo").alias("task_def"), F.lit("temporal").alias("mode"), "predict_waves").write.json(path)
+    spec = io.read_spec(spark, path).select(F.explode("predict_waves").alias("predicted"))
+    return waves.join(spec, F.col("wave").cast("string") == F.col("predicted"), "left").select("wave", "n", F.when(F.col("predicted").isNotNull(), "predict").otherwise("calib").alias("role"))
+
+
 @query(f"""WITH p AS (SELECT s_name AS player, CASE WHEN s_nationkey % 2 = 0 THEN s_nationkey END AS pos FROM supplier), o AS (SELECT player, row_number() OVER (ORDER BY pos NULLS LAST, player) AS place FROM p),
   r AS (SELECT *, row_number() OVER (PARTITION BY player = 'Supplier#000000003' ORDER BY place) AS k FROM o)
   SELECT player, place::INT AS place, CASE WHEN player = 'Supplier#000000003' OR k <= 4 THEN 'background' ELSE 'task' END AS role FROM r""")
@@ -625,9 +723,10 @@ def shown_players(spark, sf):
 TEXT_NAMES = {"the": "name-1", "then": "name-2", "ing": "name-3", "und": "name-4"}
 
 
-@query()
+@query("""WITH n AS (SELECT DISTINCT s_name AS name FROM supplier), k AS (SELECT name, 'model-' || lpad((row_number() OVER (ORDER BY md5('0:' || name), name))::VARCHAR, length((SELECT count(*) FROM n)::VARCHAR)::INT, '0') AS alias FROM n)
+  SELECT CASE WHEN s_nationkey < 5 THEN alias ELSE s_name END AS name, s_nationkey, s_acctbal, CASE WHEN s_nationkey >= 5 THEN '2026-01-01' END AS released FROM supplier JOIN k ON s_name = name""")
 def pseudonymised_players(spark, sf):
-    """Supplier names in key columns replaced (numbers drawn by hash; see the tests)."""
+    """Supplier names in key columns replaced."""
     s = inputs.table(spark, sf, "supplier").select(F.col("s_name").alias("name"), "s_nationkey", "s_acctbal", F.lit("2026-01-01").alias("released"))
     names = deident.mapping(s, s.where("s_nationkey < 5"))
     return deident.rename_keys(s, ["name"], names, {"released": "name"})

@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with their part's brand and type: x real, y synthetic, w weight."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type")
-    line = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", F.col("l_discount").alias("x"), F.col("l_tax").alias("y"), F.col("l_quantity").alias("w"), F.col("l_extendedprice").alias("price"), "l_linestatus")
+    line = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", F.col("l_discount").alias("x"), F.col("l_tax").alias("y"), F.col("l_quantity").alias("w"), F.col("l_extendedprice").alias("price"), "l_linestatus", "l_linenumber")
     return line.join(part, "l_partkey").withColumn("task_id", F.concat_ws("|", "p_brand", "p_type"))
 
 
@@ -35,13 +35,21 @@ def temporal_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select(F.concat_ws(":", F.col("year").cast("string"), "p_brand").alias("task_id"), "year", F.concat_ws(" / ", "p_brand", F.col("year").cast("string")).alias("label"), role.alias("role"), *[c for c in stats.columns if c not in ("year", "p_brand")])
 
 
-def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted cells (wave, party, region)."""
+CELL = ["wave", "party", "region"]
+
+
+def cell_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as respondents of a wave, party and region: x real, y synthetic, w weight."""
     nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("c_nationkey"), F.col("r_name").alias("region"))
     customer = table(spark, sf_dir, "customer").join(nation, "c_nationkey").select(F.col("c_custkey").alias("o_custkey"), "region")
     orders = table(spark, sf_dir, "orders").join(customer, "o_custkey").select(F.col("o_orderkey").alias("l_orderkey"), F.year("o_orderdate").alias("wave"), "region")
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("party"), (F.col("l_discount") * 10).alias("x"), (F.col("l_tax") * 10).alias("y"), F.col("l_quantity").alias("w"))
-    return weighted_cells(line.join(orders, "l_orderkey"), ["wave", "party", "region"], "x", "y", "w")
+    return line.join(orders, "l_orderkey")
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted cells (wave, party, region)."""
+    return weighted_cells(cell_rows(spark, sf_dir), CELL, "x", "y", "w")
 
 
 def battles(spark: SparkSession, sf_dir: str) -> DataFrame:

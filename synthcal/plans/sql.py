@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from synthcal.functions.levels import ALLOCATIONS, ELO_SCALE, split_bonferroni, z
+import math
+
+from synthcal.functions.levels import ALLOCATIONS, z
 
 ALPHA = 0.1
 
 
-def d(x: float) -> str:
-    """A literal in double precision."""
-    return f"({x!r})::DOUBLE"
+def d(x: float | str) -> str:
+    """A literal in double precision; an expression stays as it is."""
+    return x if isinstance(x, str) else f"({x!r})::DOUBLE"
 
 
 def r(x: str, digits: int = 6) -> str:
@@ -65,9 +67,9 @@ def record(algo: str, alpha: float, a: tuple[float, float, float], alloc: str, s
   FROM (SELECT *, synth_lo + delta_lo AS ci_lo, synth_hi + delta_hi AS ci_hi FROM {source})"""
 
 
-def method(prefix: str, algo: str, alpha: float = ALPHA, alloc: str = "prop_127", mode: str = "split", clip: tuple[float, float] | None = None, infinite: bool = False) -> str:
+def method(prefix: str, algo: str, alpha: float = ALPHA, alloc: str = "prop_127", mode: str = "split", clip: tuple[float, float] | None = None, infinite: bool = False, hoeffding: bool = False) -> str:
     """The records of one method. ``prefix`` defines the relation tasks."""
-    a = ALLOCATIONS[alloc](0, alpha)
+    a, by_level = (0.0, 0.0, 0.0) if alloc == "floored_127" else ALLOCATIONS[alloc](0, alpha), z
     if algo == "synth_only":
         rows = f"held AS (SELECT *, synth - {d(z(alpha))} * synth_se AS synth_lo, synth + {d(z(alpha))} * synth_se AS synth_hi, 0.0::DOUBLE AS delta_lo, 0.0::DOUBLE AS delta_hi, 0.0::DOUBLE AS mid_lo, 0.0::DOUBLE AS mid_hi FROM tasks {'WHERE role = ' + repr('predict') if mode == 'split' else ''})"
         return f"WITH {prefix}, {rows} {record(algo, alpha, (alpha, 0.0, 0.0), alloc, 'held', clip, infinite)}"
@@ -77,14 +79,21 @@ def method(prefix: str, algo: str, alpha: float = ALPHA, alloc: str = "prop_127"
     else:
         hist = "hist AS (SELECT p.task_id AS held, h.* FROM tasks p, tasks h WHERE p.task_id <> h.task_id)"
         t = "(SELECT count(*) - 1 FROM tasks)"
+    if alloc == "floored_127":  # levels by the size of the history, from a table
+        field = lambda c: f"(SELECT {c} FROM floored WHERE floored.t = {t})"
+        prefix, a = f"{floored_table(alpha)}, {prefix}", (field("a1"), field("a2"), field("a3"))
+        by_level = dict(zip(a, (field("z1"), field("z2"), ""), strict=True)).__getitem__
     if algo == "alg3":
         lo = hi = "gap"
         a = (0.0, 0.0, alpha)
         ends = "synth AS synth_lo, synth AS synth_hi"
     else:
-        z2 = Z2_BY_T.replace("{t}", t).replace("{a2}", d(a[1])) if algo == "alg2" else d(z(a[1]))
+        z2 = Z2_BY_T.replace("{t}", t).replace("{a2}", d(a[1])) if algo == "alg2" else d(by_level(a[1]))
         lo, hi = f"gap - {z2} * gap_se", f"gap + {z2} * gap_se"
-        ends = f"synth - {d(z(a[0]))} * synth_se AS synth_lo, synth + {d(z(a[0]))} * synth_se AS synth_hi"
+        ends = f"synth - {d(by_level(a[0]))} * synth_se AS synth_lo, synth + {d(by_level(a[0]))} * synth_se AS synth_hi"
+        if hoeffding:
+            lo, hi = (f"gap {s} sqrt(2 * (0.1::DOUBLE * 0.1::DOUBLE) * (1.0::DOUBLE / n_real + 1.0::DOUBLE / n_synth) / 4 * {d(math.log(2 / a[1]))})" for s in "-+")
+            ends = ", ".join(f"synth {s} 0.1::DOUBLE * sqrt({d(math.log(2 / a[0]))} / (2 * n_synth)) AS synth_{n}" for s, n in (("-", "lo"), ("+", "hi")))
     held = f"held AS (SELECT t.*, {ends}, delta_lo, delta_hi, mid_lo, mid_hi FROM tasks t JOIN bands ON held = task_id)"
     return f"WITH {prefix}, {hist}, {band(lo, hi, 'gap', d(a[2]), 'hist', 'held')}, {held} {record(algo, alpha, a, alloc, 'held', clip, infinite)}"
 
@@ -93,5 +102,16 @@ def method(prefix: str, algo: str, alpha: float = ALPHA, alloc: str = "prop_127"
 Z2_BY_T = "(SELECT v FROM zs WHERE zs.t = {t})"
 
 
+def floored_table(alpha: float, most: int = 400) -> str:
+    rows = []
+    for t in range(1, most):
+        try:
+            a = ALLOCATIONS["floored_127"](t, alpha)
+        except ValueError:
+            continue
+        rows.append(f"({t}, {', '.join(d(x) for x in (*a, z(a[0]), z(a[1])))})")
+    return f"floored AS (SELECT * FROM (VALUES {', '.join(rows)}) AS v(t, a1, a2, a3, z1, z2))"
+
+
 def z_table(a2: float, most: int = 400) -> str:
     return "zs AS (SELECT * FROM (VALUES " + ", ".join(f"({t}, {d(z(a2 / t))})" for t in range(1, most)) + ") AS v(t, v))"

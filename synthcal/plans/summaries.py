@@ -68,7 +68,12 @@ def select_spread(records: DataFrame, n: int, total: int) -> DataFrame:
 
 def select_random(records: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n rows drawn by hash of the task, the same for every partitioning."""
-    return records.orderBy(F.xxhash64("task_id", F.lit(seed)), "task_id").limit(n)
+    return records.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "task_id")), "task_id").limit(n)
+
+
+def ordered(records: DataFrame, keys: list[str | Column]) -> DataFrame:
+    """The rows of a result table with their place in the order of the keys, from 1."""
+    return records.withColumn("place", F.row_number().over(Window.orderBy(*keys)))  # results, not data
 
 
 def with_baseline(records: DataFrame, baseline: DataFrame) -> DataFrame:

@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from synthcal.functions.expressions import close_to, level_tag
+from synthcal.operators.moments import weighted_cells
+from synthcal.sources.scratch import written
 
 PARTITIONS = ["app", "task_def", "algo", "alpha_tag", "alloc"]
+#: The order of a record file's columns; others come after them.
+COLUMNS = ["task_id", "label", "theta", "algo", "alpha", "alpha1", "alpha2", "alpha3", "alloc", "coord", "n_real", "n_synth", "ci_lo", "ci_hi", "covered", "width", "width_clip", "synth_lo", "synth_hi", "delta_lo", "delta_hi", "w1", "w2", "w3"]
 NUMBERS = ["theta", "alpha", "alpha1", "alpha2", "alpha3", "n_real", "n_synth", "ci_lo", "ci_hi", "width", "width_clip", "synth_lo", "synth_hi", "delta_lo", "delta_hi", "w1", "w2", "w3"]
 
 
@@ -36,9 +40,12 @@ def unpacked_tasks(packed: DataFrame, key: str | list[str], real: str, synth: st
     return rows.select("task_id", F.substring("task_id", 1, label_max).alias("label"), "unit", "p.x", "p.y")
 
 
-def packed_tasks(pairs: DataFrame, task: str, x: str, y: str) -> DataFrame:
-    """The opposite: one row per task with its two arrays. Meant for tasks of bounded size."""
-    return pairs.groupBy(task).agg(F.collect_list(F.struct(x, y)).alias("p")).select(task, F.col(f"p.{x}").alias("s_real"), F.col(f"p.{y}").alias("s_synth"))
+def packed_tasks(pairs: DataFrame, task: str, x: str, y: str, unit: Column, chunk: int = 10_000) -> DataFrame:
+    """The opposite: rows of arrays, a task in as many chunks of about ``chunk`` pairs as it needs. ``unit`` tells a task's
+    rows apart (rows alike in it go to one chunk)."""
+    sizes = written(pairs.groupBy(F.col(task).alias("_task")).agg(F.ceil(F.count("*") / chunk).alias("_chunks")), "task-sizes")
+    rows = pairs.join(sizes, F.col(task).eqNullSafe(F.col("_task"))).withColumn("chunk", F.pmod(F.xxhash64(unit), F.col("_chunks")))
+    return rows.groupBy(task, "chunk").agg(F.collect_list(F.struct(x, y)).alias("p")).select(task, "chunk", F.col(f"p.{x}").alias("s_real"), F.col(f"p.{y}").alias("s_synth"))
 
 
 def read_battles(spark: SparkSession, path: str, reference: str | None = None) -> DataFrame:
@@ -57,15 +64,50 @@ def read_ordering(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_spec(spark: SparkSession, path: str) -> DataFrame:
+    """task_def, mode, predict_waves."""
     return spark.read.schema("task_def string, mode string, predict_waves array<string>").option("multiLine", True).json(path)
 
 
-def write_records(records: DataFrame, path: str, app: str, task_def: str, fmt: str = "csv") -> None:
-    """One folder per app, task definition, method, level and allocation; the exact level stays a column too."""
-    rows = records.withColumns({"app": F.lit(app), "task_def": F.lit(task_def), "alpha_tag": level_tag(F.col("alpha"))})
+TASK_DEFS = "app string, task_definitions array<struct<task_def: string, t_tasks: bigint, t_hist: bigint, n_rows: bigint, eval: struct<mode: string, predict_waves: array<string>>>>"
+
+
+def write_task_defs(definitions: DataFrame, path: str) -> None:
+    """One JSON object per app with its task definitions in order. ``definitions``: app and the fields of :data:`TASK_DEFS`."""
+    fields = F.struct("task_def", "t_tasks", "t_hist", "n_rows", "eval")
+    definitions.groupBy("app").agg(F.array_sort(F.collect_list(fields)).alias("task_definitions")).write.json(path)
+
+
+def read_task_defs(spark: SparkSession, path: str) -> DataFrame:
+    """app and the fields of its task definitions, a row each."""
+    return spark.read.schema(TASK_DEFS).json(path).select("app", F.inline("task_definitions"))
+
+
+def keep_authored(definitions: DataFrame, old: DataFrame, authored: tuple[str, ...] = ("eval",)) -> DataFrame:
+    """New definitions with the hand-written fields of the old ones, where there are any."""
+    given = old.select(F.col("app").alias("_app"), F.col("task_def").alias("_def"), *(F.col(c).alias(f"_{c}") for c in authored))
+    rows = definitions.join(given, (F.col("app") == F.col("_app")) & (F.col("task_def") == F.col("_def")), "left")
+    return rows.select(*(F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) if c in authored else F.col(c) for c in definitions.columns))
+
+
+def record_columns(records: DataFrame) -> list[str]:
+    """The columns that have a value in some row: those of :data:`COLUMNS` in their order, then the others in theirs."""
+    found = records.agg(*(F.count(F.col(f"`{c}`")).alias(c) for c in records.columns)).first()
+    present = [c for c in records.columns if found[c] or not found]
+    return [*(c for c in COLUMNS if c in present), *(c for c in present if c not in COLUMNS)]
+
+
+def write_records(records: DataFrame, path: str, app: str, task_def: str, fmt: str = "csv") -> list[str]:
+    """One folder per app, task definition, method, level and allocation; the exact level stays a column too.
+
+    Returns the files' columns: in fixed order, extras after them, columns without a value left out.
+    """
+    records = written(records, "records")
+    columns = record_columns(records)
+    rows = records.select(*columns).withColumns({"app": F.lit(app), "task_def": F.lit(task_def), "alpha_tag": level_tag(F.col("alpha"))})
     rows = rows.repartition(*PARTITIONS, F.pmod(F.xxhash64("task_id"), F.lit(8))).sortWithinPartitions(*PARTITIONS)
     writer = rows.write.partitionBy(*PARTITIONS).mode("append")
     (writer.option("header", True).csv(path) if fmt == "csv" else writer.parquet(path))
+    return [c for c in columns if c not in PARTITIONS]
 
 
 def coerced(rows: DataFrame) -> DataFrame:
@@ -99,6 +141,12 @@ def ingest(paired: DataFrame, naive: DataFrame, one_piece: DataFrame, alpha: flo
     return first.unionByName(second, allowMissingColumns=True).unionByName(third, allowMissingColumns=True)
 
 
+def reduced_cells(raw: DataFrame | None, reduced: DataFrame | None, by: list[str], x: str = "x", y: str = "y", w: str = "w") -> DataFrame:
+    """Cells from respondents' rows, and cells that already are reduced as they are."""
+    parts = [p for p in (weighted_cells(raw, by, x, y, w) if raw is not None else None, reduced) if p is not None]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1].select(*parts[0].columns))
+
+
 def parity(raw: DataFrame, reduced: DataFrame, keys: list[str], statistics: list[str], most: float = 1e-9) -> DataFrame:
     """largest: the greatest difference over all cells and statistics, and whether it is within bounds; a cell that one side lacks is infinite."""
     a, b = raw.select(*keys, F.struct(*statistics).alias("a")), reduced.select(*keys, F.struct(*statistics).alias("b"))

@@ -1,8 +1,8 @@
-"""Task statistics that follow a stream: the batch aggregation, kept as state per task and given out after each trigger."""
+"""Task statistics that follow a stream: the batch aggregation, kept as state per task and written out after each trigger."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from synthcal.operators.moments import paired_stats
@@ -13,7 +13,17 @@ def running_stats(pairs: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return paired_stats(pairs, by, x, y)
 
 
-def keep_table(stats: DataFrame, name: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Keeps a named in-memory table of the latest statistics, for the interval methods to read."""
-    writer = stats.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint)
+def keep_table(stats: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Writes the statistics after each trigger to a folder of their own under ``path``; a batch that is run again replaces its own."""
+
+    def put(table: DataFrame, batch: int) -> None:
+        table.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    writer = stats.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(put)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The statistics after the last trigger, for the interval methods to read."""
+    rows = spark.read.parquet(path)
+    return rows.where(rows["batch"] == rows.agg({"batch": "max"}).first()[0]).drop("batch")

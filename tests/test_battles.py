@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from synthcal.operators import bradley_terry as bt
 from synthcal.operators import bootstrap
@@ -36,6 +37,39 @@ def test_joint_fit_is_the_optimum(spark):
         assert loss(rows, s | {p: s[p] + 0.01}) > best < loss(rows, s | {p: s[p] - 0.01})
 
 
+def test_reference_must_be_in_a_battle(spark):
+    _, battles = made(spark)
+    pairs = bt.pair_stats(battles)
+    tasks = spark.createDataFrame([("d",)], "player string")
+    for fit in (bt.joint_scores(pairs, "a"), bt.frames(pairs, tasks, "a")):
+        assert fit.count() > 0
+    for broken in (lambda: bt.joint_scores(pairs, "zz"), lambda: bt.frames(pairs, tasks, "zz"), lambda: bt.iterated_scores(pairs.groupBy("a", "b").agg(F.sum("y").alias("w"), F.sum("n").alias("n")), "zz")):
+        with pytest.raises(Exception, match="in no battle"):
+            broken().collect()
+    assert bt.reference_of(pairs) == "a"
+
+
+def test_players_without_rows_stay_in_the_frame(spark):
+    rows, battles = made(spark)
+    battles = battles.union(spark.createDataFrame([("e", "x", 1.0, 1.0), ("x", "e", 1.0, 0.0), ("e", "x", 1.0, 1.0)], battles.schema))
+    pairs = bt.pair_stats(battles)
+    full = {r["player"]: r["score"] for r in bt.joint_scores(pairs, "a").collect()}
+    tasks = spark.createDataFrame([("e",), ("d",)], "player string")
+    frame = bt.frames(pairs, tasks, "a")
+    score = {(r["held_out"], r["player"]): r["score"] for r in frame.collect()}
+    assert score["e", "x"] == pytest.approx(full["x"]) and len(score) == 10
+    placed = {(r["held_out"], r["player"]): r["n"] for r in bt.placements(bt.oriented(pairs), frame, tasks).collect()}
+    assert placed["e", "e"] == sum("e" in (r[0], r[1]) for r in rows) + 3
+
+
+def test_iterated_fit_equals_the_fit_in_one_worker(spark):
+    _, battles = made(spark, n=300)
+    pairs = bt.pair_stats(battles)
+    small = {r["player"]: r["score"] for r in bt.joint_scores(pairs, "c").collect()}
+    large = {r["player"]: r["score"] for r in bt.joint_scores(pairs, "c", at_once=2).collect()}
+    assert small == pytest.approx(large, abs=1e-6) and large["c"] == 0
+
+
 def test_placement_equals_row_by_row_newton():
     rng = np.random.default_rng(0)
     c, y = rng.normal(size=200), rng.integers(0, 2, 200).astype(float)

@@ -20,7 +20,10 @@ def records(spark, algo="alg1"):
 def test_records_survive_csv(spark, tmp_path):
     rows = records(spark).unionByName(methods.run(spark.createDataFrame(made(6), STATS), "alg1", 0.1, mode="loo"))
     io.write_records(rows, str(tmp_path / "r"), "app", "def")
-    back = io.read_records(spark, str(tmp_path / "r"), [c for c in rows.columns if c not in ("algo", "alloc")])
+    extra = rows.select("w3", F.lit(7).alias("extra"), F.lit(None).cast("string").alias("void"), *[c for c in rows.columns if c != "w3"])
+    columns = io.write_records(extra, str(tmp_path / "x"), "app", "def")
+    assert columns == [c for c in io.COLUMNS if c in rows.columns and c not in ("algo", "alloc")] + ["extra"]
+    back = io.read_records(spark, str(tmp_path / "r"), [c for c in io.COLUMNS if c in rows.columns and c not in ("algo", "alloc")])
     key = lambda r: (r["task_id"], r["alpha"])
     a, b = ({key(r): r for r in d.collect()} for d in (rows, back))
     assert set(a) == set(b)
@@ -80,6 +83,21 @@ def test_packed_tasks(spark):
         io.unpacked_tasks(spark.createDataFrame([("a", [1.0], [1.0, 2.0])], rows.schema), "k", "r", "s").collect()
 
 
+def test_packing_in_chunks(spark):
+    rows = spark.createDataFrame([("t", i, float(i), -float(i)) for i in range(1000)] + [("u", 0, 1.0, 2.0)], "k string, i int, x double, y double")
+    packed = io.packed_tasks(rows, "k", "x", "y", F.col("i"), 50)
+    assert packed.where("k = 't'").count() == 20 and packed.agg(F.max(F.size("s_real"))).first()[0] < 100
+    got = io.unpacked_tasks(packed, "k", "s_real", "s_synth").select("task_id", "x", "y").collect()
+    assert sorted(map(tuple, got)) == sorted((k, x, y) for k, _, x, y in rows.collect())
+
+
+def test_reduced_cells_pass_through(spark):
+    raw = spark.createDataFrame([("a", 1.0, 0.5, 1.0), ("a", 0.0, 0.5, 3.0), ("b", 1.0, 1.0, 1.0)], "k string, x double, y double, w double")
+    done = io.reduced_cells(raw.where("k = 'b'"), None, ["k"])
+    both = {r["k"]: r for r in io.reduced_cells(raw.where("k = 'a'"), done, ["k"]).collect()}
+    assert both["b"]["theta"] == 1.0 and both["a"]["theta"] == 0.25 and io.reduced_cells(None, done, ["k"]).count() == 1
+
+
 def test_respondents_battles_and_release_files(spark, tmp_path):
     rows = spark.createDataFrame([("2016001", "D", "g", 1.0, 2.0), ("2016002", "D", None, 1.0, 2.0), ("2020001", "R", "g", None, 2.0)], "id string, pid string, grp string, x double, y double")
     assert [(r["year"], r["task_id"]) for r in io.respondent_tasks(rows, "id", ["pid", "grp"], "x", "y").collect()] == [(2016, "2016:g / D")]

@@ -1,7 +1,7 @@
 import pytest
 
 from synthcal.operators.moments import paired_stats
-from synthcal.streaming.moments import keep_table, running_stats
+from synthcal.streaming.moments import keep_table, latest, running_stats
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -9,9 +9,9 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = spark.createDataFrame(rows, "k string, x double, y double, i int")
     batch.repartition(4).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = keep_table(running_stats(stream, ["k"], "x", "y"), "latest_stats", str(tmp_path / "state"))
+    q = keep_table(running_stats(stream, ["k"], "x", "y"), str(tmp_path / "stats"), str(tmp_path / "state"))
     q.awaitTermination(120)
-    got = {r["k"]: r for r in spark.table("latest_stats").collect()}
+    got = {r["k"]: r for r in latest(spark, str(tmp_path / "stats")).collect()}
     for r in paired_stats(batch, ["k"], "x", "y").collect():
         for c in ("n_real", "theta", "gap", "gap_se"):
             assert got[r["k"]][c] == pytest.approx(r[c])
