@@ -1,8 +1,9 @@
 """The corpus pipeline: quality rules, quality classifier, near-duplicates, mixing, packing.
 
 Each stage is a function of (spark, docs, sf_dir); its result is written and read again as the next stage's documents.
-No SQL can state the fitted classifier or the tokenizer's ids, so ORACLE_SQL is None and tests hold the stages against
-brute-force versions.
+No SQL can state the fitted classifier or the tokenizer's ids, so ORACLE_SQL is None; the tests hold the stages against
+plain versions (rules counted word by word, every pair of texts compared, targets filled step by step, texts encoded by the
+tokenizer itself).
 """
 
 from __future__ import annotations
@@ -30,7 +31,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (similarity of five-word shingles 0.8 or more) stays."""
+    """One document of each group of near copies (similarity of five-word shingles 0.8 or more) stays.
+
+    By SimHash's bit-sliced comparison and an exact check, with the buckets that :mod:`synthcal.llm.similar` describes.
+    """
     return similar.keep_one(docs)
 
 
