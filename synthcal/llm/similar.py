@@ -3,11 +3,15 @@
 At 0.8 two 64-bit fingerprints differ in about ten bits, so no choice of equal quarters brings such a pair together. The
 steps of :mod:`simhash` stay, with other buckets and an exact check: (1) each text's set of shingles gets a 64-bit name, and
 texts of equal sets fall together by aggregation; (2) instead of fingerprint quarters, ``BANDS`` keys of ``DEEP`` minima of
-the set bring sets together (a pair of similarity 0.8 shares no key with probability (1 - 0.8^5)^50, about 2e-9, and a more
-similar one even less); sets that share a key are closed to candidate components; (3) a candidate component's sets meet, in
-blocks of bounded size, their fingerprints are stored as bit planes and compared bit-sliced, blocks beyond ``REACH`` bits
-being abandoned (a pair of similarity 0.8 differs in more with probability below 1e-5 for sets of five shingles, 1e-8 for
-large ones), and what is within is checked by exact counts; (4) the verified links are closed to components.
+the set are the buckets (a pair of similarity 0.8 shares none with probability (1 - 0.8^5)^50, about 2e-9, and a more similar
+one even less); (3) every set meets the smallest set of that bucket fellowship which it shares most often, and those of its
+block; the links found make first components, and a bucket within one of them is done; (4) in the other buckets, sets of
+different components meet: all but the largest component's members with everybody, in blocks of bounded size, so that a large
+group of copies is sent once and not to itself; (5) the links of both rounds are closed to components.
+
+Where sets meet, their fingerprints are stored as bit planes and compared bit-sliced, blocks beyond ``REACH`` bits being
+abandoned (a pair of similarity 0.8 differs in more with probability below 1e-5 for sets of five shingles, 1e-8 for large
+ones), and what is within is checked by exact counts.
 
 Defined results: as in :mod:`simhash`; null and empty texts have the empty set and are alike.
 """
@@ -19,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from synthcal.llm.shared import materialize, utf8
@@ -27,8 +31,8 @@ from synthcal.llm.simhash import Waiting, components, majority, one_of_each, pla
 
 WIDTH, LEAST = 5, 0.8
 BANDS, DEEP, REACH = 50, 5, 26
-#: Expected shingles of a block of a candidate component.
-BLOCK = 1_000_000
+#: Shingles of a block of sets, about.
+BLOCK = 500_000
 _ODD = np.random.default_rng(5).integers(0, 1 << 63, BANDS * DEEP, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -70,65 +74,113 @@ def prints_of(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, rk1 long, rk2 long, fp long, shingles long, keys array<long>")
 
 
-def spanning(sets: list[np.ndarray], least: float, reach: int = REACH) -> list[tuple[int, int]]:
+def spanning(sets: list[np.ndarray], least: float, known: list[int] | None = None, reach: int = REACH) -> list[tuple[int, int]]:
     """Links that connect what pairs of similarity ``least`` or more connect: breadth first, sets whose fingerprints are
-    within ``reach`` bits being counted exactly."""
+    within ``reach`` bits being counted exactly. Sets with the same number in ``known`` are linked already."""
     prints = np.array([majority(s) for s in sets], dtype=np.int64).view(np.uint64)
     slices, waiting, out = planes(prints), Waiting(len(sets)), []
+    fellows: dict[int, list[int]] = {}
+    for k, name in enumerate(known if known is not None else range(len(sets))):
+        fellows.setdefault(name, []).append(k)
+    names = known if known is not None else list(range(len(sets)))
     for first in range(len(sets)):
         if first not in waiting:
             continue
-        waiting.drop(first)
-        queue = [first]
-        while queue:
+        queue = list(fellows[names[first]])
+        for k in queue:
+            waiting.drop(k)
+        while queue and waiting.marks.any():
             row = queue.pop()
             for k in map(int, within(int(prints[row]), slices, waiting.marks, reach)):
                 small, large = sorted((sets[row], sets[k]), key=len)
-                if len(small) < least * len(large):
+                if k not in waiting or len(small) < least * len(large):
                     continue
                 at = np.searchsorted(large, small)
                 common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
                 if common >= least * (len(small) + len(large) - common):
-                    waiting.drop(k)
                     out.append((row, k))
-                    queue.append(k)
+                    for other in fellows[names[k]]:
+                        waiting.drop(other)
+                        queue.append(other)
     return out
 
 
-def similar_links(docs: DataFrame, prints: DataFrame, doc_id: str, text: str, width: int, least: float, block: int) -> DataFrame:
-    """Links (a, b), a < b, between names of sets that connect exactly what verified candidate pairs connect."""
+def meeting(least: float):
+    """A function for groups of sets (fp, root, s): links between roots."""
+
+    def compare(group: pa.Table) -> pa.Table:
+        roots = group.column("root").to_pylist()
+        links = spanning([np.frombuffer(s, "<u8") for s in group.column("s").to_pylist()], least, roots)
+        ends = {(min(roots[i], roots[j]), max(roots[i], roots[j])) for i, j in links}
+        return pa.table({"a": pa.array([a for a, _ in ends], pa.int64()), "b": pa.array([b for _, b in ends], pa.int64())})
+
+    return compare
+
+
+def blocks_of(shingles: Column, block: int) -> Column:
+    return (F.floor(shingles / block) + 1).cast("int")
+
+
+def block_in(blocks: Column | str) -> Column:
+    return F.pmod(F.xxhash64("fp"), F.col(blocks) if isinstance(blocks, str) else blocks).cast("int")
+
+
+def upto(n: Column | str) -> Column:
+    return F.sequence(F.lit(0), (F.col(n) if isinstance(n, str) else n) - 1)
+
+
+def first_links(shared: DataFrame, sets: DataFrame, least: float, block: int) -> DataFrame:
+    """Each set in a block with the set that is smallest in most of its buckets."""
+    best = shared.where("a <> fp").groupBy("fp", "n", "a").agg(F.count("*").alias("times")).groupBy("fp", "n").agg(F.max_by("a", F.struct("times", "a")).alias("head"))
+    best = materialize(best, "set-heads")
+    heads = materialize(best.groupBy("head").agg(blocks_of(F.sum("n"), block).alias("blocks")), "set-head-blocks")
+    members = best.join(heads, "head").select("fp", "head", block_in("blocks").alias("block"))
+    leads = heads.select(F.col("head").alias("fp"), "head", F.explode(upto("blocks")).alias("block"))
+    met = members.unionByName(leads).join(sets, "fp").select("head", "block", F.col("fp").alias("root"), "s")
+    return met.groupBy("head", "block").applyInArrow(meeting(least), "a long, b long").distinct()
+
+
+def second_links(named: DataFrame, sets: DataFrame, least: float, block: int) -> DataFrame:
+    """Links between first components, from the buckets (key, fp, n, root) that hold several."""
+    several = named.groupBy("key", "root").agg(F.sum("n").alias("w")).groupBy("key").agg(F.max_by("root", "w").alias("most"), F.max("w").alias("w"), F.sum("w").alias("all"), F.count("*").alias("roots")).where("roots > 1")
+    several = materialize(several.select("key", "most", blocks_of(F.col("w"), block).alias("large"), blocks_of(F.col("all") - F.col("w"), block).alias("rest")), "set-mixed")
+    inside = named.join(several, "key")
+    large = inside.where("root = most").select("fp", "root", "key", block_in("large").alias("i"), F.explode(upto("rest")).alias("j")).withColumn("k", F.col("j"))
+    rest = inside.where("root <> most").withColumn("own", block_in("rest"))
+    across = rest.select("fp", "root", "key", F.explode(upto("large")).alias("i"), F.col("own").alias("j"), F.col("own").alias("k"))
+    among = rest.where("rest > 1").select("fp", "root", "key", "own", F.explode(upto("rest")).alias("other")).where("own <> other")
+    among = among.select("fp", "root", "key", F.lit(-1).alias("i"), F.least("own", "other").alias("j"), F.greatest("own", "other").alias("k"))
+    met = large.unionByName(across).unionByName(among).join(sets, "fp").select("key", "i", "j", "k", "root", "s")
+    return met.groupBy("key", "i", "j", "k").applyInArrow(meeting(least), "a long, b long").distinct()
+
+
+def roots_of(docs: DataFrame, prints: DataFrame, doc_id: str, text: str, width: int, least: float, block: int) -> DataFrame:
+    """node, root: names of sets that have a link, and the smallest name reachable."""
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "rk1", "rk2")
     distinct = materialize(prints.groupBy("fp").agg(F.min(rank).alias("m"), F.min("shingles").alias("n"), F.min("keys").alias("keys")).select("fp", "m.rk1", "m.rk2", "n", "keys"), "distinct-sets")
-    keyed = distinct.select("fp", F.explode("keys").alias("key"))
+    keyed = distinct.select("fp", "n", F.explode("keys").alias("key"))
     low = materialize(keyed.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z").select("key", "a"), "set-buckets")
-    near = components(keyed.join(low, "key").where("a <> fp").select("a", F.col("fp").alias("b")).distinct())
-    members = materialize(distinct.join(near, F.col("fp") == F.col("node")).select("fp", "rk1", "rk2", "n", "root"), "set-members")
-    blocks = members.groupBy("root").agg((F.floor(F.sum("n") / block) + 1).cast("int").alias("blocks"))
-    members = materialize(members.join(blocks, "root").select(F.col("rk1").alias("_rk1"), F.col("rk2").alias("_rk2"), "fp", "root", "blocks"), "set-blocks")
+    shared = materialize(keyed.join(low, "key"), "set-shared")
+    members = materialize(distinct.join(shared.select("fp").distinct(), "fp").select(F.col("rk1").alias("_rk1"), F.col("rk2").alias("_rk2"), "fp"), "set-members")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([shingles(raw, width).tobytes() for raw in utf8(batch.column(3))], pa.binary())], names=["fp", "root", "blocks", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(raw, width).tobytes() for raw in utf8(batch.column(1))], pa.binary())], names=["fp", "s"])
 
     rows = docs.select(*(k.alias(f"_{n}") for n, k in zip(("rk1", "rk2"), row_keys(doc_id, text), strict=True)), F.col(text).cast("string").alias("t"))
-    rows = rows.join(members, ["_rk1", "_rk2"]).select("fp", "root", "blocks", "t").mapInArrow(sets, "fp long, root long, blocks int, s binary")
-    rows = materialize(rows.groupBy("fp").agg(F.first("root").alias("root"), F.first("blocks").alias("blocks"), F.first("s").alias("s")), "sets")
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    meets = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: i != own))
-    met = rows.select("fp", "root", "s", own.alias("own"), F.explode(meets).alias("other")).select("fp", "root", "s", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-
-    def compare(group: pa.Table) -> pa.Table:
-        names = group.column("fp").to_pylist()
-        links = spanning([np.frombuffer(s, "<u8") for s in group.column("s").to_pylist()], least)
-        ends = [(min(names[i], names[j]), max(names[i], names[j])) for i, j in links]
-        return pa.table({"a": pa.array([a for a, _ in ends], pa.int64()), "b": pa.array([b for _, b in ends], pa.int64())})
-
-    return met.groupBy("root", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
+    rows = rows.join(members, ["_rk1", "_rk2"]).select("fp", "t").mapInArrow(spelled, "fp long, s binary")
+    sets = materialize(rows.groupBy("fp").agg(F.first("s").alias("s")), "sets")
+    first = materialize(components(first_links(shared, sets, least, block)), "first-roots")
+    named = shared.join(first, F.col("fp") == F.col("node"), "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root"))
+    second = materialize(components(second_links(materialize(named, "set-named"), sets, least, block)), "second-roots")
+    second = second.select(F.col("node").alias("between"), F.col("root").alias("last"))
+    ends = first.join(second, F.col("root") == F.col("between"), "full")
+    return materialize(ends.select(F.coalesce("node", "between").alias("node"), F.coalesce("last", "root").alias("root")), "similar-roots")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, least: float = LEAST, block: int = BLOCK) -> DataFrame:
     """One row of each component with all its columns, as :func:`simhash.keep_one` chooses it."""
     prints = materialize(prints_of(docs, doc_id, text, width), "sets-of-shingles")
-    roots = materialize(components(similar_links(docs, prints, doc_id, text, width, least, block)), "similar-roots")
+    roots = roots_of(docs, prints, doc_id, text, width, least, block)
     named = prints.select("fp").distinct().join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
     return one_of_each(docs, prints, named, doc_id, text)

@@ -257,7 +257,7 @@ def test_simhash_components(spark, hot):
     assert kept.schema == df.schema and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(plain_components(prints).values()))
 
 
-@pytest.mark.parametrize("block", [1_000_000, 400])
+@pytest.mark.parametrize("block", [500_000, 400])
 def test_pipeline_drops_near_copies(spark, block):
     rng = random.Random(11)
     texts = [*ODD, *(" ".join(f"w{rng.randrange(500)}" for _ in range(200)) for _ in range(12))]
