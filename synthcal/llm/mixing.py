@@ -123,7 +123,7 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     rows = materialize(docs.select(F.struct("*").alias("doc"), *keyed(docs, doc_id, text, source, seed, weight)), "mix-documents")
     taken = taken_of(rows.drop("doc"), weights, repeat, rows_per_bucket).where("taken > 0").select("row", "taken")
-    joined = rows.select("row", "size", "doc").join(materialize(taken, "mix-taken"), "row")
+    joined = rows.select("row", "size", "doc").join(materialize(taken, "mix-taken").hint("shuffle_hash"), "row")  # the same plan at every size; no document is sorted
     whole, part = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
     copies = joined.select("doc", "size", F.explode(F.concat(F.array_repeat(F.col("size").cast("int"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))).alias("words"))
     field = lambda c: F.col("doc").getField(c)

@@ -3,8 +3,8 @@
 At 0.8 two 64-bit fingerprints differ in about ten bits, so no choice of equal quarters brings such a pair together. The
 steps of :mod:`simhash` stay, with other buckets and an exact check: (1) each text's set of shingles gets a 64-bit name, and
 texts of equal sets fall together by aggregation; (2) instead of fingerprint quarters, ``BANDS`` keys of ``DEEP`` minima of
-the set are the buckets (a pair of similarity 0.8 shares none with probability (1 - 0.8^5)^50, about 2e-9, and a more similar
-one even less); (3) every set meets the smallest set of that bucket fellowship which it shares most often, and those of its
+the set are the buckets (a pair of similarity 0.8 shares none with probability (1 - 0.8^8)^64, about 8e-6, one of 0.85 with
+2e-9; pairs of 0.4 and less hardly ever share one); (3) every set meets the smallest set of that bucket fellowship which it shares most often, and those of its
 block; the links found make first components, and a bucket within one of them is done; (4) in the other buckets, sets of
 different components meet: all but the largest component's members with everybody, in blocks of bounded size, so that a large
 group of copies is sent once and not to itself; (5) the links of both rounds are closed to components.
@@ -30,7 +30,7 @@ from synthcal.llm.shared import materialize, utf8
 from synthcal.llm.simhash import Waiting, components, majority, one_of_each, planes, row_keys, within
 
 WIDTH, LEAST = 5, 0.8
-BANDS, DEEP, REACH = 50, 5, 26
+BANDS, DEEP, REACH = 64, 8, 26
 #: Shingles of a block of sets, about.
 BLOCK = 500_000
 _ODD = np.random.default_rng(5).integers(0, 1 << 63, BANDS * DEEP, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
