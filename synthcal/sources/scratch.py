@@ -31,8 +31,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes written tables that nothing reads any more."""
+    """Deletes written tables that nothing reads any more, and has the cleaner free the shuffles of finished jobs.
+
+    Spark drops shuffle files when the driver's garbage collector finds their plan gone, else only every half hour.
+    """
     for table in tables:
         for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    spark._jvm.System.gc()
