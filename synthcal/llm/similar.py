@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from synthcal.llm.shared import materialize, utf8
+from synthcal.llm.shared import discard, materialize, utf8
 from synthcal.llm.simhash import Waiting, components, majority, one_of_each, planes, row_keys, within
 
 WIDTH, LEAST = 5, 0.8
@@ -137,7 +137,9 @@ def first_links(shared: DataFrame, sets: DataFrame, least: float, block: int) ->
     members = best.join(heads, "head").select("fp", "head", block_in("blocks").alias("block"))
     leads = heads.select(F.col("head").alias("fp"), "head", F.explode(upto("blocks")).alias("block"))
     met = members.unionByName(leads).join(sets, "fp").select("head", "block", F.col("fp").alias("root"), "s")
-    return met.groupBy("head", "block").applyInArrow(meeting(least), "a long, b long").distinct()
+    links = materialize(met.groupBy("head", "block").applyInArrow(meeting(least), "a long, b long").distinct(), "set-links")
+    discard(sets.sparkSession, best, heads)
+    return links
 
 
 def second_links(named: DataFrame, sets: DataFrame, least: float, block: int) -> DataFrame:
@@ -151,7 +153,9 @@ def second_links(named: DataFrame, sets: DataFrame, least: float, block: int) ->
     among = rest.where("rest > 1").select("fp", "root", "key", "own", F.explode(upto("rest")).alias("other")).where("own <> other")
     among = among.select("fp", "root", "key", F.lit(-1).alias("i"), F.least("own", "other").alias("j"), F.greatest("own", "other").alias("k"))
     met = large.unionByName(across).unionByName(among).join(sets, "fp").select("key", "i", "j", "k", "root", "s")
-    return met.groupBy("key", "i", "j", "k").applyInArrow(meeting(least), "a long, b long").distinct()
+    links = materialize(met.groupBy("key", "i", "j", "k").applyInArrow(meeting(least), "a long, b long").distinct(), "set-links")
+    discard(sets.sparkSession, several)
+    return links
 
 
 def roots_of(docs: DataFrame, prints: DataFrame, doc_id: str, text: str, width: int, least: float, block: int) -> DataFrame:
@@ -162,20 +166,26 @@ def roots_of(docs: DataFrame, prints: DataFrame, doc_id: str, text: str, width:
     low = materialize(keyed.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z").select("key", "a"), "set-buckets")
     shared = materialize(keyed.join(low, "key"), "set-shared")
     members = materialize(distinct.join(shared.select("fp").distinct(), "fp").select(F.col("rk1").alias("_rk1"), F.col("rk2").alias("_rk2"), "fp"), "set-members")
+    discard(docs.sparkSession, distinct, low)
 
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(raw, width).tobytes() for raw in utf8(batch.column(1))], pa.binary())], names=["fp", "s"])
 
     rows = docs.select(*(k.alias(f"_{n}") for n, k in zip(("rk1", "rk2"), row_keys(doc_id, text), strict=True)), F.col(text).cast("string").alias("t"))
-    rows = rows.join(members, ["_rk1", "_rk2"]).select("fp", "t").mapInArrow(spelled, "fp long, s binary")
+    rows = rows.join(members.hint("shuffle_hash"), ["_rk1", "_rk2"]).select("fp", "t").mapInArrow(spelled, "fp long, s binary")
     sets = materialize(rows.groupBy("fp").agg(F.first("s").alias("s")), "sets")
+    discard(docs.sparkSession, members)
     first = materialize(components(first_links(shared, sets, least, block)), "first-roots")
-    named = shared.join(first, F.col("fp") == F.col("node"), "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root"))
-    second = materialize(components(second_links(materialize(named, "set-named"), sets, least, block)), "second-roots")
-    second = second.select(F.col("node").alias("between"), F.col("root").alias("last"))
+    named = materialize(shared.join(first, F.col("fp") == F.col("node"), "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root")), "set-named")
+    discard(docs.sparkSession, shared)
+    between = materialize(components(second_links(named, sets, least, block)), "second-roots")
+    discard(docs.sparkSession, named, sets)
+    second = between.select(F.col("node").alias("between"), F.col("root").alias("last"))
     ends = first.join(second, F.col("root") == F.col("between"), "full")
-    return materialize(ends.select(F.coalesce("node", "between").alias("node"), F.coalesce("last", "root").alias("root")), "similar-roots")
+    roots = materialize(ends.select(F.coalesce("node", "between").alias("node"), F.coalesce("last", "root").alias("root")), "similar-roots")
+    discard(docs.sparkSession, first, between)
+    return roots
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, least: float = LEAST, block: int = BLOCK) -> DataFrame:
@@ -183,4 +193,6 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     prints = materialize(prints_of(docs, doc_id, text, width), "sets-of-shingles")
     roots = roots_of(docs, prints, doc_id, text, width, least, block)
     named = prints.select("fp").distinct().join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    return one_of_each(docs, prints, named, doc_id, text)
+    kept = one_of_each(docs, prints, named, doc_id, text)
+    discard(docs.sparkSession, prints, roots)
+    return kept
