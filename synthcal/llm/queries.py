@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from synthcal.llm import cascade, chat, compress, langid, maxent, mixing, packing, simhash, topk, warc
+from synthcal.llm import audit, cascade, chat, compress, langid, maxent, mixing, packing, repair, simhash, topk, warc, winnow
 from synthcal.llm.shared import fold
 
 #: Tokenizer file of the packing query; a parameter of the operator.
@@ -75,8 +75,21 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_mixing, op3_simhash, op4_maxent, op5_language, op6_quality_rules, op7_quality_classifier, op8_packing, op9_chat, op10_topk)}
+    found = (op1_warc, op2_mixing, op3_simhash, op4_maxent, op5_language, op6_quality_rules, op7_quality_classifier, op8_packing, op9_chat, op10_topk, op11_audit, op12_winnowing, op13_repair)
+    return {f.__name__: f for f in found}
 
 
 W = r"[^\x20\x09-\x0D]+"
@@ -177,6 +190,107 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 
+OP11_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part, regexp_extract_all(coalesce(text, ''), '{W}') AS w FROM documents),
+m AS (SELECT t, min(doc_id) AS first_id FROM d GROUP BY t),
+lab AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * (length(d.t) - length(regexp_replace(d.t, '[A-Z]', '', 'g'))) > 10 * length(d.t), regexp_matches(d.t, '[#$%&*|]'), coalesce(d.doc_id > first_id, false)] AS bad
+  FROM d JOIN m ON m.t = d.t LEFT JOIN lab ON lab.doc_id = d.doc_id),
+l AS (SELECT unnest(range(1, 6)) AS i),
+o AS (SELECT [a.i, b.i, c.i, x.i, y.i] AS ord FROM l a, l b, l c, l x, l y WHERE len(list_distinct([a.i, b.i, c.i, x.i, y.i])) = 5),
+g AS (SELECT part, bad, ord, good, toxic, coalesce(nullif(list_position(list_transform(ord, lambda i: bad[i]), true), 0), 6) AS gone FROM f, o),
+s AS (
+  SELECT part, ord, l.i AS step, ord[l.i] AS filter, count(*) FILTER (gone > l.i) AS kept, count(*) FILTER (gone = l.i) AS removed, count(*) FILTER (bad[ord[l.i]] AND gone < l.i) AS redundant,
+    count(*) FILTER (bad[ord[l.i]] AND len(list_filter(bad, lambda x: x)) = 1) AS unique_fails, coalesce(sum(good) FILTER (gone = l.i), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (gone = l.i), 0)::BIGINT AS toxic_lost
+  FROM g, l GROUP BY part, ord, l.i)
+SELECT part, array_to_string(list_transform(ord, lambda i: 'ABCDE'[i]), '') AS filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley
+FROM s
+"""
+
+OP12_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id DESC NULLS LAST) AS k FROM documents),
+n AS (SELECT d.*, length(t)::BIGINT AS n_chars, length(t) // 2 AS half, coalesce(lead(t) OVER (ORDER BY k), first_value(t) OVER (ORDER BY k)) AS following FROM d),
+e AS (SELECT k, 0 AS side, t AS s FROM n UNION ALL SELECT k, 1, substr(t, 1, (n_chars - half)::INT) || substr(following, 1, half::INT) FROM n),
+c AS (SELECT k, side, unnest(regexp_extract_all(s, '(?s).')) AS ch, generate_subscripts(regexp_extract_all(s, '(?s).'), 1) - 1 AS i, length(s) AS n FROM e),
+p AS (
+  SELECT list_transform(range(1024), lambda j: list_reduce(list_prepend(1::BIGINT, list_transform(range(j), lambda x: {winnow.BASE}::BIGINT)), lambda x, y: x * y % {winnow.PRIME})) AS up,
+    list_transform(range(1024), lambda j: list_reduce(list_prepend(1::BIGINT, list_transform(range(j), lambda x: {pow(winnow.BASE, -1, winnow.PRIME)}::BIGINT)), lambda x, y: x * y % {winnow.PRIME})) AS down,
+    list_transform(range(1024), lambda j: list_reduce(list_prepend(1::BIGINT, list_transform(range(j), lambda x: {pow(winnow.BASE, 1024, winnow.PRIME)}::BIGINT)), lambda x, y: x * y % {winnow.PRIME})) AS up2,
+    list_transform(range(1024), lambda j: list_reduce(list_prepend(1::BIGINT, list_transform(range(j), lambda x: {pow(winnow.BASE, -1024, winnow.PRIME)}::BIGINT)), lambda x, y: x * y % {winnow.PRIME})) AS down2),
+b AS (SELECT i, up[i % 1024 + 1] * up2[i // 1024 + 1] % {winnow.PRIME} AS up, down[i % 1024 + 1] * down2[i // 1024 + 1] % {winnow.PRIME} AS down FROM p, (SELECT unnest(range((SELECT max(n) FROM c))) AS i)),
+h AS (
+  SELECT k, side, c.i, n, least({winnow.GRAM}, n) AS gram, (sum(unicode(ch) * up % {winnow.PRIME}) OVER (PARTITION BY k, side ORDER BY c.i ROWS BETWEEN CURRENT ROW AND {winnow.GRAM - 1} FOLLOWING))::BIGINT % {winnow.PRIME} * down % {winnow.PRIME} AS hash
+  FROM c JOIN b ON b.i = c.i),
+q AS (SELECT k, side, i, n - gram + 1 AS m, hash::BIGINT * 4294967296 + (4294967295 - i) AS key FROM h WHERE i <= n - gram),
+w AS (SELECT k, side, i, m, min(key) OVER (PARTITION BY k, side ORDER BY i ROWS BETWEEN CURRENT ROW AND {winnow.WINDOW - 1} FOLLOWING) AS key FROM q),
+u AS (SELECT DISTINCT k, side, key // 4294967296 AS hash, 4294967295 - key % 4294967296 AS place FROM w WHERE i <= greatest(0, m - {winnow.WINDOW})),
+r AS (SELECT k, side, string_agg(format('{{:08x}}@{{}}', hash::BIGINT, place::BIGINT), ' ' ORDER BY place) AS shown, list(DISTINCT hash) AS hashes FROM u GROUP BY k, side),
+z AS (SELECT n.k, e.s, own.shown AS f, ed.shown AS g, coalesce(own.hashes, []) AS a, coalesce(ed.hashes, []) AS b, n.doc_id, n.n_chars FROM n JOIN e ON e.k = n.k AND e.side = 1 LEFT JOIN r own ON own.k = n.k AND own.side = 0 LEFT JOIN r ed ON ed.k = n.k AND ed.side = 1),
+x AS (SELECT z.*, coalesce(lead(a) OVER (ORDER BY k), first_value(a) OVER (ORDER BY k)) AS c FROM z)
+SELECT doc_id, n_chars, sha256(s) AS edited_sha256, coalesce(f, '') AS fingerprint, coalesce(g, '') AS edited_fingerprint,
+  CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) END::DOUBLE AS near_edited,
+  CASE WHEN len(a) + len(c) = 0 THEN 1.0 ELSE len(list_intersect(a, c))::DOUBLE / len(list_distinct(list_concat(a, c))) END::DOUBLE AS near_next
+FROM x
+"""
+
+def _least(*found: str) -> str:
+    out = found[0]
+    for x in found[1:]:
+        out = f"list_min([{out}, {x}])"
+    return out
+
+
+def _edit(letter: str, cost: str, after: str, line: str | None = None) -> str:
+    out = f"{after}.o" if line is None else f"list_prepend({line}, {after}.o)"
+    return f"{{'c': {after}.c + {cost}, 'a': '{letter}' || {after}.a, 'o': {out}}}"
+
+
+def _moves(state: int) -> str:
+    """Least of deleting, keeping and giving another role to a row, from a state; ``a0`` to ``a3`` are the costs to go, strings and lines behind it."""
+    to = repair.NEXT[state]
+    keep = " ".join(f"WHEN initial = '{x}' THEN {_edit('K', 'extra', f'a{t}', 'line')}" for x, code in repair.INITIALS.items() if (t := repair.kept_state(state, code)) is not None)
+    given = _edit("R", f"{repair.REROLE} + extra", f"a{to}", f"'{repair.ROLES[to]}:' || text")
+    gone = _edit("D", str(repair.DELETE), f"a{state}")
+    return f"CASE WHEN gone THEN {gone} ELSE {_least(gone, given, f'CASE {keep} ELSE {gone} END')} END"
+
+
+def _insert(after: str, role: str) -> str:
+    return _edit("I", str(repair.INSERT), after, f"'{role}:'")
+
+
+# costs to go, least strings and their lines from each state, row by row from the end
+OP13_SQL = rf"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+f AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(key) + 1), lambda i: ascii(key[i])::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x // 2, 3988292384::BIGINT * (x % 2)))), 4294967295::BIGINT) % 20 AS fault FROM k),
+d AS (
+  SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE fault WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM f WHERE fault <> 0),
+j AS (
+  SELECT *, substr(role, 1, 1) AS initial, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS solid, role || ':' || text AS line,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again, row_number() OVER o AS place, lag(substr(role, 1, 1)) OVER o AS before, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM d WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+r AS (
+  SELECT *, n - place + 1 AS step, solid = '' OR again AS gone, solid <> '' AND NOT again AND right(solid, 1) NOT IN ('.', '!', '?') AS cut, CASE WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN {repair.TRUNCATED} ELSE 0 END AS extra FROM j),
+g AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (solid = '') AS blank, count(*) FILTER (solid <> '' AND again) AS duplicate, count(*) FILTER (cut) AS truncated,
+    count(*) FILTER (place > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, any_value(n) AS n FROM r GROUP BY conv_id),
+dp AS (
+  SELECT conv_id, 0::BIGINT AS step, n, {{'c': 0::BIGINT, 'a': '', 'o': []::VARCHAR[]}} AS c0, {{'c': {repair.END[1]}::BIGINT, 'a': 'II', 'o': ['user:', 'assistant:']}} AS c1,
+    {{'c': {repair.END[2]}::BIGINT, 'a': 'I', 'o': ['assistant:']}} AS c2, {{'c': 0::BIGINT, 'a': '', 'o': []::VARCHAR[]}} AS c3 FROM g
+  UNION ALL
+  SELECT conv_id, step, n, {_least("b0", _insert("c2", "user"))}, {_least("b1", _insert("c2", "user"))}, c2, {_least("b3", _insert("b2", "user"))} FROM (
+    SELECT *, {_least("b2", _insert("b3", "assistant"))} AS c2 FROM (
+      SELECT dp_conv AS conv_id, step, n, {", ".join(f"{_moves(s)} AS b{s}" for s in range(4))} FROM (
+        SELECT dp.conv_id AS dp_conv, r.step, dp.n, dp.c0 AS a0, dp.c1 AS a1, dp.c2 AS a2, dp.c3 AS a3, r.initial, r.gone, r.extra, r.line, r.text FROM dp JOIN r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.step = dp.step + 1)))),
+e AS (SELECT g.*, dp.c0 AS best FROM g JOIN dp ON dp.conv_id IS NOT DISTINCT FROM g.conv_id AND dp.step = g.n)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(best.o, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op2_mixing": OP2_SQL, "op6_quality_rules": OP6_SQL, "op9_chat": OP9_SQL, "op10_topk": OP10_SQL}
+    return {"op1_warc": OP1_SQL, "op2_mixing": OP2_SQL, "op6_quality_rules": OP6_SQL, "op9_chat": OP9_SQL, "op10_topk": OP10_SQL, "op11_audit": OP11_SQL, "op12_winnowing": OP12_SQL, "op13_repair": OP13_SQL}
