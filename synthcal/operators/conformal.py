@@ -2,12 +2,18 @@
 
 A band needs the k-th smallest lower and upper gap endpoint, ranked separately. With a history of its own (split) there is
 one band per set. In leave-one-out every task is left out of its own history, yet one pass serves all: without a value v,
-the k-th smallest is x(k+1) if v's own rank is at most k and x(k) otherwise, ties included. So a few order statistics per
-set are enough and nothing is joined task by task.
+the k-th smallest is x(k+1) if v is at most x(k) and x(k) otherwise, ties included. So a few order statistics per set are
+enough and nothing is joined task by task.
+
+No set is put in order in one task, whatever its size: rows are partitioned by ranges of set and value, sorted within each
+partition and written with their partition and place; the partitions' counts give the offset of each set's rows in a
+partition, and so any rank's partition and place. Only these counts, at most one per set and partition, are ever in one window.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,70 +21,105 @@ from synthcal.functions.expressions import INF
 from synthcal.functions.levels import rank_high, rank_low
 from synthcal.sources.scratch import written
 
+#: Rows of a partition are numbered by the low bits of Spark's increasing row id, partitions by the high ones.
+_ROW_BITS = 33
+
+
+def put_in_order(rows: DataFrame, by: list[str], order: list[Column | str]) -> DataFrame:
+    """The rows with ``_part`` and ``_row``: ordered by these two, the sets in ``by`` are contiguous and each is in order.
+
+    Written to the shared folder, since the places of a range partitioning hold for one run of it only.
+    """
+    keys = [F.asc(b) for b in by] + [F.asc(c) if isinstance(c, str) else c for c in order]
+    keys = keys or [F.lit(0)]
+    row = F.monotonically_increasing_id()
+    placed = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("*", row.alias("_row"))
+    return written(placed.select(*rows.columns, F.shiftright("_row", _ROW_BITS).alias("_part"), F.col("_row").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)).alias("_row")), "in-order")
+
+
+def set_offsets(ordered: DataFrame, by: list[str], *extra: Column) -> DataFrame:
+    """by, _part, _first (its first row there), _n, _before (the set's rows in earlier partitions), _total and ``extra`` aggregates."""
+    counts = ordered.groupBy(*by, "_part").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"), *extra)
+    whole = Window.partitionBy(*([F.col(b) for b in by] or [F.lit(0)]))
+    return counts.withColumns({"_before": F.sum("_n").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"), "_total": F.sum("_n").over(whole)})
+
+
+def same_keys(left: dict[str, str], null_safe: bool = True) -> Column:
+    """Equality of columns by name, nulls being equal."""
+    each = [F.col(a).eqNullSafe(F.col(b)) if null_safe else F.col(a) == F.col(b) for a, b in left.items()]
+    return reduce(lambda x, y: x & y, each, F.lit(True))
+
+
+def with_ranks(rows: DataFrame, order: list[Column | str], by: list[str] = (), name: str = "rank") -> DataFrame:
+    """The rows with their place from 1 within their set, like a row number, without putting a set in one task."""
+    by = list(by)
+    ordered = put_in_order(rows, by, order)
+    offsets = written(set_offsets(ordered, by).select(*(F.col(b).alias(f"_o_{b}") for b in by), F.col("_part").alias("_o_part"), (F.col("_before") - F.col("_first") + 1).alias("_shift")), "offsets")
+    joined = ordered.join(offsets, (F.col("_part") == F.col("_o_part")) & same_keys({b: f"_o_{b}" for b in by}))
+    return joined.select(*rows.columns, (F.col("_row") + F.col("_shift")).alias(name))
+
+
+ENDS = (("lo", "low", "delta_lo"), ("hi", "high", "delta_hi"), ("mid", "low", "mid_lo"), ("mid", "high", "mid_hi"))
+
+
+def set_statistics(values: DataFrame, by: list[str], left_out: bool) -> DataFrame:
+    """by, t_hist and, per end of the band, the order statistics of its rank and of the next one (null beyond the set).
 
-def _placed(tasks: DataFrame, values: dict[str, Column], by: list[str], alpha3: float | Column) -> DataFrame:
-    part = [F.col(b) for b in by] or [F.lit(0)]
+    ``values``: by, _lo, _hi, _mid, _a3 (the same within a set), a written table. One row per set, written.
+    """
+    long = values.select(*by, "_a3", F.explode(F.array(*(F.struct(F.lit(v).alias("what"), F.col(f"_{v}").alias("v")) for v in ("lo", "hi", "mid")))).alias("_x")).select(*by, "_a3", "_x.what", "_x.v")
+    ordered = put_in_order(long, [*by, "what"], ["v"])
+    at = set_offsets(ordered, [*by, "what"], F.max("_a3").alias("_a3")).withColumn("_t", F.col("_total") - int(left_out))
+    ranks = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(v).alias("of"), ((rank_low if k == "low" else rank_high)(F.col("_t"), F.col("_a3")) + more).alias("k"), F.lit(more).alias("more")) for v, k, name in ENDS for more in (0, 1)))
+    wanted = at.withColumn("_w", F.explode(ranks)).where((F.col("_w.of") == F.col("what")) & (F.col("_w.k") > F.col("_before")) & (F.col("_w.k") <= F.col("_before") + F.col("_n")))
+    wanted = wanted.select(F.col("_part").alias("_at_part"), (F.col("_first") + F.col("_w.k") - F.col("_before") - 1).alias("_at_row"), "_w.name", "_w.more")
+    met = ordered.join(wanted, (F.col("_part") == F.col("_at_part")) & (F.col("_row") == F.col("_at_row")))
+    picked = met.groupBy(*by).agg(*(F.max(F.when((F.col("name") == n) & (F.col("more") == m), F.col("v"))).alias(f"{n}_{m}") for _, _, n in ENDS for m in (0, 1)))
+    sizes = at.where("what = 'mid'").groupBy(*by).agg(F.max("_t").alias("t_hist"), F.max("_a3").alias("_s_a3"))
+    named = picked.select(*(F.col(b).alias(f"_p_{b}") for b in by), *(c for c in picked.columns if c not in by))
+    return written(sizes.join(named, same_keys({b: f"_p_{b}" for b in by}), "left").drop(*(f"_p_{b}" for b in by)), "set-statistics")
+
+
+def _written_values(tasks: DataFrame, lo: Column, hi: Column, mid: Column, alpha3: float | Column) -> DataFrame:
+    """The tasks with _lo, _hi, _mid and _a3, written: a value that is computed twice may differ in its last bit from itself."""
     level = alpha3 if isinstance(alpha3, Column) else F.lit(float(alpha3))
-    out = tasks.select(*by, level.alias("_a3"), *(v.alias(k) for k, v in values.items()))
-    for k in values:
-        out = out.withColumn(f"_{k}", F.row_number().over(Window.partitionBy(*part).orderBy(k)))
-    return out.withColumn("_t", F.count("*").over(Window.partitionBy(*part)))
+    return written(tasks.withColumns({"_lo": lo, "_hi": hi, "_mid": mid, "_a3": level}), "band-values")
 
 
-def _pick(value: str, rank: Column) -> Column:
-    return F.max(F.when(F.col(f"_{value}") == rank, F.col(value)))
+def _banded(rows: DataFrame, stats: DataFrame, by: list[str], left_out: bool) -> DataFrame:
+    named = stats.select(*(F.col(b).alias(f"_s_{b}") for b in by), *(c for c in stats.columns if c not in by))
+    joined = rows.join(named, same_keys({b: f"_s_{b}" for b in by}), "left").withColumn("t_hist", F.coalesce("t_hist", F.lit(0)).cast("long"))
+    low, high = rank_low(F.col("t_hist"), F.col("_s_a3")) >= 1, rank_high(F.col("t_hist"), F.col("_s_a3")) <= F.col("t_hist")
+    out = {}
+    for v, k, name in ENDS:
+        here = F.col(f"{name}_0")
+        value = F.when(F.col(f"_{v}").isNull() | (F.col(f"_{v}") <= here), F.col(f"{name}_1")).otherwise(here) if left_out else here
+        out[name] = F.when(low if k == "low" else high, value).otherwise(F.lit(-INF if k == "low" else INF))
+    keep = [c for c in rows.columns if c not in ("_lo", "_hi", "_mid", "_a3")]
+    return joined.select(*keep, "t_hist", *(v.alias(k) for k, v in out.items()))
 
 
 def split_bands(history: DataFrame, lo: Column, hi: Column, mid: Column, alpha3: float | Column, by: list[str] = ()) -> DataFrame:
     """by, t_hist, delta_lo, delta_hi, mid_lo, mid_hi: one row per set."""
     by = list(by)
-    rows = _placed(history, {"lo": lo, "hi": hi, "mid": mid}, by, alpha3)
-    low, high = rank_low(F.col("_t"), F.col("_a3")), rank_high(F.col("_t"), F.col("_a3"))
-    out = rows.groupBy(*by).agg(F.max("_t").alias("t_hist"), *(_pick(v, k).alias(n) for v, k, n in (("lo", low, "delta_lo"), ("hi", high, "delta_hi"), ("mid", low, "mid_lo"), ("mid", high, "mid_hi"))))
-    ends = {"delta_lo": -INF, "delta_hi": INF, "mid_lo": -INF, "mid_hi": INF}
-    return out.select(*by, F.coalesce("t_hist", F.lit(0)).alias("t_hist"), *(F.coalesce(n, F.lit(e)).alias(n) for n, e in ends.items()))
+    values = _written_values(history, lo, hi, mid, alpha3).select(*by, "_lo", "_hi", "_mid", "_a3")
+    stats = set_statistics(values, by, False)
+    ends = {"lo": -INF, "hi": INF}
+    return stats.select(*by, "t_hist", *(F.coalesce(f"{n}_0", F.lit(ends[n[-2:]])).alias(n) for _, _, n in ENDS))
 
 
 def history_bands(tasks: DataFrame, is_history: Column, lo: Column, hi: Column, mid: Column, alpha3: float | Column, by: list[str] = ()) -> DataFrame:
-    """All tasks with t_hist, delta_lo, delta_hi, mid_lo, mid_hi of the historical tasks of their set.
-
-    Windows over the one table of tasks: a join with the bands would compute the tasks' statistics twice.
-    """
-    whole = Window.partitionBy(*([F.col(b) for b in by] or [F.lit(0)]))
-    level = alpha3 if isinstance(alpha3, Column) else F.lit(float(alpha3))
-    rows = tasks.withColumns({"_h": is_history, "_a3": level, **{f"_{k}": F.when(is_history, v) for k, v in (("lo", lo), ("hi", hi), ("mid", mid))}})
-    rows = rows.withColumns({"t_hist": F.count(F.when(F.col("_h"), 1)).over(whole), **{f"_r{v}": F.row_number().over(whole.orderBy(F.desc("_h"), f"_{v}")) for v in ("lo", "hi", "mid")}})
-    low, high = rank_low(F.col("t_hist"), F.col("_a3")), rank_high(F.col("t_hist"), F.col("_a3"))
-    at = lambda v, k, end: F.coalesce(F.max(F.when(F.col("_h") & (F.col(f"_r{v}") == k), F.col(f"_{v}"))).over(whole), F.lit(end))
-    out = rows.withColumns({"delta_lo": at("lo", low, -INF), "delta_hi": at("hi", high, INF), "mid_lo": at("mid", low, -INF), "mid_hi": at("mid", high, INF)})
-    return out.drop("_h", "_a3", "_lo", "_hi", "_mid", "_rlo", "_rhi", "_rmid")
+    """All tasks with t_hist, delta_lo, delta_hi, mid_lo, mid_hi of the historical tasks of their set."""
+    by = list(by)
+    rows = _written_values(tasks.withColumn("_h", is_history), lo, hi, mid, alpha3)
+    return _banded(rows.drop("_h"), set_statistics(rows.where("_h"), by, False), by, False)
 
 
 def loo_bands(tasks: DataFrame, lo: Column, hi: Column, mid: Column, alpha3: float | Column, by: list[str] = ()) -> DataFrame:
-    """The tasks with t_hist, delta_lo, delta_hi, mid_lo, mid_hi of the history without themselves.
-
-    Windows only: a join of the tasks with their own order statistics would compute sums twice, and a task whose value
-    differs from itself in the last bit would be ranked wrongly.
-    """
-    part = [F.col(b) for b in by] or [F.lit(0)]
-    whole = Window.partitionBy(*part)
-    level = alpha3 if isinstance(alpha3, Column) else F.lit(float(alpha3))
-    rows = tasks.withColumns({"_lo": lo, "_hi": hi, "_mid": mid, "_a3": level, "t_hist": F.count("*").over(whole) - 1})
-    rows = rows.withColumns({f"_r{v}": F.row_number().over(whole.orderBy(f"_{v}")) for v in ("lo", "hi", "mid")})
-    rows = rows.withColumns({"_kl": rank_low(F.col("t_hist"), F.col("_a3")), "_kh": rank_high(F.col("t_hist"), F.col("_a3"))})
-
-    def shifted(v: str, k: str) -> Column:
-        at = lambda i: F.max(F.when(F.col(f"_r{v}") == F.col(k) + i, F.col(f"_{v}"))).over(whole)
-        return F.when(F.col(f"_r{v}") <= F.col(k), at(1)).otherwise(at(0))
-
-    low_missing, high_missing = F.col("_kl") <= 0, F.col("_kh") > F.col("t_hist")
-    out = {
-        "delta_lo": F.when(low_missing, F.lit(-INF)).otherwise(shifted("lo", "_kl")),
-        "delta_hi": F.when(high_missing, F.lit(INF)).otherwise(shifted("hi", "_kh")),
-        "mid_lo": F.when(low_missing, F.lit(-INF)).otherwise(shifted("mid", "_kl")),
-        "mid_hi": F.when(high_missing, F.lit(INF)).otherwise(shifted("mid", "_kh")),
-    }
-    return rows.withColumns(out).drop("_lo", "_hi", "_mid", "_a3", "_rlo", "_rhi", "_rmid", "_kl", "_kh")
+    """The tasks with t_hist, delta_lo, delta_hi, mid_lo, mid_hi of the history without themselves."""
+    by = list(by)
+    rows = _written_values(tasks, lo, hi, mid, alpha3)
+    return _banded(rows, set_statistics(rows, by, True), by, True)
 
 
 def select_ranks(rows: DataFrame, value: str, wanted: DataFrame | list[int], by: list[str], splitters: int = 2_000) -> DataFrame:
