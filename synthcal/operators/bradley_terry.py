@@ -8,6 +8,7 @@ their bootstrap run in grouped workers over these counts.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -131,24 +132,184 @@ def place(wins: np.ndarray, n: np.ndarray, c: np.ndarray, start: np.ndarray | fl
     return b, 1 / np.sqrt((n * s * (1 - s)).sum(axis=1) + RIDGE)
 
 
-def frames(pairs: DataFrame, held_out: DataFrame, reference) -> DataFrame:
-    """held_out, player, score: one fit per held-out player without its battles, over all other players.
+def coded_pairs(pairs: DataFrame) -> tuple[DataFrame, list]:
+    """(ia, ib, w, n) of each ordered pair by the players' numbers, written, and the players in order: a few bytes per player."""
+    totals = written(pairs.groupBy("a", "b").agg(F.sum(F.col("n") * F.col("y")).alias("w"), F.sum("n").alias("n")), "pair-totals")
+    players = [r["player"] for r in participants(totals).orderBy("player").collect()]
+    code = totals.sparkSession.createDataFrame(list(enumerate(players)), f"i int, player {dict(totals.dtypes)['a']}")
+    coded = totals.join(code.select(F.col("player").alias("a"), F.col("i").alias("ia")), "a").join(code.select(F.col("player").alias("b"), F.col("i").alias("ib")), "b")
+    return written(coded.select("ia", "ib", F.col("w").cast("double"), F.col("n").cast("double")), "coded-pairs"), players
+
+
+class PairArrays:
+    """Pairs sorted by their first player, with sums per player over many columns at once; a column leaves one player out."""
+
+    def __init__(self, ia: np.ndarray, ib: np.ndarray, w: np.ndarray, n: np.ndarray, held: np.ndarray, k: int):
+        order = np.argsort(ia, kind="stable")
+        self.ia, self.ib, self.w, self.n, self.k = ia[order], ib[order], w[order][:, None], n[order][:, None], k
+        self.by_b = np.argsort(self.ib, kind="stable")
+        self.starts_a, self.starts_b = (np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.empty(0, int) for x in (self.ia, self.ib[self.by_b]))
+        self.mask(held)
+
+    def mask(self, held: np.ndarray) -> None:
+        """The places (pair, column) where a pair belongs to the player that the column leaves out."""
+        column_of = np.full(self.k, -1)
+        column_of[held[held >= 0]] = np.flatnonzero(held >= 0)
+        rows, columns = (np.concatenate([x, y]) for x, y in zip(*((np.flatnonzero(column_of[i] >= 0), column_of[i][column_of[i] >= 0]) for i in (self.ia, self.ib)), strict=True))
+        self.out_rows, self.out_columns = rows, columns
+
+    def total(self, v: np.ndarray, sign: int) -> np.ndarray:
+        """Sums of ``v`` over the pairs of each player, those where it is second with the sign."""
+        out = np.zeros((self.k, v.shape[1]))
+        if len(v):
+            out[self.ia[self.starts_a]] += np.add.reduceat(v, self.starts_a, axis=0)
+            out[self.ib[self.by_b][self.starts_b]] += sign * np.add.reduceat(v[self.by_b], self.starts_b, axis=0)
+        return out
+
+    def curvature(self, score: np.ndarray) -> np.ndarray:
+        p = 1 / (1 + np.exp(-(score[self.ia] - score[self.ib])))
+        h = self.n * p * (1 - p)
+        h[self.out_rows, self.out_columns] = 0.0
+        return h
+
+    def slope(self, score: np.ndarray) -> np.ndarray:
+        v = self.w - self.n / (1 + np.exp(-(score[self.ia] - score[self.ib])))
+        v[self.out_rows, self.out_columns] = 0.0
+        return v
+
+    def product(self, h: np.ndarray, along: np.ndarray) -> np.ndarray:
+        return self.total(h * (along[self.ia] - along[self.ib]), -1)
+
+
+def newton_columns(start: np.ndarray, free: np.ndarray, local: Callable, rounds: int = 200, tol: float = 1e-11) -> np.ndarray:
+    """Scores of many fits at once, a column each, by Newton steps whose systems are solved by conjugate gradients.
 
-    Fits start from the scores of all battles, and a player who met only the held-out one keeps that start.
+    ``local(scores)`` gives the log-likelihoods' slopes there, the Hessians' diagonals and a function that multiplies columns
+    with the Hessians. Steps beyond LONGEST are shortened. What is not ``free`` keeps its start; so does a player without
+    battles in a column.
     """
-    kind = dict(pairs.dtypes)["a"]
-    totals = pairs.groupBy("a", "b").agg(F.sum(F.col("n") * F.col("y")).alias("w"), F.sum("n").alias("n"))
-    held = held_out.select(F.col("player").alias("held_out"))
-    each = totals.join(held, (F.col("a") != F.col("held_out")) & (F.col("b") != F.col("held_out")))
-    start = held_out.select(F.col("player").alias("left_out")).join(joint_scores(pairs, reference), F.col("player") != F.col("left_out"))
+    score = start.copy()
+    ridge = 1e-12
+    for _ in range(rounds):
+        g, diagonal, times = local(score)
+        g = np.where(free, g, 0.0)
+        scale = np.where(free, 1 / np.maximum(diagonal + ridge, ridge), 0.0)
+        step, left = np.zeros_like(g), g.copy()
+        along = scale * left
+        power = (left * along).sum(axis=0)
+        first, active = power.copy(), power > 0
+        for _ in range(4 * len(g)):
+            if not active.any():
+                break
+            product = np.where(free, times(along), 0.0) + ridge * along
+            size = np.where(active, power / np.maximum((along * product).sum(axis=0), 1e-300), 0.0)
+            step, left = step + size * along, left - size * product
+            old, power = power, (left * scale * left).sum(axis=0)
+            active &= power > 1e-13 * first
+            along = np.where(active, scale * left + np.where(active, power / np.maximum(old, 1e-300), 0.0) * along, 0.0)
+        step = np.clip(step, -LONGEST, LONGEST)
+        score = score + step
+        if np.abs(step).max(initial=0) < tol:
+            break
+    return score
+
 
-    def run(pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        start = start.sort_values("player")
-        players = start["player"].to_numpy()
-        score = fit_scores(players, pdf["a"], pdf["b"], pdf["w"].to_numpy(float), pdf["n"].to_numpy(float), reference, start["score"].to_numpy(float))
-        return pd.DataFrame({"held_out": start["left_out"].to_numpy(), "player": players, "score": score})
+def frames(pairs: DataFrame, held_out: DataFrame, reference, at_once: int = 4_000_000) -> DataFrame:
+    """held_out, player, score: one fit per held-out player without its battles, over all other players.
 
-    return each.groupBy("held_out").cogroup(start.groupBy("left_out")).applyInPandas(run, f"held_out {kind}, player {kind}, score double")
+    Fits start from the scores of all battles, and a player who met only the held-out one keeps that start. The fits of many
+    held-out players are columns over one table of pairs: no row of it is repeated for each of them. Up to ``at_once`` ordered
+    pairs (a count, 32 bytes each) are broadcast and every task fits a share of the columns; beyond that the pairs stay where
+    they are and every product is a pass over them (see :func:`passed_frames`). Both find the same optima.
+    """
+    spark, kind = pairs.sparkSession, dict(pairs.dtypes)["a"]
+    coded, players = coded_pairs(pairs)
+    at = {p: i for i, p in enumerate(players)}
+    if reference not in at:
+        raise ValueError(f"reference {reference!r} is in no battle")
+    held = held_out.select("player").distinct().join(spark.createDataFrame(list(at.items()), f"player {kind}, i int"), "player")
+    if coded.count() > at_once:
+        joint = np.zeros(len(players))
+        for r in joint_scores(pairs, reference).collect():  # a number per player
+            joint[at[r["player"]]] = r["score"]
+        return passed_frames(coded, players, joint, [r["i"] for r in held.collect()], at[reference], kind)
+    found = coded.toPandas()  # at most at_once rows
+    fixed, width = at[reference], max(1, min(64, 4_000_000 // max(1, len(found))))
+    arrays = [found[c].to_numpy() for c in ("ia", "ib", "w", "n")]
+    joint = fitted_columns(*arrays, np.zeros(len(players)), np.array([-1]), fixed)[:, 0]
+    sent = spark.sparkContext.broadcast((*arrays, joint, players))
+
+    def run(batches):
+        ia, ib, w, n, start, names = sent.value
+        names = pd.Series(names)
+        for pdf in batches:
+            for first in range(0, len(pdf), width):
+                out = pdf["i"].to_numpy()[first : first + width]
+                score = fitted_columns(ia, ib, w, n, start, out, fixed)
+                keep = np.ones((len(start), len(out)), dtype=bool)
+                keep[out, np.arange(len(out))] = False
+                i, column = np.nonzero(keep)
+                yield pd.DataFrame({"held_out": names.take(out[column]).to_numpy(), "player": names.take(i).to_numpy(), "score": score[i, column]})
+
+    tasks = max(1, min(len(players), spark.sparkContext.defaultParallelism))
+    return held.select("i").repartition(tasks).mapInPandas(run, f"held_out {kind}, player {kind}, score double")
+
+
+def fitted_columns(ia, ib, w, n, start: np.ndarray, held: np.ndarray, fixed: int) -> np.ndarray:
+    """players x held-out scores over pairs that fit in memory; a held-out number below 0 leaves no one out."""
+    k = len(start)
+    pairs = PairArrays(ia, ib, w, n, held, k)
+    free = np.arange(k)[:, None] != held
+    free[fixed] = False
+
+    def local(score: np.ndarray):
+        h = pairs.curvature(score)
+        return pairs.total(pairs.slope(score), -1), pairs.total(h, 1), lambda along: pairs.product(h, along)
+
+    return newton_columns(np.repeat(start[:, None], len(held), axis=1), free, local)
+
+
+def passed_frames(coded: DataFrame, players: list, joint: np.ndarray, held: list[int], fixed: int, kind: str, numbers: int = 2_000_000) -> DataFrame:
+    """The same over any number of pairs: gradients and products are passes over the written pairs with partial sums per
+    player and column. The driver holds ``numbers`` scores at a time, as many columns as fit, and each batch is written."""
+    spark, k = coded.sparkSession, len(joint)
+    width, out = max(1, numbers // k), None
+    for first in range(0, len(held), width):
+        columns = np.array(held[first : first + width], dtype=int)
+
+        def summed(score: np.ndarray, along: np.ndarray | None, columns=columns) -> tuple[np.ndarray, np.ndarray]:
+            sent = spark.sparkContext.broadcast((score, along))
+
+            def run(batches):
+                x, d = sent.value
+                total = np.zeros((2, *x.shape))
+                for pdf in batches:
+                    step = max(1, 4_000_000 // x.shape[1])
+                    for i in range(0, len(pdf), step):
+                        part = pdf.iloc[i : i + step]
+                        pairs = PairArrays(*(part[c].to_numpy() for c in ("ia", "ib", "w", "n")), columns, k)
+                        h = pairs.curvature(x)
+                        total[0] += pairs.total(pairs.slope(x), -1) if d is None else pairs.product(h, d)
+                        total[1] += pairs.total(h, 1)
+                i, j = np.nonzero(total[1])
+                yield pd.DataFrame({"i": i, "j": j, "v": total[0, i, j], "h": total[1, i, j]})
+
+            found = coded.mapInPandas(run, "i int, j int, v double, h double").groupBy("i", "j").agg(F.sum("v").alias("v"), F.sum("h").alias("h")).toPandas()
+            v, h = np.zeros(score.shape), np.zeros(score.shape)
+            v[found["i"], found["j"]], h[found["i"], found["j"]] = found["v"], found["h"]
+            sent.unpersist()
+            return v, h
+
+        free = np.ones((k, len(columns)), dtype=bool)
+        free[fixed] = False
+        free[columns, np.arange(len(columns))] = False
+        score = newton_columns(np.repeat(joint[:, None], len(columns), axis=1), free, lambda x: (*summed(x, None), lambda along: summed(x, along)[0]), tol=1e-9)
+        keep = np.argwhere(free | (np.arange(k) == fixed)[:, None] & (np.arange(k)[:, None] != columns))
+        names = pd.Series(players)
+        part = spark.createDataFrame(pd.DataFrame({"held_out": names.take(columns[keep[:, 1]]).to_numpy(), "player": names.take(keep[:, 0]).to_numpy(), "score": score[keep[:, 0], keep[:, 1]]}), f"held_out {kind}, player {kind}, score double")
+        part = written(part, "frames")
+        out = part if out is None else out.union(part)
+    return out if out is not None else spark.createDataFrame([], f"held_out {kind}, player {kind}, score double")
 
 
 def joint_scores(pairs: DataFrame, reference, at_once: int = 500) -> DataFrame:
@@ -170,19 +331,16 @@ def joint_scores(pairs: DataFrame, reference, at_once: int = 500) -> DataFrame:
 def iterated_scores(totals: DataFrame, reference, rounds: int = 500, tol: float = 1e-8) -> DataFrame:
     """The scores of many players by Newton steps whose linear systems are solved by conjugate gradients.
 
-    ``totals`` is a written table (a, b, w, n). Every product with the Hessian and every gradient is one pass over it with
+    ``totals`` is a table (a, b, w, n). Every product with the Hessian and every gradient is one pass over it with
     partial sums per player; the driver holds a few numbers per player and nothing per pair. ``rounds`` bounds the passes;
     more are an error.
     """
     spark = totals.sparkSession
-    players = [r["player"] for r in participants(totals).orderBy("player").collect()]
+    coded, players = coded_pairs(totals.withColumn("y", F.when(F.col("n") > 0, F.col("w") / F.col("n"))))
     at = {p: i for i, p in enumerate(players)}
     if reference not in at:
         raise ValueError(f"reference {reference!r} is in no battle")
     schema = f"player {dict(totals.dtypes)['a']}, i int"
-    code = spark.createDataFrame(list(at.items()), schema)
-    coded = totals.join(code.select(F.col("player").alias("a"), F.col("i").alias("ia")), "a").join(code.select(F.col("player").alias("b"), F.col("i").alias("ib")), "b")
-    coded = written(coded.select("ia", "ib", F.col("w").cast("double"), F.col("n").cast("double")), "coded-pairs")
     passes, k, fixed = 0, len(players), at[reference]
 
     def summed(score: np.ndarray, along: np.ndarray | None) -> np.ndarray:
@@ -232,16 +390,77 @@ def iterated_scores(totals: DataFrame, reference, rounds: int = 500, tol: float
     return spark.createDataFrame([(p, float(x)) for p, x in zip(players, score, strict=True)], schema.replace("i int", "score double"))
 
 
-def placements(sides: DataFrame, frame: DataFrame, tasks: DataFrame, draws: int = 0) -> DataFrame:
+def placements(sides: DataFrame, frame: DataFrame, tasks: DataFrame, draws: int = 0, at_once: int = 4_000_000) -> DataFrame:
     """For each held-out M and each task player j: truth, synth (with standard errors), n and the gap's bootstrap error.
 
     j = M uses all of M's battles; another j its battles without those against M. ``draws`` replicates resample a
     player's battles as counts over (opponent, outcomes), the same draw for both placements.
+
+    All placements of one frame are found at once, from its scores and the task players' aggregated battles. Up to ``at_once``
+    rows of these (a count, 40 bytes each) are broadcast, and a task needs nothing but frames; beyond that they are joined
+    with the frames and grouped by both players.
     """
     kind = dict(sides.dtypes)["player"]
-    wanted = tasks.select(F.col("player").alias("held_out")).crossJoin(tasks.select("player"))  # task players squared: the result's size
-    rows = wanted.join(sides, "player").where((F.col("player") == F.col("held_out")) | (F.col("opponent") != F.col("held_out")))
-    rows = rows.join(frame.select("held_out", F.col("player").alias("opponent"), "score"), ["held_out", "opponent"])
+    own = written(sides.join(tasks.select("player").distinct(), "player", "left_semi"), "task-sides")
+    schema = f"held_out {kind}, player {kind}, n long, truth double, truth_se double, synth double, synth_se double, gap_se double"
+    if own.count() > at_once:
+        return joined_placements(own, frame, tasks, draws, schema)
+    found = own.toPandas().sort_values(["player", "opponent", "y", "y_auto"])  # at most at_once rows
+    names = np.unique(np.concatenate([found["player"].to_numpy(), found["opponent"].to_numpy()])) if len(found) else np.empty(0, object)
+    columns = {"player": np.searchsorted(names, found["player"].to_numpy()), "opponent": np.searchsorted(names, found["opponent"].to_numpy()), **{c: found[c].to_numpy(float) for c in ("y", "y_auto", "n")}}
+    sent = sides.sparkSession.sparkContext.broadcast((names, columns))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        players, battles = sent.value
+        if not len(players):
+            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+        held, score = pdf["held_out"].iloc[0], np.full(len(players), np.nan)
+        at = np.searchsorted(players, pdf["player"].to_numpy())
+        known = (at < len(players)) & (players[np.minimum(at, len(players) - 1)] == pdf["player"].to_numpy())
+        score[at[known]] = pdf["score"].to_numpy()[known]
+        c = score[battles["opponent"]]
+        met = ~np.isnan(c)
+        part = {k: v[met] for k, v in battles.items()}
+        segment, c, seen = part["player"], c[met], np.unique(part["player"])
+        total = np.bincount(segment, part["n"], len(players))
+        truth, truth_se = placed_segments(segment, part["n"] * part["y"], part["n"], c, len(players))
+        synth, synth_se = placed_segments(segment, part["n"] * part["y_auto"], part["n"], c, len(players), truth)
+        gap_se = np.full(len(players), np.nan)
+        if draws:
+            for j, first, last in zip(seen, np.searchsorted(segment, seen), np.searchsorted(segment, seen, "right"), strict=True):
+                if players[j] != held:
+                    of = {k: part[k][first:last] for k in ("n", "y", "y_auto")}
+                    gap_se[j] = gap_error(held, players[j], of["n"], of["y"], of["y_auto"], c[first:last], truth[j], synth[j], draws)
+        return pd.DataFrame({"held_out": held, "player": players[seen], "n": total[seen].astype(np.int64), "truth": truth[seen], "truth_se": truth_se[seen], "synth": synth[seen], "synth_se": synth_se[seen], "gap_se": pd.Series(gap_se[seen]).astype(object).where(~np.isnan(gap_se[seen]), None)})
+
+    asked = frame.join(tasks.select(F.col("player").alias("held_out")).distinct(), "held_out", "left_semi")
+    return asked.groupBy("held_out").applyInPandas(run, schema)  # a group is one frame: a row per player
+
+
+def placed_segments(segment: np.ndarray, wins: np.ndarray, n: np.ndarray, c: np.ndarray, k: int, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`place` for ``k`` players at once whose battles are segments of the arrays."""
+    b = np.zeros(k) if start is None else start.copy()
+    for _ in range(ROUNDS):
+        s = 1 / (1 + np.exp(-(b[segment] - c)))
+        slope, curve = np.bincount(segment, wins - n * s, k), np.bincount(segment, n * s * (1 - s), k)
+        step = np.clip((RIDGE * b - slope) / (curve + RIDGE), -LONGEST, LONGEST)
+        b = b - step
+        if np.abs(step).max(initial=0) < TOLERANCE:
+            break
+    s = 1 / (1 + np.exp(-(b[segment] - c)))
+    return b, 1 / np.sqrt(np.bincount(segment, n * s * (1 - s), k) + RIDGE)
+
+
+def gap_error(held, player, n: np.ndarray, y: np.ndarray, y_auto: np.ndarray, c: np.ndarray, truth: float, synth: float, draws: int) -> float:
+    """The standard deviation of a gap over resampled battles; the seed comes from both players' names."""
+    rng = np.random.default_rng(zlib.crc32(f"{held}\x1f{player}".encode()))
+    m = rng.multinomial(int(n.sum()), n / n.sum(), size=draws).astype(float)
+    return float(np.std(place(m * y, m, c, truth, REPLICATE_ROUNDS)[0] - place(m * y_auto, m, c, synth, REPLICATE_ROUNDS)[0], ddof=1))
+
+
+def joined_placements(sides: DataFrame, frame: DataFrame, tasks: DataFrame, draws: int, schema: str) -> DataFrame:
+    """Placements where the battles are too many to be broadcast: joined with the frames, a group per pair of players."""
+    rows = sides.join(frame.select("held_out", F.col("player").alias("opponent"), "score"), "opponent").join(tasks.select(F.col("player").alias("held_out")).distinct(), "held_out", "left_semi")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["opponent", "y", "y_auto"])
@@ -249,14 +468,10 @@ def placements(sides: DataFrame, frame: DataFrame, tasks: DataFrame, draws: int
         held, player = pdf["held_out"].iloc[0], pdf["player"].iloc[0]
         (truth,), (truth_se,) = place((n * y)[None], n[None], c)
         (synth,), (synth_se,) = place((n * ya)[None], n[None], c, truth)
-        gap_se = None
-        if draws and held != player:
-            rng = np.random.default_rng(zlib.crc32(f"{held}\x1f{player}".encode()))
-            m = rng.multinomial(int(n.sum()), n / n.sum(), size=draws).astype(float)
-            gap_se = float(np.std(place(m * y, m, c, truth, REPLICATE_ROUNDS)[0] - place(m * ya, m, c, synth, REPLICATE_ROUNDS)[0], ddof=1))
+        gap_se = gap_error(held, player, n, y, ya, c, truth, synth, draws) if draws and held != player else None
         return pd.DataFrame({"held_out": [held], "player": [player], "n": [int(n.sum())], "truth": [truth], "truth_se": [truth_se], "synth": [synth], "synth_se": [synth_se], "gap_se": pd.Series([gap_se], dtype=float)})
 
-    return rows.groupBy("held_out", "player").applyInPandas(run, f"held_out {kind}, player {kind}, n long, truth double, truth_se double, synth double, synth_se double, gap_se double")
+    return rows.groupBy("held_out", "player").applyInPandas(run, schema)
 
 
 def intervals(placed: DataFrame, frame: DataFrame, algo: str, alpha: float, alloc: str = "prop_127") -> DataFrame:
