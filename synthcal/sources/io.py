@@ -10,7 +10,7 @@ from synthcal.operators.moments import weighted_cells
 from synthcal.sources.scratch import written
 
 PARTITIONS = ["app", "task_def", "algo", "alpha_tag", "alloc"]
-#: The order of a record file's columns; others come after them.
+#: The order of a record file's columns; others come after them.
 COLUMNS = ["task_id", "label", "theta", "algo", "alpha", "alpha1", "alpha2", "alpha3", "alloc", "coord", "n_real", "n_synth", "ci_lo", "ci_hi", "covered", "width", "width_clip", "synth_lo", "synth_hi", "delta_lo", "delta_hi", "w1", "w2", "w3"]
 NUMBERS = ["theta", "alpha", "alpha1", "alpha2", "alpha3", "n_real", "n_synth", "ci_lo", "ci_hi", "width", "width_clip", "synth_lo", "synth_hi", "delta_lo", "delta_hi", "w1", "w2", "w3"]
 
@@ -89,25 +89,52 @@ def keep_authored(definitions: DataFrame, old: DataFrame, authored: tuple[str, .
     return rows.select(*(F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) if c in authored else F.col(c) for c in definitions.columns))
 
 
-def record_columns(records: DataFrame) -> list[str]:
-    """The columns that have a value in some row: those of :data:`COLUMNS` in their order, then the others in theirs."""
-    found = records.agg(*(F.count(F.col(f"`{c}`")).alias(c) for c in records.columns)).first()
-    present = [c for c in records.columns if found[c] or not found]
-    return [*(c for c in COLUMNS if c in present), *(c for c in present if c not in COLUMNS)]
+#: Where a folder of records keeps what it holds: a row per file set, outside of what Spark lists as data.
+MANIFEST = "_manifest"
 
 
-def write_records(records: DataFrame, path: str, app: str, task_def: str, fmt: str = "csv") -> list[str]:
+def file_sets(records: DataFrame) -> DataFrame:
+    """A row per combination of :data:`PARTITIONS` with ``n`` and ``columns``, those that have a value in some row of the set:
+    the columns of :data:`COLUMNS` in their order, then the others in theirs."""
+    order = [*(c for c in COLUMNS if c in records.columns), *(c for c in records.columns if c not in COLUMNS)]
+    own = [c for c in order if c not in PARTITIONS]
+    counts = records.groupBy(*PARTITIONS).agg(F.count("*").alias("n"), *(F.count(F.col(f"`{c}`")).alias(f"n_{c}") for c in own))
+    return counts.select(*PARTITIONS, "n", F.array_compact(F.array(*(F.when(F.col(f"`n_{c}`") > 0, F.lit(c)) for c in own))).alias("columns"))
+
+
+def replace_partitions(rows: DataFrame, path: str, fmt: str) -> None:
+    """Writes the rows in place of what their partitions hold; other partitions stay. Files are staged, so a job that fails
+    before its commit leaves the old ones."""
+    writer = rows.write.partitionBy(*PARTITIONS).mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (writer.option("header", True).csv(path) if fmt == "csv" else writer.parquet(path))
+
+
+def write_records(records: DataFrame, path: str, app: str, task_def: str, fmt: str = "csv") -> DataFrame:
     """One folder per app, task definition, method, level and allocation; the exact level stays a column too.
 
-    Returns the files' columns: in fixed order, extras after them, columns without a value left out.
+    A set that is written again takes the place of the old one; sets that the records don't have stay. Everything is computed
+    and written elsewhere before the first file is replaced, and the manifest, which names each set's columns and rows,
+    comes last. Returns its new rows (see :func:`file_sets`): a set's files have the columns with a value in some row of it.
     """
-    records = written(records, "records")
-    columns = record_columns(records)
-    rows = records.select(*columns).withColumns({"app": F.lit(app), "task_def": F.lit(task_def), "alpha_tag": level_tag(F.col("alpha"))})
-    rows = rows.repartition(*PARTITIONS, F.pmod(F.xxhash64("task_id"), F.lit(8))).sortWithinPartitions(*PARTITIONS)
-    writer = rows.write.partitionBy(*PARTITIONS).mode("append")
-    (writer.option("header", True).csv(path) if fmt == "csv" else writer.parquet(path))
-    return [c for c in columns if c not in PARTITIONS]
+    tagged = records.withColumns({"app": F.lit(app), "task_def": F.lit(task_def), "alpha_tag": level_tag(F.col("alpha"))})
+    tagged = written(tagged, "records")
+    sets = written(file_sets(tagged), "record-sets")
+    kinds = [list(r["columns"]) for r in sets.select("columns").distinct().collect()]  # as many as there are kinds of methods
+    for columns in kinds:
+        some = sets.where(F.col("columns") == F.array(*[F.lit(c) for c in columns])).select(*(F.col(p).alias(f"_{p}") for p in PARTITIONS))
+        same = F.lit(True)
+        for p in PARTITIONS:
+            same = same & F.col(p).eqNullSafe(F.col(f"_{p}"))
+        rows = tagged.join(some, same, "left_semi").select(*columns, *PARTITIONS)
+        spread = F.pmod(F.xxhash64("task_id"), F.lit(8)) if "task_id" in columns else F.lit(0)
+        replace_partitions(rows.repartition(*PARTITIONS, spread).sortWithinPartitions(*PARTITIONS), path, fmt)
+    replace_partitions(sets.select("n", "columns", *PARTITIONS).repartition(*PARTITIONS), f"{path}/{MANIFEST}", "parquet")
+    return sets
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    kinds = ", ".join(f"{p} string" for p in PARTITIONS)
+    return spark.read.schema(f"n long, columns array<string>, {kinds}").parquet(f"{path}/{MANIFEST}")
 
 
 def coerced(rows: DataFrame) -> DataFrame:
@@ -117,11 +144,19 @@ def coerced(rows: DataFrame) -> DataFrame:
     return rows.select(*(v.alias(c) for c, v in out.items()))
 
 
-def read_records(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Records written as CSV, with the given columns in the files and the partition columns from the folders."""
-    schema = ", ".join(f"{c} string" for c in columns)
-    rows = spark.read.schema(f"{schema}, app string, task_def string, algo string, alpha_tag string, alloc string").option("header", True).csv(path)
-    return coerced(rows)
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records written as CSV, each set with the columns of its files, and the partition columns from the folders."""
+    manifest = read_manifest(spark, path)
+    out = None
+    for columns in sorted(list(r["columns"]) for r in manifest.select("columns").distinct().collect()):
+        some = manifest.where(F.col("columns") == F.array(*[F.lit(c) for c in columns])).select(*PARTITIONS)
+        schema = ", ".join(f"{c} string" for c in [*columns, *PARTITIONS])
+        rows = spark.read.schema(schema).option("header", True).csv(path).join(F.broadcast(some), PARTITIONS, "left_semi")  # names of folders
+        rows = coerced(rows)
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"no records in {path}")
+    return out
 
 
 def ingest(paired: DataFrame, naive: DataFrame, one_piece: DataFrame, alpha: float, clip: tuple[float, float] = (0.0, 1.0)) -> DataFrame:

@@ -21,9 +21,12 @@ def test_records_survive_csv(spark, tmp_path):
     rows = records(spark).unionByName(methods.run(spark.createDataFrame(made(6), STATS), "alg1", 0.1, mode="loo"))
     io.write_records(rows, str(tmp_path / "r"), "app", "def")
     extra = rows.select("w3", F.lit(7).alias("extra"), F.lit(None).cast("string").alias("void"), *[c for c in rows.columns if c != "w3"])
-    columns = io.write_records(extra, str(tmp_path / "x"), "app", "def")
-    assert columns == [c for c in io.COLUMNS if c in rows.columns and c not in ("algo", "alloc")] + ["extra"]
-    back = io.read_records(spark, str(tmp_path / "r"), [c for c in io.COLUMNS if c in rows.columns and c not in ("algo", "alloc")])
+    io.write_records(extra, str(tmp_path / "x"), "app", "def")
+    fixed = [c for c in io.COLUMNS if c in rows.columns and c not in ("algo", "alloc")]
+    sets = {r["alpha_tag"]: list(r["columns"]) for r in io.read_manifest(spark, str(tmp_path / "x")).collect()}
+    unbounded = [c for c in fixed if c not in ("width_clip", "w2", "w3")]  # six tasks: the band is infinite
+    assert sets == {"020": [*fixed, "extra"], "010": [*unbounded, "extra"]}
+    back = io.read_records(spark, str(tmp_path / "r"))
     key = lambda r: (r["task_id"], r["alpha"])
     a, b = ({key(r): r for r in d.collect()} for d in (rows, back))
     assert set(a) == set(b)
