@@ -10,7 +10,8 @@ hashes of two fingerprints.
 For the edited texts the documents are put in descending order of their ids by a range partitioning, sorted within each
 partition and read as a stream, each document next to the one that follows; a task holds two texts and a batch. The first
 and the last document of each partition are kept aside with the result, which is written once, and the pairs across
-partitions are formed from these few rows. The order's keys end in a row number, so that rows of one id and text, or without
+partitions are formed from these few rows. What is written holds an edited text's hashes only where they differ from the
+document's own. The order's keys end in a row number, so that rows of one id and text, or without
 an id, may fall into several partitions; their order doesn't matter.
 
 Defined results: a null text is empty and has the empty fingerprint; a text below ``gram`` characters is one gram, one with
@@ -114,13 +115,17 @@ class Seen:
         self.prints = winnower.prints(self.codes)
 
     def row(self, following: Seen, winnower: Winnower) -> tuple:
+        """Without the edited fingerprint: how many hashes it shares with the own one from the start, and the others."""
         half = len(self.text) // 2
         new = winnower.prints(np.concatenate([self.codes[: len(self.codes) - half], following.codes[:half]])) if half else self.prints
         digest = hashlib.sha256(edited(self.text, following.text).encode("utf-8", "surrogatepass")).hexdigest()
-        return self.doc_id, len(self.text), digest, shown(self.prints), shown(new), likeness(self.prints, new), likeness(self.prints, following.prints)
+        n = min(len(new[0]), len(self.prints[0]))
+        differ = np.flatnonzero((new[0][:n] != self.prints[0][:n]) | (new[1][:n] != self.prints[1][:n]))
+        shared = int(differ[0]) if len(differ) else n
+        return self.doc_id, len(self.text), digest, shown(self.prints), shared, shown((new[0][shared:], new[1][shared:])), likeness(self.prints, new), likeness(self.prints, following.prints)
 
 
-RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+WRITTEN = "n_chars long, edited_sha256 string, fingerprint string, shared int, others string, near_edited double, near_next double"
 
 
 def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -141,16 +146,16 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, doc_id
 def edited_fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: a row per document."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {kind}, {RESULT}, part int, place string, text string"
+    schema = f"doc_id {kind}, {WRITTEN}, part int, place string, text string"
 
     def table(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
-        kinds = [id_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string()]
-        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "part", "place", "text"]
+        kinds = [id_type, pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string()]
+        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "shared", "others", "near_edited", "near_next", "part", "place", "text"]
         columns = zip(*rows, strict=True) if rows else [[]] * len(names)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     def aside(doc: Seen, part: int, place: str) -> tuple:
-        return doc.doc_id, *[None] * 6, part, place, doc.text
+        return doc.doc_id, *[None] * 7, part, place, doc.text
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         winnower, part = Winnower(gram, window), TaskContext.get().partitionId()
@@ -189,5 +194,7 @@ def edited_fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW,
     lasts = edges.where("place = 'last'").select("doc_id", F.col("text").alias("own"), "part")
     firsts = edges.where("place = 'first'").select(F.col("part").alias("next"), "text")
     across = lasts.join(following, "part").join(firsts, "next").select("doc_id", "own", "text")
-    columns = ["doc_id", *(c.split()[0] for c in RESULT.split(", "))]
-    return found.where(F.col("place").isNull()).select(columns).union(across.mapInArrow(bridge, schema).select(columns))
+    columns = ["doc_id", *(c.split()[0] for c in WRITTEN.split(", "))]
+    every = found.where(F.col("place").isNull()).select(columns).union(across.mapInArrow(bridge, schema).select(columns))
+    changed = F.concat_ws(" ", F.when(F.col("shared") > 0, F.expr("substring_index(fingerprint, ' ', shared)")), F.when(F.col("others") != "", F.col("others")))
+    return every.select("doc_id", "n_chars", "edited_sha256", "fingerprint", changed.alias("edited_fingerprint"), "near_edited", "near_next")
