@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +30,16 @@ def paired_stats(pairs: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     )
 
 
+def counted_stats(counts: DataFrame, by: list[str], x: str, y: str, n: str) -> DataFrame:
+    """The same from distinct pairs with counts, a written table of theirs: squares are taken around the means."""
+    rows = counts.na.drop(subset=[*by, x, y])
+    d, times = F.col(x) - F.col(y), lambda v: F.sum(F.col(n) * v)
+    means = rows.groupBy(*by).agg(F.sum(n).alias("n_real"), (times(F.col(x)) / F.sum(n)).alias("theta"), (times(F.col(y)) / F.sum(n)).alias("synth"), (times(d) / F.sum(n)).alias("gap"))
+    around = rows.join(means, by).groupBy(*by).agg(times((F.col(x) - F.col("theta")) ** 2).alias("vx"), times((F.col(y) - F.col("synth")) ** 2).alias("vy"), times((d - F.col("gap")) ** 2).alias("vd"))
+    se = lambda v: F.when(F.col("n_real") > 1, F.sqrt(F.col(v) / (F.col("n_real") - 1) / F.col("n_real"))).otherwise(F.lit(0.0))
+    return means.join(around, by).select(*by, "n_real", F.col("n_real").alias("n_synth"), "theta", "synth", se("vy").alias("synth_se"), "gap", se("vd").alias("gap_se"), se("vx").alias("theta_se"))
+
+
 def unpaired_stats(rows: DataFrame, by: list[str], value: str, is_real: Column) -> DataFrame:
     """Real and synthetic rows in one long table: conditional aggregates, one shuffle. Tasks with one side only are left out."""
     rows = rows.na.drop(subset=[*by, value])
@@ -37,17 +50,64 @@ def unpaired_stats(rows: DataFrame, by: list[str], value: str, is_real: Column)
 
 
 def weighted_cells(rows: DataFrame, by: list[str], x: str, y: str, w: str) -> DataFrame:
-    """n, weighted means and design-based standard errors, by two passes: squares are taken around the mean itself.
+    """n, weighted means and design-based standard errors, in one reading of the rows.
 
-    The means are written, so that Spark's size check lets the second pass broadcast them and no raw row is shuffled.
+    Each partition reduces its rows to one state per cell: weights, and for each of y and x - y the weighted sum, and the sums of
+    squared weights times deviations and squared deviations, from a pilot value of its own, the mean of the cell's first rows
+    there. Pilots lie as near to the mean as the values do, so shifting the states to the cell's mean cancels nothing, however
+    far from zero the values are. States are one row per cell and partition; only these are grouped and joined.
     """
-    rows = rows.na.drop(subset=[*by, x, y, w])
-    share = lambda v: F.sum(F.col(w) * v) / F.sum(w)
-    means = rows.groupBy(*by).agg(F.count("*").alias("n"), share(F.col(x)).alias("theta"), share(F.col(x) - F.col(y)).alias("gap"), share(F.col(y)).alias("synth"), F.sum(w).alias("sw"), (F.sum(w) * F.sum(w) / F.sum(F.col(w) * F.col(w))).alias("n_eff"))
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in by)
+    rows = rows.na.drop(subset=[*by, x, y, w]).select(*by, *(F.col(c).cast("double").alias(f"_{k}") for k, c in (("x", x), ("y", y), ("w", w))))
+    names = ["n", "sw", "sw2", *(f"{k}_{v}" for v in ("d", "y") for k in ("pilot", "s1", "w2s1", "w2s2"))]
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states: dict[tuple, np.ndarray] = {}
+        kept = None
+        for batch in batches:
+            table = pa.table({k: batch.column(i) for i, k in enumerate(by)})
+            kept = table.schema
+            code, cells = coded_rows(table)
+            xs, ys, ws = (batch.column(len(by) + i).to_numpy(zero_copy_only=False) for i in range(3))
+            k = len(cells)
+            n, sw, sw2 = np.bincount(code, minlength=k), np.bincount(code, ws, k), np.bincount(code, ws**2, k)
+            part = [n, sw, sw2]
+            for v in (xs - ys, ys):
+                pilot = np.array([states[c][len(part)] if c in states else np.nan for c in cells])
+                pilot = np.where(np.isnan(pilot), np.bincount(code, v, k) / np.maximum(n, 1), pilot)
+                off = v - pilot[code]
+                part += [pilot, np.bincount(code, ws * off, k), np.bincount(code, ws**2 * off, k), np.bincount(code, ws**2 * off**2, k)]
+            for c, state in zip(cells, np.stack(part, axis=1).astype(float), strict=True):
+                if c in states:
+                    pilots = states[c][[3, 7]]
+                    states[c] += state
+                    states[c][[3, 7]] = pilots
+                else:
+                    states[c] = state
+        if states:
+            keys = [pa.array(c, kept.field(i).type) for i, c in enumerate(zip(*states, strict=True))]
+            values = np.stack(list(states.values()))
+            yield pa.RecordBatch.from_arrays([*keys, *(pa.array(values[:, i]) for i in range(values.shape[1]))], names=[*by, *names])
+
+    states = written(rows.mapInArrow(reduced, f"{kinds}, " + ", ".join(f"{c} double" for c in names)), "cell-states")
+    mean = lambda v: F.sum(F.col("sw") * F.col(f"pilot_{v}") + F.col(f"s1_{v}")) / F.sum("sw")
+    means = states.groupBy(*by).agg(F.sum("n").cast("long").alias("n"), mean("d").alias("gap"), mean("y").alias("synth"), F.sum("sw").alias("_sw"), (F.sum("sw") * F.sum("sw") / F.sum("sw2")).alias("n_eff"))
     means = written(means, "cell-means")
-    square = lambda v: F.sum(F.col(w) ** 2 * v**2)
-    spread = rows.join(means.select(*by, "gap", "synth"), by).groupBy(*by).agg(square(F.col(x) - F.col(y) - F.col("gap")).alias("vd"), square(F.col(y) - F.col("synth")).alias("vy"))
-    return means.join(spread, by).select(*by, "n", "theta", "gap", (F.sqrt("vd") / F.col("sw")).alias("gap_se"), "synth", (F.sqrt("vy") / F.col("sw")).alias("synth_se"), "n_eff")
+    shift = {v: F.col(m) - F.col(f"pilot_{v}") for v, m in (("d", "gap"), ("y", "synth"))}
+    square = {v: F.sum(F.col(f"w2s2_{v}") - 2 * shift[v] * F.col(f"w2s1_{v}") + shift[v] * shift[v] * F.col("sw2")) for v in ("d", "y")}
+    spread = states.drop("n").join(means.select(*by, "gap", "synth"), by).groupBy(*by).agg(square["d"].alias("vd"), square["y"].alias("vy"))
+    se = lambda v: F.sqrt(F.greatest(F.col(v), F.lit(0.0))) / F.col("_sw")
+    return means.join(spread, by).select(*by, "n", (F.col("gap") + F.col("synth")).alias("theta"), "gap", se("vd").alias("gap_se"), "synth", se("vy").alias("synth_se"), "n_eff")
+
+
+def coded_rows(keys: pa.Table) -> tuple[np.ndarray, list[tuple]]:
+    """A number per row for its combination of keys, and the combinations."""
+    code = np.zeros(keys.num_rows, dtype=np.int64)
+    for column in keys.columns:
+        encoded = column.combine_chunks().dictionary_encode()
+        code = code * (len(encoded.dictionary) + 1) + encoded.indices.to_numpy(zero_copy_only=False)
+    _, first, code = np.unique(code, return_index=True, return_inverse=True)
+    return code, list(zip(*(c.to_pylist() for c in keys.take(pa.array(first)).columns), strict=True))
 
 
 def normal_interval(middle: Column, se: Column, alpha: float) -> tuple[Column, Column]:

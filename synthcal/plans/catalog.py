@@ -186,12 +186,13 @@ def loo_alg1_hoeffding(spark, sf):
 def loo_alg1_bootstrap(spark, sf):
     """Both intervals by the bootstrap, each at its own level (random draws; see the tests)."""
     a1, a2, _ = ALLOCATIONS["prop_127"](0, 0.2)
-    rows = inputs.pairs(spark, sf)
-    tasks = moments.paired_stats(rows, ["task_id"], "x", "y")
-    for name, target, level in (("mean", "synth", a1), ("gap", "paired_gap", a2)):
-        found = bootstrap.bootstrap_intervals(rows, ["task_id"], "x", "y", level, 400).where((F.col("target") == target) & (F.col("kind") == "percentile"))
-        tasks = tasks.join(found.select("task_id", F.col("ci_lo").alias(f"{name}_ci_lo"), F.col("ci_hi").alias(f"{name}_ci_hi")), "task_id")
-    return methods.run(written(tasks, "bootstrapped"), "alg1", 0.2, mode="loo", clip=UNIT, mean_interval="columns", gap_interval="columns")
+    pairs = inputs.pairs(spark, sf).groupBy("task_id", "x", "y").agg(F.count("*").alias("n"))
+    pairs = written(pairs, "pair-values")  # one reading of the raw rows: statistics and replicates follow from the values' counts
+    found = bootstrap.bootstrap_intervals(pairs, ["task_id"], "x", "y", {"synth": a1, "paired_gap": a2}, 400, count="n").where("kind = 'percentile'")
+    pick = lambda t, c: F.max(F.when(F.col("target") == t, F.col(c)))
+    ends = found.groupBy("task_id").agg(pick("synth", "ci_lo").alias("mean_ci_lo"), pick("synth", "ci_hi").alias("mean_ci_hi"), pick("paired_gap", "ci_lo").alias("gap_ci_lo"), pick("paired_gap", "ci_hi").alias("gap_ci_hi"))
+    tasks = moments.counted_stats(pairs, ["task_id"], "x", "y", "n").join(ends, "task_id")
+    return methods.run(tasks, "alg1", 0.2, mode="loo", clip=UNIT, mean_interval="columns", gap_interval="columns")
 
 
 def _loo(spark, sf, algo="alg1", **kw):
@@ -538,6 +539,12 @@ def bootstrap_intervals(spark, sf):
     return bootstrap.bootstrap_intervals(inputs.pairs(spark, sf), ["p_brand"], "x", "y", ALPHA, 1000)
 
 
+@query()
+def bootstrap_quantile_gaps(spark, sf):
+    """Upper quartiles of the prices of large and small orders of each brand: ranks are drawn, no task is put in order."""
+    return bootstrap.bootstrap_intervals(inputs.pairs(spark, sf), ["p_brand"], "price", "w", ALPHA, 500, 0.75)
+
+
 @query()
 def bootstrap_median_gaps(spark, sf):
     return bootstrap.bootstrap_intervals(inputs.pairs(spark, sf), ["p_brand"], "x", "y", ALPHA, 500, "median")
@@ -557,8 +564,10 @@ def poisson_bootstrap(spark, sf):
 def records_round_trip(spark, sf):
     """Records written as CSV in folders by key and read back with types."""
     path = fresh(spark, "records")
-    columns = io.write_records(shown(_loo(spark, sf)).withColumn("coord", F.lit(None).cast("string")), path, "demo", "tasks")
-    back = io.read_records(spark, path, columns)
+    rows = shown(_loo(spark, sf)).withColumn("coord", F.lit(None).cast("string"))
+    for _ in range(2):  # the second time in place of the first
+        io.write_records(rows, path, "demo", "tasks")
+    back = io.read_records(spark, path)
     return back.select("task_id", "label", "theta", "ci_lo", "ci_hi", "covered", "width", "alpha", "alpha_tag", "app")
 
 
