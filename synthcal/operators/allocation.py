@@ -1,14 +1,20 @@
 """Grid search for the split of the error budget with the least interval width, per held-out task.
 
-The grid depends on the level and the size of the history only. So the gap intervals' ends are ranked once per grid point,
-leave-one-out is the usual shift between two order statistics, and a task's own standard error enters through
-2 z(alpha1) s.
+The grid depends on the level and the size of the history only. At a grid point a task's gap interval ends at
+gap -/+ z se: as z varies, each end is a line, and what the search needs is the k-th level of the arrangement of these lines at
+a few hundred values of z. No row is made per task and point: every partition counts, for all points at once, how many of its
+lines lie in each of some bins of the point's bracket; the sums tell the bin of the k-th level, which is the next bracket;
+when a bracket holds few lines, these are fetched and the level is exact. Leave-one-out is the usual choice between two
+order statistics, and a task's own standard error enters through 2 z(alpha1) s, so each task finds its best point by itself.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from synthcal.functions.expressions import covers
@@ -30,36 +36,131 @@ def grid_points(alpha: float, t: int, n_grid: int = 30, eps: float = 1e-4) -> li
     rest = (alpha - a3)[:, None]
     a1 = np.linspace(eps, rest[:, 0] - eps, n_grid, axis=1)
     low, high = np.floor((t + 1) * a3 / 2).astype(int), np.ceil((t + 1) * (1 - a3 / 2)).astype(int)
-    feasible = ((low >= 1) & (high <= t))[:, None] & (rest > 2 * eps) & (rest - a1 >= eps)
+    feasible = ((low >= 1) & (high <= t))[:, None] & (rest > 2 * eps) & (rest - a1 >= eps)  # also where rounding crosses an end
     return [(int(i), int(j), float(a1[i, j]), float(rest[i, 0] - a1[i, j]), float(a3[i]), z(float(a1[i, j])), z(float(rest[i, 0] - a1[i, j])), int(low[i]), int(high[i])) for i, j in np.argwhere(feasible)]
 
 
+#: Bins of a bracket in one pass, lines that a bracket may hold when they are fetched, numbers in a worker's matrix.
+BINS, FEW, NUMBERS = 64, 64, 2_000_000
+
+
+def chunks_of(batches: Iterator[pd.DataFrame], points: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """gap and se of so many tasks that a matrix of tasks and points stays bounded."""
+    step = max(1, NUMBERS // max(1, points))
+    for pdf in batches:
+        for i in range(0, len(pdf), step):
+            yield pdf["gap"].to_numpy(float)[i : i + step], pdf["gap_se"].to_numpy(float)[i : i + step]
+
+
+def levels_of(tasks: DataFrame, slope: np.ndarray, k: np.ndarray, passes: int = 200) -> np.ndarray:
+    """points x 2: the k-th and the next smallest of gap + slope * se over all tasks, exactly, for each point's slope and k.
+
+    ``tasks`` is a written table with gap and gap_se. Points, brackets and counts are of the grid's size.
+    """
+    p = len(slope)
+    ends = tasks.agg(F.min("gap").alias("a"), F.max("gap").alias("z"), F.max(F.abs("gap_se")).alias("s"), F.count("*").alias("n")).first()
+    reach = np.abs(slope) * ends["s"]
+    low, high = ends["a"] - reach, np.nextafter(ends["z"] + reach, np.inf)  # a bracket holds low <= value < high
+    below, inside, last = np.zeros(p, int), np.full(p, ends["n"]), np.minimum(k + 1, ends["n"])
+
+    def counted(open_points: np.ndarray) -> np.ndarray:
+        at, a, b = slope[open_points], low[open_points], high[open_points]
+
+        def run(batches):
+            total = np.zeros((len(at), BINS + 1), dtype=np.int64)
+            for gap, se in chunks_of(batches, len(at)):
+                values = gap[:, None] + at * se[:, None]
+                bins = np.where(values < a, BINS, np.where(values < b, bin_of(values, a, b), -1))
+                row, column = np.nonzero(bins >= 0)
+                total += np.bincount(column * (BINS + 1) + bins[row, column], minlength=total.size).reshape(total.shape)
+            i, j = np.nonzero(total)
+            yield pd.DataFrame({"i": i, "j": j, "c": total[i, j]})
+
+        found = tasks.select("gap", "gap_se").mapInPandas(run, "i int, j int, c long").groupBy("i", "j").agg(F.sum("c").alias("c")).toPandas()
+        out = np.zeros((len(at), BINS + 1), dtype=np.int64)
+        out[found["i"], found["j"]] = found["c"]
+        return out
+
+    for _ in range(passes):
+        wide = np.flatnonzero((inside > FEW) & (np.nextafter(low, np.inf) < high))
+        if not len(wide):
+            break
+        counts = counted(wide)
+        upto = counts[:, BINS, None] + np.cumsum(counts[:, :BINS], axis=1)
+        first = (upto < k[wide, None]).sum(axis=1)  # the bin of the k-th value, and that of the next one
+        final = (upto < last[wide, None]).sum(axis=1)
+        a, b = low[wide].copy(), high[wide].copy()
+        low[wide], high[wide] = edge(a, b, first), edge(a, b, final + 1)
+        i = np.arange(len(wide))
+        below[wide] = upto[i, first] - counts[i, first]
+        inside[wide] = upto[i, final] - below[wide]
+
+    def fetched(batches):
+        for gap, se in chunks_of(batches, p):
+            values = gap[:, None] + slope * se[:, None]
+            row, column = np.nonzero((values >= low) & (values < high))
+            part = pd.DataFrame({"i": column.astype(np.int32), "v": values[row, column]})
+            yield part.groupby(["i", "v"], as_index=False).size().rename(columns={"size": "c"})
+
+    found = tasks.select("gap", "gap_se").mapInPandas(fetched, "i int, v double, c long").groupBy("i", "v").agg(F.sum("c").alias("c")).orderBy("i", "v").toPandas()
+    out = np.full((p, 2), np.nan)
+    for i, part in found.groupby("i"):
+        upto = below[i] + np.cumsum(part["c"].to_numpy())
+        out[i] = [part["v"].to_numpy()[min(len(upto) - 1, np.searchsorted(upto, r))] for r in (k[i], last[i])]
+    return out
+
+
+def edge(low: np.ndarray, high: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """The left end of a bracket's i-th bin."""
+    return np.where(i >= BINS, high, np.where(i <= 0, low, low + (high - low) * (i / BINS)))
+
+
+def bin_of(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The bin of each value of a bracket, by its bins' ends themselves: rounding of the division is set right."""
+    out = np.clip(((values - low) / (high - low) * BINS).astype(int), 0, BINS - 1)
+    out -= values < edge(low, high, out)
+    return out + (values >= edge(low, high, out + 1))
+
+
+def best_points(tasks: DataFrame, grid: np.ndarray, lows: np.ndarray, highs: np.ndarray, kind: str) -> DataFrame:
+    """task_id, alpha1, alpha2, alpha3, z1, delta_lo, delta_hi at each task's point of least width, the first of equal ones.
+
+    Without a line at or below the k-th level the next one takes its place.
+    """
+    z1, z2 = grid[:, 5], grid[:, 6]
+    step = max(1, NUMBERS // len(grid))
+
+    def run(batches):
+        for whole in batches:
+            for i in range(0, len(whole), step):
+                pdf = whole.iloc[i : i + step]
+                gap, se, own = (pdf[c].to_numpy(float)[:, None] for c in ("gap", "gap_se", "synth_se"))
+                low = np.where(gap - z2 * se <= lows[:, 0], lows[:, 1], lows[:, 0])
+                high = np.where(gap + z2 * se <= highs[:, 0], highs[:, 1], highs[:, 0])
+                best = np.argmin(2 * z1 * own + (high - low), axis=1)
+                at = np.arange(len(pdf))
+                columns = {f"alpha{j}": grid[best, 1 + j] for j in (1, 2, 3)}
+                yield pd.DataFrame({"task_id": pdf["task_id"].to_numpy(), **columns, "z1": z1[best], "delta_lo": low[at, best], "delta_hi": high[at, best]})
+
+    return tasks.select("task_id", "gap", "gap_se", "synth_se").mapInPandas(run, f"task_id {kind}, alpha1 double, alpha2 double, alpha3 double, z1 double, delta_lo double, delta_hi double")
+
+
 def grid_intervals(tasks: DataFrame, alpha: float, n_grid: int = 30, eps: float = 1e-4, runs: int = 1, clip: tuple[float, float] = (0.0, 1.0)) -> DataFrame:
     """Leave-one-out intervals at each task's best split; no rows if no split is feasible.
 
     ``tasks``: task_id, n, theta, synth, synth_se, gap, gap_se. The grid (at most n_grid^2 points) is made from parameters
     and the number of tasks.
     """
-    spark = tasks.sparkSession
     tasks = written(tasks, "grid-tasks")
     t = tasks.count() - 1
-    grid = F.broadcast(spark.createDataFrame(grid_points(alpha, t, n_grid, eps), POINT))  # at most n_grid^2 points
-    lo, hi = F.col("gap") - F.col("z2") * F.col("gap_se"), F.col("gap") + F.col("z2") * F.col("gap_se")
-    point = Window.partitionBy("i3", "i1")
-    ranked = tasks.select("gap", "gap_se").crossJoin(grid).select("i3", "i1", "k_low", "k_high", lo.alias("lo"), hi.alias("hi"))
-    ranked = ranked.withColumns({f"r_{v}": F.row_number().over(point.orderBy(v)) for v in ("lo", "hi")})
-    at = lambda v, k, more: F.max(F.when(F.col(f"r_{v}") == F.col(k) + more, F.col(v))).alias(f"{v}_{more}")
-    stats = written(ranked.groupBy("i3", "i1").agg(*(at(v, k, more) for v, k in (("lo", "k_low"), ("hi", "k_high")) for more in (0, 1))), "grid-ranks")
-
-    def without(own: Column, v: str) -> Column:
-        """The order statistic of the others: without a value at or below it, the next one takes its rank."""
-        return F.when(own <= F.col(f"{v}_0"), F.col(f"{v}_1")).otherwise(F.col(f"{v}_0"))
-
-    tried = tasks.select("task_id", "gap", "gap_se", "synth_se").crossJoin(F.broadcast(stats.join(grid, ["i3", "i1"])))
-    tried = tried.withColumns({"delta_lo": without(lo, "lo"), "delta_hi": without(hi, "hi")})
-    cost = 2 * F.col("z1") * F.col("synth_se") + (F.col("delta_hi") - F.col("delta_lo"))
-    pick = F.min_by(F.struct("alpha1", "alpha2", "alpha3", "z1", "delta_lo", "delta_hi"), F.struct(cost.alias("c"), F.col("i3"), F.col("i1")))
-    best = tried.groupBy("task_id").agg(pick.alias("b")).select("task_id", "b.*")
+    kind = tasks.schema["task_id"].dataType.simpleString()
+    points = grid_points(alpha, t, n_grid, eps)
+    if points:
+        grid = np.array(points, dtype=float)
+        lows, highs = levels_of(tasks, -grid[:, 6], grid[:, 7].astype(int)), levels_of(tasks, grid[:, 6], grid[:, 8].astype(int))
+        best = best_points(tasks, grid, lows, highs, kind)
+    else:
+        best = tasks.sparkSession.createDataFrame([], f"task_id {kind}, alpha1 double, alpha2 double, alpha3 double, z1 double, delta_lo double, delta_hi double")
     rows = tasks.join(best, "task_id").withColumn("t_hist", F.lit(t).cast("long"))
     raw_lo, raw_hi = F.col("synth") - F.col("z1") * F.col("synth_se") + F.col("delta_lo"), F.col("synth") + F.col("z1") * F.col("synth_se") + F.col("delta_hi")
     naive_lo, naive_hi = F.col("synth") - z(alpha) * F.col("synth_se"), F.col("synth") + z(alpha) * F.col("synth_se")
