@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from synthcal.sources.scratch import written
@@ -50,24 +51,84 @@ def substitutions(rows: DataFrame, columns: list[str], names: DataFrame) -> Data
     return out
 
 
-def replace_in_text(rows: DataFrame, text: str, names: dict[str, str]) -> DataFrame:
-    """Every name in the text replaced in one pass, longest match first. ``names`` is a fixed list of bounded size."""
-    pattern = re.compile("|".join(re.escape(n) for n in sorted(names, key=len, reverse=True))) if names else None
+#: Most names of an automaton; it is built once in each task, from names that are sent to it.
+MOST_NAMES = 1_000_000
 
-    @F.pandas_udf("string")
-    def swap(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts if pattern is None else texts.map(lambda t: t if t is None else pattern.sub(lambda m: names[m[0]], t))
 
-    return rows.withColumn(text, swap(F.col(text)))
+def name_list(names: DataFrame | dict[str, str] | list[str]) -> list[tuple[str, str]]:
+    """(name, alias) of a bounded list; more than :data:`MOST_NAMES` are an error. Empty names are left out."""
+    if isinstance(names, DataFrame):
+        found = names.limit(MOST_NAMES + 1).collect()
+        if len(found) > MOST_NAMES:
+            raise ValueError(f"more than {MOST_NAMES} names")
+        pairs = [(r["name"], r["alias"] if "alias" in names.columns else "") for r in found]
+    else:
+        pairs = list(names.items()) if isinstance(names, dict) else [(n, "") for n in names]
+    return [(n, a) for n, a in pairs if n]
+
+
+def automaton_of(names: list[str]) -> ahocorasick.Automaton:
+    """Finds all names in one pass over a text; a match tells the name's number and length."""
+    automaton = ahocorasick.Automaton()
+    for i, name in enumerate(names):
+        automaton.add_word(name, (i, len(name)))
+    automaton.make_automaton()
+    return automaton
+
 
+def leftmost(automaton: ahocorasick.Automaton, text: str) -> Iterator[tuple[int, int, int]]:
+    """(start, end, number) of the names from left to right, the longest at each place, none overlapping."""
+    matches = sorted((end + 1 - length, -length, i) for end, (i, length) in automaton.iter(text))
+    free = 0
+    for start, length, i in matches:
+        if start >= free:
+            free = start - length
+            yield start, free, i
 
-def occurrences(text: Column, name: Column) -> Column:
-    """Non-overlapping occurrences of a name."""
-    return ((F.length(text) - F.length(F.replace(text, name, F.lit("")))) / F.length(name)).cast("long")
 
+def replace_in_text(rows: DataFrame, text: str, names: DataFrame | dict[str, str]) -> DataFrame:
+    """Every name in the text replaced in one pass, longest match first, by an automaton of all names."""
+    pairs = name_list(names)
+    sent = rows.sparkSession.sparkContext.broadcast(pairs)
 
-def leaks(rows: DataFrame, key: str, text: str, names: list[str]) -> DataFrame:
-    """key, name, n for every name that a text still holds. One pass over the texts; ``names`` is a bounded list."""
-    each = F.filter(F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.struct(n.alias("name"), occurrences(F.col(text), n).alias("n"))), lambda x: x["n"] > 0)
-    return rows.select(key, F.explode(each).alias("x")).select(key, "x.name", "x.n")
+    @F.pandas_udf("string")
+    def swap(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = sent.value
+        automaton = automaton_of([n for n, _ in known]) if known else None
+
+        def swapped(t: str | None) -> str | None:
+            out, at = [], 0
+            for start, end, i in leftmost(automaton, t) if t and automaton else ():
+                out += [t[at:start], known[i][1]]
+                at = end
+            return t if not at else "".join([*out, t[at:]])
+
+        for texts in batches:
+            yield texts.map(swapped)
+
+    return rows.withColumn(text, swap(F.col(text))) if pairs else rows
+
+
+def leaks(rows: DataFrame, key: str, text: str, names: DataFrame | list[str]) -> DataFrame:
+    """key, name, n for every name that a text still holds: non-overlapping occurrences of each name by itself, from one pass
+    over the text."""
+    listed = sorted({n for n, _ in name_list(names)})
+    sent = rows.sparkSession.sparkContext.broadcast(listed)
+    schema = f"`{key}` {rows.schema[key].dataType.simpleString()}, name string, n long"
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        automaton = automaton_of(known) if known else None
+        for batch in batches:
+            at, which, times = [], [], []
+            for row, t in enumerate(batch.column(1).to_pylist() if automaton else ()):
+                counts, free = {}, {}
+                for end, (i, length) in automaton.iter(t or ""):
+                    if end + 1 - length >= free.get(i, 0):
+                        counts[i], free[i] = counts.get(i, 0) + 1, end + 1
+                at += [row] * len(counts)
+                which += [known[i] for i in counts]
+                times += counts.values()
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(which, pa.string()), pa.array(times, pa.int64())], names=[key, "name", "n"])
+
+    return rows.select(key, F.col(text).cast("string").alias("_text")).mapInArrow(found, schema)
