@@ -47,6 +47,8 @@ def split_bonferroni(t: int, alpha: float, dimensions: int = 2, shares: tuple[fl
 
 
 ALLOCATIONS = {"abs_005_005": split_absolute, "prop_127": split_proportional, "floored_127": split_floored, "bonf_split": split_bonferroni}
+#: Splits that don't depend on the size of the history.
+FIXED_SPLITS = ("abs_005_005", "prop_127", "bonf_split")
 
 
 def checked(levels: tuple[float, float, float]) -> tuple[float, float, float]:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from synthcal.functions.expressions import covers
 from synthcal.functions.levels import ALLOCATIONS, ELO_SCALE, z
-from synthcal.operators.conformal import split_bands
+from synthcal.operators.conformal import split_bands, with_ranks
 from synthcal.sources.scratch import written
 
 #: Ridge towards 0, longest Newton step, its tolerance and the rounds of a placement and of a replicate's.
@@ -62,12 +62,13 @@ def order_players(players: DataFrame, curated: DataFrame | None, name: str = "pl
         order = [F.asc_nulls_last("pos"), F.asc(name)]
     else:
         rows, order = players, [F.asc_nulls_last("date"), F.asc(name)]
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)))  # one row per player
+    return with_ranks(rows, order, name="place").withColumn("place", F.col("place").cast("int"))
 
 
 def split_players(ordered: DataFrame, reference, m: int, name: str = "player") -> DataFrame:
     """role: background for the reference and the first m - 1 others, task for the rest."""
-    others = F.row_number().over(Window.partitionBy(F.col(name) == F.lit(reference)).orderBy("place"))
+    first = ordered.where(F.col(name) == F.lit(reference)).agg(F.min("place")).first()[0]
+    others = F.col("place") - F.when(F.col("place") > F.lit(first), 1).otherwise(0)
     return ordered.withColumn("role", F.when((F.col(name) == F.lit(reference)) | (others <= m - 1), "background").otherwise("task"))
 
 
@@ -474,11 +475,12 @@ def joined_placements(sides: DataFrame, frame: DataFrame, tasks: DataFrame, draw
     return rows.groupBy("held_out", "player").applyInPandas(run, schema)
 
 
-def intervals(placed: DataFrame, frame: DataFrame, algo: str, alpha: float, alloc: str = "prop_127") -> DataFrame:
+def intervals(placed: DataFrame, frame: DataFrame, algo: str, alpha: float, alloc: str | Callable = "prop_127") -> DataFrame:
     """Interval, Elo and rank records of every held-out player: ``alg1``, ``alg4`` (one-piece) or ``synth_only``."""
     own = placed.where("player = held_out").drop("player")
     gaps = placed.where("player <> held_out").select("held_out", (F.col("truth") - F.col("synth")).alias("gap"), "gap_se")
-    a1, a2, a3 = ALLOCATIONS[alloc](0, alpha) if algo == "alg1" else (0.0, 0.0, alpha) if algo == "alg4" else (alpha, 0.0, 0.0)
+    split = ALLOCATIONS[alloc] if isinstance(alloc, str) else alloc
+    a1, a2, a3 = split(0, alpha) if algo == "alg1" else (0.0, 0.0, alpha) if algo == "alg4" else (alpha, 0.0, 0.0)
     s, se = F.col("synth"), F.col("synth_se")
     if algo == "synth_only":
         rows = own.withColumns({"delta_lo": F.lit(0.0), "delta_hi": F.lit(0.0), "mid_lo": F.lit(0.0), "mid_hi": F.lit(0.0), "synth_lo": s - z(alpha) * se, "synth_hi": s + z(alpha) * se})
@@ -513,4 +515,6 @@ def rank_intervals(rows: DataFrame, frame: DataFrame) -> DataFrame:
 
 
 def leaderboard(scores: DataFrame) -> DataFrame:
-    return scores.withColumn("rank", F.rank().over(Window.orderBy(F.desc("score"))))  # one row per player
+    """The scores with rank 1 for the strongest; equal scores share the better rank."""
+    placed = with_ranks(scores, [F.desc("score")], name="rank")
+    return placed.withColumn("rank", F.min("rank").over(Window.partitionBy("score")).cast("int"))

@@ -12,6 +12,7 @@ partition, and so any rank's partition and place. Only these counts, at most one
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -122,9 +123,9 @@ def loo_bands(tasks: DataFrame, lo: Column, hi: Column, mid: Column, alpha3: flo
     return _banded(rows, set_statistics(rows, by, True), by, True)
 
 
-def select_ranks(rows: DataFrame, value: str, wanted: DataFrame | list[int], by: list[str], splitters: int = 2_000) -> DataFrame:
+def select_ranks(rows: DataFrame, value: str, wanted: DataFrame | list[int] | Callable[[DataFrame], DataFrame], by: list[str], splitters: int = 2_000) -> DataFrame:
     """by, k, value: the exact k-th smallest values for the ranks that ``wanted`` (by, k: few ranks a set, or one list for all
-    sets) asks for.
+    sets, or a function that finds them from the sets' sizes, by and n) asks for.
 
     A sketch of every set (approximate quantiles, one pass) brackets each rank between two values. A second pass counts the
     rows below each bracket and the rows of each value inside it, with partial sums before the shuffle, so only a few
@@ -137,6 +138,9 @@ def select_ranks(rows: DataFrame, value: str, wanted: DataFrame | list[int], by:
     if not by:
         rows = rows.withColumn("_all", F.lit(0))
     sketch = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("v", [i / splitters for i in range(splitters + 1)], 5 * splitters).alias("s"), F.min("v").alias("a"), F.max("v").alias("z"))
+    if callable(wanted):  # the sizes come from the sketch: the rows are read no further time
+        sketch = written(sketch, "sketches")
+        wanted = wanted(sketch.select(*by, "n"))
     at = (F.col("k") - 1) / F.col("n") * splitters
     low, high = F.floor(at).cast("int") - 2, F.ceil(at + splitters / F.col("n")).cast("int") + 2
     if isinstance(wanted, list):

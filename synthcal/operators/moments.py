@@ -142,10 +142,10 @@ def quantile_interval(rows: DataFrame, by: list[str], value: str, q: float, alph
     """Exact distribution-free interval for a quantile from two order statistics of each task.
 
     The ranks depend on the row count only and are computed once per distinct count, where those counts are; no task's rows
-    are put in order (see :func:`select_ranks`).
+    are put in order, and the rows are read twice (see :func:`select_ranks`).
     """
-    rows = rows.na.drop(subset=[*by, value])
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    rows = rows.na.drop(subset=[*by, value]).where(~F.isnan(F.col(value).cast("double")))
+    asked: list[DataFrame] = []
 
     def ranks(batches):
         import pandas as pd
@@ -153,10 +153,12 @@ def quantile_interval(rows: DataFrame, by: list[str], value: str, q: float, alph
         for pdf in batches:
             yield pd.DataFrame([(n, *binomial_ranks(int(n), q, alpha)) for n in pdf["m"]], columns=["m", "low", "high"])
 
-    sizes = written(sizes, "quantile-sizes")
-    table = sizes.select(F.col("n").alias("m")).distinct().mapInPandas(ranks, "m long, low long, high long")
-    wanted = written(sizes.join(table, F.col("n") == F.col("m")).drop("m"), "quantile-ranks")
-    found = select_ranks(rows, value, wanted.select(*by, F.explode(F.array("low", "high")).alias("k")), by)
-    found = wanted.join(found, by, "left")
+    def wanted(sizes: DataFrame) -> DataFrame:
+        table = sizes.select(F.col("n").alias("m")).distinct().mapInPandas(ranks, "m long, low long, high long")
+        asked.append(written(sizes.join(table, F.col("n") == F.col("m")).drop("m"), "quantile-ranks"))
+        return asked[0].select(*by, F.explode(F.array("low", "high")).alias("k"))
+
+    found = select_ranks(rows, value, wanted, by)
+    found = asked[0].join(found, by, "left")
     pick = lambda k: F.max(F.when(F.col("k") == F.col(k), F.col("value")))
     return found.groupBy(*by, "n", "low", "high").agg(F.coalesce(pick("low"), F.lit(float("-inf"))).alias("ci_lo"), F.coalesce(pick("high"), F.lit(float("inf"))).alias("ci_hi"))

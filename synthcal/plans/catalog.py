@@ -358,18 +358,22 @@ def rectangle_table(spark, sf):
 
 # --- grid allocation
 
-#: The SQL's grid is that of the test tables' 105 cells.
-GRID_T = 104
-GRID_ROWS = ", ".join(f"({', '.join(str(x) if isinstance(x, int) else q.d(x) for x in p)})" for p in allocation.grid_points(ALPHA, GRID_T))
+# The grid follows from the number of cells; normal quantiles come from Newton steps on the distribution's power series.
+PHI = "(0.5::DOUBLE + exp(-x * x / 2) / sqrt(2 * pi()) * list_reduce(list_prepend({'t': x, 's': x}, list_transform(range(1, 120), lambda k: {'t': k::DOUBLE, 's': 0.0::DOUBLE})), lambda u, e: {'t': u.t * x * x / (2 * e.t + 1), 's': u.s + u.t * x * x / (2 * e.t + 1)}).s)"
 GRID = f"""{q.CELLS}, tasks AS (SELECT wave || '|' || party || '|' || region AS task_id, n, theta, synth, synth_se, gap, gap_se FROM cells),
-points AS (SELECT * FROM (VALUES {GRID_ROWS}) AS v(i3, i1, alpha1, alpha2, alpha3, z1, z2, k_low, k_high) WHERE (SELECT count(*) FROM tasks) = {GRID_T + 1}),
+size AS (SELECT count(*) - 1 AS t FROM tasks), ends AS (SELECT t, 2.0::DOUBLE / (t + 1) + 1e-4::DOUBLE AS first, {q.d(ALPHA)} - 2 * 1e-4::DOUBLE AS last FROM size WHERE {q.d(ALPHA)} - 2 * 1e-4::DOUBLE > 2.0::DOUBLE / (t + 1)),
+thirds AS (SELECT t, i3, CASE i3 WHEN 29 THEN last ELSE i3 * ((last - first) / 29) + first END AS alpha3 FROM ends, (SELECT unnest(range(30)) AS i3)),
+splits AS (SELECT t, i3, i1, alpha3, {q.d(ALPHA)} - alpha3 AS rest, CASE i1 WHEN 29 THEN {q.d(ALPHA)} - alpha3 - 1e-4::DOUBLE ELSE i1 * (({q.d(ALPHA)} - alpha3 - 1e-4::DOUBLE - 1e-4::DOUBLE) / 29) + 1e-4::DOUBLE END AS alpha1 FROM thirds, (SELECT unnest(range(30)) AS i1)),
+feasible AS (SELECT i3, i1, alpha1, rest - alpha1 AS alpha2, alpha3, floor((t + 1) * alpha3 / 2) AS k_low, ceil((t + 1) * (1 - alpha3 / 2)) AS k_high FROM splits WHERE floor((t + 1) * alpha3 / 2) >= 1 AND ceil((t + 1) * (1 - alpha3 / 2)) <= t AND rest > 2 * 1e-4::DOUBLE AND rest - alpha1 >= 1e-4::DOUBLE),
+levels(a, x, i) AS (SELECT DISTINCT a, 0.0::DOUBLE, 0 FROM (SELECT alpha1 AS a FROM feasible UNION ALL SELECT alpha2 FROM feasible) UNION ALL SELECT a, x + (1 - a / 2 - {PHI}) * sqrt(2 * pi()) * exp(x * x / 2), i + 1 FROM levels WHERE i < 16),
+points AS (SELECT f.*, u.x AS z1, v.x AS z2 FROM feasible f JOIN levels u ON u.a = alpha1 AND u.i = 16 JOIN levels v ON v.a = alpha2 AND v.i = 16),
 ranked AS (SELECT i3, i1, k_low, k_high, task_id, gap - z2 * gap_se AS lo, gap + z2 * gap_se AS hi, row_number() OVER (PARTITION BY i3, i1 ORDER BY gap - z2 * gap_se, task_id) AS r_lo,
   row_number() OVER (PARTITION BY i3, i1 ORDER BY gap + z2 * gap_se, task_id) AS r_hi FROM tasks, points),
 bands AS (SELECT i3, i1, max(lo) FILTER (WHERE r_lo = k_low) AS lo_0, max(lo) FILTER (WHERE r_lo = k_low + 1) AS lo_1, max(hi) FILTER (WHERE r_hi = k_high) AS hi_0, max(hi) FILTER (WHERE r_hi = k_high + 1) AS hi_1 FROM ranked GROUP BY i3, i1),
 tried AS (SELECT r.task_id, i3, i1, CASE WHEN r_lo <= r.k_low THEN lo_1 ELSE lo_0 END AS delta_lo, CASE WHEN r_hi <= r.k_high THEN hi_1 ELSE hi_0 END AS delta_hi FROM ranked r JOIN bands USING (i3, i1)),
 best AS (SELECT task_id, alpha1, alpha2, alpha3, z1, delta_lo, delta_hi FROM tried JOIN points USING (i3, i1) JOIN tasks USING (task_id)
   QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY 2 * z1 * synth_se + (delta_hi - delta_lo), i3, i1) = 1),
-grid AS (SELECT t.task_id, {q.d(ALPHA)} AS alpha, n, n * RUNS AS n_calls, {GRID_T}::BIGINT AS t_hist, theta, synth, alpha1, alpha2, alpha3, greatest(0.0::DOUBLE, synth - z1 * synth_se + delta_lo) AS ci_lo, least(1.0::DOUBLE, synth + z1 * synth_se + delta_hi) AS ci_hi,
+grid AS (SELECT t.task_id, {q.d(ALPHA)} AS alpha, n, n * RUNS AS n_calls, (SELECT t FROM size) AS t_hist, theta, synth, alpha1, alpha2, alpha3, greatest(0.0::DOUBLE, synth - z1 * synth_se + delta_lo) AS ci_lo, least(1.0::DOUBLE, synth + z1 * synth_se + delta_hi) AS ci_hi,
   2 * z1 * synth_se AS w_synth, delta_hi - delta_lo AS w_band, greatest(0.0::DOUBLE, synth - {Z10} * synth_se) AS naive_lo, least(1.0::DOUBLE, synth + {Z10} * synth_se) AS naive_hi FROM tasks t JOIN best USING (task_id))"""
 
 
@@ -377,14 +381,15 @@ def _grid_tasks(spark, sf):
     return inputs.cells(spark, sf).select(F.concat_ws("|", "wave", "party", "region").alias("task_id"), "n", "theta", "synth", "synth_se", "gap", "gap_se")
 
 
-@query(f"""WITH {GRID.replace('RUNS', '4')} SELECT task_id, alpha, n, n_calls, t_hist, {rounds('theta synth', 5)}, alpha1, alpha2, alpha3, {rounds('ci_lo ci_hi', 5)}, {q.r('ci_hi - ci_lo', 5)} AS width, ci_lo <= theta AND theta <= ci_hi AS covered, {rounds('w_synth w_band naive_lo naive_hi', 5)},
+@query(f"""WITH RECURSIVE {GRID.replace('RUNS', '4')} SELECT task_id, alpha, n, n_calls, t_hist, {rounds('theta synth', 5)}, {rounds('alpha1 alpha2 alpha3', 9)}, {rounds('ci_lo ci_hi', 5)}, {q.r('ci_hi - ci_lo', 5)} AS width, ci_lo <= theta AND theta <= ci_hi AS covered, {rounds('w_synth w_band naive_lo naive_hi', 5)},
   naive_lo <= theta AND theta <= naive_hi AS naive_covered FROM grid""")
 def grid_allocation(spark, sf):
     """Best budget split per task on a 30 x 30 grid."""
-    return shown(allocation.grid_intervals(_grid_tasks(spark, sf), 0.1, runs=4), 5)
+    rows = allocation.grid_intervals(_grid_tasks(spark, sf), 0.1, runs=4)
+    return shown(rows, 5).withColumns({c: ex.rounded(F.col(c), 9) for c in ("alpha1", "alpha2", "alpha3")})
 
 
-@query(f"""WITH {GRID.replace('RUNS', '1')}, c AS (SELECT *, ci_lo <= theta AND theta <= ci_hi AS covered, ci_hi - ci_lo AS width FROM grid)
+@query(f"""WITH RECURSIVE {GRID.replace('RUNS', '1')}, c AS (SELECT *, ci_lo <= theta AND theta <= ci_hi AS covered, ci_hi - ci_lo AS width FROM grid)
   SELECT alpha, {q.r('avg(covered::INT::DOUBLE)', 4)} AS coverage, count(*) FILTER (WHERE covered) || '/' || count(*) AS covered_of, {q.r('avg(width)', 4)} AS mean_length, {q.r('quantile_cont(width, 0.5)', 4)} AS median_length, count(*) AS n_tasks,
   {q.r('corr(theta, synth)', 4)} AS corr_real_synth, {q.r('avg(abs(theta - synth))', 4)} AS mean_abs_gap, min(n) AS n_least, {q.r('quantile_cont(n, 0.5)', 4)} AS n_median, max(n) AS n_largest FROM c GROUP BY alpha""")
 def grid_agreement(spark, sf):
@@ -656,12 +661,13 @@ def battle_file(spark, sf):
     return bt.pair_stats(io.read_battles(spark, path, str(inputs.table(spark, sf, "supplier").agg(F.min("s_nationkey")).first()[0])))
 
 
-@query("""SELECT 'demo' AS app, task_def, count(DISTINCT y) AS t_tasks, 7::BIGINT AS t_hist, count(*) AS n_rows, CASE task_def WHEN 'early' THEN 'temporal' ELSE 'loo' END AS mode,
+@query("""SELECT 'demo' AS app, task_def, count(DISTINCT y) AS t_tasks, (SELECT count(DISTINCT year(o_orderdate)) FROM orders) - count(DISTINCT y) AS t_hist, count(*) AS n_rows, CASE task_def WHEN 'early' THEN 'temporal' ELSE 'loo' END AS mode,
   CASE task_def WHEN 'early' THEN array_to_string(list_sort(list(DISTINCT y::VARCHAR)), ',') ELSE '' END AS waves FROM (SELECT year(o_orderdate) AS y, CASE WHEN year(o_orderdate) < 1996 THEN 'early' ELSE 'late' END AS task_def FROM orders) GROUP BY task_def""")
 def task_definitions(spark, sf):
     """Task definitions (made from the order years) written as JSON and written anew: hand-written fields stay."""
     years = inputs.table(spark, sf, "orders").select(F.year("o_orderdate").alias("y")).withColumn("task_def", F.when(F.col("y") < 1996, "early").otherwise("late"))
-    found = years.groupBy("task_def").agg(F.count_distinct("y").alias("t_tasks"), F.lit(7).cast("long").alias("t_hist"), F.count("*").alias("n_rows"), F.array_sort(F.collect_set(F.col("y").cast("string"))).alias("waves"))
+    every = years.agg(F.count_distinct("y")).first()[0]  # the years of the other definition are a definition's history
+    found = years.groupBy("task_def").agg(F.count_distinct("y").alias("t_tasks"), (F.lit(every) - F.count_distinct("y")).cast("long").alias("t_hist"), F.count("*").alias("n_rows"), F.array_sort(F.collect_set(F.col("y").cast("string"))).alias("waves"))
     plain = found.select(F.lit("demo").alias("app"), "task_def", "t_tasks", "t_hist", "n_rows", F.struct(F.lit("loo").alias("mode"), F.array().cast("array<string>").alias("predict_waves")).alias("eval"), "waves")
     plain = written(plain, "definitions")
     authored = plain.where("task_def = 'early'").withColumn("eval", F.struct(F.lit("temporal").alias("mode"), F.col("waves").alias("predict_waves")))

@@ -19,13 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from synthcal.functions.expressions import clipped_width, covers, finite, width
-from synthcal.functions.levels import ALLOCATIONS, checked
+from synthcal.functions.levels import ALLOCATIONS, FIXED_SPLITS, checked
 from synthcal.operators.conformal import history_bands, loo_bands
 from synthcal.operators.moments import GAP_INTERVALS, MEAN_INTERVALS
 from synthcal.sources.scratch import written
 
 RECORD = ["task_id", "label", "theta", "algo", "alpha", "alpha1", "alpha2", "alpha3", "alloc", "n_real", "n_synth", "ci_lo", "ci_hi", "covered", "width", "width_clip", "synth_lo", "synth_hi", "delta_lo", "delta_hi", "w1", "w2", "w3"]
 Builder = Callable[[float, tuple[float, float] | None], tuple[Column, Column]]
+#: Splits a level for a history of t tasks: (t, alpha) -> three levels.
+Allocation = Callable[[int, float], tuple[float, float, float]]
 METHODS = ("alg1", "alg2", "alg3", "synth_only")
 
 
@@ -62,7 +64,7 @@ def run(
     tasks: DataFrame,
     algo: str | list[str],
     alpha: float | list[float],
-    alloc: str = "prop_127",
+    alloc: str | Allocation = "prop_127",
     mode: str = "split",
     by: list[str] = (),
     clip: tuple[float, float] | None = None,
@@ -74,7 +76,8 @@ def run(
     """Interval records of all predict tasks (split) or of all tasks (loo), one band or one shift per set in ``by``.
 
     Several methods and levels run in one plan: each task occurs once for each, and they are keys like any other, so the
-    rows behind the statistics are read a single time. ``bounds`` is the values' range for builders that need one.
+    rows behind the statistics are read a single time. ``bounds`` is the values' range for builders that need one. ``alloc``
+    names a split of the level or is a function that splits it; records show its name.
     """
     by, alphas = list(by), list(alpha) if isinstance(alpha, (list, tuple)) else [alpha]
     algos = list(algo) if isinstance(algo, (list, tuple)) else [algo]
@@ -88,7 +91,8 @@ def run(
     gap_of = GAP_INTERVALS[gap_interval] if isinstance(gap_interval, str) else gap_interval
     if "label" not in tasks.columns:
         tasks = tasks.withColumn("label", F.col("task_id"))
-    by_size = "alg2" in algos or alloc == "floored_127"
+    split, alloc = (ALLOCATIONS[alloc], alloc) if isinstance(alloc, str) else (alloc, getattr(alloc, "__name__", "custom"))
+    by_size = "alg2" in algos or alloc not in FIXED_SPLITS
     if by_size:
         tasks = written(tasks, "tasks")  # counted first, then used
     sizes = history_sizes(tasks, mode, by) if by_size else {(): 0}
@@ -100,7 +104,7 @@ def run(
     for m in algos:
         for a in alphas:
             for k, n in sizes.items():
-                a1, a2, a3 = checked(ALLOCATIONS[alloc](n, a))
+                a1, a2, a3 = checked(split(n, a))
                 # levels of the mean, of the gap and of the band, then those that the record names
                 points[m, *k, a] = {"alg1": (a1, a2, a3, a1, a2, a3), "alg2": (a1, a2 / max(n, 1), a3, a1, a2, a3), "alg3": (a, a, a, 0.0, 0.0, a), "synth_only": (a, a, a, a, 0.0, 0.0)}[m]
     level = [chosen(own, {k: v[i] for k, v in points.items()}) for i in range(6)] if points else [F.lit(0.5)] * 6

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from synthcal.functions.expressions import finite, group_of
+from synthcal.operators.conformal import select_ranks, with_ranks
+from synthcal.sources.scratch import written
 
 
 def finite_mean(c: str) -> Column:
@@ -35,13 +37,11 @@ def pooled(records: DataFrame, by: tuple[str, ...] = ("algo", "alpha")) -> DataF
 
 def size_stats(tasks: DataFrame) -> DataFrame:
     """Least, median (cut to an integer), upper median and largest task size."""
-    out = None
-    for name in ("n_real", "n_synth"):
-        place = F.row_number().over(Window.orderBy(name)) - 1  # task-level rows
-        rows = tasks.select(F.col(name).alias("n"), place.alias("r"), F.count("*").over(Window.partitionBy(F.lit(0))).alias("t"))
-        part = rows.agg(F.lit(name).alias("size"), F.min("n").alias("least"), F.floor(F.percentile("n", 0.5)).alias("median"), F.max(F.when(F.col("r") == F.floor(F.col("t") / 2), F.col("n"))).alias("upper_median"), F.max("n").alias("largest"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    sizes = tasks.select(F.explode(F.array(*(F.struct(F.lit(c).alias("size"), F.col(c).alias("n")) for c in ("n_real", "n_synth")))).alias("s")).select("s.*")
+    sizes = written(sizes, "sizes")
+    upper = select_ranks(sizes, "n", lambda found: found.select("size", (F.floor(F.col("n") / 2) + 1).alias("k")), ["size"])
+    out = sizes.groupBy("size").agg(F.min("n").alias("least"), F.floor(F.percentile("n", 0.5)).alias("median"), F.max("n").alias("largest"))
+    return out.join(upper, "size").select("size", "least", "median", F.col("value").cast("long").alias("upper_median"), "largest")
 
 
 def profile(tasks: DataFrame) -> DataFrame:
@@ -62,8 +62,8 @@ def select_spread(records: DataFrame, n: int, total: int) -> DataFrame:
     if n >= total:
         return records
     places = sorted({round(i * (total - 1) / (n - 1)) if n > 1 else 0 for i in range(n)})  # half to even
-    placed = records.withColumn("_place", F.row_number().over(Window.orderBy("theta", "task_id")) - 1)
-    return placed.where(F.col("_place").isin(places)).drop("_place")
+    placed = with_ranks(records, ["theta", "task_id"], name="_place")
+    return placed.where((F.col("_place") - 1).isin(places)).drop("_place")
 
 
 def select_random(records: DataFrame, n: int, seed: int = 0) -> DataFrame:
@@ -73,7 +73,7 @@ def select_random(records: DataFrame, n: int, seed: int = 0) -> DataFrame:
 
 def ordered(records: DataFrame, keys: list[str | Column]) -> DataFrame:
     """The rows of a result table with their place in the order of the keys, from 1."""
-    return records.withColumn("place", F.row_number().over(Window.orderBy(*keys)))  # results, not data
+    return with_ranks(records, keys, name="place")
 
 
 def with_baseline(records: DataFrame, baseline: DataFrame) -> DataFrame:

@@ -1,13 +1,14 @@
 """Order statistics, bootstrap, weighted moments, player fits and record files at sizes where no set fits in one task."""
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from synthcal.operators import bootstrap, conformal, moments
+from synthcal.operators import allocation, bootstrap, conformal, deident, moments
 from synthcal.operators import bradley_terry as bt
 from synthcal.plans import methods
 from synthcal.sources import io
@@ -220,3 +221,62 @@ def test_records_are_replaced_set_by_set(spark, tmp_path):
     with pytest.raises(Exception, match="lost"):
         io.write_records(broken, path, "app", "def")
     assert io.read_records(spark, path).count() == 47
+
+
+# --- grid allocation, names
+
+
+@pytest.mark.parametrize("n", [3, 105, 20_000])
+def test_levels_of_many_lines(spark, n):
+    rng = np.random.default_rng(n)
+    gap, se = np.round(rng.standard_cauchy(n), 2), rng.choice([0.0, 0.01, 0.3, 2.0], n) * rng.integers(1, 3, n)
+    tasks = written(spark.createDataFrame(pd.DataFrame({"gap": gap, "gap_se": se})).repartition(5), "lines")
+    slope = np.concatenate([-rng.random(12) * 4, rng.random(12) * 4, [0.0]])
+    k = rng.integers(1, n + 1, len(slope))
+    k[:2] = 1, n
+    got = allocation.levels_of(tasks, slope, k)
+    for (x, after), s, r in zip(got, slope, k, strict=True):
+        ordered = np.sort(gap + s * se)
+        assert (x, after) == (ordered[r - 1], ordered[min(r, n - 1)])
+
+
+def test_grid_of_many_tasks(spark):
+    rng = np.random.default_rng(6)
+    n = 3000
+    stats = pd.DataFrame({"task_id": [f"t{i}" for i in range(n)], "n": 10, "theta": rng.random(n), "synth": rng.random(n), "synth_se": rng.random(n) / 9, "gap": rng.normal(0, 0.1, n), "gap_se": rng.random(n) / 9})
+    got = allocation.grid_intervals(spark.createDataFrame(stats), 0.1, 5).toPandas().set_index("task_id")
+    points = np.array(allocation.grid_points(0.1, n - 1, 5))
+    gap, se = stats["gap"].to_numpy(), stats["gap_se"].to_numpy()
+    for i in rng.integers(0, n, 40):
+        others = np.arange(n) != i
+        widths = [2 * p[5] * stats["synth_se"][i] + np.sort((gap + p[6] * se)[others])[int(p[8]) - 1] - np.sort((gap - p[6] * se)[others])[int(p[7]) - 1] for p in points]
+        row = got.loc[f"t{i}"]
+        assert row["w_synth"] + row["w_band"] == pytest.approx(min(widths), abs=1e-12) and row["alpha3"] == points[int(np.argmin(widths)), 4]
+    assert allocation.grid_intervals(spark.createDataFrame(stats[:5]), 0.1).count() == 0
+
+
+def test_ten_thousand_names(spark):
+    rng = np.random.default_rng(8)
+    names = {f"n{''.join(rng.choice(list('abé-1'), rng.integers(1, 7)))}": f"<{i}>" for i in range(10_000)}
+    texts = ["".join(rng.choice(list("nabé-1 "), 300)) for _ in range(40)] + [None, "", "none"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
+    pattern = re.compile("|".join(re.escape(n) for n in sorted(names, key=len, reverse=True)))
+    listed = spark.createDataFrame(list(names.items()), "name string, alias string")
+    for given in (names, listed):
+        assert {r["id"]: r["t"] for r in deident.replace_in_text(df, "t", given).collect()} == {i: t and pattern.sub(lambda m: names[m[0]], t) for i, t in enumerate(texts)}
+    assert {(r["id"], r["name"]): r["n"] for r in deident.leaks(df, "id", "t", listed).collect()} == {(i, n): t.count(n) for i, t in enumerate(texts) if t for n in names if n in t}
+    assert deident.leaks(df, "id", "t", []).count() == 0 and deident.replace_in_text(df, "t", {}).count() == len(texts)
+
+
+def test_splits_as_functions(spark):
+    def thirds(t, alpha):
+        return alpha / 10, alpha / 5, 0.7 * alpha if t > 10 else alpha / 2
+
+    tasks = spark.createDataFrame(made(40), STATS)
+    named, given = (methods.run(tasks, "alg1", 0.2, alloc, mode="loo") for alloc in ("prop_127", thirds))
+    a, b = ({r["task_id"]: (r["ci_lo"], r["ci_hi"]) for r in d.collect()} for d in (named, given))
+    assert set(a) == set(b) and all(a[k] == pytest.approx(b[k]) for k in a) and {r["alloc"] for r in given.collect()} == {"thirds"}
+    small = methods.run(tasks.limit(8), "alg1", 0.2, thirds, mode="loo").first()
+    assert small["alpha3"] == 0.1
+    with pytest.raises(ValueError):
+        methods.run(tasks, "alg1", 0.2, lambda t, alpha: (0.0, 0.1, 0.1), mode="loo")
