@@ -698,6 +698,12 @@ def test_maxent_with_one_training_row(spark):
     assert {r["n_known"] for r in maxent.scores(long).collect()} == {600_001, 2}
 
 
+def test_maxent_held_out_score_of_the_test_documents(spark):
+    rows = maxent.scores(spark.read.parquet(f"{DATA}/sf0.1/documents.parquet")).where("held_out")
+    score, base, tokens = rows.agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert score / tokens > -3.9570 and base / tokens == pytest.approx(-4.1908, abs=1e-4)
+
+
 def test_maxent_classes_stay_fine():
     words = [f"w{i}" for i in range(20_000)]
     counts = [20_000 // (i + 1) + 2 for i in range(20_000)]
