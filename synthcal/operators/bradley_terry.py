@@ -7,6 +7,7 @@ their bootstrap run in grouped workers over these counts.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable
 
@@ -392,7 +393,8 @@ def iterated_scores(totals: DataFrame, reference, rounds: int = 500, tol: float
 
 
 def placements(sides: DataFrame, frame: DataFrame, tasks: DataFrame, draws: int = 0, at_once: int = 4_000_000) -> DataFrame:
-    """For each held-out M and each task player j: truth, synth (with standard errors), n and the gap's bootstrap error.
+    """For each held-out M and each task player j: truth, synth (with standard errors), n and the gap's error, by the bootstrap
+    (if there are draws) and by the delta method.
 
     j = M uses all of M's battles; another j its battles without those against M. ``draws`` replicates resample a
     player's battles as counts over (opponent, outcomes), the same draw for both placements.
@@ -403,7 +405,7 @@ def placements(sides: DataFrame, frame: DataFrame, tasks: DataFrame, draws: int
     """
     kind = dict(sides.dtypes)["player"]
     own = written(sides.join(tasks.select("player").distinct(), "player", "left_semi"), "task-sides")
-    schema = f"held_out {kind}, player {kind}, n long, truth double, truth_se double, synth double, synth_se double, gap_se double"
+    schema = f"held_out {kind}, player {kind}, n long, truth double, truth_se double, synth double, synth_se double, gap_se double, gap_delta_se double"
     if own.count() > at_once:
         return joined_placements(own, frame, tasks, draws, schema)
     found = own.toPandas().sort_values(["player", "opponent", "y", "y_auto"])  # at most at_once rows
@@ -426,13 +428,15 @@ def placements(sides: DataFrame, frame: DataFrame, tasks: DataFrame, draws: int
         total = np.bincount(segment, part["n"], len(players))
         truth, truth_se = placed_segments(segment, part["n"] * part["y"], part["n"], c, len(players))
         synth, synth_se = placed_segments(segment, part["n"] * part["y_auto"], part["n"], c, len(players), truth)
+        each = influence(truth[segment], truth_se[segment], part["y"], c) - influence(synth[segment], synth_se[segment], part["y_auto"], c)
+        delta = np.sqrt(np.maximum(np.bincount(segment, part["n"] * each**2, len(players)) - np.bincount(segment, part["n"] * each, len(players)) ** 2 / np.maximum(total, 1), 0))
         gap_se = np.full(len(players), np.nan)
         if draws:
             for j, first, last in zip(seen, np.searchsorted(segment, seen), np.searchsorted(segment, seen, "right"), strict=True):
                 if players[j] != held:
                     of = {k: part[k][first:last] for k in ("n", "y", "y_auto")}
                     gap_se[j] = gap_error(held, players[j], of["n"], of["y"], of["y_auto"], c[first:last], truth[j], synth[j], draws)
-        return pd.DataFrame({"held_out": held, "player": players[seen], "n": total[seen].astype(np.int64), "truth": truth[seen], "truth_se": truth_se[seen], "synth": synth[seen], "synth_se": synth_se[seen], "gap_se": pd.Series(gap_se[seen]).astype(object).where(~np.isnan(gap_se[seen]), None)})
+        return pd.DataFrame({"held_out": held, "player": players[seen], "n": total[seen].astype(np.int64), "truth": truth[seen], "truth_se": truth_se[seen], "synth": synth[seen], "synth_se": synth_se[seen], "gap_se": pd.Series(gap_se[seen]).astype(object).where(~np.isnan(gap_se[seen]), None), "gap_delta_se": delta[seen]})
 
     asked = frame.join(tasks.select(F.col("player").alias("held_out")).distinct(), "held_out", "left_semi")
     return asked.groupBy("held_out").applyInPandas(run, schema)  # a group is one frame: a row per player
@@ -452,6 +456,11 @@ def placed_segments(segment: np.ndarray, wins: np.ndarray, n: np.ndarray, c: np.
     return b, 1 / np.sqrt(np.bincount(segment, n * s * (1 - s), k) + RIDGE)
 
 
+def influence(score: np.ndarray, se: np.ndarray, y: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """How far a battle moves a placement, to first order."""
+    return (y - 1 / (1 + np.exp(-(score - c)))) * se**2
+
+
 def gap_error(held, player, n: np.ndarray, y: np.ndarray, y_auto: np.ndarray, c: np.ndarray, truth: float, synth: float, draws: int) -> float:
     """The standard deviation of a gap over resampled battles; the seed comes from both players' names."""
     rng = np.random.default_rng(zlib.crc32(f"{held}\x1f{player}".encode()))
@@ -470,7 +479,9 @@ def joined_placements(sides: DataFrame, frame: DataFrame, tasks: DataFrame, draw
         (truth,), (truth_se,) = place((n * y)[None], n[None], c)
         (synth,), (synth_se,) = place((n * ya)[None], n[None], c, truth)
         gap_se = gap_error(held, player, n, y, ya, c, truth, synth, draws) if draws and held != player else None
-        return pd.DataFrame({"held_out": [held], "player": [player], "n": [int(n.sum())], "truth": [truth], "truth_se": [truth_se], "synth": [synth], "synth_se": [synth_se], "gap_se": pd.Series([gap_se], dtype=float)})
+        each = influence(truth, truth_se, y, c) - influence(synth, synth_se, ya, c)
+        delta = math.sqrt(max(0.0, (n * each**2).sum() - (n * each).sum() ** 2 / n.sum()))
+        return pd.DataFrame({"held_out": [held], "player": [player], "n": [int(n.sum())], "truth": [truth], "truth_se": [truth_se], "synth": [synth], "synth_se": [synth_se], "gap_se": pd.Series([gap_se], dtype=float), "gap_delta_se": [delta]})
 
     return rows.groupBy("held_out", "player").applyInPandas(run, schema)
 

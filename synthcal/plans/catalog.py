@@ -492,7 +492,7 @@ placed AS MATERIALIZED (SELECT held_out, player, pt.n, pt.b AS truth, pt.se AS t
 def bt_placements(spark, sf):
     """Each held-out player and each other task player placed against the frame without the held-out one."""
     placed, _ = _bt_parts(spark, sf)
-    return shown(placed.drop("gap_se"), 4)
+    return shown(placed.drop("gap_se", "gap_delta_se"), 4)
 
 
 def bt_sql(algo: str, alpha: float) -> str:
@@ -535,8 +535,31 @@ def bt_alg1(spark, sf):
     return bt.intervals(placed, frame, "alg1", 0.4)
 
 
+@query(f"""WITH {PLACED}, u AS (SELECT held_out, player, n, y, y_auto, c, (y - 1 / (1 + exp(c - truth))) * truth_se * truth_se - (y_auto - 1 / (1 + exp(c - synth))) * synth_se * synth_se AS u FROM rows JOIN (SELECT * EXCLUDE (n) FROM placed) USING (held_out, player))
+  SELECT held_out, player, {q.r('sqrt(sum(n * u * u) - sum(n * u) * sum(n * u) / sum(n))', 4)} AS gap_delta_se, true AS bootstrap_near FROM u WHERE held_out <> player GROUP BY held_out, player""")
+def bt_gap_errors(spark, sf):
+    """The gaps' errors by the delta method, and whether those of 60 bootstrap draws are within half of them (five deviations)."""
+    placed, _ = _bt_parts(spark, sf, 60)
+    rows = placed.where("held_out <> player")
+    return shown(rows.select("held_out", "player", "gap_delta_se", (F.abs(F.col("gap_se") / F.col("gap_delta_se") - 1) < 0.5).alias("bootstrap_near")), 4)
+
+
 # --- bootstrap
 
+BRANDS = f"""{q.PAIRS}, s AS (SELECT p_brand, avg(x) AS mx, avg(y) AS my FROM pairs GROUP BY p_brand)"""
+
+
+@query(f"WITH {BRANDS} SELECT p_brand, target, kind, {q.r('CASE target WHEN {0} THEN mx WHEN {1} THEN my ELSE mx - my END'.format(repr('real'), repr('synth')))} AS point, true AS se_near, true AS ends_near FROM s, (SELECT unnest(['real', 'synth', 'gap', 'paired_gap']) AS target), (SELECT unnest(['percentile', 'basic']) AS kind)")
+def bootstrap_normal_agreement(spark, sf):
+    """Points of the bootstrap, and whether errors and ends are those of the normal interval up to the draws' own noise:
+    within 15 percent, and within 0.35 errors (five deviations of 1000 draws)."""
+    pairs = written(inputs.pairs(spark, sf).groupBy("p_brand", "x", "y").agg(F.count("*").alias("n")), "pair-values")
+    found = bootstrap.bootstrap_intervals(pairs, ["p_brand"], "x", "y", ALPHA, 1000, count="n")
+    stats = moments.counted_stats(pairs, ["p_brand"], "x", "y", "n").select("p_brand", F.create_map(F.lit("real"), "theta_se", F.lit("synth"), "synth_se", F.lit("gap"), F.sqrt(F.col("theta_se") ** 2 + F.col("synth_se") ** 2), F.lit("paired_gap"), "gap_se").alias("errors"))
+    rows = found.join(stats, "p_brand").withColumn("e", F.element_at("errors", F.col("target")))
+    near = lambda end, side: F.abs(F.col(end) - (F.col("point") + side * z(ALPHA) * F.col("e"))) < 0.35 * F.col("e")
+    return shown(rows.select("p_brand", "target", "kind", "point", (F.abs(F.col("se") / F.col("e") - 1) < 0.15).alias("se_near"), (near("ci_lo", -1) & near("ci_hi", 1)).alias("ends_near")))
+
 
 @query()
 def bootstrap_intervals(spark, sf):
