@@ -3,7 +3,7 @@
 A source's target is its share of all words by weight, at most ``repeat`` times its own words; what a stopped source
 leaves goes to the others by weight (:func:`source_targets`, the exact level of that filling). Whole epochs come first:
 every document is taken floor(target / words) times. The rest of the target is a sample without replacement: documents
-get exponential keys -ln(u) / quality weight from a hash of the id, are put in the order of the keys within the source,
+get exponential keys -ln(u) / quality weight from a hash of the id and the text, are put in the order of the keys within the source,
 and are taken while the prefix sum of their words stays below the rest; the last one is taken up to the word that
 reaches it. So every source takes its target to the word, and reruns agree.
 
@@ -12,7 +12,7 @@ deals the rows to parts of about ``rows_per_bucket`` rows, sums of the parts giv
 one part are ordered together.
 
 Defined results: a null text has no words and is taken 0 words; a null source is a source of its own, last in order; a
-null id hashes like empty text; a weight that is null or not above 0 counts as 0.25; repeated rows are separate documents
+null id hashes like empty text, beside the row's own text; a weight that is null or not above 0 counts as 0.25; repeated rows are separate documents
 (rows alike in id and text are interchangeable); an empty table gives an empty table; other columns are ignored by
 :func:`mix` and kept by :func:`mixed_documents`, whatever their names.
 """
@@ -37,9 +37,10 @@ def quality_weight(text: Column) -> Column:
     return F.lit(0.25) + F.lit(0.75) * F.when(solid > 0, letters / solid * (F.size(F.array_distinct(lines)) / F.size(lines))).otherwise(F.lit(0.0))
 
 
-def uniform(doc_id: Column, seed: str) -> Column:
-    """In (0, 1): 52 bits of the id's MD5."""
-    digest = F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+def uniform(doc_id: Column, text: Column, seed: str) -> Column:
+    """In (0, 1): 52 bits of an MD5 of the id and the text, so that rows without an id or of the same one differ by their text."""
+    content = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    digest = F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), content).cast("binary"))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
@@ -72,7 +73,7 @@ def keyed(docs: DataFrame, doc_id: str, text: str, source: str, seed: str, weigh
         F.col(source).cast("string").alias("source"),
         F.coalesce(F.regexp_count(t, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         w.alias("weight"),
-        (-F.ln(uniform(F.col(doc_id), seed))).alias("drawn"),
+        (-F.ln(uniform(F.col(doc_id), t, seed))).alias("drawn"),
         F.xxhash64(F.coalesce(t, F.lit(""))).alias("content"),
     ]
 

@@ -114,7 +114,7 @@ WITH d AS (
   FROM documents),
 k AS (
   SELECT doc_id, source, size,
-    -ln((('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496::DOUBLE)
+    -ln((('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '') || ':' || md5(text)), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496::DOUBLE)
     / (0.25::DOUBLE + 0.75::DOUBLE * CASE WHEN solid > 0 THEN letters::DOUBLE / solid * (len(list_distinct(lines))::DOUBLE / len(lines)) ELSE 0 END) AS key
   FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),

@@ -557,6 +557,36 @@ def test_top_k_equals_brute_force(spark, kw):
     assert topk.top_k(df.where("vec_id in (0, 1, 2)"), F.col("vec_id") % 20 == 0).count() == 2
 
 
+def test_blocks_go_only_where_bounds_let_them(spark):
+    rng = np.random.default_rng(4)
+    middle = np.eye(12) * 40
+    points = np.concatenate([m + rng.normal(0, 0.05, (60, 12)) for m in middle])
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(points)], "vec_id long, embedding array<double>").repartition(5)
+    given = ("vec_id", "embedding", 3, 1024, 90, 50, 12)
+    asked, data, _ = topk.dealt(df, F.col("vec_id") % 4 == 0, *given)
+    groups = asked.select("q").distinct().count()
+    assert groups >= 12 and asked.groupBy("q").agg(F.count_distinct("query_id").alias("n")).agg(F.max("n")).first()[0] <= 24
+    assert data.count() < len(points) * groups / 5
+    got = {(r["query_id"], r["rank"]): r["score"] for r in topk.top_k(df, F.col("vec_id") % 4 == 0, k=3, pivots=90, block=50, query_rows=12).collect()}
+    whole = np.floor(points * 1024).astype(int)
+    for i in range(0, len(points), 4):
+        scores = np.sort(np.delete(whole @ whole[i], i))[::-1]
+        assert [got[i, r] for r in (1, 2, 3)] == scores[:3].tolist()
+    assert topk.query_groups({0: 5, 1: 5, 2: 30, 4: 1}, [0, 1, 3, 2, 4], 10) == {0: (0, 1), 1: (0, 1), 3: (0, 1), 2: (1, 3), 4: (4, 1)}
+
+
+def test_rows_without_ids_get_keys_of_their_own(spark):
+    df = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.format_string("word%d", "id").alias("text"))
+    keys = df.select(mixing.uniform(F.col("doc_id"), F.col("text"), "mix").alias("u"))
+    assert keys.distinct().count() == 3000 and keys.agg(F.avg("u")).first()[0] == pytest.approx(0.5, abs=0.03)
+
+
+def test_packing_tasks_are_bounded_by_bytes(spark):
+    few = spark.range(0, 40, 1, 8).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word and more "), 60_000).alias("text"))
+    assert packing.pack(few, tokenizer_path()).rdd.getNumPartitions() == 5  # 34 MB
+    assert packing.pack(few.withColumn("text", F.lit("short")), tokenizer_path()).rdd.getNumPartitions() == 1
+
+
 def test_products_stay_exact():
     a, b = np.array([[2.0**40, 1.0]]), np.array([[2.0**20, 3.0], [2.0**30, 1.0]])
     assert topk.products(a, b).tolist() == [[2**60 + 3, min(2**70 + 1, 2**63 - 1)]]
