@@ -219,7 +219,8 @@ def newton_columns(start: np.ndarray, free: np.ndarray, local: Callable, rounds:
 def frames(pairs: DataFrame, held_out: DataFrame, reference, at_once: int = 4_000_000) -> DataFrame:
     """held_out, player, score: one fit per held-out player without its battles, over all other players.
 
-    Fits start from the scores of all battles, and a player who met only the held-out one keeps that start. The fits of many
+    Fits start from the scores of all battles, and a player who met only the held-out one keeps that start; a held-out player
+    without battles leaves all of them in. The fits of many
     held-out players are columns over one table of pairs: no row of it is repeated for each of them. Up to ``at_once`` ordered
     pairs (a count, 32 bytes each) are broadcast and every task fits a share of the columns; beyond that the pairs stay where
     they are and every product is a pass over them (see :func:`passed_frames`). Both find the same optima.
@@ -229,12 +230,13 @@ def frames(pairs: DataFrame, held_out: DataFrame, reference, at_once: int = 4_00
     at = {p: i for i, p in enumerate(players)}
     if reference not in at:
         raise ValueError(f"reference {reference!r} is in no battle")
-    held = held_out.select("player").distinct().join(spark.createDataFrame(list(at.items()), f"player {kind}, i int"), "player")
+    code = spark.createDataFrame(list(at.items()), f"player {kind}, i int")
+    held = held_out.select("player").distinct().join(code, "player", "left").select("player", F.coalesce("i", F.lit(-1)).alias("i"))  # -1: in no battle
     if coded.count() > at_once:
         joint = np.zeros(len(players))
         for r in joint_scores(pairs, reference).collect():  # a number per player
             joint[at[r["player"]]] = r["score"]
-        return passed_frames(coded, players, joint, [r["i"] for r in held.collect()], at[reference], kind)
+        return passed_frames(coded, players, joint, [(r["player"], r["i"]) for r in held.collect()], at[reference], kind)
     found = coded.toPandas()  # at most at_once rows
     fixed, width = at[reference], max(1, min(64, 4_000_000 // max(1, len(found))))
     arrays = [found[c].to_numpy() for c in ("ia", "ib", "w", "n")]
@@ -246,15 +248,13 @@ def frames(pairs: DataFrame, held_out: DataFrame, reference, at_once: int = 4_00
         names = pd.Series(names)
         for pdf in batches:
             for first in range(0, len(pdf), width):
-                out = pdf["i"].to_numpy()[first : first + width]
+                own, out = (pdf[c].to_numpy()[first : first + width] for c in ("player", "i"))
                 score = fitted_columns(ia, ib, w, n, start, out, fixed)
-                keep = np.ones((len(start), len(out)), dtype=bool)
-                keep[out, np.arange(len(out))] = False
-                i, column = np.nonzero(keep)
-                yield pd.DataFrame({"held_out": names.take(out[column]).to_numpy(), "player": names.take(i).to_numpy(), "score": score[i, column]})
+                i, column = np.nonzero(np.arange(len(start))[:, None] != out)
+                yield pd.DataFrame({"held_out": own[column], "player": names.take(i).to_numpy(), "score": score[i, column]})
 
     tasks = max(1, min(len(players), spark.sparkContext.defaultParallelism))
-    return held.select("i").repartition(tasks).mapInPandas(run, f"held_out {kind}, player {kind}, score double")
+    return held.repartition(tasks).mapInPandas(run, f"held_out {kind}, player {kind}, score double")
 
 
 def fitted_columns(ia, ib, w, n, start: np.ndarray, held: np.ndarray, fixed: int) -> np.ndarray:
@@ -271,13 +271,14 @@ def fitted_columns(ia, ib, w, n, start: np.ndarray, held: np.ndarray, fixed: int
     return newton_columns(np.repeat(start[:, None], len(held), axis=1), free, local)
 
 
-def passed_frames(coded: DataFrame, players: list, joint: np.ndarray, held: list[int], fixed: int, kind: str, numbers: int = 2_000_000) -> DataFrame:
+def passed_frames(coded: DataFrame, players: list, joint: np.ndarray, held: list[tuple], fixed: int, kind: str, numbers: int = 2_000_000) -> DataFrame:
     """The same over any number of pairs: gradients and products are passes over the written pairs with partial sums per
     player and column. The driver holds ``numbers`` scores at a time, as many columns as fit, and each batch is written."""
     spark, k = coded.sparkSession, len(joint)
     width, out = max(1, numbers // k), None
     for first in range(0, len(held), width):
-        columns = np.array(held[first : first + width], dtype=int)
+        own = pd.Series([name for name, _ in held[first : first + width]])
+        columns = np.array([i for _, i in held[first : first + width]], dtype=int)
 
         def summed(score: np.ndarray, along: np.ndarray | None, columns=columns) -> tuple[np.ndarray, np.ndarray]:
             sent = spark.sparkContext.broadcast((score, along))
@@ -302,13 +303,12 @@ def passed_frames(coded: DataFrame, players: list, joint: np.ndarray, held: list
             sent.unpersist()
             return v, h
 
-        free = np.ones((k, len(columns)), dtype=bool)
-        free[fixed] = False
-        free[columns, np.arange(len(columns))] = False
+        others = np.arange(k)[:, None] != columns
+        free = others & (np.arange(k) != fixed)[:, None]
         score = newton_columns(np.repeat(joint[:, None], len(columns), axis=1), free, lambda x: (*summed(x, None), lambda along: summed(x, along)[0]), tol=1e-9)
-        keep = np.argwhere(free | (np.arange(k) == fixed)[:, None] & (np.arange(k)[:, None] != columns))
+        keep = np.argwhere(others)
         names = pd.Series(players)
-        part = spark.createDataFrame(pd.DataFrame({"held_out": names.take(columns[keep[:, 1]]).to_numpy(), "player": names.take(keep[:, 0]).to_numpy(), "score": score[keep[:, 0], keep[:, 1]]}), f"held_out {kind}, player {kind}, score double")
+        part = spark.createDataFrame(pd.DataFrame({"held_out": own.take(keep[:, 1]).to_numpy(), "player": names.take(keep[:, 0]).to_numpy(), "score": score[keep[:, 0], keep[:, 1]]}), f"held_out {kind}, player {kind}, score double")
         part = written(part, "frames")
         out = part if out is None else out.union(part)
     return out if out is not None else spark.createDataFrame([], f"held_out {kind}, player {kind}, score double")

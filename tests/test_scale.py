@@ -174,8 +174,9 @@ def test_frames_of_all_columns_equal_single_fits(spark):
         left = rows[(rows["a"] != held) & (rows["b"] != held)]
         fit = bt.fit_scores(others, left["a"], left["b"], left["w"].to_numpy(float), left["n"].to_numpy(float), 0, np.array([start[i] for i in others]))
         expected |= {(held, i): s for i, s in zip(others.tolist(), fit, strict=True)}
-    frame = bt.frames(pairs, tasks, 0)
-    for found in (frame, bt.frames(pairs, tasks.limit(3), 0, at_once=0)):
+    expected |= {(77, i): s for i, s in start.items()}  # in no battle
+    frame = bt.frames(pairs, tasks.union(spark.range(77, 78)), 0)
+    for found in (frame, bt.frames(pairs, tasks.limit(3).union(spark.range(77, 78)), 0, at_once=0)):
         got = {(r["held_out"], r["player"]): r["score"] for r in found.collect()}
         assert all(got[k] == pytest.approx(expected[k], abs=1e-7) for k in got)
     assert set(expected) == {(r["held_out"], r["player"]) for r in frame.collect()}
