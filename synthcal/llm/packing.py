@@ -5,7 +5,7 @@ cut into equal pieces of at most ``piece`` tokens. A task buffers pieces until t
 near-equal length: the two partial partitions with the largest imbalance are merged, the fullest window of one with the
 emptiest of the other, until one partition is left. If its fullest window exceeds the capacity, the number of windows
 rises by one and the differencing starts anew. No row leaves its task, so nothing is shuffled; small partitions of the table
-are taken together until a task has about ``bytes_per_task`` of text, for only a task's last windows are filled in part.
+are taken together until a task has about ``rows_per_task`` documents, but never into fewer tasks than the cluster runs at once, for only a task's last windows are filled in part.
 
 Defined results: a null or empty text is its end id alone; repeated rows and ids are packed row by row; an empty table
 gives no pieces; other columns are ignored. The ids come out as little-endian unsigned 32-bit bytes.
@@ -190,7 +190,7 @@ class Words:
         return out
 
 
-def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = WINDOW, end: int = END, windows: int = 64, piece: int = WINDOW // 4, bytes_per_task: int = 8_000_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = WINDOW, end: int = END, windows: int = 64, piece: int = WINDOW // 4, rows_per_task: int = 2_000) -> DataFrame:
     """doc_id, start, length, ids, doc_tokens, sequence_id, offset: a row per piece.
 
     ``tokenizer`` is the path of a tokenizer file that every worker can read.
@@ -242,6 +242,6 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
         if pieces:
             yield flush()
 
-    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
-    tasks = max(1, -(-size // bytes_per_task))  # more than the table's partitions leaves them as they are
+    # as many tasks as the cluster runs at once at least; more than the table's partitions leaves them as they are
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-docs.count() // rows_per_task))
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("t")).coalesce(tasks).mapInArrow(run, schema)

@@ -581,10 +581,11 @@ def test_rows_without_ids_get_keys_of_their_own(spark):
     assert keys.distinct().count() == 3000 and keys.agg(F.avg("u")).first()[0] == pytest.approx(0.5, abs=0.03)
 
 
-def test_packing_tasks_are_bounded_by_bytes(spark):
+def test_packing_uses_all_cores(spark):
     few = spark.range(0, 40, 1, 8).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word and more "), 60_000).alias("text"))
-    assert packing.pack(few, tokenizer_path()).rdd.getNumPartitions() == 5  # 34 MB
-    assert packing.pack(few.withColumn("text", F.lit("short")), tokenizer_path()).rdd.getNumPartitions() == 1
+    cores = spark.sparkContext.defaultParallelism
+    assert packing.pack(few, tokenizer_path()).rdd.getNumPartitions() == min(8, cores)
+    assert packing.pack(few, tokenizer_path(), rows_per_task=2).rdd.getNumPartitions() == 8
 
 
 def test_products_stay_exact():
