@@ -1,9 +1,13 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule's cost and rejection rate are measured on a sample, the first ``SAMPLE`` documents of each task, so that no table
-is read a second time for it; rules then run in the order of rejection per cost and a document leaves at the first rule that
-rejects it. A verdict is the conjunction of all rules, so the order changes the time that a run takes and never its result
-(only ``rejected_by`` names the first rule of the task's own order).
+Each rule's cost and rejection rate are estimated on a sample that each task takes from all its documents: the i-th is
+measured with probability min(1, ``SAMPLE`` / i), by its text's hash, and counts for the documents that it stands for. So
+no table is read a second time, a small task has an order too, and one of n documents measures about SAMPLE * ln n. Rules
+run in the order of rejection per cost so far and a document leaves at the first rule that rejects it. A verdict is the
+conjunction of all rules, so the order changes the time that a run takes and never its result (only ``rejected_by`` names
+the first rule of the task's own order).
+
+Texts are judged whole; of one longer than ``STRETCH`` bytes, words are read stretch by stretch and kept as numbers.
 
 Defined results: a null text is an empty one (no words: rejected by ``few_words``); a null id stays null; repeated rows
 are judged one by one; an empty table gives an empty table; other columns are ignored by :func:`quality_table` and
@@ -13,16 +17,21 @@ passed through unchanged by :func:`quality_filter`, whatever their names.
 from __future__ import annotations
 
 import time
+import zlib
 from collections.abc import Callable, Iterator
 from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from synthcal.llm.shared import utf8
+from synthcal.llm.shared import stretches, utf8
 
-SAMPLE = 200
+#: Documents of a task that are all measured; later ones are less and less often.
+SAMPLE = 30
+#: Bytes of a text whose words are held at once.
+STRETCH = 1 << 20
 _SPACE = bytes([0x20, *range(0x09, 0x0E)])
 _SYMBOLS = b"#*$%&|<>"
 _UPPER = bytes(range(0x41, 0x5B))
@@ -39,9 +48,16 @@ class Page:
     def words(self) -> list[bytes]:
         return self.raw.split()
 
+    @cached_property
+    def numbers(self) -> np.ndarray:
+        """The words as numbers, equal where words are."""
+        seen: dict[bytes, int] = {}
+        parts = [np.array([seen.setdefault(w, len(seen)) for w in part.split()], dtype=np.int64) for part in stretches(self.raw, STRETCH)]
+        return np.concatenate(parts)
+
     @cached_property
     def n_words(self) -> int:
-        return len(self.words)
+        return len(self.words) if len(self.raw) <= STRETCH else len(self.numbers)
 
     @cached_property
     def word_chars(self) -> int:
@@ -63,6 +79,8 @@ class Page:
     @cached_property
     def n_repeat_words(self) -> int:
         """Word positions that lie in a 3-word window found at least twice."""
+        if len(self.raw) > STRETCH:
+            return repeated(self.numbers)
         w = self.words
         windows = list(zip(w, w[1:], w[2:], strict=False))
         if len(set(windows)) == len(windows):
@@ -82,6 +100,20 @@ class Page:
         return n - len(self.raw.translate(None, _UPPER)), n - len(self.raw.translate(None, _LOWER))
 
 
+def repeated(numbers: np.ndarray) -> int:
+    """Positions in windows of three that are found at least twice."""
+    if len(numbers) < 3:
+        return 0
+    a, b, c = numbers[:-2], numbers[1:-1], numbers[2:]
+    order = np.lexsort((c, b, a))
+    same = np.all([x[order[1:]] == x[order[:-1]] for x in (a, b, c)], axis=0)
+    found, hit = np.zeros(len(a), dtype=bool), np.zeros(len(numbers), dtype=bool)
+    found[order[1:][same]] = found[order[:-1][same]] = True
+    for d in range(3):
+        hit[d : d + len(found)] |= found
+    return int(hit.sum())
+
+
 #: name -> true if the rule rejects the page.
 RULES: dict[str, Callable[[Page], bool]] = {
     "few_words": lambda p: p.n_words < 50,
@@ -96,30 +128,32 @@ BASE_RULES = ("few_words", "repeated_words")
 
 
 class Cascade:
-    """Judges pages by rules in the given order, or in one that it finds on the first ``sample`` pages."""
+    """Judges pages by rules in the given order, or in one that it estimates on a sample of all pages it has seen."""
 
     def __init__(self, order: list[str] | None = None, sample: int = SAMPLE):
-        self.order, self.waiting = list(order or RULES), 0 if order else sample
-        self.spent, self.hits = dict.fromkeys(RULES, 0), dict.fromkeys(RULES, 0)
+        self.order, self.sample, self.seen = list(order or RULES), 0 if order else sample, 0
+        self.spent, self.hits = dict.fromkeys(RULES, 0.0), dict.fromkeys(RULES, 0.0)
 
     def rejected_by(self, page: Page) -> str | None:
         """The first rule that rejects the page."""
-        if self.waiting:
-            self.measure(page.raw)
+        self.seen += 1
+        if self.sample:
+            share = min(1.0, self.sample / self.seen)
+            if share == 1 or zlib.crc32(page.raw) < share * 2**32:
+                self.measure(page.raw, 1 / share)
         for name in self.order:
             if RULES[name](page):
                 return name
         return None
 
-    def measure(self, raw: bytes) -> None:
+    def measure(self, raw: bytes, weight: float) -> None:
         for name, rule in RULES.items():
             page = Page(raw)  # each rule pays for its own statistics here
             began = time.perf_counter_ns()
-            self.hits[name] += rule(page)
-            self.spent[name] += time.perf_counter_ns() - began
-        self.waiting -= 1
-        if not self.waiting:  # rules without a rejection keep their written order at the end
-            self.order = sorted(RULES, key=lambda name: -self.hits[name] / max(self.spent[name], 1))
+            self.hits[name] += weight * rule(page)
+            self.spent[name] += weight * (time.perf_counter_ns() - began)
+        # rules without a rejection keep their written order at the end
+        self.order = sorted(RULES, key=lambda name: -self.hits[name] / max(self.spent[name], 1))
 
 
 def quality_table(docs: DataFrame, order: list[str] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
