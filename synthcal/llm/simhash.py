@@ -26,30 +26,39 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from synthcal.llm.shared import discard, materialize, utf8
+from synthcal.llm.shared import discard, materialize, stretches, utf8
 
 RADIUS = 2
+#: Bytes of a text whose words are held at once.
+STRETCH = 1 << 20
 QUARTERS = list(combinations(range(4), 2))
 
 
-def fingerprint(raw: bytes | None, width: int = 3) -> int:
+def shingle_hashes(raw: bytes | None, width: int, size: int = STRETCH) -> Iterator[np.ndarray]:
+    """The shingles' XXH64 values with repeats, stretch by stretch; fewer words than ``width`` are one shingle."""
+    h, words, none = xxhash.xxh64_intdigest, [], True
+    for part in stretches(raw or b"", size):
+        words += part.lower().split()
+        n = len(words) - width + 1
+        if n > 0:
+            yield np.array([h(s, 42) for s in map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))], dtype="<u8")
+            words, none = words[n:], False  # the next stretch's first shingles start in these
+    if none and words:
+        yield np.array([h(b" ".join(words), 42)], dtype="<u8")
+
+
+def fingerprint(raw: bytes | None, width: int = 3, size: int = STRETCH) -> int:
     """Majority of the shingles' XXH64 bits, as a signed 64-bit number."""
-    words = raw.lower().split() if raw else []
-    if not words:
-        return 0
-    if len(words) <= width:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), 42)]
-    else:
-        h = xxhash.xxh64_intdigest
-        hashes = [h(s, 42) for s in map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))]
-    return majority(np.array(hashes, dtype="<u8"))
-
-
-def majority(hashes: np.ndarray) -> int:
-    total = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(hashes), 65_536):
-        total += np.unpackbits(hashes[i : i + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<i8")[0])
+    return majority(*shingle_hashes(raw, width, size))
+
+
+def majority(*parts: np.ndarray) -> int:
+    total, n = np.zeros(64, dtype=np.int64), 0
+    for hashes in parts:
+        n += len(hashes)
+        for i in range(0, len(hashes), 65_536):
+            total += np.unpackbits(hashes[i : i + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > n, bitorder="little").view("<i8")[0])
 
 
 def row_keys(doc_id: str, text: str) -> list[Column]:

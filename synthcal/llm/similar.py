@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from synthcal.llm.shared import discard, materialize, utf8
-from synthcal.llm.simhash import Waiting, components, majority, one_of_each, planes, row_keys, within
+from synthcal.llm.simhash import STRETCH, Waiting, components, majority, one_of_each, planes, row_keys, shingle_hashes, within
 
 WIDTH, LEAST = 5, 0.8
 BANDS, DEEP, REACH = 64, 8, 26
@@ -36,14 +36,13 @@ BLOCK = 500_000
 _ODD = np.random.default_rng(5).integers(0, 1 << 63, BANDS * DEEP, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(raw: bytes | None, width: int = WIDTH) -> np.ndarray:
+def shingles(raw: bytes | None, width: int = WIDTH, size: int = STRETCH) -> np.ndarray:
     """The sorted distinct XXH64 values of the text's shingles; fewer words than ``width`` are one shingle."""
-    words = raw.lower().split() if raw else []
-    if not words:
-        return np.empty(0, dtype="<u8")
-    h = xxhash.xxh64_intdigest
-    found = {h(s, 42) for s in map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))} if len(words) > width else {h(b" ".join(words), 42)}
-    return np.sort(np.fromiter(found, dtype="<u8", count=len(found)))
+    found = np.empty(0, dtype="<u8")
+    for hashes in shingle_hashes(raw, width, size):
+        found = np.sort(np.concatenate([found, hashes]) if len(found) else hashes)
+        found = found[np.concatenate([[True], found[1:] != found[:-1]])]
+    return found
 
 
 def band_keys(values: np.ndarray) -> np.ndarray:

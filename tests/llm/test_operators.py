@@ -17,7 +17,7 @@ import corpus_pipeline
 from conftest import DATA
 from synthcal.llm import cascade, chat, compress, langid, maxent, mixing, packing, queries, similar, simhash, topk, warc
 from synthcal.llm.queries import tokenizer_path
-from synthcal.llm.shared import fold
+from synthcal.llm.shared import fold, stretches
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [None, "", "   \n\t", "one", "a\x1cb c\x85d", "É ΣΑΣ İstanbul ß", "x" * 5000, "the cat sat on the mat " * 300, "a<|endoftext|>b it's 'tis", "日本語 テスト"]
@@ -741,3 +741,55 @@ def test_maxent_classes_stay_fine():
     model = maxent.start(words, counts, sum(counts), len(words))
     mass = np.add.reduceat(np.sqrt(np.array(counts, dtype=float)), model.first[:-1])
     assert len(model.bias) == 41 and mass.max() < mass.sum() / 39
+
+
+# --- long texts, hot turns
+
+
+def test_long_texts_in_stretches_give_the_same(monkeypatch):
+    rng = random.Random(23)
+    texts = [(t or "").encode() for t in ODD] + ["\n".join(" ".join(rng.choices(["a", "B", "c", "word", "é"], k=rng.randint(0, 9))) for _ in range(40)).encode() for _ in range(20)]
+    for raw in texts:
+        for size in (1, 5, 64, len(raw) + 1):
+            assert b"".join(stretches(raw, size)) == raw and [w for p in stretches(raw, size) for w in p.split()] == raw.split()
+            assert simhash.fingerprint(raw, 3, size) == simhash.fingerprint(raw)
+            assert (similar.shingles(raw, 5, size) == similar.shingles(raw)).all()
+        whole = cascade.Page(raw)
+        counts = whole.n_words, whole.n_repeat_words
+        with monkeypatch.context() as patch:
+            patch.setattr(cascade, "STRETCH", 3)
+            page = cascade.Page(raw)
+            assert (page.n_words, page.n_repeat_words) == counts == (len(raw.split()), plain_counts(raw.decode())[4])
+    assert simhash.fingerprint(None) == simhash.fingerprint(b" \n") == 0 and not len(similar.shingles(None))
+
+
+def test_rules_are_measured_over_all_documents_of_a_task():
+    judge = cascade.Cascade(sample=20)
+    measured = []
+    judge.measure = lambda raw, weight: measured.append((judge.seen, weight))
+    for i in range(20_000):
+        judge.rejected_by(cascade.Page(b"text %d" % i))
+    assert [m[0] for m in measured[:20]] == list(range(1, 21)) and measured[-1][0] > 10_000
+    assert 100 < len(measured) < 240 and 10_000 < sum(w for _, w in measured) < 30_000  # weights stand for all documents
+
+
+def test_turns_without_numbers_are_ordered_in_blocks(spark):
+    rng = random.Random(29)
+    long = "p " * 200
+    rows = [(1, None, rng.choice(["user", "assistant"]), rng.choice(["", "same", "x " * rng.randint(0, 9), long, long + "tail", long[:256]])) for _ in range(3000)]
+    rows += [(1, 0, "user", "again")] * 2000 + [(None, 5, "user", "a"), (None, 4, None, "b")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(6)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"  # so small a table would be one partition
+    spark.conf.set(coalesce, "false")
+    try:
+        ordered = chat.ordered_turns(df, "conv_id", "turn", "role", "text")
+    finally:
+        spark.conf.unset(coalesce)
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", r[3])
+    got = [(r["conv_id"], r["role"], r["text"]) for r in sorted(ordered.collect(), key=lambda r: r["place"])]
+    assert got == [(r[0], r[2] or "", r[3]) for r in sorted(rows, key=key)]
+    sizes = ordered.groupBy("conv_id", F.shiftright("place", chat.BLOCK_BITS).alias("b")).count().agg(F.max("count")).first()[0]
+    parts = ordered.where("conv_id = 1").select(F.shiftright("place", 33)).distinct().count()
+    assert sizes <= 2**chat.BLOCK_BITS and parts > 3
+    back = {r["conv_id"]: r for r in chat.read_back(chat.chat_windows(df, budget=128)).collect()}
+    assert back[1]["n_turns"] == 5000 and back[1]["turns"] == "".join(f"{r}\n{t}\n" for c, r, t in got if c == 1)
